@@ -35,6 +35,7 @@ def winners(digests: DataFrame) -> DataFrame:
     sketch = (
         digests.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("_part"))
         .agg(F.expr(f"approx_top_k_accumulate({DIGEST}, {COUNTERS})").alias("_s"))
+        .groupBy((F.col("_part") >= 0).alias("_all"))  # a key: the merge fails on partitions without a sketch
         .agg(F.expr(f"approx_top_k_combine(_s, {COUNTERS})").alias("_s"))
         .select(F.explode(F.expr(f"approx_top_k_estimate(_s, {HEAVY})")).alias("_f"))
         .where("_f.count > 1")
