@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, q_clean  # noqa: F401
+from . import base, q_clean, q_evaluation, q_stats, q_text  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.QUERIES["P06_clean_table"](spark, sf_dir)
+    return base.QUERIES["flagship_kappa_by_segment"](spark, sf_dir)
 
 
 def queries() -> dict:
