@@ -8,9 +8,10 @@ pair of the wanted similarity is missed with a probability under `MISS`.
 Prefix: with a document's tokens in order of frequency, rarest first, two documents with `least`
 common tokens share one among the first COORDINATES - least + 1 of each. Tokens of one document
 alone take the first places; a document in which they fill the prefix is done.
-Skip: a posting list is first merged as a star around one centre; pairs inside one component need
-no more counting and are skipped, and only what still lies in different components is paired.
-Every candidate is confirmed on the full shingle sets.
+Skip: a posting list is first merged as a star around its smallest member; pairs inside one
+component need no more counting and are skipped. In lists that still hold several components, the
+members whose shared shingles rule out any further link are skipped too, and the others meet by a
+second prefix filter, over the shingles (leftover_pairs). Candidates are confirmed on full sets.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
 nothing; fewer words than k count as one shingle; a row with a null doc_id keeps a null component
@@ -34,8 +35,6 @@ from .textvec import Texts, mix
 
 U = np.uint64
 COORDINATES, MISS = 48, 1e-6
-#: Star rounds go on while unmerged pairs outnumber the postings by this factor.
-STAR_FACTOR, STAR_ROUNDS = 1, 12
 _rng = np.random.default_rng(48)
 _A = _rng.integers(1, 2**63, COORDINATES, dtype=U) | U(1)
 _B = _rng.integers(0, 2**63, COORDINATES, dtype=U)
@@ -149,47 +148,72 @@ def classes_and_postings(documents: DataFrame, k: int, percent: int) -> tuple[Da
     return members, classes, written(prefix, "postings")
 
 
-def star(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each list's centre with its members in other components. rows: (token, rep, component)."""
-    order = F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), F.col("rep").alias("rep"), F.col("component").alias("component")) if turn else F.struct("rep", "component")
-    centres = rows.groupBy("token").agg(F.min(order).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    pairs = rows.join(centres.select("token", F.col("c.rep").alias("centre"), F.col("c.component").alias("at")), "token").where("component <> at")
-    return pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+def star(rows: DataFrame) -> DataFrame:
+    """Pairs of each list's smallest member with the others. rows: (token, rep)."""
+    centres = rows.groupBy("token").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a <> hi").select("token", "a")
+    return rows.join(centres, "token").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+
+
+def _shingle_rows(k: int):
+    def run(batches):
+        for batch, texts in slices(batches, "text"):
+            sets = [x.view(np.int64) for x in shingle_sets(texts, k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["rep", "component", "set"])
+
+    return run
+
+
+def open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """The lists (token, rep, component) that still hold more than one component."""
+    rows = lists.select("token", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    split = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    return written(rows.join(split, "token").select("token", "rep", "component"), "open")
+
+
+def leftover_pairs(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) in different components of the open lists that can still be links; none is lost.
+
+    A link needs an overlap of q = percent / (100 + percent) of both sizes together. Of a set of n
+    shingles, only the m that also occur in another component can be shared with a partner, so a
+    partner has at most m / q - n shingles; a member whose lists hold no set that small is skipped.
+    The rest meet by a prefix filter on the shingles themselves: if no partner in the lists has
+    fewer than s shingles, the overlap is at least q * (n + s), so with a set's shingles in order
+    of frequency, rarest first, the first common one is among the first n + 1 - q * (n + s).
+    """
+    q = percent / (100 + percent)
+    reps = rows.select("rep", "component").distinct()
+    sets = texts.select("rep", "text").join(reps, "rep").select("rep", "component", "text").mapInArrow(_shingle_rows(k), "rep long, component long, set array<long>")
+    shingles = written(sets.select("rep", "component", F.size("set").alias("n"), F.explode("set").alias("shingle")), "shingles")
+    often = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle", "df")
+    shared = written(shingles.join(often, "shingle"), "shared")
+    bound = shared.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("m"))
+    bound = bound.withColumn("most", F.floor(F.col("m") / q - F.col("n") + 1e-6)).where(100 * F.col("most") >= percent * F.col("n"))
+    sized = rows.select("token", "rep", "component").join(written(bound, "bounds"), "rep")
+    smallest = sized.groupBy("token").agg(F.min("n").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "least")
+    kept = sized.join(smallest, "token").where("most >= least").groupBy("rep", "m", "most").agg(F.min("least").alias("least"))
+    kept = written(kept, "kept")
+    need = F.ceil(q * (F.col("n") + F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100 - 1e-6))) - 1e-6)
+    place = F.row_number().over(W.partitionBy("rep").orderBy("df", "shingle"))
+    prefix = shared.join(kept, "rep").withColumn("place", place).where(F.col("place") <= F.col("m") + 1 - need)
+    prefix = written(prefix.select("shingle", "rep", "component", "n", "most"), "prefixes")
+    one = prefix.select("shingle", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"))
+    other = prefix.select("shingle", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"))
+    fits = f"a < b and ca <> cb and nb <= ma and na <= mb and 100 * na >= {percent} * nb and 100 * nb >= {percent} * na"
+    return one.join(other, "shingle").where(fits).select("a", "b").distinct()
 
 
 def near_components(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
     members, classes, postings = classes_and_postings(documents, k, percent)
-    lists = written(
-        postings.join(postings.groupBy("token").agg(F.count(F.lit(1)).alias("g")).where("g > 1"), "token").select("token", "rep", F.col("rep").alias("component")), "lists"
-    )
+    lists = written(postings.join(postings.groupBy("token").agg(F.count(F.lit(1)).alias("g")).where("g > 1"), "token").select("token", "rep"), "lists")
     wanted = lists.select(F.col("rep").alias("doc_id")).distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
     texts = written(texts.join(classes.select(F.col("rep").alias("doc_id"), "tokens"), "doc_id").select(F.col("doc_id").alias("rep"), "tokens", "text"), "texts")
-    links = written(confirm(star(lists, 0), texts, k, percent), "links")
-    turn, found = 0, components(links)
-    while True:
-        turn += 1
-        rows = lists.select("token", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        split = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-        rows = written(rows.join(split, "token"), "open")
-        parts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("g")).groupBy("token").agg(F.sum("g").alias("g"), F.sum(F.col("g") * F.col("g")).alias("gg"))
-        pairs, postings_left = parts.agg(F.sum((F.col("g") * F.col("g") - F.col("gg")) / 2), F.sum("g")).first()
-        if not pairs:
-            break
-        if pairs <= STAR_FACTOR * postings_left or turn > STAR_ROUNDS:
-            other = rows.select("token", F.col("rep").alias("b"), F.col("component").alias("cb"))
-            every = rows.select("token", F.col("rep").alias("a"), F.col("component").alias("ca")).join(other, "token").where("a < b and ca <> cb")
-            candidates = every.select("a", "b").distinct()
-        else:
-            candidates = star(rows, turn)
-        more = written(confirm(candidates, texts, k, percent), "links")
-        done = pairs <= STAR_FACTOR * postings_left or turn > STAR_ROUNDS
-        if not more.isEmpty():
-            links = written(links.unionByName(more), "links")
-            found = components(links)
-        if done:
-            break
+    links = written(confirm(star(lists), texts, k, percent), "links")
+    found = components(links)
+    more = written(confirm(leftover_pairs(open_lists(lists, found), texts, k, percent), texts, k, percent), "links")
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     named = written(
         classes.select("n", "s1", "s2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id")), "named"
     )
