@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What counts as a placeholder name, and texts that mean a missing value.
 PLACEHOLDERS = [r"^no\s*name\b.*$", r"^unnamed\b.*$", r"^none$", r"^n/?a$", r"^unknown$", r"^-+$", r"^\.+$", r"^\?+$"]
@@ -34,12 +35,12 @@ def clean_names(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("_n", clean_name(name)).withColumn("has_name", F.col("_n").isNotNull().cast("int")).withColumn(name, F.col("_n")).drop("_n")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFC")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKD")
 
