@@ -64,8 +64,6 @@ class Encoder:
     def learn(self, words: set[str]) -> None:
         if not words:
             return
-        if len(self.inner) > CACHE:
-            self.inner.clear()
         listed = list(words)
         ids = np.array(self.bpe.encode_ordinary(" " + " ".join(listed)), "<u4")
         at = np.flatnonzero(self.spaced[ids])
@@ -76,6 +74,9 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian 32-bit words, the closing id included."""
         plain, missing = [], set()
+        for known in (self.inner, self.first):
+            if len(known) > CACHE:
+                known.clear()
         for raw in texts:
             text = raw.decode("utf-8", "replace")
             lines = [line.split(" ") for line in text.split("\n")]
@@ -87,8 +88,6 @@ class Encoder:
                 missing.update(line[1:])
         self.learn({w for w in missing if w not in self.inner})
         end, out = np.array([END_ID], "<u4").tobytes(), []
-        if len(self.first) > CACHE:
-            self.first.clear()
         for lines in plain:
             if isinstance(lines, str):
                 out.append(self.whole(lines) + end)
