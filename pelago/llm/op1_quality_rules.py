@@ -134,9 +134,9 @@ def fit(documents: DataFrame, labels: DataFrame) -> dict | None:
         sample.where(F.col("slot") < cut)
         .groupBy((F.col("slot") % SHARDS).cast("int").alias("shard"))
         .applyInPandas(fit_shard, schema)
-        .orderBy("shard")
         .collect()
     )
+    shards.sort(key=lambda r: r["shard"])
     if not shards:
         return None
     weights = np.mean([r["w"] for r in shards], axis=0).reshape(FAMILIES, BINS)
