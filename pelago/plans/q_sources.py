@@ -53,6 +53,13 @@ def _(t):
     return found.agg(n).select(F.lit("found").alias("status"), "n").union(missing.agg(n).select(F.lit("missing").alias("status"), "n"))
 
 
+@query("S06_scan_images_by_key", "SELECT DISTINCT o_orderstatus AS key, CAST(1 AS BIGINT) AS n FROM orders")
+def _(t):
+    path = S.work_dir(t.spark) + "/by_key"
+    t.orders.select(F.col("o_orderstatus").alias("key"), "o_orderkey").repartition("key").write.partitionBy("key").parquet(path)
+    return S.files_by_key(t.spark, path, r"/key=([^/]+)/").select("key", "n")
+
+
 @query("S07_scan_parquet", "SELECT listing_id, state, age, fee FROM listings_v")
 def _(t):
     path = S.work_dir(t.spark) + "/listings"

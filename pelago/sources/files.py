@@ -62,10 +62,14 @@ def lookup(documents: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame,
     return documents.join(keys.select(key).distinct(), key, "left_semi"), keys.select(key).distinct().join(documents, key, "left_anti")
 
 
-def files_by_key(spark: SparkSession, path: str) -> DataFrame:
-    """(key, sorted file names, n) of files `key-n.ext`; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"))
-    keyed = files.withColumn("key", F.regexp_extract("file", r"^(.*)-\d+\.[A-Za-z]+$", 1)).where("key <> ''")
+#: `key-n.ext` at the end of a path.
+NUMBERED = r"([^/]*)-\d+\.[A-Za-z]+$"
+
+
+def files_by_key(spark: SparkSession, path: str, pattern: str = NUMBERED) -> DataFrame:
+    """(key, sorted file names, n) of the files whose path has the pattern; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    keyed = files.select(F.regexp_extract("path", pattern, 1).alias("key"), F.element_at(F.split("path", "/"), -1).alias("file")).where("key <> ''")
     return keyed.groupBy("key").agg(F.array_sort(F.collect_list("file")).alias("files"), F.count(F.lit(1)).alias("n"))
 
 
@@ -119,8 +123,8 @@ def missing_keys(record: dict, required: Sequence[str]) -> list[str]:
 
 def write_submission(df: DataFrame, key: str, label: str, path: str, classes: Sequence[int] = range(5)) -> None:
     """Reject classes outside the list and repeated keys, then write CSV."""
-    by = df.groupBy(key).agg(F.count(F.lit(1)).alias("k"), F.count_if(~F.coalesce(F.col(label).isin(list(classes)), F.lit(False))).alias("b"))
-    bad, more = by.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum(F.col("k") - 1), F.lit(0))).first()
+    by = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.coalesce(F.col(label).isin(list(classes)), F.lit(False))).alias("_bad"))
+    bad, more = by.agg(F.coalesce(F.sum("_bad"), F.lit(0)), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).first()
     if bad or more:
         raise ValueError(f"{bad} classes outside {list(classes)}, {more} repeated keys")
     write_csv(df.select(key, label), path)
