@@ -86,14 +86,28 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])).alias("x")).select("x.*")
 
 
+def running_counts(counts: DataFrame, value: str, n: str, by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+    """counts with `_below`: the sum of n over smaller values, within the given keys.
+
+    Values are dealt into buckets at approximate quantiles; a bucket starts where the sums of the
+    buckets before it end, so no task orders all values. Exact whatever the quantiles are."""
+    by, v = list(by), F.col(value).cast("double")
+    edges = counts.groupBy(*by).agg(F.percentile_approx(v, [i / buckets for i in range(1, buckets)], 1000).alias("_edges"))
+    rows = counts.join(edges, by) if by else counts.crossJoin(F.broadcast(edges))  # one row
+    rows = rows.withColumn("_bucket", F.coalesce(F.size(F.filter("_edges", lambda e: e < v)), F.lit(-1))).drop("_edges")
+    sums = rows.groupBy(*by, "_bucket").agg(F.sum(n).alias("_in"))
+    before = lambda key, order: W.partitionBy(*key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_in").over(before(by, "_bucket")), F.lit(0))).drop("_in")
+    out = rows.join(starts, [*by, "_bucket"])
+    return out.withColumn("_below", F.col("_start") + F.coalesce(F.sum(n).over(before([*by, "_bucket"], value)), F.lit(0))).drop("_bucket", "_start")
+
+
 def average_ranks(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Average ranks of each column by key. Ranks come from counts of distinct values: the running
-    sum goes over one row per value, not over the rows."""
+    """Average ranks of each column by key, from running counts over its distinct values."""
     out = df.select(key, *columns)
     for c in columns:
-        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        below = F.coalesce(F.sum("_n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        ranks = counts.select(F.col(c).alias("_v"), (below + (F.col("_n") + 1) / 2).alias(f"rank_{c}"))
+        counts = running_counts(df.groupBy(c).agg(F.count(F.lit(1)).alias("_n")), c, "_n")
+        ranks = counts.select(F.col(c).alias("_v"), (F.col("_below") + (F.col("_n") + 1) / 2).alias(f"rank_{c}"))
         out = out.join(ranks, out[c].eqNullSafe(ranks["_v"])).drop("_v")
     return out
 

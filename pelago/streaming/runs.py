@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.stats import running_counts
+
 #: Nodes that can fall back, and after how many seconds a session is dropped.
 FALLBACK_NODES = ("view", "click", "purchase")
 TTL_SECONDS = 600
@@ -48,12 +48,13 @@ def session_windows(events: DataFrame, gap: str, late: str | None = None) -> Dat
 def latency_summary(events: DataFrame) -> DataFrame:
     """Count, mean, extremes and the upper middle element of the durations of each node.
 
-    The middle element comes from an exact discrete percentile: element n // 2 of n sorted values."""
+    The middle element is element n // 2 of n sorted values, found from running counts of the
+    distinct durations; no task orders all durations of a node."""
     n = F.count("duration_ms")
     by = events.groupBy("node").agg(n.alias("n"), F.round(F.avg("duration_ms"), 2).alias("mean"), F.round(F.min("duration_ms"), 2).alias("min"), F.round(F.max("duration_ms"), 2).alias("max"))
     counts = events.where("duration_ms is not null").groupBy("node", "duration_ms").agg(F.count(F.lit(1)).alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(W.partitionBy("node").orderBy("duration_ms")))
-    mid = upto.join(by.select("node", "n"), "node").where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy("node").agg(F.round(F.min("duration_ms"), 2).alias("p50"))
+    below = running_counts(counts, "duration_ms", "c", ["node"])
+    mid = below.join(by.select("node", "n"), "node").where(F.col("_below") + F.col("c") > F.floor(F.col("n") / 2)).groupBy("node").agg(F.round(F.min("duration_ms"), 2).alias("p50"))
     return by.join(mid, "node", "left").na.fill(0.0, ["mean", "min", "max", "p50"])
 
 
@@ -119,22 +120,21 @@ STATE_OUT = "session_id bigint, status string, payload double"
 
 
 def stateful_sessions(updates: DataFrame, seconds: int = TTL_SECONDS) -> DataFrame:
-    """The same upsert as a stateful stream operator; state expires by processing time."""
-    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-
-    class Upsert(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("session", "doc string", ttlDurationMs=1000 * seconds)
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-            now = json.loads(self.state.get()[0]) if self.state.exists() else {"status": None, "payload": None}
-            for r in pd.concat(rows).sort_values(["ts", "event_id"]).itertuples():
-                now["status"] = r.status if isinstance(r.status, str) else now["status"]
-                now["payload"] = now["payload"] if pd.isna(r.payload) else float(r.payload)
-            self.state.update((json.dumps(now),))
-            yield pd.DataFrame({"session_id": [key[0]], "status": [now["status"]], "payload": [now["payload"]]})
-
-        def close(self) -> None:
-            pass
-
-    return updates.groupBy("session_id").transformWithStateInPandas(statefulProcessor=Upsert(), outputStructType=STATE_OUT, outputMode="Update", timeMode="ProcessingTime")
+    """The same upsert as a stateful stream operator. A session leaves the state when that many
+    seconds of processing time have passed since it was created, as in live_sessions()."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def upsert(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now_ms = state.getCurrentProcessingTimeMs()
+        status, payload, ends = state.get if state.exists else (None, None, now_ms + 1000 * seconds)
+        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
+            status = r.status if isinstance(r.status, str) else status
+            payload = payload if pd.isna(r.payload) else float(r.payload)
+        state.update((status, payload, ends))
+        state.setTimeoutDuration(max(1, ends - now_ms))
+        yield pd.DataFrame({"session_id": [key[0]], "status": [status], "payload": [payload]})
+
+    return updates.groupBy("session_id").applyInPandasWithState(upsert, STATE_OUT, "status string, payload double, ends bigint", "update", GroupStateTimeout.ProcessingTimeTimeout)

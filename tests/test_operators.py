@@ -258,6 +258,32 @@ def test_session_state_keeps_payload(spark):
     assert [r["session_id"] for r in live.collect()] == [2]
 
 
+def test_stateful_stream_equals_batch(spark, sf_dir, tmp_path):
+    import time
+
+    ship(spark)
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 5 = 0")
+    raw.repartition(1).write.parquet(str(tmp_path / "in"))
+    schema = "event_id bigint, user_id bigint, ts timestamp_ntz, event_type string, value double, props string"
+    stream = R.stateful_sessions(R.session_updates(R.node_events(R.event_stream(spark, str(tmp_path / "in"), "*.parquet", schema))))
+    want = {r["session_id"]: (r["status"], r["payload"]) for r in R.session_state(R.session_updates(R.node_events(raw))).collect()}
+    # time-outs keep such a query busy, so it is stopped when its first result is there
+    q = stream.writeStream.outputMode("update").format("memory").queryName("sessions").option("checkpointLocation", str(tmp_path / "cp")).start()
+    until = time.time() + 90
+    while time.time() < until and spark.table("sessions").count() < len(want):
+        time.sleep(1)
+    q.stop()
+    assert {r["session_id"]: (r["status"], r["payload"]) for r in spark.table("sessions").collect()} == want
+
+
+def test_running_counts(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 40, 500)
+    df = spark.createDataFrame([(int(v), int(v) % 2) for v in x], "v int, g int").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    for r in S.running_counts(df, "v", "n", ["g"], buckets=7).collect():
+        assert r["_below"] == ((x % 2 == r["g"]) & (x < r["v"])).sum()
+
+
 def test_request_domains(spark):
     rows = [(1, 3, 0.0, 1, 0, " ", "Dog", "Yes"), (2, 300, 0.0, 1, 4, "Rex", "Cat", "No"), (3, 1, -1.0, 1, 4, "Rex", "Cat", "No"), (4, 1, 1.0, 0, 4, "Rex", "Bird", "Not Sure")]
     out = {r["listing_id"]: r for r in X.encode_request(spark.createDataFrame(rows, "listing_id int, age int, fee double, quantity int, breed2 int, name string, pet_type string, vaccinated string")).collect()}
