@@ -53,11 +53,12 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def grouped_stats(df: DataFrame, by: str, value: str) -> DataFrame:
-    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 2).alias("mean"), F.round(F.percentile(value, F.lit(0.5)), 2).alias("median"), F.round(F.stddev(value), 2).alias("std"))
+    means = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 2).alias("mean"), F.round(F.stddev(value), 2).alias("std"))
+    return means.join(quantiles(df, value, [0.5], [by]), by, "left").select(by, "n", "mean", F.round("q0", 2).alias("median"), "std")
 
 
 def iqr_outliers(df: DataFrame, column: str) -> DataFrame:
-    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    q = quantiles(df, column, [0.25, 0.75]).select(F.col("q0").alias("q1"), F.col("q1").alias("q3"))
     bounds = q.withColumn("iqr", F.col("q3") - F.col("q1")).withColumns({"low": F.col("q1") - 1.5 * F.col("iqr"), "high": F.col("q3") + 1.5 * F.col("iqr")})
     out = df.crossJoin(F.broadcast(bounds))  # one row
     bad = F.count_if((F.col(column) < F.col("low")) | (F.col(column) > F.col("high")))
@@ -65,9 +66,8 @@ def iqr_outliers(df: DataFrame, column: str) -> DataFrame:
 
 
 def percentiles(df: DataFrame, column: str, points: Sequence[float]) -> DataFrame:
-    p = F.percentile(column, F.array(*map(F.lit, points)))
-    one = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), p.alias("p"))
-    return one.select("n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max")], *[F.round(F.col("p")[i], 4).alias(f"p{round(100 * x)}") for i, x in enumerate(points)])
+    one = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max")).crossJoin(quantiles(df, column, points))  # one row each
+    return one.select("n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max")], *[F.round(f"q{i}", 4).alias(f"p{round(100 * x)}") for i, x in enumerate(points)])
 
 
 def crosstab_pct(df: DataFrame, row: str, column: str, values: Sequence) -> DataFrame:
@@ -102,6 +102,24 @@ def running_counts(counts: DataFrame, value: str, n: str, by: Sequence[str] = ()
     return out.withColumn("_below", F.col("_start") + F.coalesce(F.sum(n).over(before([*by, "_bucket"], value)), F.lit(0))).drop("_bucket", "_start")
 
 
+def quantiles(df: DataFrame, column: str, points: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles with linear interpolation, as columns q0, q1, ..., overall or by keys.
+
+    Unlike a percentile aggregate, no task holds all values: positions come from running counts."""
+    by = list(by)
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    rows = running_counts(counts, "_v", "_n", by)
+    rows = rows.join(totals, by) if by else rows.crossJoin(F.broadcast(totals))  # one row
+    value_at = lambda k: F.max(F.when((F.col("_below") <= k) & (k < F.col("_below") + F.col("_n")), F.col("_v")))
+    cells = []
+    for i, p in enumerate(points):
+        h = F.lit(float(p)) * (F.col("_all") - 1)
+        cells += [value_at(F.floor(h)).alias(f"_lo{i}"), value_at(F.ceil(h)).alias(f"_hi{i}"), F.max(h - F.floor(h)).alias(f"_f{i}")]
+    one = rows.groupBy(*by).agg(*cells)
+    return one.select(*by, *[(F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}") for i in range(len(points))])
+
+
 def average_ranks(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Average ranks of each column by key, from running counts over its distinct values."""
     out = df.select(key, *columns)
@@ -136,7 +154,7 @@ def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, by: str, bins: int, cap: float = 0.99) -> DataFrame:
     """Counts in equal bins of what is not above the capped percentile; the last bin is closed."""
-    top = df.agg(F.percentile(column, F.lit(cap)).alias("_cap"))
+    top = quantiles(df, column, [cap]).select(F.col("q0").alias("_cap"))
     rows = df.crossJoin(F.broadcast(top)).where(F.col(column) <= F.col("_cap"))
     edge = rows.agg(F.min(column).cast("double").alias("_lo"), F.max(column).cast("double").alias("_hi"))
     out = rows.crossJoin(F.broadcast(edge))
@@ -155,11 +173,13 @@ def category_by_class(df: DataFrame, category: str, target: str, classes: Sequen
 
 
 def pareto_count(df: DataFrame, column: str, share: float = 0.8) -> DataFrame:
-    """Categories, largest first, that reach the share."""
-    counts = _with_total(df.groupBy(column).agg(F.count(F.lit(1)).alias("n")))
-    w = W.orderBy(F.desc("n"), column).rowsBetween(W.unboundedPreceding, 0)
-    cum = counts.withColumn("cum", F.sum("n").over(w) / F.col("total"))
-    return cum.agg(F.count(F.lit(1)).alias("n_categories"), (F.count_if(F.col("cum") <= share) + 1).alias("n_needed"))
+    """Categories, largest first, that reach the share; found from the counts of counts."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy((-F.col("n")).alias("order")).agg(F.count(F.lit(1)).alias("times"), F.sum("n").alias("mass"))
+    total = sizes.agg(F.sum("mass").alias("all"), F.sum("times").alias("n_categories"))
+    above = running_counts(sizes, "order", "mass").crossJoin(F.broadcast(total))  # one row
+    within = F.least("times", F.greatest(F.lit(0), F.floor((share * F.col("all") - F.col("_below")) / -F.col("order") + 1e-9)))
+    return above.agg(F.max("n_categories").alias("n_categories"), (F.sum(within) + 1).alias("n_needed"))
 
 
 def top_groups(df: DataFrame, segment: str, group: str, value: str, k: int) -> DataFrame:
