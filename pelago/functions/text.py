@@ -57,7 +57,7 @@ def text_stats(df: DataFrame, text: str, mode: str = "training") -> DataFrame:
         "digit_ratio": count(r"\d") / least,
     }
     if mode == "serving":
-        blank = F.trim(raw) == ""
+        blank = ~raw.rlike(r"(?U)\S")
         out = {k: F.when(blank, F.lit(0)).otherwise(v) for k, v in out.items()}
     return df.withColumns(out)
 

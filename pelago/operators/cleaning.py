@@ -14,16 +14,21 @@ PLACEHOLDERS = [r"^no\s*name\b.*$", r"^unnamed\b.*$", r"^none$", r"^n/?a$", r"^u
 MISSING_TEXTS = ["nan", "<NA>", "None", ""]
 
 
+def strip(c: str | Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"(?U)^\s+|\s+$", "")
+
+
 def clean_name(name: str | Column) -> Column:
     """Trimmed name; null if blank, a placeholder, digits only or without a letter or digit."""
-    t = F.trim(F.col(name) if isinstance(name, str) else name)
+    t = strip(name)
     bad = t.rlike("(?is)" + "|".join(f"(?:{p})" for p in PLACEHOLDERS)) | t.rlike(r"^\d+$") | ~t.rlike(r"[A-Za-z0-9]")
     return F.when((t != "") & ~bad, t)
 
 
 def name_rule(name: str) -> Column:
     """Which rule voids a name: null, empty, placeholder, numeric, symbol, or kept."""
-    t = F.trim(F.col(name))
+    t = strip(name)
     return (
         F.when(t.isNull(), "null").when(t == "", "empty")
         .when(t.rlike("(?is)" + "|".join(f"(?:{p})" for p in PLACEHOLDERS)), "placeholder")
@@ -54,7 +59,7 @@ def normalize_text(df: DataFrame, *columns: str) -> DataFrame:
     """Trim, NFC, and null for texts that mean a missing value."""
     out = {}
     for c in columns:
-        t = _ascii_or(F.trim(F.col(c).cast("string")), nfc)
+        t = _ascii_or(strip(F.col(c).cast("string")), nfc)
         out[c] = F.when(~t.isin(MISSING_TEXTS), t)
     return df.withColumns(out)
 

@@ -284,6 +284,30 @@ def test_running_counts(spark):
         assert r["_below"] == ((x % 2 == r["g"]) & (x < r["v"])).sum()
 
 
+#: The ten end-to-end requests (name of the case, type, name, age, breed2, vaccinated, quantity, fee, text).
+SCENARIOS = [
+    ("typical_dog_with_description", 1, "Buddy", 3, 0, 1, 1, 0.0, "Buddy is a friendly dog."), ("typical_cat_no_description", 2, "Whiskers", 6, 0, 1, 1, 50.0, ""),
+    ("fully_documented_pet", 1, "Max", 12, 264, 1, 1, 0.0, "Max is house-trained."), ("minimal_input", 2, "", 1, 0, 3, 1, 0.0, ""),
+    ("high_fee_unvaccinated", 1, "Rex", 24, 0, 2, 1, 500.0, "Rex."), ("young_puppy_healthy", 1, "Luna", 1, 0, 1, 1, 0.0, "Luna."),
+    ("senior_cat_health_issues", 2, "Grandpa", 120, 0, 1, 1, 200.0, "Grandpa."), ("multiple_pets_listing", 2, "The Three Amigos", 2, 0, 2, 3, 0.0, "Three."),
+    ("whitespace_only_description", 1, "Shadow", 8, 0, 1, 1, 30.0, "    \n\t   \n  "), ("very_long_description", 2, "Cleopatra", 36, 0, 1, 1, 0.0, "long " * 2000),
+]
+
+
+def test_ten_requests(spark):
+    rows = [(c, {1: "Dog", 2: "Cat"}[t], n, a, b, {1: "Yes", 2: "No", 3: "Not Sure"}[v], q, f, x, 0) for c, t, n, a, b, v, q, f, x in SCENARIOS]
+    df = spark.createDataFrame(rows, "listing_id string, pet_type string, name string, age int, breed2 int, vaccinated string, quantity int, fee double, text string, images int")
+    coded = {r["listing_id"]: r for r in X.encode_request(df).collect()}
+    assert all(r["valid"] for r in coded.values()) and coded["minimal_input"]["name"] is None and coded["minimal_input"]["vaccinated"] == 3
+    assert coded["typical_dog_with_description"]["breed2"] is None and coded["fully_documented_pet"]["breed2"] == 264
+    made = {r["listing_id"]: r for r in A.availability(df, "text", "images").withColumns({"bin": X.right_closed_bin("age"), "unit": X.per_unit("fee", "quantity")}).collect()}
+    assert {k for k, r in made.items() if not r["has_text"]} == {"typical_cat_no_description", "minimal_input", "whitespace_only_description"}
+    assert not any(r["has_image"] for r in made.values())
+    assert [made[c[0]]["bin"] for c in SCENARIOS] == [1, 2, 3, 0, 4, 0, 6, 1, 3, 5]
+    stats = {r["listing_id"]: r for r in T.text_stats(df, "text", "serving").collect()}
+    assert stats["whitespace_only_description"]["word_count"] == 0 and stats["very_long_description"]["word_count"] == 2000
+
+
 def test_request_domains(spark):
     rows = [(1, 3, 0.0, 1, 0, " ", "Dog", "Yes"), (2, 300, 0.0, 1, 4, "Rex", "Cat", "No"), (3, 1, -1.0, 1, 4, "Rex", "Cat", "No"), (4, 1, 1.0, 0, 4, "Rex", "Bird", "Not Sure")]
     out = {r["listing_id"]: r for r in X.encode_request(spark.createDataFrame(rows, "listing_id int, age int, fee double, quantity int, breed2 int, name string, pet_type string, vaccinated string")).collect()}
