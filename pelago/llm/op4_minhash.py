@@ -178,7 +178,8 @@ def leftover_pairs(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     partner has at most m / q - n shingles; a member whose lists hold no set that small is skipped.
     The rest meet by a prefix filter on the shingles themselves: if no partner in the lists has
     fewer than s shingles, the overlap is at least q * (n + s), so with a set's shingles in order
-    of frequency, rarest first, the first common one is among the first n + 1 - q * (n + s).
+    of frequency, rarest first, the first common one is among the first n + 1 - q * (n + s). Where
+    two sets meet, what follows in either of them must still reach their own overlap.
     """
     q = percent / (100 + percent)
     reps = rows.select("rep", "component").distinct()
@@ -195,11 +196,13 @@ def leftover_pairs(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     need = F.ceil(q * (F.col("n") + F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100 - 1e-6))) - 1e-6)
     place = F.row_number().over(W.partitionBy("rep").orderBy("df", "shingle"))
     prefix = shared.join(kept, "rep").withColumn("place", place).where(F.col("place") <= F.col("m") + 1 - need)
-    prefix = written(prefix.select("shingle", "rep", "component", "n", "most"), "prefixes")
-    one = prefix.select("shingle", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"))
-    other = prefix.select("shingle", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"))
-    fits = f"a < b and ca <> cb and nb <= ma and na <= mb and 100 * na >= {percent} * nb and 100 * nb >= {percent} * na"
-    return one.join(other, "shingle").where(fits).select("a", "b").distinct()
+    after = (F.col("m") - F.col("place") + 1).alias("left")  # the overlap, if this shingle is the first common one
+    prefix = written(prefix.select("shingle", "rep", "component", "n", "most", after), "prefixes")
+    one, other = (prefix.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "most", "left")]) for s in "ab")
+    sizes = f"n_b <= most_a and n_a <= most_b and 100 * n_a >= {percent} * n_b and 100 * n_b >= {percent} * n_a"
+    overlap = f"{100 + percent} * left_a >= {percent} * (n_a + n_b) and {100 + percent} * left_b >= {percent} * (n_a + n_b)"
+    fits = f"rep_a < rep_b and component_a <> component_b and {sizes} and {overlap}"
+    return one.join(other, "shingle").where(fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
 def near_components(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
