@@ -59,14 +59,22 @@ def held_out(doc_id: str | Column) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0
 
 
+def hash_share(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About four times `rows` rows by a hash of the key, or all of a smaller table. What a top-k
+    then gathers from each task stays small, however many tasks there are."""
+    share = min(1.0, 4 * rows / max(1, df.count()))
+    return df if share == 1.0 else df.where(F.pmod(F.xxhash64(F.lit(3), key), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """(doc_id, text, y, slot) of at most `rows` labelled documents outside the held-out fold.
 
     The ids are the smallest by a hash, so the choice is repeatable; `rows` bounds what is
     broadcast and what any trainer sees. slot counts from 0 in hash order.
     """
+    usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     picked = (
-        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+        hash_share(usable, "doc_id", rows)
         .select("doc_id", F.col(label).cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
         .limit(rows)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import slices, table
+from .common import hash_share, slices, table
 
 SAMPLE_PAGES, VARIANTS = 240, 4
 #: Fixed values of the HTML standard and of common attribute names.
@@ -331,7 +331,7 @@ def fit(pages: DataFrame) -> boosting.Trees | None:
             trees = boosting.fit(np.concatenate(xs), np.concatenate(ys))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trees)])], ["trees"])
 
-    ids = pages.where("html is not null and page_id is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)
+    ids = hash_share(pages.where("html is not null and page_id is not null").select("page_id"), "page_id", SAMPLE_PAGES).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)
     sample = pages.join(F.broadcast(ids.distinct()), "page_id").select(F.col("page_id").cast("long").alias("page_id"), "html").limit(2 * SAMPLE_PAGES)
     found = sample.repartition(1).sortWithinPartitions("page_id").mapInArrow(train, "trees binary").collect()
     return pickle.loads(found[0][0]) if found else None

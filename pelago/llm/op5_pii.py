@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, written
 
 #: The order of kinds at equal starts; "secret" is the classifier's own.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -177,14 +177,13 @@ def fit(documents: DataFrame) -> np.ndarray | None:
                 ["v0", "v1", "v2", "h", "bins"],
             )
 
-    from .common import written
-
     found = written(documents.select("text").mapInArrow(listed, "v0 int, v1 int, v2 int, h long, bins array<int>"), "candidates")
     patterns = [((r[0], r[1], r[2]), r[3]) for r in found.groupBy("v0", "v1", "v2").count().orderBy("v0", "v1", "v2").collect()]
     if not patterns:
         return None
     prior, tables = em(patterns)
-    sample = found.dropDuplicates(["h"]).orderBy("h").limit(SAMPLE_ROWS).collect()
+    share = min(1.0, 8 * SAMPLE_ROWS / sum(n for _, n in patterns))  # what each task sends stays small
+    sample = found.where(F.col("h") <= int(share * (1 << 56))).dropDuplicates(["h"]).orderBy("h").limit(SAMPLE_ROWS).collect()
     x = np.array([r["bins"] for r in sample])
     y = np.array([posterior((r["v0"], r["v1"], r["v2"]), prior, tables) for r in sample])
     w, b, seen = np.zeros(BINS), 0.0, np.full(BINS, 1e-8)
