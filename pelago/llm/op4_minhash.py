@@ -8,7 +8,7 @@ pair of the wanted similarity is missed with a probability under `MISS`.
 Prefix: with a document's tokens in order of frequency, rarest first, two documents with `least`
 common tokens share one among the first COORDINATES - least + 1 of each. Tokens of one document
 alone take the first places; a document in which they fill the prefix is done.
-Skip: a posting list is first merged as a star around its smallest member; pairs inside one
+Skip: a posting list is first merged as a star around its most typical member; pairs inside one
 component need no more counting and are skipped. In lists that still hold several components, the
 members whose shared shingles rule out any further link are skipped too, and the others meet by a
 second prefix filter, over the shingles (leftover_pairs). Candidates are confirmed on full sets.
@@ -141,17 +141,23 @@ def classes_and_postings(documents: DataFrame, k: int, percent: int) -> tuple[Da
         tokens.join(often, "token")
         .withColumn("shared", F.count(F.lit(1)).over(own))
         .where(F.col("shared") >= least)
+        .withColumn("weight", F.sum("df").over(own))
         .withColumn("place", F.row_number().over(own.orderBy("df", "token")))
         .where(F.col("place") <= F.col("shared") - least + 1)
-        .select("rep", "token")
+        .select("rep", "token", "weight")
     )
     return members, classes, written(prefix, "postings")
 
 
 def star(rows: DataFrame) -> DataFrame:
-    """Pairs of each list's smallest member with the others. rows: (token, rep)."""
-    centres = rows.groupBy("token").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a <> hi").select("token", "a")
-    return rows.join(centres, "token").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    """Pairs of each list's centre with the others. rows: (token, rep, weight).
+
+    The centre is the member whose tokens are the most frequent ones: in a group of edited copies
+    that is the one with the fewest edits, which most of the others are similar to."""
+    centre = F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("c")
+    centres = rows.groupBy("token").agg(centre).select("token", (-F.col("c.minus")).alias("centre"))
+    pairs = rows.join(centres, "token").where("rep <> centre")
+    return pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
 
 
 def _shingle_rows(k: int):
@@ -208,7 +214,7 @@ def leftover_pairs(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> D
 def near_components(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
     members, classes, postings = classes_and_postings(documents, k, percent)
-    lists = written(postings.join(postings.groupBy("token").agg(F.count(F.lit(1)).alias("g")).where("g > 1"), "token").select("token", "rep"), "lists")
+    lists = written(postings.join(postings.groupBy("token").agg(F.count(F.lit(1)).alias("g")).where("g > 1"), "token").select("token", "rep", "weight"), "lists")
     wanted = lists.select(F.col("rep").alias("doc_id")).distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
     texts = written(texts.join(classes.select(F.col("rep").alias("doc_id"), "tokens"), "doc_id").select(F.col("doc_id").alias("rep"), "tokens", "text"), "texts")
