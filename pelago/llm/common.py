@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 #: Bytes of text that one vectorised step takes at once (a longer text goes alone).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:

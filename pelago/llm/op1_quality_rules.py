@@ -94,9 +94,10 @@ def fit_shard(key, pdf):
         d = np.repeat(np.arange(t.n), counts)
         cell, n = np.unique(d * np.int64(BINS) + bins, return_counts=True)
         d = cell // BINS
-        idx.append((cell % BINS) + f * BINS)
-        val.append(n / np.maximum(counts, 1)[d])
-        doc.append(d)
+        idx.append((cell % BINS + f * BINS).astype(np.int32))
+        val.append((n / np.maximum(counts, 1)[d]).astype(np.float32))
+        doc.append(d.astype(np.int32))
+        del d, cell, n
     idx, val, doc = np.concatenate(idx), np.concatenate(val), np.concatenate(doc)
     w, b, seen, seen_b = np.zeros(FAMILIES * BINS), 0.0, np.full(FAMILIES * BINS, 1e-8), 1e-8
     # both classes weigh the same
