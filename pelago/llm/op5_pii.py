@@ -182,7 +182,8 @@ def fit(documents: DataFrame) -> np.ndarray | None:
     if not patterns:
         return None
     prior, tables = em(patterns)
-    share = min(1.0, 8 * SAMPLE_ROWS / sum(n for _, n in patterns))  # what each task sends stays small
+    distinct = found.select("h").distinct().count()  # copies must not thin the sample
+    share = min(1.0, 8 * SAMPLE_ROWS / distinct)  # what each task sends stays small
     sample = found.where(F.col("h") <= int(share * (1 << 56))).dropDuplicates(["h"]).orderBy("h").limit(SAMPLE_ROWS).collect()
     x = np.array([r["bins"] for r in sample])
     y = np.array([posterior((r["v0"], r["v1"], r["v2"]), prior, tables) for r in sample])

@@ -173,6 +173,14 @@ def test_op5_adds_secrets_and_keeps_base(spark, docs, texts):
     assert not any(brute.personal(r["text"]) for r in op5.redact(docs).collect())
 
 
+def test_op5_copies_do_not_thin_the_sample(spark):
+    once = spark.createDataFrame([(i, f"token = {i * 7919:08x}beb58b8af6") for i in range(8)], "doc_id long, text string")
+    rare = op5.fit(once)
+    assert np.abs(rare).sum() > 0
+    many = op5.fit(once.join(spark.range(25_000).select(F.col("id").alias("copy"))).repartition(8, "copy"))
+    assert ((many != 0) == (rare != 0)).all()  # the bins of all eight
+
+
 def test_op6_pieces_are_whole_and_little_is_padded(spark, sf_dir, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
