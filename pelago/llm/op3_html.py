@@ -11,7 +11,10 @@ each is used as it is and in `VARIANTS` rebuilt layouts, which put its own artic
 boilerplate texts under other tags and attribute names, with bars, notices, forms and comments.
 
 Defined results: null or empty html gives an empty text; repeated rows are extracted alike;
-unclosed and stray tags are tolerated; without a page that marks its article every run outside
+unclosed and stray tags are tolerated: a silent element lasts to its end tag or that of an ancestor,
+one without its own end tag at most to the next block, a head to the first tag of the body; a title
+or textarea without its end tag ends at the next tag, and only a script or style that never ends
+takes the rest, which is its code; without a page that marks its article every run outside
 navigation, forms and the like is taken; an empty table gives an empty table; other columns are
 not read. Nothing is cut off. A br counts as white space inside its block.
 """
@@ -23,6 +26,7 @@ import math
 import pickle
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,11 @@ from .common import hash_share, slices, table
 SAMPLE_PAGES, VARIANTS = 240, 4
 #: Fixed values of the HTML standard and of common attribute names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template iframe object svg math canvas head title textarea select option button audio video".split())
+RAW = frozenset("script style title textarea xmp noembed noframes".split())
+SILENT = frozenset("noscript template iframe object svg math canvas head select option button audio video".split())
+#: What may stand in a head, and the silent elements that a second start tag of their kind ends.
+IN_HEAD = frozenset("html head base link meta script style title noscript template".split())
+NOT_NESTED = frozenset("iframe head select option button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img br wbr".split())
 CLOSES = {
     "p": frozenset("p".split()), "li": frozenset("li".split()), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()),
@@ -54,6 +62,7 @@ _TAG_OF |= {t: "table" for t in ("table", "tr", "td", "th", "tbody", "thead")} |
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 BAD_TAGS = frozenset(("nav", "header", "footer", "aside", "form"))
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+_SILENT_TAG = re.compile(rf"<(/?)({'|'.join(sorted(SILENT))})\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _GOLD = "data-gold"
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -78,10 +87,28 @@ def attribute_tokens(attributes: str) -> list[str]:
     return [p.lower() for m in _NAMED.finditer(attributes) for p in _PART.findall(m[1] or m[2] or m[3] or "")]
 
 
+def ended(html: str) -> set[int]:
+    """Where the silent elements start that have an end tag of their own."""
+    out: set[int] = set()
+    opened: dict[str, list[int]] = {}
+    for m in _SILENT_TAG.finditer(html):
+        at = opened.setdefault(m[2].lower(), [])
+        if m[1]:
+            if at:
+                out.add(at.pop())
+        elif not m[3].endswith("/"):
+            if m[2].lower() in NOT_NESTED:
+                at.clear()
+            at.append(m.start())
+    return out
+
+
 def parse(html: str) -> tuple[list[Node], list[Node]]:
     """All nodes in page order, the root first, and the text runs among them."""
     root = Node("body", [], None)
     nodes, runs, stack = [root], [], [("body", root)]
+    quiet: list[tuple[int, bool]] = []  # places of the open silent elements in the stack, and if they have end tags
+    closed, endless = ended(html), set()
     parts: list[str] = []
     link, linked, tags = 0, 0, 0
     skip = None
@@ -98,6 +125,12 @@ def parse(html: str) -> tuple[list[Node], list[Node]]:
             parts.clear()
         linked = tags = 0
 
+    def close(i):
+        """Take what is open from place i on off the stack."""
+        del stack[i:]
+        while quiet and quiet[-1][0] >= i:
+            quiet.pop()
+
     def stack_block():
         for _, node in reversed(stack):
             if node is not None:
@@ -107,16 +140,26 @@ def parse(html: str) -> tuple[list[Node], list[Node]]:
     at, end = 0, len(html)
     while at < end:
         if skip:  # raw text lasts to its own end tag
-            close = re.compile(rf"</{skip}\b[^>]*>", re.I).search(html, at)
-            at, skip = (close.end() if close else end), None
+            found = None if skip in endless else re.compile(rf"</{skip}\b[^>]*>", re.I).search(html, at)
+            if found:
+                at = found.end()
+            else:
+                endless.add(skip)
+                at = max(at, html.find("<", at)) if skip in ("title", "textarea") and html.find("<", at) >= 0 else end
+            skip = None
             continue
         m = _TOKEN.match(html, at)
         if m is None:  # a tag that never ends is text
-            parts.append(html[at])
+            if not quiet:
+                parts.append(html[at])
             at += 1
             continue
-        at = m.end()
+        begin, at = at, m.end()
         if m[4] is not None:
+            if quiet and stack[-1][0] == "head" and not m[4].isspace():
+                close(quiet[-1][0])
+            if quiet:
+                continue
             parts.append(m[4])
             if link:
                 linked += len(m[4])
@@ -124,9 +167,31 @@ def parse(html: str) -> tuple[list[Node], list[Node]]:
         if m[2] is None:
             continue
         name = m[2].lower()
+        while quiet and not m[1] and quiet[-1][0] == len(stack) - 1 and (name not in IN_HEAD if stack[-1][0] == "head" else not quiet[-1][1] and (name in NO_P or name in CLOSES)):
+            close(quiet[-1][0])
         if name in ("html", "body"):
             flush()
             continue
+        if quiet:
+            if m[1]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] == name:
+                        if i < quiet[0][0]:
+                            flush()
+                            link = 0
+                        close(i)
+                        break
+                    if stack[i][0] in SCOPE and name not in SCOPE:
+                        break
+            elif name in RAW:
+                skip = None if m[3].endswith("/") else name
+            elif name not in INLINE and name not in VOID and not m[3].endswith("/"):
+                if name in NOT_NESTED and stack[-1][0] == name:
+                    close(len(stack) - 1)
+                stack.append((name, None))
+                if name in SILENT:
+                    quiet.append((len(stack) - 1, begin in closed))
+            continue
         if m[1]:
             if name in INLINE:
                 tags += 1
@@ -135,7 +200,7 @@ def parse(html: str) -> tuple[list[Node], list[Node]]:
             flush()
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in SCOPE and name not in SCOPE:
                     break
@@ -147,10 +212,15 @@ def parse(html: str) -> tuple[list[Node], list[Node]]:
             if name == "br":
                 parts.append(" ")
             continue
-        if name in SILENT:
+        if name in RAW or name in SILENT:
             parts.append(" ") if name not in ("script", "style") else None
-            if not m[3].endswith("/"):
+            if m[3].endswith("/"):
+                continue
+            if name in RAW:
                 skip = name
+            else:
+                stack.append((name, None))
+                quiet.append((len(stack) - 1, begin in closed))
             continue
         flush()
         link = 0
@@ -160,7 +230,7 @@ def parse(html: str) -> tuple[list[Node], list[Node]]:
             closes = CLOSES.get(name, frozenset()) | ({"p"} if name in NO_P else frozenset())
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in closes:
-                    del stack[i:]
+                    close(i)
                 elif stack[i][0] in SCOPE:
                     break
         if m[3].endswith("/"):
@@ -189,6 +259,11 @@ def features(nodes: list[Node]) -> np.ndarray:
         for v in (chars, links, tags, leaves, words, stops):
             v[p] += v[i]
     total = max(1, seen)
+    position, alike = [0.0] * n, [1] * n
+    for x in nodes:
+        same = Counter(c.tag for c in x.children)
+        for k, c in enumerate(x.children):
+            position[place[id(c)]], alike[place[id(c)]] = k / len(x.children), same[c.tag]
     marks: list[tuple] = []
     out = np.zeros((n, 22 + len(TAGS) + HASHED), np.float32)
     for i, x in enumerate(nodes):
@@ -201,13 +276,13 @@ def features(nodes: list[Node]) -> np.ndarray:
             up = marks[place[id(x.parent)]]
         own = (up[0] + good, up[1] + bad, up[2] + (x.tag in ("article", "main")), up[3] + (x.tag in BAD_TAGS))
         marks.append(own)
-        siblings = x.parent.children if x.parent else [x]
+        siblings = len(x.parent.children) if x.parent else 1
         c = max(1, chars[i])
         row = out[i]
         row[:22] = (
-            good, bad, *own, x.depth, len(x.children), len(siblings), siblings.index(x) / len(siblings) if len(siblings) < 200 else 0.5,
+            good, bad, *own, x.depth, len(x.children), siblings, position[i],
             math.log1p(chars[i]), links[i] / c, tags[i] / (1 + words[i]), words[i] / max(1, leaves[i]), stops[i] / max(1, leaves[i]), c / max(1, words[i]),
-            chars[i] / total, x.start / total, math.log1p(leaves[i]), math.log1p(words[i]), stops[i] > 0, sum(s.tag == x.tag for s in siblings[:50]),
+            chars[i] / total, x.start / total, math.log1p(leaves[i]), math.log1p(words[i]), stops[i] > 0, alike[i],
         )
         row[22 + _TAG_AT[kind]] = 1
         for t in x.names:

@@ -132,6 +132,28 @@ def test_op3_articles_and_an_unseen_layout(spark, sf_dir):
     assert op3.extract(odd, None).count() == len(rows)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>x</title><body><article><p>One <b>two</b></p></article>", ["One two"]),
+        ("<head><title>x<p>One", ["One"]),
+        ("<header><button>Menu</header><article><p>One</p></article><button>OK</button>", ["One"]),
+        ("<div><button>Menu<article><p>One</p></article><p>Two</div>", ["One", "Two"]),
+        ("<select><option>1<option>2</select><p>One<iframe src=x></p><p>Two<p>Three", ["One", "Two", "Three"]),
+        ("<p>One<svg><g><title>t</title></g></svg> two <object><div><p>no</p></div></object>three</p>", ["One two three"]),
+        ("<template><p>no</p></template><p>One<script>'<p>no</p>'</script> two", ["One two"]),
+    ],
+)
+def test_op3_open_silent_elements_cut_nothing_off(page, want):
+    assert [x.text for x in op3.parse(page)[1]] == want
+
+
+def test_op3_siblings_of_long_lists():
+    nodes, _ = op3.parse("<ul>" + "<li>a</li>" * 300 + "</ul>")
+    x = op3.features(nodes)[[n.tag == "li" for n in nodes]]
+    assert (x[:, 21] == 300).all() and np.allclose(x[:, 9], np.arange(300) / 300)
+
+
 @pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
 def test_op4_equals_brute_force(spark, texts, k, percent):
     rng = random.Random(k)
