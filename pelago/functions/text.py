@@ -20,29 +20,33 @@ STOP_WORDS = sorted(
 )
 
 
+#: White space of every kind, and what is none, as Python has them (to stand inside brackets).
+_SPACE = r"\s\x1c-\x1f"
+
+
 def preprocess(text: str) -> Column:
     """Placeholder for missing texts; tags, links, addresses and runs of space removed; NFKD."""
     t = F.regexp_replace(F.col(text), r"<[^>]+>", " ")
-    t = F.regexp_replace(t, r"https?://\S+|www\.\S+", " ")
-    t = F.regexp_replace(t, r"\S+@\S+\.\S+", " ")
-    t = _ascii_or(F.trim(F.regexp_replace(t, r"\s+", " ")), nfkd)
+    t = F.regexp_replace(t, rf"(?U)https?://[^{_SPACE}]+|www\.[^{_SPACE}]+", " ")
+    t = F.regexp_replace(t, rf"(?U)[^{_SPACE}]+@[^{_SPACE}]+\.[^{_SPACE}]+", " ")
+    t = _ascii_or(F.trim(F.regexp_replace(t, rf"(?U)[{_SPACE}]+", " ")), nfkd)
     return F.when(F.coalesce(t, F.lit("")) == "", PLACEHOLDER).otherwise(t)
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(c, rf"(?U)[{_SPACE}]+"), lambda w: w != "")
 
 
 def text_stats(df: DataFrame, text: str, mode: str = "training") -> DataFrame:
     """Length, words, sentences, mean word length and ratios; mode: training, serving or eda."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    t = F.trim(raw) if mode == "serving" else raw
+    t = F.regexp_replace(raw, rf"(?U)^[{_SPACE}]+|[{_SPACE}]+\z", "") if mode == "serving" else raw
     n, w = F.length(t), words(t)
     parts = F.split(t, r"[.!?]+")
     if mode == "serving":
-        sentences, upper, punct = F.size(F.filter(parts, lambda p: F.trim(p) != "")), r"\p{Lu}", r"[^\p{L}\p{N}\s]"
+        sentences, upper, punct = F.size(F.filter(parts, lambda p: p.rlike(rf"(?U)[^{_SPACE}]"))), r"\p{Lu}", rf"(?U)[^\p{{L}}\p{{N}}{_SPACE}]"
     else:
-        sentences, upper, punct = F.size(parts), "[A-Z]", r"(?U)[^\w\s]"
+        sentences, upper, punct = F.size(parts), "[A-Z]", rf"(?U)[^\p{{L}}\p{{N}}_{_SPACE}]"
     least = F.greatest(n, F.lit(1))
     count = lambda p: F.regexp_count(t, F.lit(p))
     if mode == "eda":
@@ -54,10 +58,10 @@ def text_stats(df: DataFrame, text: str, mode: str = "training") -> DataFrame:
         "avg_word_length": F.when(F.size(w) > 0, F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)) / F.size(w)).otherwise(0.0),
         "uppercase_ratio": count(upper) / least,
         "punctuation_ratio": count(punct) / least,
-        "digit_ratio": count(r"\d") / least,
+        "digit_ratio": count(r"\p{Nd}") / least,
     }
     if mode == "serving":
-        blank = ~raw.rlike(r"(?U)\S")
+        blank = ~raw.rlike(rf"(?U)[^{_SPACE}]")
         out = {k: F.when(blank, F.lit(0)).otherwise(v) for k, v in out.items()}
     return df.withColumns(out)
 

@@ -41,6 +41,18 @@ query("X06_word_frequency", f"SELECT token, count(*) AS n FROM (SELECT unnest({_
 query("X06_word_frequency_by_class", f"SELECT * FROM (SELECT lang, token, n, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS INT) AS rank FROM (SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest({_TOK}) AS token FROM documents WHERE {_ASCII}) s GROUP BY lang, token) u) v WHERE rank <= 10")(
     lambda t: T.top_tokens(_ascii(t), "text", 10, "lang")
 )
+#: The same operators on every document. They have no SQL: DuckDB's classes are ASCII; a test compares them with plain Python.
+_X = {
+    "X01_preprocess_text": lambda d: d.select("doc_id", T.preprocess("text").alias("text")),
+    "X02_text_stats": lambda d: T.text_stats(d, "text").select("doc_id", "description_length", "word_count", "sentence_count", *[F.round(c, 6).alias(c) for c in _RATIOS]),
+    "X03_text_stats_eda": lambda d: T.text_stats(d, "text", "eda").select("doc_id", "char_length", "word_count", "sentence_count"),
+    "X04_text_stats_serving": lambda d: T.text_stats(d, "text", "serving").select("doc_id", F.col("description_length").cast("int").alias("description_length"), F.col("sentence_count").cast("int").alias("sentence_count"), F.round("punctuation_ratio", 6).alias("punctuation_ratio")),
+    "X05_tokenize": lambda d: d.select("doc_id", T.tokens("text").alias("tokens")),
+    "X06_word_frequency": lambda d: T.top_tokens(d, "text", 30),
+    "X06_word_frequency_by_class": lambda d: T.top_tokens(d, "text", 10, "lang"),
+}
+for _name, _f in _X.items():
+    query(f"{_name}_all")(lambda t, f=_f: f(t.documents))
 query("X07_language_profile", "SELECT lang AS language, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct, round(1 - (SELECT count(*) FROM documents WHERE lang = 'en') * 1.0 / (SELECT count(*) FROM documents), 6) AS multilingual_ratio FROM documents GROUP BY lang")(
     lambda t: T.language_profile(t.documents, "lang")
 )

@@ -1,6 +1,9 @@
 """Hand-made cases: nulls, ties, edges, both outcomes of checks, files, streams."""
 
 import math
+import re
+import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -16,10 +19,13 @@ from pelago.operators import features as X
 from pelago.operators import models as M
 from pelago.operators import quality as Q
 from pelago.operators import stats as S
+from pelago.plans.registry import queries
 from pelago.shipping import ship
 from pelago.sources import files as IO
 from pelago.streaming import runs as R
 
+QUERIES = queries()
+
 
 def one(df):
     return df.collect()[0]
@@ -72,6 +78,37 @@ def test_text_statistics_modes(spark):
     assert [r[0] for r in pre] == ["no description", "no description", "see and now ok"]
 
 
+def test_text_queries_on_all_documents(spark, tmp_path):
+    texts = [
+        None, "", " \u00a0\x1f\n", "plain one. Two!", "Größe\u00a0über 日本。 ﬁne Ⅷ x² ٣ é e\u0301 mail\u2003ä@ö.de\u2003now", "\u2003see http://ä.b/ö\u3000end?\n", "www.a\u00a0the İstanbul the istanbul 😀!",
+        "\x1cone\x1dtwo... \u2003 !three",
+    ]
+    rows = [(i, t, "de" if i % 2 else "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {k: [r.asDict() for r in QUERIES[f"{k}_all"](spark, str(tmp_path)).collect()] for k in ("X01_preprocess_text", "X02_text_stats", "X03_text_stats_eda", "X04_text_stats_serving", "X05_tokenize", "X06_word_frequency", "X06_word_frequency_by_class")}
+    by = {k: {r["doc_id"]: r for r in v} for k, v in got.items() if not k.startswith("X06")}
+    counts = {lang: Counter() for lang in ("", "de", "en")}
+    for i, raw, lang in rows:
+        t = raw or ""
+        clean = re.sub(r"\S+@\S+\.\S+", " ", re.sub(r"https?://\S+|www\.\S+", " ", re.sub(r"<[^>]+>", " ", t)))
+        clean = unicodedata.normalize("NFKD", re.sub(r"\s+", " ", clean).strip())
+        assert by["X01_preprocess_text"][i]["text"] == (clean if clean.strip() else "no description")
+        w, n, parts = t.split(), max(1, len(t)), re.split(r"[.!?]+", t)
+        want = (len(t), len(w), len(parts), sum(map(len, w)) / max(1, len(w)), len(re.findall("[A-Z]", t)) / n, len(re.findall(r"[^\w\s]", t)) / n, len(re.findall(r"\d", t)) / n)
+        assert tuple(by["X02_text_stats"][i].values())[1:] == pytest.approx(want, abs=1e-6), i
+        assert tuple(by["X03_text_stats_eda"][i].values())[1:] == (len(t), len(w), len(parts) - 1)
+        s = t.strip()
+        want = (len(s), max(1, sum(bool(p.strip()) for p in re.split(r"[.!?]+", s))), sum(not c.isalnum() and not c.isspace() for c in s) / max(1, len(s))) if s else (0, 0, 0)
+        assert tuple(by["X04_text_stats_serving"][i].values())[1:] == pytest.approx(want, abs=1e-6), i
+        tokens = [x for x in re.findall("[a-z]+", t.lower()) if len(x) > 1 and x not in T.STOP_WORDS]
+        assert by["X05_tokenize"][i]["tokens"] == (None if raw is None else tokens)
+        counts[""].update(tokens)
+        counts[lang].update(tokens)
+    top = lambda c, k: sorted(c.items(), key=lambda x: (-x[1], x[0]))[:k]
+    assert [(r["token"], r["n"]) for r in got["X06_word_frequency"]] == top(counts[""], 30)
+    assert {(r["lang"], r["token"], r["n"], r["rank"]) for r in got["X06_word_frequency_by_class"]} == {(lang, t, n, k + 1) for lang in ("de", "en") for k, (t, n) in enumerate(top(counts[lang], 10))}
+
+
 def test_text_checks(spark):
     long = "This listing is well described and the photos are clear, so it should do well. "
     rows = [("", 1), ("short", 1), (long + "text_emb_3", 1), (long + "Expect one month.", 1), (long + "Expect one week, not one month.", 1), (long, 1)]
