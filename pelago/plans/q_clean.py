@@ -133,6 +133,12 @@ query(
  SELECT listing_id, CAST(type = 1 AS INT) AS is_dog, round(ln(1 + age), 6) AS log_age, round(coalesce(f.share, (SELECT avg(g.share) FROM listings_v l JOIN f g ON l.breed1 = g.breed1 WHERE l.listing_id % 2 = 0)), 6) AS breed1_frequency
  FROM listings_v v LEFT JOIN f ON v.breed1 = f.breed1 WHERE listing_id % 2 = 1""",
 )(lambda t: X.request_features(t.listings_v.where("listing_id % 2 = 0"), t.listings_v.where("listing_id % 2 = 1")))
+query(
+    "P22_request_features_all",
+    """WITH f AS (SELECT breed1, count(*) * 1.0 / (SELECT count(*) FROM listings_v) AS share FROM listings_v WHERE breed1 < 5 GROUP BY breed1)
+ SELECT listing_id, CAST(type = 1 AS INT) AS is_dog, round(ln(1 + age), 6) AS log_age, round(coalesce(f.share, (SELECT avg(g.share) FROM listings_v l JOIN f g ON l.breed1 = g.breed1)), 6) AS breed1_frequency
+ FROM listings_v v LEFT JOIN f ON v.breed1 = f.breed1""",
+)(lambda t: X.request_features(t.listings_v, t.listings_v))
 query("P23_assemble_by_schema", "SELECT listing_id, [CAST(age AS DOUBLE), 0.0, fee] AS vector, 1 AS n_missing FROM listings_v")(lambda t: X.assemble(t.listings_v, ["age", "video", "fee"]).select("listing_id", "vector", "n_missing"))
 query("P24_degrade_modalities", "SELECT listing_id, age, CAST(0 AS DOUBLE) AS fee, CAST(0 AS INT) AS photos FROM listings_v")(lambda t: X.degrade(t.listings_v.select("listing_id", "age", "fee", "photos"), {"fee": "tabular", "photos": "image", "age": "meta"}, ["tabular", "image"]).withColumn("fee", F.col("fee").cast("double")))
 query("P25_segment_label", "SELECT listing_id, CASE WHEN fee = 0 THEN 'Free' ELSE 'Paid' END AS fee_segment, CASE WHEN breed2 = 0 THEN 'Purebred' ELSE 'Mixed' END AS breed_segment FROM listings_v")(
@@ -152,6 +158,15 @@ query(
     .apply(t.listings_v.where("listing_id % 2 = 1"))
     .select("listing_id", F.round("owner_count", 6).alias("owner_count"), F.round("owner_mean_photos", 6).alias("owner_mean_photos"), F.round("owner_mean_fee", 6).alias("owner_mean_fee"))
 )
+query(
+    "K01_enrich_with_group_stats_all",
+    """WITH s AS (SELECT owner_id, count(*) AS n, avg(photos) AS p, avg(fee) AS f FROM listings_v GROUP BY owner_id)
+ SELECT listing_id, round(CAST(n AS DOUBLE), 6) AS owner_count, round(p, 6) AS owner_mean_photos, round(f, 6) AS owner_mean_fee FROM listings_v v JOIN s ON v.owner_id = s.owner_id""",
+)(
+    lambda t: X.GroupStats.fit(t.listings_v, "owner_id", {"photos": "owner_mean_photos", "fee": "owner_mean_fee"}, "owner_count")
+    .apply(t.listings_v)
+    .select("listing_id", F.round("owner_count", 6).alias("owner_count"), F.round("owner_mean_photos", 6).alias("owner_mean_photos"), F.round("owner_mean_fee", 6).alias("owner_mean_fee"))
+)
 query(
     "K02_frequency_encode",
     """WITH f AS (SELECT breed1, count(*) * 1.0 / sum(count(*)) OVER () AS share FROM listings_v WHERE breed1 < 5 GROUP BY breed1)
