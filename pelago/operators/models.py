@@ -71,7 +71,7 @@ def gaps(metrics: DataFrame) -> DataFrame:
     return by.select("fold", "train", "valid", F.round(F.col("train") - F.col("valid"), 6).alias("gap"), E.gap_status(F.col("train"), F.col("valid")).alias("status"))
 
 
-def ablation(rows: DataFrame, folds: DataFrame, subsets: Mapping[str, Sequence[str]], family: str, k: int = 2) -> DataFrame:
+def ablation(rows: DataFrame, folds: DataFrame, subsets: Mapping[str, Sequence[str]], family: str, k: int = 5) -> DataFrame:
     out = [cross_validate(rows, folds, family, columns, k)[1].where("part = 'valid'").agg(F.round(F.avg("kappa"), 6).alias("kappa")).select(F.lit(name).alias("subset"), "kappa") for name, columns in subsets.items()]
     return reduce(DataFrame.unionByName, out)
 
@@ -84,7 +84,7 @@ def stack(oofs: Sequence[DataFrame], truth: DataFrame):
     return probabilities(learner("linear").fit(rows), rows).select("listing_id", "y", *P)
 
 
-def search(rows: DataFrame, folds: DataFrame, trials: int, seed: int = 42, k: int = 2) -> DataFrame:
+def search(rows: DataFrame, folds: DataFrame, trials: int, seed: int = 42, k: int = 5) -> DataFrame:
     """Seeded random settings of a tree, scored by cross-validation, best first."""
     import random
 

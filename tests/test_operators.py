@@ -253,6 +253,18 @@ def test_pca_against_numpy(spark):
     assert np.allclose(np.abs(got), np.abs(c @ vt[:2].T), atol=1e-6) and np.allclose(var, (s**2 / (s**2).sum())[:2])
 
 
+def test_ablation_and_search_score_every_fold(spark, monkeypatch):
+    ids = spark.range(10).select(F.col("id").alias("listing_id"), (F.col("id") % 5).alias("fold"))
+
+    def scored(rows, folds, family, columns=M.FEATURES, k=5, **settings):
+        parts = folds.where(F.col("fold") < k).select("fold").distinct()
+        return None, parts.select("fold", F.lit("valid").alias("part"), F.col("fold").cast("double").alias("kappa"))
+
+    monkeypatch.setattr(M, "cross_validate", scored)
+    assert [r["kappa"] for r in M.ablation(ids, ids, {"all": M.FEATURES, "age": ["age"]}, "tree").collect()] == [2.0, 2.0]
+    assert [r["score"] for r in M.search(ids, ids, 2).collect()] == [2.0, 2.0]
+
+
 def test_linear_attributions_explain_the_margin(spark, sf_dir):
     from pelago.plans.base import Tables
 
