@@ -80,7 +80,7 @@ class Encoder:
         for raw in texts:
             text = raw.decode("utf-8", "replace")
             lines = [line.split(" ") for line in text.split("\n")]
-            if len(text.split()) != sum(map(len, lines)):  # other white space, or runs of it
+            if text.split() != [field for line in lines for field in line]:  # other white space, or runs of it
                 plain.append(text)
                 continue
             plain.append(lines)

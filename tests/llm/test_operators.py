@@ -235,6 +235,15 @@ def test_op6_pieces_are_whole_and_little_is_padded(spark, sf_dir, texts):
     assert padding < 0.02 * tokens
 
 
+def test_op6_word_cache_only_for_single_spaces():
+    import public_tokenizers
+
+    e = op6.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    odd = ["a\n\n\nb\tc\td", "a  b\tc", "a\n\nb\u3000c", "a b\nc", "", "\n"]
+    end = np.array([op6.END_ID], "<u4").tobytes()
+    assert e.encode([t.encode() for t in odd]) == [e.whole(t) + end for t in odd]
+
+
 def test_op7_equals_sql(spark, sf_dir):
     got = op7.op7_exact_dedup(spark, sf_dir).toPandas().sort_values("doc_id").reset_index(drop=True)
     db = duckdb.connect()
