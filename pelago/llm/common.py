@@ -1,10 +1,11 @@
-"""Shared helpers of the corpus operators: scratch tables, Arrow slices, label folds."""
+"""Shared helpers of the corpus operators: scratch tables, joins on hot keys, Arrow slices, label folds."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,10 +18,18 @@ from ..shipping import ship
 SLICE_BYTES = 1 << 19
 
 
+#: A key is hot if it holds more than one in HOT_KEYS of the rows (so there are fewer hot keys than
+#: that) and more rows than a task handles with ease.
+HOT_KEYS, EASY_ROWS = 1000, 10_000
+_scopes: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a folder of our own only where none is named."""
+    """The shared folder that the session names; a folder of our own only in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pelago-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -31,9 +40,61 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it again."""
     path = f"{shared_dir(df.sparkSession)}/pelago-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path.rpartition("/")[0])
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes the tables that written() makes inside. What leaves the block must not read them:
+    it is written before, by the caller or with outlives()."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        for path in made:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def outlives(df: DataFrame, name: str) -> DataFrame:
+    """written(), for a table that is read after the innermost scratch() block ends."""
+    made = _scopes.pop() if _scopes else None
+    try:
+        return written(df, name)
+    finally:
+        if made is not None:
+            _scopes.append(made)
+
+
+def fresh(columns, *names: str) -> list[str]:
+    """The names, with underscores put before them until no column has them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_hot(many: DataFrame, one: DataFrame, keys: list[str], size: str, drop: bool = True) -> DataFrame:
+    """Inner join of many with one, a stored table that has each key once and, in `size`, how many
+    rows of many have it. The hot keys, fewer than HOT_KEYS rows of one, are broadcast; only the
+    others are shuffled, so that no task gets more than one in HOT_KEYS of the rows by one key."""
+    if one.where(F.col(size) > EASY_ROWS).isEmpty():
+        out = many.join(one, keys)
+    else:
+        least = max(EASY_ROWS, many.count() / HOT_KEYS)
+        hot = F.broadcast(one.where(F.col(size) > least))
+        rest = many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one.where(F.col(size) <= least), keys)
+        out = many.join(hot, keys).unionByName(rest)
+    return out.drop(size) if drop else out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

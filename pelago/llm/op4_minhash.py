@@ -1,9 +1,10 @@
 """MinHash near-dedup as an inverted join on signature coordinates.
 
 Every text becomes a set of k-word shingles and a signature of `COORDINATES` minima. Texts with
-equal sets form a class; only its representative goes on. Each (coordinate, value) pair is a
-token, and a pair of sets is a candidate if at least `least` tokens collide, a number at which a
-pair of the wanted similarity is missed with a probability under `MISS`.
+equal sets, by a 128-bit fingerprint of the whole set, form a class with a key of its own; only one
+text of it goes on. Each (coordinate, value) pair is a token, and a pair of sets is a candidate if
+at least `least` tokens collide, a number at which a pair of the wanted similarity is missed with a
+probability under `MISS`.
 
 Prefix: with a document's tokens in order of frequency, rarest first, two documents with `least`
 common tokens share one among the first COORDINATES - least + 1 of each. Tokens of one document
@@ -11,12 +12,15 @@ alone take the first places; a document in which they fill the prefix is done.
 Skip: a posting list is first merged as a star around its most typical member; pairs inside one
 component need no more counting and are skipped. In lists that still hold several components, the
 members whose shared shingles rule out any further link are skipped too, and the others meet by a
-second prefix filter, over the shingles (leftover_pairs). Candidates are confirmed on full sets.
+second prefix filter, over the shingles (leftover_pairs). Candidates are confirmed on the words of
+their full sets. Hot tokens, shingles, classes and centres are broadcast or salted, see join_hot().
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
 nothing; fewer words than k count as one shingle; a row with a null doc_id keeps a null component
-and stays; repeated rows share a class; an empty table gives an empty table; further columns pass
-through drop_near() and are ignored elsewhere.
+and stays; repeated rows share a class; rows that share a doc_id and differ in their text are
+documents of their own, each with its own links; an empty table gives an empty table; further
+columns, whatever their names, pass through drop_near() and are ignored elsewhere. drop_near()
+keeps exactly one row of each component, one with its smallest doc_id.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import fresh, join_hot, outlives, scratch, slices, table, written
 from .components import components
 from .textvec import Texts, mix
 
@@ -51,129 +55,173 @@ def least_collisions(percent: int) -> int:
     return COORDINATES
 
 
-def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its k-word shingles."""
+def shingle_sets(texts: list[bytes], k: int, both: bool = False) -> list:
+    """For each text the sorted distinct hashes of its k-word shingles; with both, a pair of these
+    and of the hashes of the second family in the same order."""
     t = Texts(texts, fold=True)
-    words = t.words()
-    at, g = t.windows(words, k)
-    counts = np.maximum(t.n_words - k + 1, 0)
-    ends = np.cumsum(counts)
-    out = [np.unique(g[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-    for d in np.flatnonzero((t.n_words > 0) & (t.n_words < k)).tolist():
-        n, first = int(t.n_words[d]), int(t.first[d])
-        h = words[first : first + 1].copy()
-        for j in range(1, n):
-            h = h * U(0x9DDFEA08EB382D69) + words[first + j : first + j + 1]
-        out[d] = mix(h + U(n))
+    families = []
+    for family in range(1 + both):
+        words = t.words(family)
+        _, g = t.windows(words, k)
+        short = {}
+        for d in np.flatnonzero((t.n_words > 0) & (t.n_words < k)).tolist():
+            n, first = int(t.n_words[d]), int(t.first[d])
+            h = words[first : first + 1].copy()
+            for j in range(1, n):
+                h = h * U(0x9DDFEA08EB382D69) + words[first + j : first + j + 1]
+            short[d] = mix(h + U(n))
+        families.append((g, short))
+    counts = np.maximum(t.n_words - k + 1, 0).tolist()
+    out, end = [], 0
+    for d, n in enumerate(counts):
+        own = [short[d] if d in short else g[end : end + n] for g, short in families]
+        end += n
+        if both:
+            first, at = np.unique(own[0], return_index=True)
+            out.append((first, own[1][at]))
+        else:
+            out.append(np.unique(own[0]))
     return out
 
 
+def shingle_words(text: str, k: int) -> set[bytes]:
+    """The shingles themselves: words of ASCII white space, lower-cased from A-Z, joined by spaces."""
+    w = text.encode().lower().split()
+    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+ROW = ["doc_id", "t1", "t2"]
+SET = ["n", "s1", "s2"]
+
+
+def with_row_key(documents: DataFrame) -> DataFrame:
+    """doc_id, text, and t1, t2: a fingerprint of the text, which tells apart rows that share a doc_id."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+
+
 def _signatures(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([*((c, pa.int64()) for c in (*ROW, *SET)), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch, texts in slices(batches, "text"):
-            sets = shingle_sets(texts, k)
-            n = np.array([len(x) for x in sets], np.int64)
+            sets = shingle_sets(texts, k, both=True)
+            n = np.array([len(x) for x, _ in sets], np.int64)
             full = np.flatnonzero(n)
             sums = np.zeros((2, len(sets)), U)
             tokens = np.zeros((len(full), COORDINATES), U)
             if len(full):
-                values = np.concatenate([sets[i] for i in full])
+                values = np.concatenate([sets[i][0] for i in full])
                 cuts = np.concatenate(([0], np.cumsum(n[full])[:-1]))
                 sums[0, full] = np.add.reduceat(values, cuts)
-                sums[1, full] = np.add.reduceat(mix(values + U(0x5851F42D4C957F2D)), cuts)
+                sums[1, full] = np.add.reduceat(np.concatenate([sets[i][1] for i in full]), cuts)
                 for c in range(COORDINATES):
                     tokens[:, c] = mix(np.minimum.reduceat(values * _A[c] + _B[c], cuts) + _C[c])
             flat = pa.array(tokens.ravel().view(np.int64))
             step = np.zeros(len(sets) + 1, np.int32)
             step[1:] = np.cumsum(np.where(n > 0, COORDINATES, 0))
-            columns = [batch.column(0), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(step), flat)]
+            own = [batch.column(batch.schema.get_field_index(c)) for c in ROW]
+            columns = [*own, pa.array(n), *(pa.array(x.view(np.int64)) for x in sums), pa.ListArray.from_arrays(pa.array(step), flat)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
 def _confirmed(k: int, percent: int):
-    """Keeps the pairs with 100 * intersection >= percent * union."""
+    """Keeps the pairs with 100 * intersection >= percent * union, by hashes and then by the words."""
+
+    def linked(x, y):
+        both = len(np.intersect1d(x, y, assume_unique=True)) if isinstance(x, np.ndarray) else len(x & y)
+        return 100 * both >= percent * (len(x) + len(y) - both)
 
     def run(batches):
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ta, tb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok, last, own = [], None, None
-            for x, y, s, t in zip(a, b, ta, tb, strict=True):
+            ok, last, own, words = [], None, None, None
+            for x, y, s, t in zip(a, b, batch.column(2), batch.column(3), strict=True):
                 if x != last:  # rows come sorted by a
-                    last, own = x, shingle_sets([s.encode()], k)[0]
-                other = shingle_sets([t.encode()], k)[0]
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * both >= percent * (len(own) + len(other) - both):
-                    ok.append((x, y))
+                    last, mine = x, s.as_py()
+                    own, words = shingle_sets([mine.encode()], k)[0], None
+                other = t.as_py()
+                if linked(own, shingle_sets([other.encode()], k)[0]):
+                    words = shingle_words(mine, k) if words is None else words
+                    if linked(words, shingle_words(other, k)):
+                        ok.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in ok], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
+#: Pairs of one document that are confirmed against one copy of its text.
+FAN = 512
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links among candidate pairs (a, b): enough collisions, then the full sets."""
-    right = pairs.join(texts.select(F.col("rep").alias("b"), F.col("tokens").alias("kb"), F.col("text").alias("tb")), "b")
-    left = texts.select(F.col("rep").alias("a"), F.col("tokens").alias("ka"), F.col("text").alias("ta"))
+    """The links among candidate pairs (a, b), stored: enough collisions, then the full sets.
+
+    A text meets its pairs in copies of `FAN` pairs each, so a centre of very many is no hot key."""
+    fans = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("fan")), "fans")
+    copies = F.floor((F.col("fan") - 1) / FAN) + 1
+    salted = join_hot(pairs, fans, ["a"], "fan", drop=False).select("a", "b", F.pmod(F.xxhash64("b"), copies).alias("salt"))
+    right = salted.join(texts.select(F.col("cls").alias("b"), F.col("tokens").alias("kb"), F.col("text").alias("tb")), "b")
+    left = texts.join(fans.withColumnRenamed("a", "cls"), "cls").select(F.col("cls").alias("a"), F.col("tokens").alias("ka"), F.col("text").alias("ta"), F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("salt"))
     hits = F.size(F.array_intersect("ka", "kb"))
     return (
-        right.join(left.hint("merge"), "a")
+        right.join(left.hint("merge"), ["a", "salt"])
         .where(hits >= least_collisions(percent))
         .select("a", "b", "ta", "tb")
         .mapInArrow(_confirmed(k, percent), "a long, b long")
     )
 
 
-def classes_and_postings(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members = written(rows.mapInArrow(_signatures(k), "doc_id long, n long, s1 long, s2 long, tokens array<long>"), "signatures")
-    classes = written(
-        members.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")), "classes"
-    )
-    tokens = classes.select("rep", F.explode("tokens").alias("token"))
+def classes_and_postings(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """members: the keys of every row and its set; classes: one row per set, with a number `cls`, the
+    count of its rows and one of them; postings: (token, cls, weight) of each prefix."""
+    members = written(rows.mapInArrow(_signatures(k), ", ".join(f"{c} long" for c in (*ROW, *SET)) + ", tokens array<long>"), "signatures")
+    sets = members.where("n > 0 and doc_id is not null").groupBy(*SET).agg(F.min(F.struct(*ROW)).alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("tokens").alias("tokens"))
+    # numbered once, where the table is written: what is read later has the same numbers
+    classes = written(sets.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    tokens = classes.select("cls", F.explode("tokens").alias("token"))
     often = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
-    own = W.partitionBy("rep")
+    own = W.partitionBy("cls")
     least = least_collisions(percent)
     prefix = (
-        tokens.join(often, "token")
+        join_hot(tokens, often, ["token"], "df", drop=False)
         .withColumn("shared", F.count(F.lit(1)).over(own))
         .where(F.col("shared") >= least)
         .withColumn("weight", F.sum("df").over(own))
         .withColumn("place", F.row_number().over(own.orderBy("df", "token")))
         .where(F.col("place") <= F.col("shared") - least + 1)
-        .select("rep", "token", "weight")
+        .select("cls", "token", "weight")
     )
     return members, classes, written(prefix, "postings")
 
 
-def star(rows: DataFrame) -> DataFrame:
-    """Pairs of each list's centre with the others. rows: (token, rep, weight).
+def star(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lists (token, cls) with two members or more, and the pairs of each list's centre with the
+    others. rows: (token, cls, weight).
 
     The centre is the member whose tokens are the most frequent ones: in a group of edited copies
     that is the one with the fewest edits, which most of the others are similar to."""
-    centre = F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("c")
-    centres = rows.groupBy("token").agg(centre).select("token", (-F.col("c.minus")).alias("centre"))
-    pairs = rows.join(centres, "token").where("rep <> centre")
-    return pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+    centre = F.max(F.struct("weight", (-F.col("cls")).alias("minus"))).alias("c")
+    centres = written(rows.groupBy("token").agg(centre, F.count(F.lit(1)).alias("g")).select("token", (-F.col("c.minus")).alias("centre"), "g").where("g > 1"), "centres")
+    lists = written(join_hot(rows.select("token", "cls"), centres, ["token"], "g"), "lists")
+    return lists, written(lists.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
 
 
 def _shingle_rows(k: int):
     def run(batches):
         for batch, texts in slices(batches, "text"):
             sets = [x.view(np.int64) for x in shingle_sets(texts, k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["rep", "component", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["cls", "component", "set"])
 
     return run
 
 
 def open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """The lists (token, rep, component) that still hold more than one component."""
-    rows = lists.select("token", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    return written(rows.join(split, "token").select("token", "rep", "component"), "open")
+    """The lists (token, cls, component) that still hold more than one component."""
+    rows = written(lists.select("token", "cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "labelled")
+    ends = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("g"))
+    return written(join_hot(rows, written(ends.where("lo <> hi").select("token", "g"), "split"), ["token"], "g"), "open")
 
 
 def leftover_pairs(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -188,53 +236,82 @@ def leftover_pairs(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     two sets meet, what follows in either of them must still reach their own overlap.
     """
     q = percent / (100 + percent)
-    reps = rows.select("rep", "component").distinct()
-    sets = texts.select("rep", "text").join(reps, "rep").select("rep", "component", "text").mapInArrow(_shingle_rows(k), "rep long, component long, set array<long>")
-    shingles = written(sets.select("rep", "component", F.size("set").alias("n"), F.explode("set").alias("shingle")), "shingles")
+    members = rows.select("cls", "component").distinct()
+    sets = texts.select("cls", "text").join(members, "cls").select("cls", "component", "text").mapInArrow(_shingle_rows(k), "cls long, component long, set array<long>")
+    shingles = written(sets.select("cls", "component", F.size("set").alias("n"), F.explode("set").alias("shingle")), "shingles")
     often = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle", "df")
-    shared = written(shingles.join(often, "shingle"), "shared")
-    bound = shared.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("m"))
+    shared = written(join_hot(shingles, written(often, "often"), ["shingle"], "df", drop=False), "shared")
+    bound = shared.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("m"))
     bound = bound.withColumn("most", F.floor(F.col("m") / q - F.col("n") + 1e-6)).where(100 * F.col("most") >= percent * F.col("n"))
-    sized = rows.select("token", "rep", "component").join(written(bound, "bounds"), "rep")
-    smallest = sized.groupBy("token").agg(F.min("n").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "least")
-    kept = sized.join(smallest, "token").where("most >= least").groupBy("rep", "m", "most").agg(F.min("least").alias("least"))
-    kept = written(kept, "kept")
+    sized = written(rows.join(bound, "cls"), "sized")
+    smallest = sized.groupBy("token").agg(F.min("n").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("g"))
+    smallest = written(smallest.where("lo <> hi").select("token", "least", "g"), "smallest")
+    kept = join_hot(sized, smallest, ["token"], "g").where("most >= least").groupBy("cls", "m", "most").agg(F.min("least").alias("least"))
     need = F.ceil(q * (F.col("n") + F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100 - 1e-6))) - 1e-6)
-    place = F.row_number().over(W.partitionBy("rep").orderBy("df", "shingle"))
-    prefix = shared.join(kept, "rep").withColumn("place", place).where(F.col("place") <= F.col("m") + 1 - need)
+    place = F.row_number().over(W.partitionBy("cls").orderBy("df", "shingle"))
+    prefix = shared.join(kept, "cls").withColumn("place", place).where(F.col("place") <= F.col("m") + 1 - need)
     after = (F.col("m") - F.col("place") + 1).alias("left")  # the overlap, if this shingle is the first common one
-    prefix = written(prefix.select("shingle", "rep", "component", "n", "most", after), "prefixes")
-    one, other = (prefix.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "most", "left")]) for s in "ab")
+    prefix = written(prefix.select("shingle", "cls", "component", "n", "most", after), "prefixes")
+    one, other = (prefix.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "component", "n", "most", "left")]) for s in "ab")
     sizes = f"n_b <= most_a and n_a <= most_b and 100 * n_a >= {percent} * n_b and 100 * n_b >= {percent} * n_a"
     overlap = f"{100 + percent} * left_a >= {percent} * (n_a + n_b) and {100 + percent} * left_b >= {percent} * (n_a + n_b)"
-    fits = f"rep_a < rep_b and component_a <> component_b and {sizes} and {overlap}"
-    return one.join(other, "shingle").where(fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    fits = f"cls_a < cls_b and component_a <> component_b and {sizes} and {overlap}"
+    return written(one.join(other, "shingle").where(fits).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct(), "leftover")
+
+
+def texts_of(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, tokens, text): one text for each of the classes, from rows that may be repeated."""
+    wanted = classes.select("rep.*", "cls", "tokens")
+    some = rows.join(wanted.select(*ROW), ROW, "left_semi").groupBy(*ROW).agg(F.first("text").alias("text"))
+    return some.join(wanted, ROW).select("cls", "tokens", "text")
+
+
+def labelled(documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """ROW, n, component (a class number) and component_id (a doc_id) of every row with a set and a
+    doc_id, and the rest with null components. Reads stored tables only."""
+    rows = with_row_key(documents)
+    with scratch(documents.sparkSession):
+        members, classes, postings = classes_and_postings(rows, k, percent)
+        lists, pairs = star(postings)
+        texts = written(texts_of(rows, classes.join(lists.select("cls").distinct(), "cls", "left_semi")), "texts")
+        links = written(confirm(pairs, texts, k, percent), "links")
+        found = components(links)
+        more = written(confirm(leftover_pairs(open_lists(lists, found), texts, k, percent), texts, k, percent), "links")
+        if not more.isEmpty():
+            found = components(links.unionByName(more))
+        whole = written(classes.select(*SET, "rows", "cls", "rep").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "found")
+        least = whole.groupBy("component").agg(F.min("rep.doc_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
+        named = written(join_hot(whole.select(*SET, "rows", "component"), written(least, "least"), ["component"], "size"), "named")
+        keys = members.select(*ROW, *SET)
+        own = F.col("n").isNotNull() & (F.col("n") > 0) & F.col("doc_id").isNotNull()
+        linked = join_hot(keys.where(own), named, SET, "rows").select(*ROW, "n", "component", "component_id")
+        alone = keys.where(~own).select(*ROW, "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+        return outlives(linked.unionByName(alone), "labelled")
 
 
 def near_components(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
-    members, classes, postings = classes_and_postings(documents, k, percent)
-    lists = written(postings.join(postings.groupBy("token").agg(F.count(F.lit(1)).alias("g")).where("g > 1"), "token").select("token", "rep", "weight"), "lists")
-    wanted = lists.select(F.col("rep").alias("doc_id")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    texts = written(texts.join(classes.select(F.col("rep").alias("doc_id"), "tokens"), "doc_id").select(F.col("doc_id").alias("rep"), "tokens", "text"), "texts")
-    links = written(confirm(star(lists), texts, k, percent), "links")
-    found = components(links)
-    more = written(confirm(leftover_pairs(open_lists(lists, found), texts, k, percent), texts, k, percent), "links")
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
-    named = written(
-        classes.select("n", "s1", "s2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id")), "named"
-    )
-    out = members.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = labelled(documents, k, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows whose document stays, with all their columns."""
-    drop = near_components(documents, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_drop")).distinct()
-    return documents.join(drop, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
+    """The rows that stay, with all their columns: those without a set or a doc_id, and one of each component."""
+    names = documents.columns
+    new = fresh(names, *(f"_{c}" for c in ROW), *(f"_{c}_kept" for c in ROW))
+    keys, kept_keys = new[:3], new[3:]
+    with scratch(documents.sparkSession):
+        rows = labelled(documents, k, percent).where("doc_id is not null")
+        first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(*ROW)).alias("r")).select("r.*")
+        stay = outlives(first.unionByName(rows.where("component is null").select(*ROW).distinct()).toDF(*kept_keys), "stay")
+        again = rows.where("component is not null").groupBy(*ROW).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(*ROW)
+        again = outlives(again.toDF(*kept_keys), "again")
+    keyed = documents.withColumns({keys[0]: F.col("doc_id").cast("long"), keys[1]: F.xxhash64("text"), keys[2]: F.xxhash64(F.lit(1), "text")})
+    same = [F.col(a) == F.col(b) for a, b in zip(keys, kept_keys, strict=True)]
+    kept = keyed.where(F.col(keys[0]).isNotNull()).join(stay, same, "left_semi")
+    if not again.isEmpty():  # rows with the same doc_id and text: one of them stays
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(keys))
+    return kept.unionByName(keyed.where(F.col(keys[0]).isNull())).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,16 @@ import numpy as np
 U = np.uint64
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(1, 2**64 - 1, 256, dtype=U) | U(1)
-_FOLDED = _TABLE.copy()
-_FOLDED[65:91] = _TABLE[97:123]
+_SECOND = _rng.integers(1, 2**64 - 1, 256, dtype=U) | U(1)
+
+
+def _folded(table: np.ndarray) -> np.ndarray:
+    out = table.copy()
+    out[65:91] = table[97:123]
+    return out
+
+
+_FOLDED, _FOLDED_SECOND = _folded(_TABLE), _folded(_SECOND)
 _BASE = int(0x9E3779B97F4A7C15 | 5)
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[str, np.ndarray] = {"p": np.ones(1, U), "q": np.ones(1, U)}
@@ -68,23 +76,23 @@ class Texts:
         self.mask = mask
         self.first = np.searchsorted(self.starts, self.at)
         self.n_words = np.diff(self.first)
-        self._fold = fold
-        self._sums = None
-
-    def sums(self) -> np.ndarray:
-        if self._sums is None:
-            t = (_FOLDED if self._fold else _TABLE)[self.buf] * _power("p", len(self.buf))
-            self._sums = np.concatenate((np.zeros(1, U), np.cumsum(t, dtype=U)))
-        return self._sums
-
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A hash of the bytes of each span."""
-        s = self.sums()
+        self._tables = (_FOLDED, _FOLDED_SECOND) if fold else (_TABLE, _SECOND)
+        self._sums: list = [None, None]
+
+    def sums(self, family: int = 0) -> np.ndarray:
+        if self._sums[family] is None:
+            t = self._tables[family][self.buf] * _power("p", len(self.buf))
+            self._sums[family] = np.concatenate((np.zeros(1, U), np.cumsum(t, dtype=U)))
+        return self._sums[family]
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+        """A hash of the bytes of each span; two families are independent."""
+        s = self.sums(family)
         h = (s[ends] - s[starts]) * _power("q", len(self.buf) + 1)[starts]
         return mix(h + (ends - starts).astype(U))
 
-    def words(self) -> np.ndarray:
-        return self.spans(self.starts, self.ends)
+    def words(self, family: int = 0) -> np.ndarray:
+        return self.spans(self.starts, self.ends, family)
 
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """Sums by document of something given for each byte."""
