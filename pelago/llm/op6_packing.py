@@ -8,13 +8,14 @@ minimises padding plus truncation penalties plus a cost per sequence. A window o
 Blocks of about `BLOCK` tokens bound the memory; the open end of a block is carried into the next.
 
 Defined results: a null or empty text is the single id 0; repeated rows are packed each for
-itself; an empty table gives an empty table; other columns are not read. A sequence id is the
+itself; the string of an added token, as in "<|endoftext|>", becomes that token, as the library has
+it; an empty table gives an empty table; other columns are not read. A sequence id is the
 partition's number times 2**40 plus the place in the partition, so a repeated task gives the same.
 """
 
 from __future__ import annotations
 
-import base64
+import os
 import zlib
 from collections import deque
 
@@ -32,6 +33,8 @@ SENTENCE_CUT, INNER_CUT, EACH = 2, 24, 12
 BLOCK, CARRY, GRID, CACHE = 1 << 16, 4096, 256, 400_000
 #: Sentence ends are cut places if they lie at least so many tokens apart.
 SPACING = 8
+#: How the byte-level vocabulary writes a space, a line feed, and white space at all.
+SPACE, LINE_FEED, WHITE = "\u0120", "\u010a", "\u0120\u010a\u0109\u010d"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -43,29 +46,33 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str):
-        import public_tokenizers
-        import tiktoken
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        size = max(ranks.values()) + 1
+        self.bpe = Tokenizer.from_file(vocabulary)
+        tokens = self.bpe.get_vocab(with_added_tokens=True)
+        size = max(tokens.values()) + 1
         self.spaced, self.ends = np.zeros(size, bool), np.zeros(size, bool)
-        for token, i in ranks.items():
-            self.spaced[i] = token.startswith(b" ")
-            self.ends[i] = token.rstrip()[-1:] in (b".", b"!", b"?") or token.endswith(b"\n")
+        for token, i in tokens.items():
+            self.spaced[i] = token.startswith(SPACE)
+            self.ends[i] = token.rstrip(WHITE)[-1:] in (".", "!", "?") or token.endswith(LINE_FEED)
+        #: Tokens that the library takes out of a text before it splits words.
+        self.added = [t.content for t in self.bpe.get_added_tokens_decoder().values()]
         self.inner: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.line_feed = self.whole("\n")
 
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.bpe.encode(text, add_special_tokens=False).ids, "<u4")
+
     def whole(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
+        return self.ids(text).tobytes()
 
     def learn(self, words: set[str]) -> None:
         if not words:
             return
         listed = list(words)
-        ids = np.array(self.bpe.encode_ordinary(" " + " ".join(listed)), "<u4")
+        ids = self.ids(" " + " ".join(listed))
         at = np.flatnonzero(self.spaced[ids])
         raw, cuts = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
         for i, w in enumerate(listed):
@@ -80,7 +87,8 @@ class Encoder:
         for raw in texts:
             text = raw.decode("utf-8", "replace")
             lines = [line.split(" ") for line in text.split("\n")]
-            if text.split() != [field for line in lines for field in line]:  # other white space, or runs of it
+            # other white space, or runs of it, or a token that is no word
+            if text.split() != [field for line in lines for field in line] or any(token in text for token in self.added):
                 plain.append(text)
                 continue
             plain.append(lines)
@@ -207,7 +215,7 @@ SCHEMA = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_
 def pack(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    vocabulary: a rank file of the byte-level BPE; the public 50k one if not given.
+    vocabulary: a file of the tokenizers library with a byte-level BPE; the public 50k one if not given.
     """
 
     def run(batches):
@@ -215,7 +223,7 @@ def pack(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
         if path is None:
             import public_tokenizers
 
-            path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+            path = public_tokenizers.path("byte_bpe_50k.json")
         enc = encoder(path)
         stream = Stream(enc.ends, TaskContext.get().partitionId())
 

@@ -208,7 +208,6 @@ def test_op6_pieces_are_whole_and_little_is_padded(spark, sf_dir, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = op6.op6_packing(spark, sf_dir).collect()
     docs, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -238,10 +237,11 @@ def test_op6_pieces_are_whole_and_little_is_padded(spark, sf_dir, texts):
 def test_op6_word_cache_only_for_single_spaces():
     import public_tokenizers
 
-    e = op6.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    odd = ["a\n\n\nb\tc\td", "a  b\tc", "a\n\nb\u3000c", "a b\nc", "", "\n"]
+    e = op6.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = ["a\n\n\nb\tc\td", "a  b\tc", "a\n\nb\u3000c", "a b\nc", "", "\n", "x <|endoftext|> y", "x<|endoftext|>y z", "it's a 'quote' 3rd", "\u00e9t\u00e9 \u65e5\u672c 'll"]
     end = np.array([op6.END_ID], "<u4").tobytes()
     assert e.encode([t.encode() for t in odd]) == [e.whole(t) + end for t in odd]
+    assert np.frombuffer(e.encode([b"x <|endoftext|> y"])[0], "<u4").tolist() == [87, 220, 50256, 331, op6.END_ID]
 
 
 def test_op7_equals_sql(spark, sf_dir):
