@@ -131,14 +131,16 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
     """(doc_id, text, y, slot) of at most `rows` labelled documents outside the held-out fold.
 
     The ids are the smallest by a hash, so the choice is repeatable; `rows` bounds what is
-    broadcast and what any trainer sees. slot counts from 0 in hash order.
+    broadcast and, since of rows that share a doc_id only the least text stays, what any trainer
+    sees. A doc_id with several labels has the smallest. slot counts from 0 in hash order.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     picked = (
         hash_share(usable, "doc_id", rows)
-        .select("doc_id", F.col(label).cast("int").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
+        .groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
-    )
+    )
     slot = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(1 << 20)).alias("slot")
-    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y", slot)
+    one = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return one.select("doc_id", "text", "y", slot)

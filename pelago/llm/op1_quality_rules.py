@@ -1,6 +1,6 @@
 """Quality rules: exact base counts, then a calibrated logistic regression on hashed n-grams.
 
-The model sees word 1- and 2-grams and byte 3- and 4-grams of the whole text, hashed into four
+The model sees word 1- and 2-grams and character 3- and 4-grams of the whole text, hashed into four
 tables of `BINS` weights. It is fitted on a bounded sample of labelled rows: `SHARDS` tasks fit
 one shard each, their weights are averaged (a fixed size, whatever the input), and Platt's
 sigmoid is fitted on other labelled rows from a histogram of `STEPS` bins. Scoring runs in Arrow
@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import labelled_sample, slices, table
+from .common import fresh, labelled_sample, slices, table
 from .textvec import Texts, mix
 
 U = np.uint64
@@ -50,24 +51,24 @@ def gram_bins(t: Texts):
     yield (words >> U(50)).astype(np.int32), t.n_words
     at, pairs = t.windows(words, 2)
     yield (pairs >> U(50)).astype(np.int32), np.maximum(t.n_words - 1, 0)
-    wide = t.buf.astype(np.uint32)
+    points, starts = t.characters()
     for k in (3, 4):
-        m = len(wide) - k + 1
+        m = len(points) - k + 1
         if m <= 0:
             yield np.zeros(0, np.int32), np.zeros(t.n, np.int64)
             continue
-        g = wide[:m].copy()
+        g = points[:m].copy()
         for j in range(1, k):
             g *= np.uint32(0x01000193)
-            g ^= wide[j : j + m]
+            g ^= points[j : j + m]
         g *= np.uint32(0x9E3779B1)
         g ^= g >> np.uint32(15)
         g *= np.uint32(0x85EBCA77)
-        # grams of a document start at its bytes; the last k - 1 starts would leave it
-        n = np.maximum(t.size + 1 - (k - 1), 0)
+        # grams start at a document's characters and its closing line feed; the last k - 1 would leave it
+        n = np.maximum(np.diff(starts) - (k - 1), 0)
         keep = np.ones(m, bool)
         for j in range(1, k):
-            bad = t.at[1:] - j
+            bad = starts[1:] - j
             keep[bad[(bad >= 0) & (bad < m)]] = False
         yield (g[keep] >> np.uint32(18)).astype(np.int32), n
 
@@ -163,8 +164,9 @@ def fit(documents: DataFrame, labels: DataFrame) -> dict | None:
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
 
 
-def scored(documents: DataFrame, model: dict | None, carry: bool = False) -> DataFrame:
-    """One row per document with the counts and the verdict; with carry, the input's columns and `_kept`."""
+def scored(documents: DataFrame, model: dict | None, carry: str | None = None) -> DataFrame:
+    """One row per document with the counts and the verdict; with carry, the input's columns and the
+    verdict under that name, which they must not have."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -179,14 +181,13 @@ def scored(documents: DataFrame, model: dict | None, carry: bool = False) -> Dat
                 p = np.ones(t.n)
             kept = ~failed & (p >= MIN_PROBABILITY)
             if carry:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept)], [*batch.schema.names, "_kept"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept)], [*batch.schema.names, carry])
             else:
                 arrays = [batch.column(0), *(pa.array(v.astype(np.int64)) for v in c.values()), pa.array(failed), pa.array(p), pa.array(kept)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *c, "base_failed", "probability", "kept"])
 
     if carry:
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-        return documents.mapInArrow(run, f"{fields}, _kept boolean")
+        return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(carry, T.BooleanType())]))
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
@@ -194,7 +195,8 @@ def keep_good(documents: DataFrame, labels: DataFrame, train_on: DataFrame | Non
     """The rows whose text passes the base rule and the model, with all their columns."""
     model = fit(documents if train_on is None else train_on, labels)
     names = [F.col(f"`{c}`") for c in documents.columns]
-    return scored(documents, model, carry=True).where("_kept").select(*names)
+    (kept,) = fresh(documents.columns, "_kept")
+    return scored(documents, model, carry=kept).where(kept).select(*names)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

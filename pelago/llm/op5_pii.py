@@ -261,8 +261,7 @@ def redact(documents: DataFrame) -> DataFrame:
             columns[i] = pa.array(new, batch.schema.field(i).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    out = documents.mapInArrow(run, fields)
+    out = documents.mapInArrow(run, documents.schema)
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))

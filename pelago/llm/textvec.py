@@ -107,6 +107,23 @@ class Texts:
     def code_points(self) -> np.ndarray:
         return self.per_doc((self.buf & 0xC0) != 0x80) - 1
 
+    def characters(self) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of all texts with their closing line feeds, and where each text starts among
+        them (one more for the end)."""
+        b = self.buf
+        lead = np.flatnonzero((b & 0xC0) != 0x80)
+        out = b[lead].astype(np.uint32)
+        wide = np.flatnonzero(out >= 0x80)  # few, mostly
+        if len(wide):
+            at, first = lead[wide], out[wide]
+            size = 2 + (first >= 0xE0).astype(np.int64) + (first >= 0xF0)
+            point = first & (np.uint32(0x7F) >> size.astype(np.uint32))
+            for j in range(1, 4):
+                more = size > j
+                point[more] = (point[more] << np.uint32(6)) | (b[at[more] + j] & np.uint32(0x3F))
+            out[wide] = point
+        return out, np.searchsorted(lead, self.at)
+
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Start words and hashes of the windows of k words that stay inside a document."""
         m = len(hashes) - k + 1
