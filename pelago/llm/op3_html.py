@@ -61,8 +61,9 @@ _TAG_OF |= {f"h{i}": "h" for i in range(1, 7)} | {t: "list" for t in ("ul", "ol"
 _TAG_OF |= {t: "table" for t in ("table", "tr", "td", "th", "tbody", "thead")} | {t: "quote" for t in ("blockquote", "pre")} | {"#run": "run"}
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 BAD_TAGS = frozenset(("nav", "header", "footer", "aside", "form"))
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
-_SILENT_TAG = re.compile(rf"<(/?)({'|'.join(sorted(SILENT))})\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
+_NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+_MARK = re.compile(r"[>\"']")
+_SILENT_TAG = re.compile(rf"<(/?)({'|'.join(sorted(SILENT))})\b", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _GOLD = "data-gold"
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -87,17 +88,74 @@ def attribute_tokens(attributes: str) -> list[str]:
     return [p.lower() for m in _NAMED.finditer(attributes) for p in _PART.findall(m[1] or m[2] or m[3] or "")]
 
 
-def ended(html: str) -> set[int]:
+class Reader:
+    """Tags, comments and text of a page, in time linear in it: no stretch is searched again for the
+    end of a tag that has none."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, {c: html.rfind(c) for c in ">\"'"}
+        self.dead: set[int] = set()  # quotes from which on no tag ends
+        self.low = self.high = -1  # from low on, the next mark is at high
+        self.raw_ends: dict[str, re.Pattern] = {}
+
+    def end(self, at: int) -> int:
+        """Behind the tag that is open at `at`, outside its quoted values; -1 if it never ends."""
+        tried, html = [], self.html
+        while at <= self.last[">"]:
+            if not self.low <= at <= self.high:
+                self.low, self.high = at, _MARK.search(html, at).start()
+            i = self.high
+            if html[i] == ">":
+                return i + 1
+            if i in self.dead or i == self.last[html[i]]:
+                break
+            tried.append(i)
+            at = html.index(html[i], i + 1) + 1
+        self.dead.update(tried)
+        return -1
+
+    def token(self, at: int) -> tuple[int, bool, str | None, str, str | None]:
+        """(end, closing, name, attributes, text) of what starts at `at`; a comment has no name and no text."""
+        html = self.html
+        if html[at] != "<":
+            end = html.find("<", at)
+            end = len(html) if end < 0 else end
+            return end, False, None, "", html[at:end]
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            return (len(html) if end < 0 else end + 3), False, None, "", None
+        if html.startswith(("<!", "<?"), at) and at < self.last[">"]:
+            return html.index(">", at) + 1, False, None, "", None
+        if m := _NAME.match(html, at):
+            end = self.end(m.end())
+            if end >= 0:
+                return end, bool(m[1]), m[2].lower(), html[m.end() : end - 1], None
+        return at + 1, False, None, "", "<"
+
+    def raw_end(self, name: str, at: int) -> int:
+        """Behind the end tag of a raw element; -1 if it has none."""
+        if name not in self.raw_ends:
+            self.raw_ends[name] = re.compile(rf"</{name}\b", re.I)
+        m = self.raw_ends[name].search(self.html, at)
+        return self.html.index(">", m.end()) + 1 if m and m.end() <= self.last[">"] else -1
+
+
+def ended(reader: Reader) -> set[int]:
     """Where the silent elements start that have an end tag of their own."""
     out: set[int] = set()
     opened: dict[str, list[int]] = {}
-    for m in _SILENT_TAG.finditer(html):
-        at = opened.setdefault(m[2].lower(), [])
+    pos = 0
+    while m := _SILENT_TAG.search(reader.html, pos):
+        pos, name, end = m.end(), m[2].lower(), reader.end(m.end())
+        if end < 0:
+            continue
+        pos = end
+        at = opened.setdefault(name, [])
         if m[1]:
             if at:
                 out.add(at.pop())
-        elif not m[3].endswith("/"):
-            if m[2].lower() in NOT_NESTED:
+        elif reader.html[end - 2] != "/":
+            if name in NOT_NESTED:
                 at.clear()
             at.append(m.start())
     return out
@@ -107,8 +165,10 @@ def parse(html: str) -> tuple[list[Node], list[Node]]:
     """All nodes in page order, the root first, and the text runs among them."""
     root = Node("body", [], None)
     nodes, runs, stack = [root], [], [("body", root)]
+    count: Counter[str] = Counter()  # of the open elements by name
     quiet: list[tuple[int, bool]] = []  # places of the open silent elements in the stack, and if they have end tags
-    closed, endless = ended(html), set()
+    reader = Reader(html)
+    closed, endless = ended(reader), set()
     parts: list[str] = []
     link, linked, tags = 0, 0, 0
     skip = None
@@ -125,12 +185,28 @@ def parse(html: str) -> tuple[list[Node], list[Node]]:
             parts.clear()
         linked = tags = 0
 
+    def push(name, node):
+        stack.append((name, node))
+        count[name] += 1
+
     def close(i):
         """Take what is open from place i on off the stack."""
+        for name, _ in stack[i:]:
+            count[name] -= 1
         del stack[i:]
         while quiet and quiet[-1][0] >= i:
             quiet.pop()
 
+    def opened(name):
+        """The place of the element that an end tag closes; 0 if it is a stray one."""
+        if count[name]:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] == name:
+                    return i
+                if stack[i][0] in SCOPE and name not in SCOPE:
+                    return 0
+        return 0
+
     def stack_block():
         for _, node in reversed(stack):
             if node is not None:
@@ -140,70 +216,59 @@ def parse(html: str) -> tuple[list[Node], list[Node]]:
     at, end = 0, len(html)
     while at < end:
         if skip:  # raw text lasts to its own end tag
-            found = None if skip in endless else re.compile(rf"</{skip}\b[^>]*>", re.I).search(html, at)
-            if found:
-                at = found.end()
+            found = -1 if skip in endless else reader.raw_end(skip, at)
+            if found >= 0:
+                at = found
             else:
                 endless.add(skip)
                 at = max(at, html.find("<", at)) if skip in ("title", "textarea") and html.find("<", at) >= 0 else end
             skip = None
             continue
-        m = _TOKEN.match(html, at)
-        if m is None:  # a tag that never ends is text
-            if not quiet:
-                parts.append(html[at])
-            at += 1
-            continue
-        begin, at = at, m.end()
-        if m[4] is not None:
-            if quiet and stack[-1][0] == "head" and not m[4].isspace():
+        begin = at
+        at, closing, name, attributes, text = reader.token(at)
+        if text is not None:
+            if quiet and stack[-1][0] == "head" and not text.isspace():
                 close(quiet[-1][0])
             if quiet:
                 continue
-            parts.append(m[4])
+            parts.append(text)
             if link:
-                linked += len(m[4])
+                linked += len(text)
             continue
-        if m[2] is None:
+        if name is None:
             continue
-        name = m[2].lower()
-        while quiet and not m[1] and quiet[-1][0] == len(stack) - 1 and (name not in IN_HEAD if stack[-1][0] == "head" else not quiet[-1][1] and (name in NO_P or name in CLOSES)):
+        bare = attributes.endswith("/")
+        while quiet and not closing and quiet[-1][0] == len(stack) - 1 and (name not in IN_HEAD if stack[-1][0] == "head" else not quiet[-1][1] and (name in NO_P or name in CLOSES)):
             close(quiet[-1][0])
         if name in ("html", "body"):
             flush()
             continue
         if quiet:
-            if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        if i < quiet[0][0]:
-                            flush()
-                            link = 0
-                        close(i)
-                        break
-                    if stack[i][0] in SCOPE and name not in SCOPE:
-                        break
+            if closing:
+                i = opened(name)
+                if i:
+                    if i < quiet[0][0]:
+                        flush()
+                        link = 0
+                    close(i)
             elif name in RAW:
-                skip = None if m[3].endswith("/") else name
-            elif name not in INLINE and name not in VOID and not m[3].endswith("/"):
+                skip = None if bare else name
+            elif name not in INLINE and name not in VOID and not bare:
                 if name in NOT_NESTED and stack[-1][0] == name:
                     close(len(stack) - 1)
-                stack.append((name, None))
+                push(name, None)
                 if name in SILENT:
                     quiet.append((len(stack) - 1, begin in closed))
             continue
-        if m[1]:
+        if closing:
             if name in INLINE:
                 tags += 1
                 link -= name == "a" and link > 0
                 continue
             flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
-                if stack[i][0] in SCOPE and name not in SCOPE:
-                    break
+            i = opened(name)
+            if i:
+                close(i)
             link = 0
             continue
         if name in INLINE:
@@ -214,12 +279,12 @@ def parse(html: str) -> tuple[list[Node], list[Node]]:
             continue
         if name in RAW or name in SILENT:
             parts.append(" ") if name not in ("script", "style") else None
-            if m[3].endswith("/"):
+            if bare:
                 continue
             if name in RAW:
                 skip = name
             else:
-                stack.append((name, None))
+                push(name, None)
                 quiet.append((len(stack) - 1, begin in closed))
             continue
         flush()
@@ -228,16 +293,17 @@ def parse(html: str) -> tuple[list[Node], list[Node]]:
             continue
         if name in NO_P or name in CLOSES:
             closes = CLOSES.get(name, frozenset()) | ({"p"} if name in NO_P else frozenset())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in closes:
-                    close(i)
-                elif stack[i][0] in SCOPE:
-                    break
-        if m[3].endswith("/"):
+            if any(count[x] for x in closes):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] in closes:
+                        close(i)
+                    elif stack[i][0] in SCOPE:
+                        break
+        if bare:
             continue
-        node = Node(name, attribute_tokens(m[3]), stack_block(), _GOLD in m[3])
+        node = Node(name, attribute_tokens(attributes), stack_block(), _GOLD in attributes)
         nodes.append(node)
-        stack.append((name, node))
+        push(name, node)
     flush()
     return nodes, runs
 
@@ -406,8 +472,8 @@ def fit(pages: DataFrame) -> boosting.Trees | None:
             trees = boosting.fit(np.concatenate(xs), np.concatenate(ys))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trees)])], ["trees"])
 
-    ids = hash_share(pages.where("html is not null and page_id is not null").select("page_id"), "page_id", SAMPLE_PAGES).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)
-    sample = pages.join(F.broadcast(ids.distinct()), "page_id").select(F.col("page_id").cast("long").alias("page_id"), "html").limit(2 * SAMPLE_PAGES)
+    ids = hash_share(pages.where("html is not null and page_id is not null").select("page_id").distinct(), "page_id", SAMPLE_PAGES).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)
+    sample = pages.join(F.broadcast(ids), "page_id").groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.min("html").alias("html"))
     found = sample.repartition(1).sortWithinPartitions("page_id").mapInArrow(train, "trees binary").collect()
     return pickle.loads(found[0][0]) if found else None
 

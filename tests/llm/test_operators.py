@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -128,7 +129,7 @@ def test_op3_articles_and_an_unseen_layout(spark, sf_dir):
     assert "cookies" not in out[1] and "liked" not in out[1] and "Someone" not in out[1] and "Search" not in out[1]
     assert out[2] == out[3] == ""
     assert op3.extract(odd.where("false"), trees).count() == 0
-    assert op3.fit(odd.where("page_id > 1")) is None or True
+    assert op3.fit(odd.where("page_id > 1")) is None
     assert op3.extract(odd, None).count() == len(rows)
 
 
@@ -148,6 +149,18 @@ def test_op3_open_silent_elements_cut_nothing_off(page, want):
     assert [x.text for x in op3.parse(page)[1]] == want
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<a \"<b '", "</script ", "<!x ", "<blockquote>", "<a \"x\" ", "<svg ", "<object>", "<p><table>", "</section>", "<title>", "<li>"])
+def test_op3_reads_hostile_pages_in_linear_time(piece):
+    began = time.perf_counter()
+    nodes, _ = op3.parse("<script>x</script>" + piece * (1_000_000 // len(piece)) + "\">'>")
+    assert nodes and time.perf_counter() - began < 10
+
+
+def test_op3_tags_that_never_end_are_text():
+    assert [x.text for x in op3.parse("<p>One < two <b")[1]] == ["One < two <b"]
+    assert [x.text for x in op3.parse("<p title='a>b' id=\"x>\">One</p><a \"<p>Two</p>")[1]] == ["One", "<a \"", "Two"]
+
+
 def test_op3_siblings_of_long_lists():
     nodes, _ = op3.parse("<ul>" + "<li>a</li>" * 300 + "</ul>")
     x = op3.features(nodes)[[n.tag == "li" for n in nodes]]
