@@ -88,8 +88,8 @@ def line_dedup(rows, least):
     """{doc_id: lines that are deleted} from [(doc_id, text)]."""
     docs = {}
     for i, text in sorted(rows):
-        lines = (text or "").split("\n")
-        docs[i] = [(p, x, len(x.translate({9: 32, 13: 32, 11: 32, 12: 32}).strip(" ").split(" "))) for p, x in enumerate(lines) if x.translate({9: 32, 13: 32, 11: 32, 12: 32}).strip(" ")]
+        words = [(p, x, len(re.findall(r"[^ \t\r\x0b\x0c]+", x))) for p, x in enumerate((text or "").split("\n"))]
+        docs[i] = [x for x in words if x[2]]
     first, out = {}, {i: set() for i in docs}
     for i, lines in docs.items():
         for s in range(len(lines)):
