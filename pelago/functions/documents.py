@@ -13,35 +13,46 @@ def parsed(df: DataFrame, text: str, schema: str) -> DataFrame:
     return df.withColumn("d", F.from_json(text, schema))
 
 
-def _mean(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(values) > 0, total / F.size(values)).otherwise(0.0)
+def _moments(values: Column) -> Column:
+    """n, total and m2 (sum of squared differences from the mean) of an array in one pass."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("total"), F.lit(0.0).alias("m2"))
 
+    def add(a, x):
+        n, d = a["n"], x * a["n"] - a["total"]
+        return F.struct((n + 1).alias("n"), (a["total"] + x).alias("total"), (a["m2"] + F.when(n > 0, d * d / (n * (n + 1))).otherwise(0.0)).alias("m2"))
 
-def _var(values: Column) -> Column:
-    """Population variance, 0 for fewer than one value."""
-    m = _mean(values)
-    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(values)).otherwise(0.0)
+    return F.aggregate(values, start, add)
+
+
+def _mean(m: str) -> Column:
+    return F.when(F.col(f"{m}.n") > 0, F.col(f"{m}.total") / F.col(f"{m}.n")).otherwise(0.0)
 
 
+def _var(m: str) -> Column:
+    """Population variance, 0 for fewer than one value."""
+    return F.when(F.col(f"{m}.n") > 0, F.col(f"{m}.m2") / F.col(f"{m}.n")).otherwise(0.0)
+
 
 def sentiment_features(df: DataFrame, key: str) -> DataFrame:
     """Document and sentence scores, entity counts; missing parts give 0 or an empty text."""
     scores = F.coalesce(F.transform("d.sentences", lambda s: F.coalesce(s["sentiment"]["score"], F.lit(0.0))), F.array().cast("array<double>"))
     sizes = F.coalesce(F.transform("d.sentences", lambda s: F.coalesce(s["sentiment"]["magnitude"], F.lit(0.0))), F.array().cast("array<double>"))
     kinds = F.coalesce(F.transform("d.entities", lambda e: F.coalesce(e["type"], F.lit("UNKNOWN"))), F.array().cast("array<string>"))
-    return df.select(
+    # arrays are made once, and each is gone over once
+    rows = df.select(key, "d", scores.alias("scores"), sizes.alias("sizes"), kinds.alias("kinds"))
+    rows = rows.select("*", _moments(F.col("scores")).alias("of_scores"), _moments(F.col("sizes")).alias("of_sizes"))
+    return rows.select(
         key,
         F.round(F.coalesce("d.documentSentiment.score", F.lit(0.0)), 4).alias("score"),
         F.round(F.coalesce("d.documentSentiment.magnitude", F.lit(0.0)), 4).alias("magnitude"),
-        F.size(scores).alias("n_sentences"),
-        F.round(_mean(scores), 4).alias("mean_sentence_score"),
-        F.round(_mean(sizes), 4).alias("mean_sentence_magnitude"),
-        F.round(F.coalesce(F.array_min(scores), F.lit(0.0)), 6).alias("min_sentence_score"),
-        F.round(F.coalesce(F.array_max(scores), F.lit(0.0)), 6).alias("max_sentence_score"),
-        F.round(_var(scores), 6).alias("sentiment_variance"),
-        F.size(kinds).alias("entity_count"),
-        F.size(F.array_distinct(kinds)).alias("entity_type_count"),
+        F.size("scores").alias("n_sentences"),
+        F.round(_mean("of_scores"), 4).alias("mean_sentence_score"),
+        F.round(_mean("of_sizes"), 4).alias("mean_sentence_magnitude"),
+        F.round(F.coalesce(F.array_min("scores"), F.lit(0.0)), 6).alias("min_sentence_score"),
+        F.round(F.coalesce(F.array_max("scores"), F.lit(0.0)), 6).alias("max_sentence_score"),
+        F.round(_var("of_scores"), 6).alias("sentiment_variance"),
+        F.size("kinds").alias("entity_count"),
+        F.size(F.array_distinct("kinds")).alias("entity_type_count"),
         F.coalesce("d.language", F.lit("")).alias("language"),
     )
 
@@ -53,15 +64,17 @@ def vision_features(df: DataFrame, *keys: str) -> DataFrame:
     part = lambda c, k: F.coalesce(c["color"][k], F.lit(0.0))
     shades = F.coalesce(F.transform("d.imagePropertiesAnnotation.dominantColors.colors", lambda c: (part(c, "red") + part(c, "green") + part(c, "blue")) / 3), none)
     first = lambda path, default: F.coalesce(F.expr(path), F.lit(default))
-    return df.select(
+    rows = df.select(*keys, "d", labels.alias("names"), shades.alias("shades"))
+    rows = rows.select("*", _moments(F.col("shades")).alias("of_shades"))
+    return rows.select(
         *keys,
-        F.size(labels).alias("n_labels"),
+        F.size("names").alias("n_labels"),
         first("try_element_at(d.labelAnnotations, 1).description", "").alias("top_label"),
         F.round(first("try_element_at(d.labelAnnotations, 1).score", 0.0), 4).alias("top_score"),
-        F.array_join(labels, "|").alias("labels"),
-        F.size(shades).alias("n_colors"),
-        F.round(_mean(shades), 4).alias("brightness"),
-        F.round(F.when(F.size(shades) > 1, F.sqrt(_var(shades))).otherwise(0.0), 4).alias("brightness_std"),
+        F.array_join("names", "|").alias("labels"),
+        F.size("shades").alias("n_colors"),
+        F.round(_mean("of_shades"), 4).alias("brightness"),
+        F.round(F.when(F.size("shades") > 1, F.sqrt(_var("of_shades"))).otherwise(0.0), 4).alias("brightness_std"),
         F.round(first("try_element_at(d.cropHintsAnnotation.cropHints, 1).confidence", 0.0), 4).alias("crop_confidence"),
     )
 

@@ -9,15 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.cleaning import _ascii_or, nfkd
+from ..operators.cleaning import nfkd
 
 PLACEHOLDER = "no description"
 #: English stop words of the token counts.
-STOP_WORDS = sorted(
-    set(
-        "the a an and or but in on at to for of with by from is are was were be been being have has had do does did will would could should may might shall can this that these those i you he she it we they me him her us them my your his its our their what which who whom when where why how all each every both few more most other some such no nor not only own same so than too very just because as until while about between through during before after above below up down out off over under again further then once here there if also s t don didn doesn won isn aren".split()
-    )
-)
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were", "be", "been",
+    "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can", "this", "that", "these",
+    "those", "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "my", "your", "his", "its", "our", "their", "what",
+    "which", "who", "whom", "when", "where", "why", "how", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such", "no",
+    "nor", "not", "only", "own", "same", "so", "than", "too", "very", "just", "because", "as", "until", "while", "about", "between", "through",
+    "during", "before", "after", "above", "below", "up", "down", "out", "off", "over", "under", "again", "further", "then", "once", "here", "there",
+    "if", "also", "s", "t", "don", "didn", "doesn", "won", "isn", "aren",
+]
 
 
 #: White space of every kind, and what is none, as Python has them (to stand inside brackets).
@@ -25,11 +29,16 @@ _SPACE = r"\s\x1c-\x1f"
 
 
 def preprocess(text: str) -> Column:
-    """Placeholder for missing texts; tags, links, addresses and runs of space removed; NFKD."""
-    t = F.regexp_replace(F.col(text), r"<[^>]+>", " ")
-    t = F.regexp_replace(t, rf"(?U)https?://[^{_SPACE}]+|www\.[^{_SPACE}]+", " ")
-    t = F.regexp_replace(t, rf"(?U)[^{_SPACE}]+@[^{_SPACE}]+\.[^{_SPACE}]+", " ")
-    t = _ascii_or(F.trim(F.regexp_replace(t, rf"(?U)[{_SPACE}]+", " ")), nfkd)
+    """Placeholder for missing texts; tags, links, addresses and runs of space removed; NFKD.
+
+    Every pattern is linear in the text: a tag is looked for only before the last `>`, and an
+    address, which is a whole run without space, only from the start of a run."""
+    c = F.col(text)
+    after = F.substring_index(c, ">", -1)
+    t = F.concat(F.regexp_replace(F.left(c, F.length(c) - F.length(after)), r"<[^>]++>", " "), after)
+    t = F.regexp_replace(t, rf"(?U)https?://[^{_SPACE}]++|www\.[^{_SPACE}]++", " ")
+    t = F.regexp_replace(t, rf"(?U)(?<![^{_SPACE}])[^{_SPACE}][^{_SPACE}@]*+@[^{_SPACE}][^{_SPACE}.]*+\.[^{_SPACE}]++", " ")
+    t = nfkd(F.trim(F.regexp_replace(t, rf"(?U)[{_SPACE}]+", " ")))  # the Python column is read twice, not made twice
     return F.when(F.coalesce(t, F.lit("")) == "", PLACEHOLDER).otherwise(t)
 
 
@@ -40,7 +49,7 @@ def words(c: Column) -> Column:
 def text_stats(df: DataFrame, text: str, mode: str = "training") -> DataFrame:
     """Length, words, sentences, mean word length and ratios; mode: training, serving or eda."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    t = F.regexp_replace(raw, rf"(?U)^[{_SPACE}]+|[{_SPACE}]+\z", "") if mode == "serving" else raw
+    t = F.regexp_replace(raw, rf"(?U)^[{_SPACE}]++|(?<![{_SPACE}])[{_SPACE}]++\z", "") if mode == "serving" else raw
     n, w = F.length(t), words(t)
     parts = F.split(t, r"[.!?]+")
     if mode == "serving":

@@ -16,7 +16,7 @@ MISSING_TEXTS = ["nan", "<NA>", "None", ""]
 
 def strip(c: str | Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def clean_name(name: str | Column) -> Column:
@@ -50,16 +50,11 @@ def nfkd(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKD")
 
 
-def _ascii_or(c: Column, form) -> Column:
-    """ASCII texts are in every normal form already; only the others go to Python."""
-    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(form(c))
-
-
 def normalize_text(df: DataFrame, *columns: str) -> DataFrame:
     """Trim, NFC, and null for texts that mean a missing value."""
     out = {}
     for c in columns:
-        t = _ascii_or(strip(F.col(c).cast("string")), nfc)
+        t = nfc(strip(F.col(c).cast("string")))
         out[c] = F.when(~t.isin(MISSING_TEXTS), t)
     return df.withColumns(out)
 

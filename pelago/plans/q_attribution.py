@@ -54,7 +54,7 @@ query("E11_interpreted_record", f"WITH {_COL} SELECT row_id, string_agg(name, ',
     lambda t: A.interpreted(collapsed(t), 100).select("row_id", F.expr("nullif(array_join(transform(top_factors, x -> x.name), ','), '')").alias("top"), F.size("latent_summary").cast("long").alias("n_latent"), "n_entries")
 )
 query("E12_split_factors", f"WITH {_COL} SELECT row_id, coalesce(string_agg(name, ',' ORDER BY magnitude DESC, name) FILTER (WHERE direction = 'positive'), '') AS positive, coalesce(string_agg(name, ',' ORDER BY magnitude DESC, name) FILTER (WHERE direction = 'negative'), '') AS negative FROM col GROUP BY row_id")(lambda t: A.split_factors(collapsed(t)))
-_TPL = ", ".join(f"({i}, '{f}', '{c}', '{s}')" for i, (f, c, s, _) in enumerate(A.TEMPLATES))
+_TPL = ", ".join(f"({i}, '{f}', '{c}', '{s}')" for i, (f, c, s) in enumerate(A.TEMPLATES))
 _KW = "CASE " + " ".join(f"WHEN contains(lower(name), '{w}') THEN '{f}'" for w, f in A.KEYWORDS) + " END"
 query("E15_rule_recommendations", f"""WITH {_COL}, tpl(i, feature, category, suggested) AS (VALUES {_TPL}), own AS (SELECT row_id, {_KW} AS feature, max(magnitude) AS m FROM col WHERE direction = 'negative' GROUP BY 1, 2 HAVING {_KW.replace('name', 'any_value(name)')} IS NOT NULL),
  k AS (SELECT r.row_id, t.feature, t.category, t.suggested, own.m, i FROM (SELECT DISTINCT row_id FROM col) r CROSS JOIN tpl t LEFT JOIN own ON own.row_id = r.row_id AND own.feature = t.feature)

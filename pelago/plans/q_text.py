@@ -64,7 +64,7 @@ query(
 )(lambda t: T.guess_language(t.documents, "text", "doc_id", PROFILES))
 query("X08_text_coverage", "SELECT count(*) AS n, count(text) AS n_not_null, count(*) FILTER (WHERE coalesce(trim(text), '') <> '') AS n_with_text, round(count(*) FILTER (WHERE coalesce(trim(text), '') <> '') * 1.0 / count(*), 6) AS share FROM documents")(lambda t: T.text_coverage(t.documents, "text"))
 query("X10_unicode_normalize", "SELECT doc_id, nfc_normalize(text) = text AS same, sha256(nfc_normalize(text)) AS sha FROM documents")(
-    lambda t: t.documents.withColumn("n", C._ascii_or(F.col("text"), C.nfc)).select("doc_id", (F.col("n") == F.col("text")).alias("same"), F.sha2("n", 256).alias("sha"))
+    lambda t: t.documents.withColumn("n", C.nfc("text")).select("doc_id", (F.col("n") == F.col("text")).alias("same"), F.sha2("n", 256).alias("sha"))
 )
 
 # ---- checks on conversation texts: some get a phrase by their number ---------------------------------

@@ -361,3 +361,36 @@ def test_request_domains(spark):
     rows = [(1, 3, 0.0, 1, 0, " ", "Dog", "Yes"), (2, 300, 0.0, 1, 4, "Rex", "Cat", "No"), (3, 1, -1.0, 1, 4, "Rex", "Cat", "No"), (4, 1, 1.0, 0, 4, "Rex", "Bird", "Not Sure")]
     out = {r["listing_id"]: r for r in X.encode_request(spark.createDataFrame(rows, "listing_id int, age int, fee double, quantity int, breed2 int, name string, pet_type string, vaccinated string")).collect()}
     assert [out[i]["valid"] for i in (1, 2, 3, 4)] == [True, False, False, False] and out[1]["name"] is None and out[1]["breed2"] is None and out[4]["type"] is None
+
+
+def test_text_patterns_are_linear(spark):
+    import time
+
+    hostile = ["a" * 1_000_000, "<" * 500_000, "a@" * 400_000, " " * 500_000 + "b" + " " * 500_000 + "c", "<b " * 300_000 + ">x", "." * 500_000 + "@" * 500_000]
+    df = spark.createDataFrame([(x,) for x in hostile], "t string").coalesce(1)
+    df.select(T.preprocess("t")).count()
+    began = time.perf_counter()
+    got = [r[0] for r in df.select(T.preprocess("t").alias("t"), C.strip("t").alias("s")).collect()]
+    T.text_stats(df, "t", "serving").collect()
+    assert time.perf_counter() - began < 20
+    assert got[0] == hostile[0] and got[1] == hostile[1] and got[3] == "b c" and got[4] == "x"
+
+
+def test_preprocess_makes_each_step_once(spark):
+    plan = spark.createDataFrame([("a",)], "t string").select(T.preprocess("t").alias("x"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace(") == 4
+
+
+def test_addresses_and_tags_as_the_plain_patterns_have_them(spark):
+    import random
+    import re
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("a@.< >b\n") for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    want = []
+    for x in texts:
+        x = re.sub(r"<[^>]+>", " ", x)
+        x = re.sub(r"\S+@\S+\.\S+", " ", x)
+        want.append(re.sub(r"\s+", " ", x).strip() or T.PLACEHOLDER)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, t string")
+    assert [r[0] for r in df.orderBy("i").select(T.preprocess("t")).collect()] == want
