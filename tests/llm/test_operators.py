@@ -98,6 +98,12 @@ def test_op2_equals_the_library_and_round_trips(spark, odd, texts):
     m = op2.model(None)
     assert [x.tolist() for x in m.encode(sample)] == sp.encode(sample)
     assert all(m.decode(x) == t for x, t in zip(m.encode(sample), sample, strict=True))
+    rng = random.Random(2)
+    long = ["".join(rng.choice(a) for _ in range(n)) for a in ("ab", "etaoinshrdlu", "xé日0123456789", "a") for n in (63, 64, 65, 200, 3000)]
+    assert [x.tolist() for x in m.encode(long)] == sp.encode(long)
+    began = time.perf_counter()
+    word = "".join(rng.choice("etaoinshrdlucmfw") for _ in range(200_000))
+    assert m.encode([word])[0].tolist() == sp.encode(word) and time.perf_counter() - began < 20
     pieces = op2.encode(odd)
     back = {r["doc_id"]: r["text"] for r in op2.decode(pieces).collect()}
     assert all(back[i] == (t or "") for i, t in ODD)
