@@ -15,6 +15,7 @@ the mandatory words that the best attempt has reached.
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,72 @@ from .textvec import ALNUM, Texts
 
 #: The phrases of the base rule and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Wording of public licence notices; every template starts with two plain words.
+_NO_WARRANTY = """
+as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a
+particular purpose are disclaimed in no event shall <<any:1:12>> be liable for any direct indirect incidental special exemplary or
+consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business
+interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise
+arising in any way out of the use of this software even if advised of the possibility of such damage
+"""
+_BSD = """
+redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+<<optional>>1<</optional>> redistributions of source code must retain the above copyright notice this list of conditions and the following
+disclaimer <<optional>>2<</optional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and
+the following disclaimer in the documentation and or other materials provided with the distribution
+"""
+#: Wording of public licences and licence notices; every template starts with two plain words.
 TEMPLATES = {
+    "mit-license": """
+        permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the
+        software to deal in the software without restriction including without limitation the rights to use copy modify merge publish
+        distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to
+        the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<</optional>>
+        shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind
+        express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and
+        noninfringement in no event shall <<any:1:12>> be liable for any claim damages or other liability whether in an action of contract
+        tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software""",
+    "bsd-2-clause": f"{_BSD} this software is provided by <<any:1:12>> {_NO_WARRANTY}",
+    "bsd-3-clause": f"""{_BSD} <<optional>>3<</optional>> neither the name of <<any:1:12>> nor the names of <<any:1:3>> contributors may be used
+        to endorse or promote products derived from this software without specific prior written permission
+        this software is provided by <<any:1:12>> {_NO_WARRANTY}""",
+    "isc": """
+        permission to use copy modify and <<optional>>or<</optional>> distribute this software for any purpose with or without fee is hereby
+        granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and
+        <<any:1:6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in
+        no event shall <<any:1:6>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting
+        from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in
+        connection with the use or performance of this software""",
+    "zlib": """
+        this software is provided as is without any express or implied warranty in no event will <<any:1:4>> be held liable for any damages
+        arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial
+        applications and to alter it and redistribute it freely subject to the following restrictions <<optional>>1<</optional>> the origin
+        of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a
+        product an <<any:1:1>> in the product documentation would be appreciated but is not required <<optional>>2<</optional>> altered source
+        versions must be plainly marked as such and must not be misrepresented as being the original software <<optional>>3<</optional>> this
+        notice may not be removed or altered from any source distribution""",
+    "unlicense": """
+        this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or
+        distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any
+        means""",
+    "apache-2.0-notice": """
+        licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may
+        obtain a copy of the license at <<any:4:10>> unless required by applicable law or agreed to in writing software distributed under
+        the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license
+        for the specific language governing permissions and limitations under the license""",
+    "mpl-2.0-notice": """
+        this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this
+        file you can obtain one at""",
+    "gpl-notice": """
+        this program is free software you can redistribute it and or modify it under the terms of the gnu <<optional>>lesser<</optional>>
+        <<optional>>affero<</optional>> general public license as published by the free software foundation either version <<any:1:2>> of the
+        license or at your option any later version <<optional>>this program is distributed in the hope that it will be useful but without
+        any warranty without even the implied warranty of merchantability or fitness for a particular purpose<</optional>>""",
+    "cc-deed": """
+        this work is licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> creative commons attribution
+        <<optional>>noncommercial<</optional>> <<optional>>non commercial<</optional>> <<optional>>sharealike<</optional>>
+        <<optional>>share alike<</optional>> <<optional>>noderivatives<</optional>> <<optional>>noderivs<</optional>>
+        <<optional>><<any:1:2>><</optional>> <<optional>>international<</optional>> <<optional>>unported<</optional>>
+        <<optional>>generic<</optional>> license""",
     "apache-2.0": "licensed under <<optional>>the<</optional>> apache license <<optional>>version<</optional>> 2 0",
     "mit": "released under the mit license",
     "mit-licensed": "licensed under <<optional>>the<</optional>> mit license",
@@ -67,6 +132,7 @@ class Automaton:
             depth += (part == "<<optional>>") - (part == "<</optional>>")
             mandatory += depth == 0 and not part.startswith("<<")
         self.mandatory = mandatory
+        self.plain = list(accumulate(kind == "word" for kind, *_ in self.steps))  # plain words up to each step
         self.head = tuple(w for kind, *rest in self.steps[:2] for w in rest if kind == "word")
         if len(self.head) < 2:
             raise ValueError("a template starts with two plain words")
@@ -96,7 +162,7 @@ class Automaton:
                 if kind[0] == "any" or kind[0] == "word" and kind[1] == word:
                     after.add(s + 1)
                     if kind[0] == "word":
-                        reached = max(reached, sum(k[0] == "word" for k in self.steps[: s + 1]))
+                        reached = max(reached, self.plain[s])
             if not after:
                 return False, min(reached, self.mandatory)
             states, n = self.closure(after), n + 1
