@@ -1,16 +1,19 @@
-"""Personal data: fixed patterns, and a span classifier trained by weak supervision.
+"""Personal data: fixed patterns, and span classifiers trained by weak supervision.
 
 Base spans (email, ip, card, phone) come from exact patterns. Further candidates are runs of
-letters, digits and a few signs that carry digits. Three labelers vote on each candidate: a
-regex labeler on its shape, a gazetteer labeler on known prefixes and key words, and a context
-labeler on what stands before it. The counts of the vote patterns over all documents, a table of
-at most 27 rows, feed an expectation-maximisation that estimates the labelers' reliabilities;
+letters, digits and a few signs that carry digits. For each learned kind ("secret": credentials;
+"account": bank and identity numbers) three labelers vote on each candidate: a regex labeler on its
+shape, a gazetteer labeler on known prefixes, country codes and key words, and a context labeler on
+what stands before it. The counts of the vote patterns over all documents, a table of at most 27
+rows for each kind, feed an expectation-maximisation that estimates the labelers' reliabilities;
 its posteriors are the soft targets of a logistic span classifier, fitted on a bounded sample of
-candidates. Candidates that the classifier accepts are added as spans of kind "secret".
+distinct candidates. Candidates that a classifier accepts are added as spans of its kind, of the
+likelier one if both do.
 
-Defined results: a null or empty text has no spans; repeated rows are scanned alike; without
-candidates there is no classifier and only base spans are given; an empty table gives an empty
-table; other columns are not read by find_spans() and pass through redact().
+Defined results: a null or empty text has no spans; repeated rows are scanned alike; a kind that no
+candidate has two labelers for has no classifier; without candidates only base spans are given; an
+empty table gives an empty table; other columns are not read by find_spans() and pass through
+redact().
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import slices, table, written
 
-#: The order of kinds at equal starts; "secret" is the classifier's own.
-KINDS = ("email", "ip", "card", "phone", "secret")
+#: The order of kinds at equal starts; the last two are the classifiers' own.
+KINDS = ("email", "ip", "card", "phone", "secret", "account")
+LEARNED = KINDS[4:]
 #: Candidates that the classifier may be fitted on, its feature bins, and its threshold.
 SAMPLE_ROWS, BINS, THRESHOLD = 4000, 512, 0.5
 PRIOR_ROUNDS = 60
@@ -41,9 +45,17 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{8,}+")
 _DIGIT = re.compile(r"[0-9]")
-#: Key words and token prefixes of the gazetteer.
-_KEYS = ("password", "passwd", "pwd", "token", "secret", "apikey", "api_key", "key", "auth")
-_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_", "pk_live_", "AIza", "glpat-")
+#: The gazetteer. Words that name a credential, and how issued tokens start.
+SECRET_WORDS = frozenset(
+    "password passwd pwd passphrase passcode pass pin token secret apikey api_key api_token access_key access_token auth auth_token authorization bearer client_secret credential credentials key private_key secret_key session_key signing_key webhook_secret refresh_token ssh_key encryption_key passwort kennwort geheimnis schluessel contrasena clave secreto motdepasse passe cle jeton".split()
+)
+SECRET_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_", "glpat-", "hf_", "npm_", "pypi-", "pk_live_", "pk_test_", "rk_live_", "sk-", "sk_live_", "sk_test_", "shpat_", "xoxa-", "xoxb-", "xoxp-", "ya29", "eyJ")
+#: Words that name a bank or identity number, and the length of a bank number by country.
+ACCOUNT_WORDS = frozenset("account acct iban bic ssn sin nin nif nie dni passport visa_no license licence taxid tax_id tin vat social_security national_id konto kontonummer ausweis steuernummer compte passeport cuenta pasaporte".split())
+IBAN_LENGTH = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24, "SK": 24}
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
+_SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
+_IDENTITY = re.compile(r"[A-Z]{1,2}[0-9]{6,9}[A-Z]?|[0-9]{8}[A-Z]")
 
 
 def luhn(digits: str) -> bool:
@@ -93,7 +105,7 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
         e -= len(m[0]) - len(m[0].rstrip("=/+-_"))
         while i < len(taken) and taken[i][2] <= s:
             i += 1
-        if not any(a < e and s < b for _, a, b in taken[i : i + 8]):
+        if i == len(taken) or taken[i][1] >= e:  # by start: if this one lies behind, all others do
             out.append((s, e))
     return out
 
@@ -105,18 +117,30 @@ def _value(text: str, s: int, e: int) -> tuple[str, str, str]:
     return (value, key.lower(), before) if eq and value else (run, "", before)
 
 
-def votes(text: str, s: int, e: int) -> tuple[int, int, int]:
-    """Votes of the regex, gazetteer and context labelers: 1 for, 0 against, 2 abstains."""
+def mod97(iban: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def votes(text: str, s: int, e: int) -> tuple[tuple[int, int, int], tuple[int, int, int]]:
+    """For each learned kind the votes of the regex, gazetteer and context labelers: 1 for, 0 against, 2 abstains."""
     value, key, before = _value(text, s, e)
     digits = sum(c in "0123456789" for c in value)
+    word = (re.findall(r"[^\W\d]+", before)[-1:] or [""])[0].lower()
+    named = bool(key) or bool(re.search(r"[=:]\s*[\"']?$", before))
+
     if re.fullmatch(r"[0-9a-f]{16,}|[A-Z0-9]{16,}|[A-Za-z0-9_-]{24,}", value) and 2 <= digits < len(value):
         shape = 1
     else:
         shape = 0 if digits < 2 or len(value) < 10 else 2
-    words = [w.lower() for w in re.findall(r"[A-Za-z_]+", before)][-1:]
-    gazetteer = 1 if value.startswith(_PREFIXES) or key in _KEYS or words and words[0] in _KEYS else (0 if value.isdigit() else 2)
-    context = 1 if key or re.search(r"[=:]\s*[\"']?$", before) else (0 if re.search(r"[A-Za-z]\s$", before) and digits < 4 else 2)
-    return shape, gazetteer, context
+    gazetteer = 1 if value.startswith(SECRET_PREFIXES) or key in SECRET_WORDS or word in SECRET_WORDS else (0 if value.isdigit() else 2)
+    context = 1 if named else (0 if re.search(r"[A-Za-z]\s$", before) and digits < 4 else 2)
+    secret = (shape, gazetteer, context)
+
+    iban = bool(_IBAN.fullmatch(value))
+    shape = 1 if iban and mod97(value) or _SSN.fullmatch(value) or _IDENTITY.fullmatch(value) else (0 if digits < 5 or len(value) > 34 else 2)
+    gazetteer = 1 if iban and IBAN_LENGTH.get(value[:2]) == len(value) or key in ACCOUNT_WORDS or word in ACCOUNT_WORDS else (0 if key in SECRET_WORDS or word in SECRET_WORDS else 2)
+    context = 1 if named or re.search(r"\b(?:no|nr|number|nummer|num)\b[.:]?\s*$", before, re.I) else (0 if digits < 5 else 2)
+    return secret, (shape, gazetteer, context)
 
 
 def features(text: str, s: int, e: int) -> list[int]:
@@ -159,8 +183,20 @@ def posterior(vote: tuple[int, ...], prior: float, tables: np.ndarray) -> float:
     return 1 / (1 + math.exp(max(-50.0, min(50.0, a - b))))
 
 
-def fit(documents: DataFrame) -> np.ndarray | None:
-    """Weights of the span classifier (the last one is the bias); None without candidates."""
+def classifier(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic weights over the feature bins for soft targets; the last one is the bias."""
+    w, b, seen = np.zeros(BINS), 0.0, np.full(BINS, 1e-8)
+    for _ in range(200):
+        err = (1 / (1 + np.exp(-np.clip(w[x].sum(1) + b, -30, 30))) - y) / len(y)
+        g = np.bincount(x.ravel(), np.repeat(err, x.shape[1]), BINS) + 1e-4 * w
+        seen += g * g
+        w -= 0.3 * g / np.sqrt(seen)
+        b -= 0.3 * float(err.sum())
+    return np.append(w, b)
+
+
+def fit(documents: DataFrame) -> dict[str, np.ndarray] | None:
+    """Weights of each kind's classifier; None without any."""
 
     def listed(batches):
         for _, texts in slices(batches, "text"):
@@ -171,40 +207,43 @@ def fit(documents: DataFrame) -> np.ndarray | None:
                 text = raw.decode("utf-8", "replace")
                 for s, e in candidates(text, base_spans(text)):
                     value = text[max(0, s - 24) : e].encode()
-                    rows.append((*votes(text, s, e), int.from_bytes(hashlib.blake2b(value, digest_size=7).digest(), "little"), features(text, s, e)))
+                    codes = [9 * a + 3 * b + c for a, b, c in votes(text, s, e)]
+                    rows.append((*codes, int.from_bytes(hashlib.blake2b(value, digest_size=7).digest(), "little"), features(text, s, e)))
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array([r[i] for r in rows], pa.int32()) for i in range(3)), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.list_(pa.int32()))],
-                ["v0", "v1", "v2", "h", "bins"],
+                [*(pa.array([r[i] for r in rows], pa.int32()) for i in range(len(LEARNED))), pa.array([r[-2] for r in rows], pa.int64()), pa.array([r[-1] for r in rows], pa.list_(pa.int32()))],
+                [*LEARNED, "h", "bins"],
             )
 
-    found = written(documents.select("text").mapInArrow(listed, "v0 int, v1 int, v2 int, h long, bins array<int>"), "candidates")
-    patterns = [((r[0], r[1], r[2]), r[3]) for r in found.groupBy("v0", "v1", "v2").count().orderBy("v0", "v1", "v2").collect()]
-    if not patterns:
+    found = written(documents.select("text").mapInArrow(listed, ", ".join(f"{k} int" for k in LEARNED) + ", h long, bins array<int>"), "candidates")
+    patterns = found.groupBy(*LEARNED).count().collect()  # at most 27 * 27 rows
+    models = {}
+    for kind in LEARNED:
+        counts: dict[tuple, int] = {}
+        for r in patterns:
+            vote = (r[kind] // 9, r[kind] // 3 % 3, r[kind] % 3)
+            counts[vote] = counts.get(vote, 0) + r["count"]
+        if any(v.count(1) >= 2 for v in counts):
+            models[kind] = em(sorted(counts.items()))
+    if not models:
         return None
-    prior, tables = em(patterns)
     distinct = found.select("h").distinct().count()  # copies must not thin the sample
     share = min(1.0, 8 * SAMPLE_ROWS / distinct)  # what each task sends stays small
     sample = found.where(F.col("h") <= int(share * (1 << 56))).dropDuplicates(["h"]).orderBy("h").limit(SAMPLE_ROWS).collect()
     x = np.array([r["bins"] for r in sample])
-    y = np.array([posterior((r["v0"], r["v1"], r["v2"]), prior, tables) for r in sample])
-    w, b, seen = np.zeros(BINS), 0.0, np.full(BINS, 1e-8)
-    for _ in range(200):
-        err = (1 / (1 + np.exp(-np.clip(w[x].sum(1) + b, -30, 30))) - y) / len(y)
-        g = np.bincount(x.ravel(), np.repeat(err, x.shape[1]), BINS) + 1e-4 * w
-        seen += g * g
-        w -= 0.3 * g / np.sqrt(seen)
-        b -= 0.3 * float(err.sum())
-    return np.append(w, b)
+    targets = {k: np.array([posterior((r[k] // 9, r[k] // 3 % 3, r[k] % 3), *m) for r in sample]) for k, m in models.items()}
+    return {k: classifier(x, y) for k, y in targets.items()}
 
 
-def all_spans(text: str, weights: np.ndarray | None) -> tuple[list, list]:
+def all_spans(text: str, weights: dict[str, np.ndarray] | None) -> tuple[list, list]:
     base = base_spans(text)
     more = []
     if weights is not None:
+        least = math.log(THRESHOLD / (1 - THRESHOLD))
         for s, e in candidates(text, base):
-            if weights[features(text, s, e)].sum() + weights[-1] > math.log(THRESHOLD / (1 - THRESHOLD)):
-                value = _value(text, s, e)[0]
-                more.append(("secret", e - len(value), e))
+            bins = features(text, s, e)
+            score, kind = max((w[bins].sum() + w[-1], k) for k, w in weights.items())
+            if score > least:
+                more.append((kind, e - len(_value(text, s, e)[0]), e))
     return base, sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -215,7 +254,7 @@ def _joined(spans) -> str:
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
-def find_spans(documents: DataFrame, weights: np.ndarray | None) -> DataFrame:
+def find_spans(documents: DataFrame, weights: dict[str, np.ndarray] | None) -> DataFrame:
     """One row per document with the counts, the digest of the base spans and all spans."""
 
     def run(batches):
@@ -238,7 +277,7 @@ def find_spans(documents: DataFrame, weights: np.ndarray | None) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
-def redacted(text: str, weights: np.ndarray | None) -> str:
+def redacted(text: str, weights: dict[str, np.ndarray] | None) -> str:
     out, at = [], 0
     for kind, s, e in all_spans(text, weights)[1]:
         if e <= at:

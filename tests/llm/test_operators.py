@@ -200,7 +200,7 @@ def test_op5_base_spans_and_votes(texts):
     for t in ("1" * 100_000, "a." * 50_000, "a-" * 50_000 + "@", "+1" * 30_000, "1." * 50_000):
         op5.candidates(t, op5.base_spans(t))
     secret = 'token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"'
-    assert op5.votes(secret, 9, 49) == (1, 1, 1)
+    assert op5.votes(secret, 9, 49)[0] == (1, 1, 1)
 
 
 def test_op5_adds_secrets_and_keeps_base(spark, docs, texts):
@@ -217,8 +217,10 @@ def test_op5_adds_secrets_and_keeps_base(spark, docs, texts):
 def test_op5_copies_do_not_thin_the_sample(spark):
     once = spark.createDataFrame([(i, f"token = {i * 7919:08x}beb58b8af6") for i in range(8)], "doc_id long, text string")
     rare = op5.fit(once)
+    assert rare.keys() == {"secret"}
+    rare = rare["secret"]
     assert np.abs(rare).sum() > 0
-    many = op5.fit(once.join(spark.range(25_000).select(F.col("id").alias("copy"))).repartition(8, "copy"))
+    many = op5.fit(once.join(spark.range(25_000).select(F.col("id").alias("copy"))).repartition(8, "copy"))["secret"]
     assert ((many != 0) == (rare != 0)).all()  # the bins of all eight
 
 
