@@ -142,7 +142,8 @@ def drop_repeated_lines(documents: DataFrame) -> DataFrame:
     ranges = ranges.withColumn("gap", gap).groupBy(*DOC).agg(parts.alias("parts")).select(*DOC, marks.alias("stays"), F.aggregate("parts", F.lit(0), lambda a, p: a + p["gone"]).alias("removed"))
     lines = F.split("text", "\n")
     keep = F.filter(lines, lambda x, i: F.coalesce(F.get("stays", i), F.lit(True)))
-    return rows.join(ranges, DOC, "left").select(
+    # the texts are shuffled at every size: how many documents have copies is not bounded
+    return rows.join(ranges.hint("merge"), DOC, "left").select(
         "doc_id",
         F.when(F.col("stays").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n")).alias("text"),
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
