@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet and
 reads again for the next stage. All but the last return the columns of documents.
+
+Defined results: a null or empty text fails the quality rules; without usable labels only the base
+rule rejects; of equal texts, null counting as empty, the row with the largest doc_id stays, and of a
+near-duplicate group one row with the smallest; rows without a doc_id are compared for equality only
+and otherwise stay; rows that share a doc_id and differ in their text are documents of their own;
+further columns pass through all stages but the last, whatever their names; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pelago.llm import op1_quality_rules, op4_minhash, op5_pii, op6_packing, op7_exact_dedup
-from pelago.llm.common import shared_dir, table
+from pelago.llm.common import scratch, shared_dir, table
 from pelago.shipping import ship
 
 
@@ -60,13 +67,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pelago-pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{base}/{i}")
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):  # the stage's own tables go when its result is written
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{base}/{i}")
         docs = spark.read.schema(out.schema).parquet(f"{base}/{i}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def queries() -> dict:
