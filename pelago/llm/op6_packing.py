@@ -62,39 +62,48 @@ class Encoder:
         self.first: dict[str, bytes] = {}
         self.line_feed = self.whole("\n")
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.bpe.encode(text, add_special_tokens=False).ids, "<u4")
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.bpe.encode_batch_fast(texts, add_special_tokens=False)]
 
     def whole(self, text: str) -> bytes:
-        return self.ids(text).tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        if not words:
-            return
-        listed = list(words)
-        ids = self.ids(" " + " ".join(listed))
-        at = np.flatnonzero(self.spaced[ids])
-        raw, cuts = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
-        for i, w in enumerate(listed):
-            self.inner[w] = raw[cuts[i] : cuts[i + 1]]
+        return self.batch([text])[0].tobytes()
+
+    def learn(self, words: set[str], heads: set[str]) -> None:
+        """Put the ids of words behind a space, and of words that begin a line, into the caches."""
+        if words:
+            listed = list(words)
+            ids = self.batch([" " + " ".join(listed)])[0]
+            at = np.flatnonzero(self.spaced[ids])
+            raw, cuts = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
+            for i, w in enumerate(listed):
+                self.inner[w] = raw[cuts[i] : cuts[i + 1]]
+        listed = list(heads)
+        for w, ids in zip(listed, self.batch(listed), strict=True):
+            self.first[w] = ids.tobytes()
+
+    def simple(self, text: str) -> bool:
+        """Words set apart by one space or line feed each, no other white space, no added token."""
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n", *self.added)):
+            return False
+        return len(text.split()) == text.count(" ") + text.count("\n") + 1
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian 32-bit words, the closing id included."""
-        plain, missing = [], set()
+        plain, missing, heads = [], set(), set()
         for known in (self.inner, self.first):
             if len(known) > CACHE:
                 known.clear()
         for raw in texts:
             text = raw.decode("utf-8", "replace")
-            lines = [line.split(" ") for line in text.split("\n")]
-            # other white space, or runs of it, or a token that is no word
-            if text.split() != [field for line in lines for field in line] or any(token in text for token in self.added):
+            if not self.simple(text):
                 plain.append(text)
                 continue
+            lines = [line.split(" ") for line in text.split("\n")]
             plain.append(lines)
             for line in lines:
                 missing.update(line[1:])
-        self.learn({w for w in missing if w not in self.inner})
+                heads.add(line[0])
+        self.learn({w for w in missing if w not in self.inner}, {w for w in heads if w not in self.first})
         end, out = np.array([END_ID], "<u4").tobytes(), []
         for lines in plain:
             if isinstance(lines, str):
@@ -102,10 +111,7 @@ class Encoder:
                 continue
             parts = []
             for line in lines:
-                head = self.first.get(line[0])
-                if head is None:
-                    head = self.first[line[0]] = self.whole(line[0])
-                parts.append(b"".join((head, *map(self.inner.__getitem__, line[1:]))))
+                parts.append(b"".join((self.first[line[0]], *map(self.inner.__getitem__, line[1:]))))
             out.append(self.line_feed.join(parts) + end)
         return out
 
