@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .stats import running_counts
 
 CLASSES = (0, 1, 2, 3, 4)
 #: Readable names of the classes.
 LABELS = {0: "Same day", 1: "1-7 days", 2: "8-30 days", 3: "31-90 days", 4: "Not adopted (100+ days)"}
 
 
-def stratified_folds(df: DataFrame, key: str, target: str, k: int, seed: int = 42) -> DataFrame:
+def stratified_folds(df: DataFrame, key: str, target: str, k: int, seed: int = 42, order: Column | None = None) -> DataFrame:
     """(key, fold): within each class, rows in the order of a seeded hash are dealt in turn.
 
     A class can hold most rows, so no class is numbered as a whole: rows are numbered inside hash
-    buckets, and each bucket starts where the counts of the buckets before it end.
+    buckets, and each bucket starts where the counts of the buckets before it end. The buckets'
+    starts, 1,024 rows for each class, are broadcast if Spark finds them small enough.
+    order: a 64-bit number to deal by, if not the seeded hash.
     """
-    h = F.xxhash64(F.lit(seed), F.col(key))
+    h = F.xxhash64(F.lit(seed), F.col(key)) if order is None else order
     rows = df.select(key, target, h.alias("_h")).withColumn("_b", F.shiftrightunsigned("_h", 54))
     counts = rows.groupBy(target, "_b").agg(F.count(F.lit(1)).alias("_n"))
     start = counts.withColumn("_start", F.coalesce(F.sum("_n").over(W.partitionBy(target).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     place = F.row_number().over(W.partitionBy(target, "_b").orderBy("_h", key)) - 1
-    return rows.withColumn("_r", place).join(F.broadcast(start), [target, "_b"]).select(key, target, F.pmod(F.col("_start") + F.col("_r"), F.lit(k)).cast("int").alias("fold"))
+    return rows.withColumn("_r", place).join(start, [target, "_b"]).select(key, target, F.pmod(F.col("_start") + F.col("_r"), F.lit(k)).cast("int").alias("fold"))
 
 
 def fold_balance(folds: DataFrame, target: str, tolerance: float = 0.02) -> DataFrame:
@@ -183,6 +190,73 @@ def paired_t(df: DataFrame, pair: str, a: str, b: str) -> DataFrame:
     return out.withColumn("t", F.when(F.col("_s") > 0, F.col("difference") / (F.col("_s") / F.sqrt("n")))).drop("_s")
 
 
+def t_probability(t: float, freedom: int) -> float:
+    """Two-sided: the incomplete beta function at freedom / (freedom + t^2), by its continued fraction."""
+    a, b, x = freedom / 2, 0.5, freedom / (freedom + t * t)
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x > (a + 1) / (a + b + 2):
+        return 1 - front / b * _beta_fraction(b, a, 1 - x)
+    return front / a * _beta_fraction(a, b, x)
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    tiny = 1e-300
+    c, d = 1.0, 1 / max(tiny, 1 - (a + b) * x / (a + 1))
+    out = d
+    for m in range(1, 400):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + top * d or tiny)
+            c = 1 + top / c or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return out
+
+
+def signed_rank_probability(w: float, n: int, ties: float) -> float:
+    """Two-sided, of the smaller rank sum: exact up to 25 values without ties, else the normal limit."""
+    if n == 0:
+        return 1.0
+    if n <= 25 and ties == 0:
+        ways = [1] + [0] * (n * (n + 1) // 2)
+        for r in range(1, n + 1):
+            for s in range(len(ways) - 1, r - 1, -1):
+                ways[s] += ways[s - r]
+        return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
+    spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
+    return math.erfc(abs(w - n * (n + 1) / 4) / spread / math.sqrt(2)) if spread > 0 else 1.0
+
+
+def signed_ranks(df: DataFrame, pair: str, a: str, b: str) -> DataFrame:
+    """Wilcoxon's rank sums of paired values by pair: n without zeros, and the smaller sum. Ranks come
+    from running counts over the distinct differences, so no task orders a pair's rows."""
+    d = df.select(pair, F.round(F.col(a) - F.col(b), 12).alias("_d")).where("_d <> 0").withColumn("_v", F.abs("_d"))
+    counts = d.groupBy(pair, "_v").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_d") > 0).alias("_up"))
+    rank = F.col("_below") + (F.col("_n") + 1) / 2
+    sums = running_counts(counts, "_v", "_n", [pair]).groupBy(pair).agg(
+        F.sum("_n").alias("n"), F.sum(rank * F.col("_up")).alias("_plus"), F.sum(rank * (F.col("_n") - F.col("_up"))).alias("_minus"), F.sum((F.col("_n") * F.col("_n") * F.col("_n") - F.col("_n")).cast("double")).alias("ties")
+    )
+    return sums.select(pair, "n", F.least("_plus", "_minus").alias("w"), "ties")
+
+
+@F.pandas_udf(T.DoubleType())
+def _t_p(t: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([t_probability(x, int(m) - 1) if x == x and x is not None and m > 1 else None for x, m in zip(t, n, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def _w_p(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
+    return pd.Series([signed_rank_probability(x, int(m), k) for x, m, k in zip(w, n, ties, strict=True)], dtype="float64")
+
+
+def paired_tests(df: DataFrame, pair: str, a: str, b: str) -> DataFrame:
+    """paired_t with its two-sided probability, and Wilcoxon's rank sum with its own, one row per pair."""
+    ranks = signed_ranks(df, pair, a, b).select(pair, "w", _w_p("w", "n", "ties").alias("p_w"))
+    return paired_t(df, pair, a, b).withColumn("p_t", _t_p("t", "n")).join(ranks, pair, "left").withColumn("p_w", F.coalesce("p_w", F.lit(1.0)))
+
+
 def rank_candidates(df: DataFrame, family: str, metric: str) -> DataFrame:
     """Rank by the metric, and the best of each family; a few rows per trial."""
     out = df.withColumn("rank", F.rank().over(W.orderBy(F.desc(metric))))

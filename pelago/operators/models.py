@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
@@ -47,14 +48,33 @@ def assembled(rows: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="vector", handleInvalid="keep").transform(rows)
 
 
+@dataclass(frozen=True)
+class Linear:
+    """A multinomial model with given weights, by class and feature, and intercepts by class."""
+
+    weights: Sequence[Sequence[float]]
+    intercepts: Sequence[float]
+    columns: Sequence[str] = tuple(FEATURES)
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """rows with p0, p1, ...: the softmax of the margins."""
+        margin = lambda w, b: reduce(lambda x, y: x + y, [F.lit(float(v)) * F.col(c) for v, c in zip(w, self.columns, strict=True)], F.lit(float(b)))
+        e = rows.withColumns({f"_e{k}": F.exp(margin(w, b)) for k, (w, b) in enumerate(zip(self.weights, self.intercepts, strict=True))})
+        names = [f"_e{k}" for k in range(len(self.weights))]
+        total = reduce(lambda x, y: x + y, [F.col(c) for c in names])
+        return e.withColumns({f"p{k}": F.col(c) / total for k, c in enumerate(names)}).drop(*names)
+
+
 def probabilities(model, rows: DataFrame) -> DataFrame:
+    if isinstance(model, Linear):
+        return model.transform(rows)
     out = model.transform(rows).withColumn("_p", vector_to_array("probability"))
     return out.withColumns({p: F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)) for i, p in enumerate(P)}).drop("_p", "rawPrediction", "probability", "prediction")
 
 
 def cross_validate(rows: DataFrame, folds: DataFrame, family: str, columns: Sequence[str] = FEATURES, k: int = 5, **settings) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold probabilities, and kappa of training and validation rows by fold."""
-    data = assembled(rows, columns).join(folds.select("listing_id", "fold"), "listing_id").cache()
+    data = assembled(rows, columns).join(folds.select("listing_id", "fold"), "listing_id").persist()
     oof, metrics = [], []
     for f in range(k):
         model = learner(family, **settings).fit(data.where(F.col("fold") != f))
@@ -66,6 +86,27 @@ def cross_validate(rows: DataFrame, folds: DataFrame, family: str, columns: Sequ
     return reduce(DataFrame.unionByName, oof), reduce(DataFrame.unionByName, metrics)
 
 
+def fold_metrics(rows: DataFrame, folds: DataFrame, family: str, columns: Sequence[str] = FEATURES, k: int = 5, **settings) -> DataFrame:
+    """For each fold: cuts found on its training rows, and what they score on its validation rows."""
+    data = assembled(rows, columns).join(folds.select("listing_id", "fold"), "listing_id").persist()
+    out = []
+    for f in range(k):
+        model = learner(family, **settings).fit(data.where(F.col("fold") != f))
+        train = probabilities(model, data.where(F.col("fold") != f)).withColumn("ev", E.expected_value(P))
+        cuts, _ = E.optimize_thresholds(train, "y", "ev")
+        valid = E.scored(probabilities(model, data.where(F.col("fold") == f)), P, cuts)
+        both = E.quadratic_kappa(valid, "y", "predicted").crossJoin(E.quadratic_kappa(valid, "y", "argmax").select(F.col("kappa").alias("kappa_argmax"))).crossJoin(E.summary(E.confusion(valid, "y", "predicted")))  # one row each
+        out.append(both.select(F.lit(f).alias("fold"), "n", F.array(*[F.lit(float(c)) for c in cuts]).alias("cuts"), "kappa", "kappa_argmax", "accuracy", "macro_f1", "weighted_f1").collect()[0])
+    data.unpersist()
+    return rows.sparkSession.createDataFrame(out, "fold int, n long, cuts array<double>, kappa double, kappa_argmax double, accuracy double, macro_f1 double, weighted_f1 double")
+
+
+def fold_summary(metrics: DataFrame, names: Sequence[str] = ("kappa", "kappa_argmax", "accuracy", "macro_f1", "weighted_f1")) -> DataFrame:
+    """Mean and standard deviation of each metric over the folds."""
+    cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in names])
+    return metrics.select(F.explode(cells).alias("c")).groupBy("c.metric").agg(F.round(F.avg("c.value"), 6).alias("mean"), F.round(F.stddev("c.value"), 6).alias("std"))
+
+
 def gaps(metrics: DataFrame) -> DataFrame:
     by = metrics.groupBy("fold").agg(F.max(F.when(F.col("part") == "train", F.col("kappa"))).alias("train"), F.max(F.when(F.col("part") == "valid", F.col("kappa"))).alias("valid"))
     return by.select("fold", "train", "valid", F.round(F.col("train") - F.col("valid"), 6).alias("gap"), E.gap_status(F.col("train"), F.col("valid")).alias("status"))
@@ -121,7 +162,7 @@ def linear_attributions(model, rows: DataFrame, columns: Sequence[str] = FEATURE
     """Exact contributions coefficient * (x - mean) of a multinomial model, as a long table."""
     import numpy as np
 
-    w = np.array(model.coefficientMatrix.toArray())
+    w = np.array(model.weights if isinstance(model, Linear) else model.coefficientMatrix.toArray())
     means = rows.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
     cells = F.array(*[F.struct(F.lit(k).alias("cls"), F.lit(c).alias("feature"), F.col(c).alias("value"), (F.lit(float(w[k, j])) * (F.col(c) - F.col(f"_m_{c}"))).alias("contribution")) for k in range(w.shape[0]) for j, c in enumerate(columns)])
     return rows.crossJoin(F.broadcast(means)).select(F.col("listing_id").alias("row_id"), F.explode(cells).alias("x")).select("row_id", "x.*")

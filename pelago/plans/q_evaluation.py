@@ -21,6 +21,13 @@ query("M01_stratified_folds", "SELECT speed, CAST(fold AS INT) AS fold, (c + 4 -
     lambda t: E.stratified_folds(t.listings_v, "listing_id", "speed", 5).groupBy("speed", "fold").agg(F.count(F.lit(1)).alias("n"))
 )
 query("M02_persist_folds")(lambda t: E.stratified_folds(t.listings_v, "listing_id", "speed", 5).select("listing_id", "fold"))
+_MD5 = "CAST(concat('0x', substr(md5(CAST(listing_id AS VARCHAR)), 1, 15)) AS BIGINT)"
+_BY_MD5 = f"SELECT listing_id, speed, CAST((row_number() OVER (PARTITION BY speed ORDER BY {_MD5} * 8, listing_id) - 1) % 5 AS INT) AS fold FROM listings_v"
+by_md5 = lambda t: E.stratified_folds(t.listings_v, "listing_id", "speed", 5, order=F.conv(F.substring(F.md5(F.col("listing_id").cast("string")), 1, 15), 16, 10).cast("long") * 8)
+query("M02_persist_folds_by_md5", f"SELECT listing_id, fold FROM ({_BY_MD5}) s")(lambda t: by_md5(t).select("listing_id", "fold"))
+query("M03_fold_balance_by_md5", f"WITH f AS (SELECT fold, speed, count(*) AS n FROM ({_BY_MD5}) s GROUP BY 1, 2), s AS (SELECT *, abs(n * 1.0 / sum(n) OVER (PARTITION BY fold) - sum(n) OVER (PARTITION BY speed) * 1.0 / sum(n) OVER ()) AS d FROM f) SELECT fold, CAST(sum(n) AS BIGINT) AS n, round(max(d), 4) AS max_difference, max(d) <= 0.02 AS balanced FROM s GROUP BY fold")(
+    lambda t: E.fold_balance(by_md5(t), "speed")
+)
 query("M03_fold_balance")(lambda t: E.fold_balance(E.stratified_folds(t.listings_v, "listing_id", "speed", 5), "speed"))
 query("M03_fold_balance_by_id", """WITH f AS (SELECT CAST(listing_id % 5 AS INT) AS fold, speed, count(*) AS n FROM listings_v GROUP BY 1, 2), s AS (SELECT *, abs(n * 1.0 / sum(n) OVER (PARTITION BY fold) - sum(n) OVER (PARTITION BY speed) * 1.0 / sum(n) OVER ()) AS d FROM f) SELECT fold, CAST(sum(n) AS BIGINT) AS n, round(max(d), 4) AS max_difference, max(d) <= 0.02 AS balanced FROM s GROUP BY fold""")(
     lambda t: E.fold_balance(t.listings_v.select("speed", (F.col("listing_id") % 5).cast("int").alias("fold")), "speed")
@@ -57,6 +64,12 @@ query("M14_overfitting_gap", "SELECT state, round(avg(CASE WHEN listing_id % 2 =
 query("M15_paired_test", "SELECT state, count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(a - b), 6) AS difference, round(avg(a - b) / (stddev(a - b) / sqrt(count(*))), 4) AS t FROM (SELECT state, owner_id, avg(speed) AS a, avg(photos) AS b FROM listings_v GROUP BY 1, 2) s GROUP BY state")(
     lambda t: E.paired_t(t.listings_v.groupBy("state", "owner_id").agg(F.avg("speed").alias("a"), F.avg("photos").alias("b")), "state", "a", "b").select("state", "n", *[F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "difference")], F.round("t", 4).alias("t"))
 )
+_PAIRED = "SELECT state, owner_id, avg(speed) AS a, avg(photos) AS b FROM listings_v GROUP BY 1, 2"
+paired = lambda t: t.listings_v.groupBy("state", "owner_id").agg(F.avg("speed").alias("a"), F.avg("photos").alias("b"))
+query("M15_signed_ranks", f"WITH d AS (SELECT state, round(a - b, 12) AS d FROM ({_PAIRED}) s WHERE round(a - b, 12) <> 0), r AS (SELECT state, d, rank() OVER (PARTITION BY state ORDER BY abs(d)) + (count(*) OVER (PARTITION BY state, abs(d)) - 1) / 2.0 AS r FROM d) SELECT state, count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w FROM r GROUP BY state")(
+    lambda t: E.signed_ranks(paired(t), "state", "a", "b").select("state", "n", "w")
+)
+query("M15_paired_probabilities")(lambda t: E.paired_tests(paired(t), "state", "a", "b").select("state", "n", *[F.round(c, 6).alias(c) for c in ("t", "p_t", "w", "p_w")]))
 query("M17_soft_vote", "SELECT listing_id, " + ", ".join(f"round(0.75 * p{i} + 0.25 * p{4 - i}, 6) AS p{i}" for i in range(5)) + " FROM proba_v")(
     lambda t: E.soft_vote([(t.proba_v, 3), (t.proba_v.select("listing_id", *[F.col(f"p{4 - i}").alias(f"p{i}") for i in range(5)]), 1)], "listing_id", P).select("listing_id", *[F.round(c, 6).alias(c) for c in P])
 )

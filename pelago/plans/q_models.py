@@ -24,6 +24,7 @@ def _(t):
     return E.scored(M.probabilities(model, M.assembled(rows(t))), M.P, M.CUTS).groupBy("predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
+query("M05_fold_metrics")(lambda t: M.fold_summary(M.fold_metrics(rows(t), folds(t), "tree")))
 query("M05_cross_validate")(lambda t: M.gaps(M.cross_validate(rows(t), folds(t), "tree")[1]))
 query("M16_modality_ablation")(lambda t: M.ablation(rows(t), folds(t), {"all": M.FEATURES, "no_age": [c for c in M.FEATURES if "age" not in c], "care": ["vaccinated", "dewormed"]}, "tree"))
 
@@ -43,6 +44,39 @@ query("E13_counterfactual_ev")(lambda t: M.counterfactuals(fitted(t), t.listings
 query("E14_counterfactual_grid")(lambda t: M.counterfactuals(fitted(t), t.listings_v, keep="class").select("listing_id", "feature", "candidate", F.round("ev_gain", 6).alias("ev_gain"), "class_gain"))
 
 
+# ---- a model with given weights: what follows from it can be checked by SQL -----------------------
+WEIGHTS = [[((3 * k + 5 * j) % 11 - 5) / 40 * (0.02 if c in ("age", "age_x_type") else 0.5) for j, c in enumerate(M.FEATURES)] for k in range(5)]
+INTERCEPTS = [0.1, 0.3, 0.2, -0.1, 0.0]
+given = M.Linear(WEIGHTS, INTERCEPTS)
+_CARE = "CAST(CASE {0} WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN -1 END AS DOUBLE)"
+_X = {"is_dog": "CAST(type = 1 AS DOUBLE)", "age": "CAST(age AS DOUBLE)", "log_fee": "ln(1 + fee)", "photos": "CAST(photos AS DOUBLE)", "quantity": "CAST(quantity AS DOUBLE)", "vaccinated": _CARE.format("vaccinated"), "dewormed": _CARE.format("dewormed"), "age_x_type": "CAST(age * CAST(type = 1 AS INT) AS DOUBLE)"}
+
+
+def _scored_sql(source: str, lost=()) -> str:
+    """The source's rows with ev and predicted under the given weights."""
+    z = ", ".join(f"exp({b} + " + " + ".join(f"({w}) * x_{c}" for w, c in zip(ws, M.FEATURES, strict=True)) + f") AS e{k}" for k, (ws, b) in enumerate(zip(WEIGHTS, INTERCEPTS, strict=True)))
+    x = ", ".join(f"{'CAST(0 AS DOUBLE)' if c in lost else e} AS x_{c}" for c, e in _X.items())
+    cuts = " + ".join(f"CAST(ev >= {c} AS INT)" for c in M.CUTS)
+    return f"(SELECT *, {cuts} AS predicted FROM (SELECT *, (e1 + 2 * e2 + 3 * e3 + 4 * e4) / (e0 + e1 + e2 + e3 + e4) AS ev FROM (SELECT *, {z} FROM (SELECT *, {x} FROM {source} src) fx) fz) fe)"
+
+
+_CELLS = ", ".join(f"({k}, '{c}', {w})" for k, ws in enumerate(WEIGHTS) for c, w in zip(M.FEATURES, ws, strict=True))
+_VALUE = "CASE feature " + " ".join(f"WHEN '{c}' THEN {e}" for c, e in _X.items()) + " END"
+query("E01_attributions_given", f"WITH v AS (SELECT listing_id AS row_id, cls, feature, w, {_VALUE} AS value FROM listings_v CROSS JOIN (VALUES {_CELLS}) c(cls, feature, w)) SELECT row_id, CAST(cls AS INT) AS cls, feature, round(value, 6) AS value, round(w * (value - avg(value) OVER (PARTITION BY feature)), 6) AS contribution FROM v")(
+    lambda t: M.linear_attributions(given, rows(t)).select("row_id", "cls", "feature", F.round("value", 6).alias("value"), F.round("contribution", 6).alias("contribution"))
+)
+query("M26_degradation_given", f"SELECT count(*) AS n, round(100.0 * count(*) FILTER (WHERE a.predicted <> b.predicted) / count(*), 4) AS changed_pct, round(avg(abs(a.predicted - b.predicted)), 6) AS mean_shift FROM {_scored_sql('listings_v')} a JOIN {_scored_sql('listings_v', ('age', 'age_x_type'))} b ON a.listing_id = b.listing_id")(
+    lambda t: M.degradation(given, rows(t), ["age", "age_x_type"])
+)
+_GRID = ", ".join(f"('{f}', CAST({float(v)} AS DOUBLE))" for f, values in M.GRID.items() for v in values)
+_MOVED = "SELECT listing_id, feature, candidate, type, age, " + ", ".join(f"CASE WHEN feature = '{f}' THEN candidate ELSE CAST({f} AS DOUBLE) END AS {f}" for f in M.GRID) + f" FROM listings_v CROSS JOIN (VALUES {_GRID}) g(feature, candidate) WHERE candidate <> CASE feature " + " ".join(f"WHEN '{f}' THEN CAST({f} AS DOUBLE)" for f in M.GRID) + " END"
+_CF = f"SELECT m.listing_id, m.feature, m.candidate, o.ev - m.ev AS gain, o.predicted - m.predicted AS class_gain FROM {_scored_sql(f'({_MOVED})')} m JOIN {_scored_sql('listings_v')} o ON o.listing_id = m.listing_id"
+for _name, _keep, _where in (("E13_counterfactual_ev_given", "ev", "gain > 1e-9 OR class_gain > 0"), ("E14_counterfactual_grid_given", "class", "class_gain > 0")):
+    query(_name, f"SELECT listing_id, feature, candidate, round(gain, 6) AS ev_gain, CAST(class_gain AS INT) AS class_gain FROM ({_CF}) c WHERE {_where}")(
+        lambda t, keep=_keep: M.counterfactuals(given, t.listings_v, keep=keep).where("ev_gain > 1e-9 or class_gain > 0").select("listing_id", "feature", "candidate", F.round("ev_gain", 6).alias("ev_gain"), "class_gain")
+    )
+
+
 @query("S20_model_bundle")
 def _(t):
     path = work_dir(t.spark) + "/bundle"

@@ -9,6 +9,7 @@ from ..operators import models as M
 from ..sources.files import work_dir
 from ..streaming import runs as R
 from .base import query
+from .q_models import _scored_sql, given
 
 events = lambda t: R.node_events(t.events)
 _EVENTS = "event_id bigint, user_id bigint, ts timestamp_ntz, event_type string, value double, props string"
@@ -48,3 +49,16 @@ def _(t):
     data = M.model_rows(requests.withColumn("listing_id", F.struct("event_id", "listing_id")))
     scored = E.scored(M.probabilities(model, M.assembled(data)), M.P, M.CUTS)
     return R.run_to_table(scored.select("listing_id.event_id", "listing_id.listing_id", "predicted", F.round("expected_value", 6).alias("expected_value")), work_dir(t.spark), "append")
+
+
+_FIRST = "SELECT e.event_id, l.* FROM events e JOIN (SELECT owner_id, min(listing_id) AS listing_id FROM listings_v GROUP BY 1) o ON o.owner_id = e.user_id JOIN listings_v l ON l.listing_id = o.listing_id"
+
+
+@query("R10_scored_request_stream_given", f"SELECT event_id, listing_id, predicted, round(ev, 6) AS expected_value FROM {_scored_sql(f'({_FIRST})')} s")
+def _(t):
+    """The model with given weights scores a stream of events joined to listings, without state."""
+    first = t.listings_v.groupBy("owner_id").agg(F.min("listing_id").alias("listing_id"))
+    requests = stream(t).select("event_id", F.col("session_id").alias("owner_id")).join(first, "owner_id").join(t.listings_v.drop("owner_id"), "listing_id")
+    data = M.model_rows(requests.withColumn("listing_id", F.struct("event_id", "listing_id")))
+    scored = E.scored(M.probabilities(given, data), M.P, M.CUTS)
+    return R.run_to_table(scored.select("listing_id.event_id", "listing_id.listing_id", "predicted", F.round("expected_value", 6).alias("expected_value")), work_dir(t.spark), "append")

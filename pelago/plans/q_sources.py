@@ -45,6 +45,31 @@ def _(t):
     return S.split_index(keys)
 
 
+def _documents(t, root, key):
+    """One JSON document per key, summed over the orders, in a folder of its own; besides, one file that is no JSON."""
+    doc = t.orders.select(key.alias("key"), "o_orderkey", F.col("o_orderstatus").alias("s")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("latest"), F.array_sort(F.collect_set("s")).alias("kinds"))
+    doc.repartition("key").write.partitionBy("key").json(root)
+    t.orders.agg(F.concat(F.lit("{no json "), F.count(F.lit(1))).alias("value")).select("value", F.lit("broken").alias("key")).write.mode("append").partitionBy("key").text(root)
+
+
+_DOCUMENT = "n bigint, latest bigint, kinds array<string>"
+
+
+@query("S03_scan_keyed_json_files", "SELECT 'c' || CAST(o_orderkey % 32 AS VARCHAR) AS key, count(*) AS n, max(o_orderkey) AS latest, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS kinds FROM orders GROUP BY 1")
+def _(t):
+    root = S.work_dir(t.spark) + "/json"
+    _documents(t, root, F.concat(F.lit("c"), (F.col("o_orderkey") % 32).cast("string")))
+    return S.scan_keyed_json(t.spark, root, _DOCUMENT, S.FOLDER).select("key", "n", "latest", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query("S04_scan_keyed_indexed_json_files", "SELECT key, image_index, CAST(sum(n) AS BIGINT) AS n, max(latest) AS latest FROM (SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'plain' ELSE 'k-' || CAST(o_orderkey % 5 AS VARCHAR) END AS key, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE CAST(o_orderkey % 7 AS INT) END AS image_index, count(*) AS n, max(o_orderkey) AS latest FROM orders GROUP BY 1, 2) s GROUP BY 1, 2")
+def _(t):
+    root = S.work_dir(t.spark) + "/json"
+    k = F.col("o_orderkey")
+    _documents(t, root, F.when(k % 5 == 0, "plain").otherwise(F.concat_ws("-", F.lit("k"), (k % 5).cast("string"), (k % 7).cast("string"))))
+    return S.scan_keyed_indexed_json(t.spark, root, _DOCUMENT, S.FOLDER).select("key", "image_index", "n", "latest")
+
+
 @query("S05_lookup_documents", "SELECT 'found' AS status, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'missing', count(*) FROM (SELECT doc_id * 3 AS doc_id FROM labels EXCEPT SELECT doc_id FROM documents)")
 def _(t):
     found, _ = S.lookup(t.documents, t.labels, "doc_id")
@@ -91,6 +116,15 @@ def _(t):
     return S.file_inventory(t.spark, root).where("extension in ('.csv', '.parquet')")
 
 
+@query("S10_file_counts", "SELECT extension, count(DISTINCT state) AS n_files FROM listings_v CROSS JOIN (VALUES ('.csv'), ('.json')) e(extension) GROUP BY extension")
+def _(t):
+    root = S.work_dir(t.spark)
+    rows = _list(t).withColumn("place", F.col("state")).repartition("place")
+    rows.write.partitionBy("place").csv(f"{root}/csv")
+    rows.write.partitionBy("place").json(f"{root}/json")
+    return S.file_inventory(t.spark, root).where("extension in ('.csv', '.json')").groupBy("extension").agg(F.sum("n_files").alias("n_files"))
+
+
 query("S11_feature_schema_sidecar", "SELECT * FROM (VALUES ('tabular', 'v1', 0, 'listing_id', 'bigint', 3, 42), ('tabular', 'v1', 1, 'age', 'int', 3, 42), ('tabular', 'v1', 2, 'fee', 'double', 3, 42)) v(modality, version, place, \"column\", dtype, n_columns, seed)")(
     lambda t: S.sidecar(t.listings_v.select("listing_id", "age", "fee"), "tabular", "v1")
 )

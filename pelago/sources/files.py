@@ -15,9 +15,11 @@ SPLITS = ("train", "test")
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder in the shared folder that the session names; our own only where none is named."""
+    """A new folder in the shared folder that the session names; our own only in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="pelago-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/pelago-{uuid.uuid4().hex}"
@@ -44,13 +46,22 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
-def scan_keyed_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document per file: key from the file name; files that do not parse are left out."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    keyed = rows.withColumn("key", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[A-Za-z]+)?$", 1))
+#: The stem of a file's name; with FOLDER the value in a path like `.../key=value/part-0.json`.
+STEM, FOLDER = r"([^/]*?)(?:\.[A-Za-z]+)?$", r"/key=([^/]+)/[^/]*$"
+
+
+def scan_keyed_json(spark: SparkSession, path: str, schema: str, pattern: str = STEM) -> DataFrame:
+    """One JSON document per file: key from the file's path; files that do not parse are left out."""
+    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).json(path)
+    keyed = rows.withColumn("key", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
     return keyed.where("_corrupt_record is null").drop("_corrupt_record")
 
 
+def scan_keyed_indexed_json(spark: SparkSession, path: str, schema: str, pattern: str = STEM) -> DataFrame:
+    """scan_keyed_json with keys `name-3`, split into key and image_index."""
+    return split_index(scan_keyed_json(spark, path, schema, pattern))
+
+
 def split_index(df: DataFrame, key: str = "key") -> DataFrame:
     """A key `name-3` becomes (name, 3) at its last hyphen; the index is 1 if there is none."""
     m = F.regexp_extract(key, r"^(.*)-(\d+)$", 1)
@@ -111,7 +122,7 @@ def scan_feature_set(spark: SparkSession, root: str, modality: str, version: str
     """The features, and the column differences against the sidecar (empty if they agree)."""
     rows = spark.read.parquet(f"{root}/features").where((F.col("modality") == modality) & (F.col("version") == version) & (F.col("split") == split))
     declared = spark.read.schema(SIDECAR).json(f"{root}/schema").where((F.col("modality") == modality) & (F.col("version") == version)).dropDuplicates(["column"])
-    names = [r["column"] for r in declared.select("column", "place").orderBy("place").limit(100_000).collect()]
+    names = [r["column"] for r in declared.select("column", "place").orderBy("place").collect()]
     data = [c for c in rows.columns if c not in ("modality", "version", "split")]
     gaps = [(c, "not in data") for c in names if c not in data] + [(c, "not in sidecar") for c in data if c not in names and not rows.where(F.col(c).isNotNull()).isEmpty()]
     return rows.select(*[c for c in names if c in data]), spark.createDataFrame(gaps, "column string, problem string")

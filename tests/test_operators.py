@@ -394,3 +394,34 @@ def test_addresses_and_tags_as_the_plain_patterns_have_them(spark):
         want.append(re.sub(r"\s+", " ", x).strip() or T.PLACEHOLDER)
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, t string")
     assert [r[0] for r in df.orderBy("i").select(T.preprocess("t")).collect()] == want
+
+
+def test_probabilities_of_paired_tests(spark):
+    assert abs(E.t_probability(2.776445, 4) - 0.05) < 1e-6 and abs(E.t_probability(1.959964, 10_000_000) - 0.05) < 1e-5
+    assert abs(E.t_probability(-12.7062, 1) - 0.05) < 1e-6 and E.t_probability(0.0, 7) == 1.0
+    below = sum(sum(i + 1 for i in range(10) if signs >> i & 1) <= 15 for signs in range(1 << 10))
+    assert E.signed_rank_probability(0, 5, 0) == 0.0625 and E.signed_rank_probability(15, 10, 0) == 2 * below / 1024
+    rows = [("p", float(i), float(i) - d) for i, d in enumerate([1, 2, 3, 4, 5, -6, 7, 8])] + [("q", 1.0, 1.0), ("q", 2.0, 2.0)]
+    out = {r.pair: r for r in E.paired_tests(spark.createDataFrame(rows, "pair string, a double, b double"), "pair", "a", "b").collect()}
+    assert out["p"].w == 6 and abs(out["p"].p_w - 2 * 14 / 256) < 1e-9 and abs(out["p"].t - 1.908) < 1e-3 and 0.09 < out["p"].p_t < 0.1
+    assert out["q"].t is None and out["q"].p_w == 1.0
+
+
+def test_models_over_folds(spark, sf_dir):
+    """M05, M16, M18, M19 on real folds: every row is scored once, and the sums agree."""
+    from pelago.plans.base import Tables
+
+    t = Tables(spark, sf_dir)
+    rows, folds = M.model_rows(t.listings_v).cache(), E.stratified_folds(t.listings_v, "listing_id", "speed", 2).cache()
+    oof, metrics = M.cross_validate(rows, folds, "tree", k=2)
+    assert oof.count() == rows.count() == oof.select("listing_id").distinct().count()
+    assert oof.where("abs(p0 + p1 + p2 + p3 + p4 - 1) > 1e-9").isEmpty() and metrics.count() == 4
+    each = M.fold_metrics(rows, folds, "tree", k=2).collect()
+    assert sum(r.n for r in each) == rows.count() and all(len(r.cuts) == 4 and sorted(r.cuts) == r.cuts and -1 <= r.kappa <= 1 and 0 <= r.macro_f1 <= 1 for r in each)
+    totals = {r.metric: r for r in M.fold_summary(M.fold_metrics(rows, folds, "tree", k=2)).collect()}
+    assert abs(totals["accuracy"]["mean"] - sum(r.accuracy for r in each) / 2) < 1e-6
+    assert {r.subset for r in M.ablation(rows, folds, {"all": M.FEATURES, "care": ["vaccinated"]}, "tree", k=2).collect()} == {"all", "care"}
+    stacked = M.stack([oof, M.cross_validate(rows, folds, "linear", k=2)[0]], rows.select("listing_id", "y"))
+    assert stacked.count() == rows.count() and stacked.where("p0 is null").isEmpty()
+    found = M.search(rows, folds, 2, k=2).collect()
+    assert len(found) == 2 and found[0].score >= found[1].score
