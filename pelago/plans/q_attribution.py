@@ -16,6 +16,7 @@ _REG = """reg AS (SELECT feature, CASE WHEN regexp_matches(feature, '^img_emb_[0
 _DIM = "dim AS (SELECT feature, CASE WHEN feature LIKE 'img_emb_%' THEN 'image' WHEN feature LIKE 'text_emb_%' OR feature LIKE 'doc_sentiment_%' THEN 'text' ELSE 'tabular' END AS modality FROM (SELECT DISTINCT feature FROM attrib_v) d)"
 query("A28_table_fingerprint")(lambda t: A.fingerprint(t.attrib_v))
 query("A28_row_digests", "SELECT sha256(n_nationkey || '|' || n_name || '|' || n_regionkey) AS digest FROM nation")(lambda t: t.nation.select(F.sha2(F.concat_ws("|", "n_nationkey", "n_name", "n_regionkey"), 256).alias("digest")))
+query("A28_row_digests_orders", "SELECT sha256(o_orderkey || '|' || o_custkey || '|' || o_orderpriority) AS digest FROM orders")(lambda t: t.orders.select(F.sha2(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderpriority"), 256).alias("digest")))
 query("A29_feature_registry", f"WITH {_REG} SELECT * FROM reg")(reg)
 query("A30_group_members", f"WITH {_REG} SELECT grp, count(*) AS n, string_agg(feature, ',' ORDER BY feature) AS features FROM reg GROUP BY grp")(lambda t: A.group_members(reg(t), "grp"))
 query("A30_aggregation_members", f"WITH {_REG} SELECT aggregation_key, count(*) AS n, string_agg(feature, ',' ORDER BY feature) AS features FROM reg WHERE aggregation_key IS NOT NULL GROUP BY 1")(lambda t: A.group_members(reg(t), "aggregation_key"))

@@ -29,6 +29,12 @@ def _(t):
     return S.scan_reference(t.spark, root, "state", {"state": "id int, name string"})
 
 
+@query("S02_scan_reference_parts", "SELECT p_partkey AS id, p_name AS name FROM part")
+def _(t):
+    root = S.work_dir(t.spark)
+    S.write_csv(t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), f"{root}/part")
+    return S.scan_reference(t.spark, root, "part", {"part": "id bigint, name string"})
+
 
 @query("S03_scan_keyed_json", "SELECT n_regionkey AS region, count(*) AS n, min(n_name) AS first FROM nation GROUP BY 1")
 def _(t):
