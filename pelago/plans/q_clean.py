@@ -129,10 +129,10 @@ query(
 query("P21_modality_defaults", "SELECT d.doc_id, coalesce(l.quality, 0) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")(lambda t: t.docs_v.select("doc_id", "quality", "toxic").na.fill({"quality": 0, "toxic": -1}))
 query(
     "P22_request_features",
-    """WITH f AS (SELECT breed1, count(*) * 1.0 / (SELECT count(*) FROM listings_v WHERE listing_id % 2 = 0) AS share FROM listings_v WHERE listing_id % 2 = 0 AND breed1 < 5 GROUP BY breed1)
- SELECT listing_id, CAST(type = 1 AS INT) AS is_dog, round(ln(1 + age), 6) AS log_age, round(coalesce(f.share, (SELECT avg(g.share) FROM listings_v l JOIN f g ON l.breed1 = g.breed1 WHERE l.listing_id % 2 = 0)), 6) AS breed1_frequency
- FROM listings_v v LEFT JOIN f ON v.breed1 = f.breed1 WHERE listing_id % 2 = 1""",
-)(lambda t: X.request_features(t.listings_v.where("listing_id % 2 = 0"), t.listings_v.where("listing_id % 2 = 1")))
+    """WITH f AS (SELECT breed1, count(*) * 1.0 / (SELECT count(*) FROM listings_v WHERE type = 1) AS share FROM listings_v WHERE type = 1 AND breed1 < 5 GROUP BY breed1)
+ SELECT listing_id, CAST(type = 1 AS INT) AS is_dog, round(ln(1 + age), 6) AS log_age, round(coalesce(f.share, (SELECT avg(g.share) FROM listings_v l JOIN f g ON l.breed1 = g.breed1 WHERE l.type = 1)), 6) AS breed1_frequency
+ FROM listings_v v LEFT JOIN f ON v.breed1 = f.breed1""",
+)(lambda t: X.request_features(t.listings_v.where("type = 1"), t.listings_v))  # fitted on one pet type, applied to every listing
 query(
     "P22_request_features_all",
     """WITH f AS (SELECT breed1, count(*) * 1.0 / (SELECT count(*) FROM listings_v) AS share FROM listings_v WHERE breed1 < 5 GROUP BY breed1)
@@ -151,11 +151,11 @@ query("P26_row_filters", "SELECT listing_id, state FROM listings_v WHERE type =
 # ---- K01-K15: joins and key sets ---------------------------------------------------------------
 query(
     "K01_enrich_with_group_stats",
-    """WITH s AS (SELECT owner_id, count(*) AS n, avg(photos) AS p, avg(fee) AS f FROM listings_v WHERE listing_id % 2 = 0 GROUP BY owner_id)
- SELECT listing_id, round(coalesce(n, (SELECT avg(n) FROM s)), 6) AS owner_count, round(coalesce(p, (SELECT avg(p) FROM s)), 6) AS owner_mean_photos, round(coalesce(f, (SELECT avg(f) FROM s)), 6) AS owner_mean_fee FROM listings_v v LEFT JOIN s ON v.owner_id = s.owner_id WHERE listing_id % 2 = 1""",
+    """WITH s AS (SELECT owner_id, count(*) AS n, avg(photos) AS p, avg(fee) AS f FROM listings_v WHERE type = 1 GROUP BY owner_id)
+ SELECT listing_id, round(coalesce(n, (SELECT avg(n) FROM s)), 6) AS owner_count, round(coalesce(p, (SELECT avg(p) FROM s)), 6) AS owner_mean_photos, round(coalesce(f, (SELECT avg(f) FROM s)), 6) AS owner_mean_fee FROM listings_v v LEFT JOIN s ON v.owner_id = s.owner_id""",
 )(
-    lambda t: X.GroupStats.fit(t.listings_v.where("listing_id % 2 = 0"), "owner_id", {"photos": "owner_mean_photos", "fee": "owner_mean_fee"}, "owner_count")
-    .apply(t.listings_v.where("listing_id % 2 = 1"))
+    lambda t: X.GroupStats.fit(t.listings_v.where("type = 1"), "owner_id", {"photos": "owner_mean_photos", "fee": "owner_mean_fee"}, "owner_count")
+    .apply(t.listings_v)  # owners without a listing of the fitted type get the mean of all owners
     .select("listing_id", F.round("owner_count", 6).alias("owner_count"), F.round("owner_mean_photos", 6).alias("owner_mean_photos"), F.round("owner_mean_fee", 6).alias("owner_mean_fee"))
 )
 query(
