@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.stats import quantiles
+
 
 def luma_and_blur(data: bytes, height: int, width: int, channels: int) -> tuple[float, float]:
     """Mean luma, and the variance of the Laplacian with mirrored borders. Pixels come as BGR bytes."""
@@ -72,8 +76,7 @@ def scale(train: DataFrame, df: DataFrame, columns, how: str = "standard") -> Da
     if how == "standard":
         fitted = train.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
     else:
-        q = lambda c, p: F.percentile(c, F.lit(p))
-        fitted = train.agg(*[q(c, 0.5).alias(f"_m_{c}") for c in columns], *[(q(c, 0.75) - q(c, 0.25)).alias(f"_s_{c}") for c in columns])
+        fitted = reduce(DataFrame.crossJoin, [quantiles(train, c, [0.25, 0.5, 0.75]).select(F.col("q1").alias(f"_m_{c}"), (F.col("q2") - F.col("q0")).alias(f"_s_{c}")) for c in columns])  # one row each
     out = df.crossJoin(F.broadcast(fitted))  # one row
     return out.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") != 0, F.col(f"_s_{c}")).otherwise(1.0) for c in columns}).drop(*[f"_{k}_{c}" for k in "ms" for c in columns])
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stats import running_counts
+from .stats import quantiles, running_counts
 
 CLASSES = (0, 1, 2, 3, 4)
 #: Readable names of the classes.
@@ -100,9 +100,10 @@ def diagnostics(df: DataFrame, classes: Sequence[int] = CLASSES, low: float = 0.
     n = F.count(F.lit(1))
     counts = F.array(*[F.struct(F.lit(c).alias("c"), F.count_if(F.col("predicted") == c).alias("n")) for c in classes])
     one = df.agg(
-        n.alias("n"), F.round(F.avg("confidence"), 6).alias("mean"), F.round(F.percentile("confidence", F.lit(0.5)), 6).alias("median"), F.round(F.min("confidence"), 6).alias("min"), F.round(F.max("confidence"), 6).alias("max"),
+        n.alias("n"), F.round(F.avg("confidence"), 6).alias("mean"), F.round(F.min("confidence"), 6).alias("min"), F.round(F.max("confidence"), 6).alias("max"),
         F.round(F.stddev_pop("confidence"), 6).alias("std"), F.count_if(F.col("confidence") < low).alias("n_low"), F.round(100.0 * F.count_if(F.col("confidence") < low) / n, 4).alias("pct_low"), counts.alias("counts"),
     )
+    one = one.crossJoin(quantiles(df, "confidence", [0.5]).select(F.round("q0", 6).alias("median")))  # one row each
     listed = lambda keep: F.array_join(F.transform(F.filter("counts", keep), lambda x: x["c"].cast("string")), ",")
     return one.withColumns({"empty_classes": listed(lambda x: x["n"] == 0), "above_half": listed(lambda x: x["n"] > F.col("n") / 2)}).drop("counts")
 
@@ -122,8 +123,8 @@ def error_profile(df: DataFrame, y: str, yhat: str, confidence: str) -> DataFram
     wrong, n = F.col(y) != F.col(yhat), F.count(F.lit(1))
     return df.agg(
         n.alias("n"), F.round(F.count_if(wrong) / n, 6).alias("error_rate"), F.count_if(F.col(yhat) > F.col(y)).alias("n_over"), F.count_if(F.col(yhat) < F.col(y)).alias("n_under"), F.round(F.avg(F.abs(F.col(yhat) - F.col(y))), 6).alias("mean_abs_error"),
-        F.round(F.avg(F.when(wrong, F.col(confidence))), 6).alias("confidence_wrong"), F.round(F.avg(F.when(~wrong, F.col(confidence))), 6).alias("confidence_right"), F.round(F.percentile(F.when(wrong, F.col(confidence)), F.lit(0.5)), 6).alias("median_wrong"),
-    )
+        F.round(F.avg(F.when(wrong, F.col(confidence))), 6).alias("confidence_wrong"), F.round(F.avg(F.when(~wrong, F.col(confidence))), 6).alias("confidence_right"),
+    ).crossJoin(quantiles(df.where(wrong), confidence, [0.5]).select(F.round("q0", 6).alias("median_wrong")))  # one row each
 
 
 def error_pairs(df: DataFrame, y: str, yhat: str) -> DataFrame:

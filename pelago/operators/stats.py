@@ -44,12 +44,16 @@ def kurtosis(c: str) -> Column:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Moments in one pass; medians from running counts over the values of all columns."""
     cells = []
     for i, c in enumerate(columns):
-        parts = {"n": F.count(c), "mean": F.avg(c), "median": F.percentile(c, F.lit(0.5)), "std": F.stddev(c), "min": F.min(c).cast("double"), "max": F.max(c).cast("double"), "skew": skewness(c), "kurt": kurtosis(c)}
+        parts = {"n": F.count(c), "mean": F.avg(c), "std": F.stddev(c), "min": F.min(c).cast("double"), "max": F.max(c).cast("double"), "skew": skewness(c), "kurt": kurtosis(c)}
         cells.append(F.struct(F.lit(c).alias("column"), *[(v if k == "n" else F.round(v, 4)).alias(k) for k, v in parts.items()]).alias(f"c{i}"))
     one = df.agg(*cells)
-    return one.select(F.explode(F.array(*one.columns)).alias("r")).select("r.*")
+    values = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    medians = quantiles(df.select(F.explode(values).alias("v")).select("v.*"), "value", [0.5], ["column"])
+    out = one.select(F.explode(F.array(*one.columns)).alias("r")).select("r.*").join(medians, "column", "left")
+    return out.select("column", "n", "mean", F.round("q0", 4).alias("median"), "std", "min", "max", "skew", "kurt")
 
 
 def grouped_stats(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -92,7 +96,8 @@ def running_counts(counts: DataFrame, value: str, n: str, by: Sequence[str] = ()
     Values are dealt into buckets at approximate quantiles; a bucket starts where the sums of the
     buckets before it end, so no task orders all values. Exact whatever the quantiles are."""
     by, v = list(by), F.col(value).cast("double")
-    edges = counts.groupBy(*by).agg(F.percentile_approx(v, [i / buckets for i in range(1, buckets)], 1000).alias("_edges"))
+    # n is named here too, so that all readers of counts want the same columns and share its shuffle
+    edges = counts.groupBy(*by).agg(F.percentile_approx(F.when(F.col(n) > 0, v), [i / buckets for i in range(1, buckets)], 1000).alias("_edges"))
     rows = counts.join(edges, by) if by else counts.crossJoin(F.broadcast(edges))  # one row
     rows = rows.withColumn("_bucket", F.coalesce(F.size(F.filter("_edges", lambda e: e < v)), F.lit(-1))).drop("_edges")
     sums = rows.groupBy(*by, "_bucket").agg(F.sum(n).alias("_in"))
@@ -102,12 +107,18 @@ def running_counts(counts: DataFrame, value: str, n: str, by: Sequence[str] = ()
     return out.withColumn("_below", F.col("_start") + F.coalesce(F.sum(n).over(before([*by, "_bucket"], value)), F.lit(0))).drop("_bucket", "_start")
 
 
-def quantiles(df: DataFrame, column: str, points: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles with linear interpolation, as columns q0, q1, ..., overall or by keys.
+def quantiles(df: DataFrame, column: str, points: Sequence[float], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation, as columns q0, q1, ..., overall or by keys; weight: how often a row counts.
 
     Unlike a percentile aggregate, no task holds all values: positions come from running counts."""
+    one = neighbours(df, column, points, by, weight)
+    return one.select(*by, *[(F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}") for i in range(len(points))])
+
+
+def neighbours(df: DataFrame, column: str, points: Sequence[float], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """The values beside each quantile, _lo0, _hi0, ..., its place between them, _f0, ..., and the smallest value, _least."""
     by = list(by)
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
     rows = running_counts(counts, "_v", "_n", by)
     rows = rows.join(totals, by) if by else rows.crossJoin(F.broadcast(totals))  # one row
@@ -116,8 +127,7 @@ def quantiles(df: DataFrame, column: str, points: Sequence[float], by: Sequence[
     for i, p in enumerate(points):
         h = F.lit(float(p)) * (F.col("_all") - 1)
         cells += [value_at(F.floor(h)).alias(f"_lo{i}"), value_at(F.ceil(h)).alias(f"_hi{i}"), F.max(h - F.floor(h)).alias(f"_f{i}")]
-    one = rows.groupBy(*by).agg(*cells)
-    return one.select(*by, *[(F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}") for i in range(len(points))])
+    return rows.groupBy(*by).agg(F.min("_v").alias("_least"), *cells)
 
 
 def average_ranks(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -153,13 +163,15 @@ def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, by: str, bins: int, cap: float = 0.99) -> DataFrame:
-    """Counts in equal bins of what is not above the capped percentile; the last bin is closed."""
-    top = quantiles(df, column, [cap]).select(F.col("q0").alias("_cap"))
-    rows = df.crossJoin(F.broadcast(top)).where(F.col(column) <= F.col("_cap"))
-    edge = rows.agg(F.min(column).cast("double").alias("_lo"), F.max(column).cast("double").alias("_hi"))
-    out = rows.crossJoin(F.broadcast(edge))
-    b = F.least(F.floor((F.col(column) - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / bins)), F.lit(bins - 1))
-    return out.withColumn("bin", F.coalesce(b, F.lit(0)).cast("int")).groupBy("bin", by).agg(F.count(F.lit(1)).alias("n"))
+    """Counts in equal bins of what is not above the capped percentile; the last bin is closed.
+
+    Rows are counted by value once; the cap, the edges and the bins all come from these counts."""
+    v = F.col("_x")
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_x"), by).agg(F.count(F.lit(1)).alias("_n"))
+    edge = neighbours(counts, "_x", [cap], weight="_n").select("_least", F.col("_lo0").alias("_most"))  # no value lies between _most and the cap
+    rows = counts.crossJoin(F.broadcast(edge)).where(v <= F.col("_most"))  # one row
+    b = F.least(F.floor((v - F.col("_least")) / ((F.col("_most") - F.col("_least")) / bins)), F.lit(bins - 1))
+    return rows.groupBy(F.coalesce(b, F.lit(0)).cast("int").alias("bin"), by).agg(F.sum("_n").alias("n"))
 
 
 def zero_filled(counts: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -113,14 +113,14 @@ query("A24_image_quality_by_key")(lambda t: I.quality_by_key(I.image_stats(pictu
 
 @query("A26_fit_apply_pca")
 def _(t):
-    out, variance = I.pca(t.embeddings.where("vec_id % 2 = 0"), t.embeddings, "embedding", 8)
+    out, variance = I.pca(t.embeddings, t.embeddings, "embedding", 8)
     return out.select("vec_id", F.round(F.abs(F.get("scores", F.lit(0))), 4).alias("first_score"), F.lit(round(sum(variance), 6)).alias("explained"))
 
 
-_SC = "WITH m AS (SELECT avg(age) AS ma, stddev_pop(age) AS sa, avg(fee) AS mf, stddev_pop(fee) AS sf FROM listings_v WHERE listing_id % 2 = 0)"
+_SC = "WITH m AS (SELECT avg(age) AS ma, stddev_pop(age) AS sa, avg(fee) AS mf, stddev_pop(fee) AS sf FROM listings_v WHERE type = 1)"
 query("A27_fit_apply_scaler", f"{_SC} SELECT listing_id, round((age - ma) / sa, 6) AS age, round((fee - mf) / sf, 6) AS fee FROM listings_v, m")(
-    lambda t: I.scale(t.listings_v.where("listing_id % 2 = 0"), t.listings_v.select("listing_id", F.col("age").cast("double").alias("age"), "fee"), ["age", "fee"]).select("listing_id", F.round("age", 6).alias("age"), F.round("fee", 6).alias("fee"))
+    lambda t: I.scale(t.listings_v.where("type = 1"), t.listings_v.select("listing_id", F.col("age").cast("double").alias("age"), "fee"), ["age", "fee"]).select("listing_id", F.round("age", 6).alias("age"), F.round("fee", 6).alias("fee"))
 )
-query("A27_robust_scaler", "WITH m AS (SELECT median(age) AS ma, quantile_cont(age, 0.75) - quantile_cont(age, 0.25) AS sa FROM listings_v WHERE listing_id % 2 = 0) SELECT listing_id, round((age - ma) / sa, 6) AS age FROM listings_v, m")(
-    lambda t: I.scale(t.listings_v.where("listing_id % 2 = 0"), t.listings_v.select("listing_id", F.col("age").cast("double").alias("age")), ["age"], "robust").select("listing_id", F.round("age", 6).alias("age"))
+query("A27_robust_scaler", "WITH m AS (SELECT median(age) AS ma, quantile_cont(age, 0.75) - quantile_cont(age, 0.25) AS sa FROM listings_v WHERE type = 1) SELECT listing_id, round((age - ma) / sa, 6) AS age FROM listings_v, m")(
+    lambda t: I.scale(t.listings_v.where("type = 1"), t.listings_v.select("listing_id", F.col("age").cast("double").alias("age")), ["age"], "robust").select("listing_id", F.round("age", 6).alias("age"))
 )

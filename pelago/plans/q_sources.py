@@ -105,13 +105,14 @@ def _(t):
     return S.scan_parquet(t.spark, path)
 
 
-@query("S09_scan_feature_set", "SELECT listing_id, age, fee FROM listings_v WHERE listing_id % 2 = 0")
+@query("S09_scan_feature_set", "SELECT listing_id, age, fee, CASE WHEN type = 1 THEN 'train' ELSE 'test' END AS split FROM listings_v")
 def _(t):
     root = S.work_dir(t.spark)
-    rows = t.listings_v.select("listing_id", "age", "fee")
-    S.write_feature_set(rows.where("listing_id % 2 = 0"), root, "tabular", "v1", "train")
-    S.write_feature_set(rows.where("listing_id % 2 = 1"), root, "tabular", "v1", "test")
-    return S.scan_feature_set(t.spark, root, "tabular", "v1", "train")[0]
+    parts = {"train": "type = 1", "test": "type <> 1"}
+    for split, rule in parts.items():
+        S.write_feature_set(t.listings_v.where(rule).select("listing_id", "age", "fee"), root, "tabular", "v1", split)
+    read = [S.scan_feature_set(t.spark, root, "tabular", "v1", split)[0].withColumn("split", F.lit(split)) for split in parts]
+    return read[0].unionByName(read[1])
 
 
 @query("S10_file_inventory")

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import documents as D
 from ..functions import text as T
 from ..operators import cleaning as C
+from ..operators.stats import quantiles
 from .base import query
 
 query("X01_preprocess_stats", "SELECT count(*) AS n, count(*) FILTER (WHERE text IS NULL) AS n_null, count(*) FILTER (WHERE coalesce(trim(text), '') = '') AS n_empty_or_null, round(avg(length(text)), 4) AS mean_length, round(median(length(text)), 4) AS median_length, CAST(min(length(text)) AS INT) AS min_length, CAST(max(length(text)) AS INT) AS max_length FROM documents")(
     lambda t: t.documents.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").isNull()).alias("n_null"), F.count_if(F.coalesce(F.trim("text"), F.lit("")) == "").alias("n_empty_or_null"), F.round(F.avg(F.length("text")), 4).alias("mean_length"),
-        F.round(F.percentile(F.length("text"), F.lit(0.5)), 4).alias("median_length"), F.min(F.length("text")).alias("min_length"), F.max(F.length("text")).alias("max_length"),
-    )
+        F.min(F.length("text")).alias("min_length"), F.max(F.length("text")).alias("max_length"),
+    ).crossJoin(quantiles(t.documents.select(F.length("text").alias("length")), "length", [0.5]).select(F.round("q0", 4).alias("median_length")))
 )
 #: White space of every kind for the SQL, whose own classes are ASCII.
 _WS = r"\s\x0b\x1c-\x1f\x85\p{Z}"
