@@ -9,9 +9,10 @@ from functools import reduce
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import work_dir
 from . import evaluation as E
 from . import features as X
 
@@ -72,18 +73,30 @@ def probabilities(model, rows: DataFrame) -> DataFrame:
     return out.withColumns({p: F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)) for i, p in enumerate(P)}).drop("_p", "rawPrediction", "probability", "prediction")
 
 
-def cross_validate(rows: DataFrame, folds: DataFrame, family: str, columns: Sequence[str] = FEATURES, k: int = 5, **settings) -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold probabilities, and kappa of training and validation rows by fold."""
+def _by_part(model, data: DataFrame, part: Column) -> list:
+    """(part, n, kappa) of the parts of one scored table."""
+    out = E.scored(probabilities(model, data.withColumn("part", part)), P, CUTS)
+    return E.quadratic_kappa(out.where("part is not null"), "y", "predicted", ["part"]).collect()
+
+
+def cross_validate(rows: DataFrame, folds: DataFrame, family: str, columns: Sequence[str] = FEATURES, k: int = 5, keep: bool = True, **settings) -> tuple[DataFrame | None, DataFrame]:
+    """Out-of-fold probabilities, and kappa of training and validation rows by fold.
+
+    The former are written to a folder of the session's shared one, so that no model is fitted twice
+    and no vector stays cached; without keep they are not made."""
+    spark = rows.sparkSession
     data = assembled(rows, columns).join(folds.select("listing_id", "fold"), "listing_id").persist()
-    oof, metrics = [], []
+    root, metrics, schema = work_dir(spark), [], None
     for f in range(k):
         model = learner(family, **settings).fit(data.where(F.col("fold") != f))
-        valid = probabilities(model, data.where(F.col("fold") == f))
-        train = probabilities(model, data.where(F.col("fold") != f))
-        parts = [E.quadratic_kappa(E.scored(d, P, CUTS), "y", "predicted").select(F.lit(f).alias("fold"), F.lit(name).alias("part"), "n", "kappa") for name, d in (("train", train), ("valid", valid))]
-        metrics += parts
-        oof.append(valid.select("listing_id", "fold", "y", *P))
-    return reduce(DataFrame.unionByName, oof), reduce(DataFrame.unionByName, metrics)
+        metrics += [(f, r["part"], r["n"], r["kappa"]) for r in _by_part(model, data, F.when(F.col("fold") == f, "valid").otherwise("train"))]
+        if keep:
+            valid = probabilities(model, data.where(F.col("fold") == f)).select("listing_id", "fold", "y", *P)
+            valid.write.parquet(f"{root}/{f}")
+            schema = valid.schema
+    data.unpersist()
+    oof = spark.read.schema(schema).parquet(*[f"{root}/{f}" for f in range(k)]) if keep else None
+    return oof, spark.createDataFrame(metrics, "fold int, part string, n long, kappa double")
 
 
 def fold_metrics(rows: DataFrame, folds: DataFrame, family: str, columns: Sequence[str] = FEATURES, k: int = 5, **settings) -> DataFrame:
@@ -113,7 +126,7 @@ def gaps(metrics: DataFrame) -> DataFrame:
 
 
 def ablation(rows: DataFrame, folds: DataFrame, subsets: Mapping[str, Sequence[str]], family: str, k: int = 5) -> DataFrame:
-    out = [cross_validate(rows, folds, family, columns, k)[1].where("part = 'valid'").agg(F.round(F.avg("kappa"), 6).alias("kappa")).select(F.lit(name).alias("subset"), "kappa") for name, columns in subsets.items()]
+    out = [cross_validate(rows, folds, family, columns, k, keep=False)[1].where("part = 'valid'").agg(F.round(F.avg("kappa"), 6).alias("kappa")).select(F.lit(name).alias("subset"), "kappa") for name, columns in subsets.items()]
     return reduce(DataFrame.unionByName, out)
 
 
@@ -133,22 +146,25 @@ def search(rows: DataFrame, folds: DataFrame, trials: int, seed: int = 42, k: in
     out = []
     for i in range(trials):
         s = {"maxDepth": rng.randint(2, 6), "minInstancesPerNode": rng.choice([1, 5, 20])}
-        score = cross_validate(rows, folds, "tree", FEATURES, k, **s)[1].where("part = 'valid'").agg(F.round(F.avg("kappa"), 6).alias("score"))
+        score = cross_validate(rows, folds, "tree", FEATURES, k, keep=False, **s)[1].where("part = 'valid'").agg(F.round(F.avg("kappa"), 6).alias("score"))
         out.append(score.select(F.lit(i).alias("trial"), F.lit(s["maxDepth"]).alias("max_depth"), F.lit(s["minInstancesPerNode"]).alias("min_rows"), "score"))
     return reduce(DataFrame.unionByName, out).orderBy(F.desc("score"), "trial")
 
 
-def learning_curve(rows: DataFrame, family: str, shares: Sequence[float] = (0.2, 0.6, 1.0)) -> DataFrame:
-    h = F.pmod(F.xxhash64("listing_id"), F.lit(1000))
-    data = assembled(rows).withColumn("_h", h)
-    valid = data.where("_h >= 800")
+def learning_curve(rows: DataFrame, folds: DataFrame, family: str, shares: Sequence[float] = (0.2, 0.6, 1.0), k: int = 5) -> DataFrame:
+    """For each share of the training rows, taken by hash: mean and deviation over the folds of kappa on them and on the validation rows."""
+    data = assembled(rows).join(folds.select("listing_id", "fold"), "listing_id").withColumn("_h", F.pmod(F.xxhash64("listing_id"), F.lit(1000))).persist()
     out = []
     for s in shares:
-        part = data.where(F.col("_h") < 800 * s)
-        model = learner(family).fit(part)
-        k = [E.quadratic_kappa(E.scored(probabilities(model, d), P, CUTS), "y", "predicted").select(F.col("n").alias(f"n_{n}"), F.col("kappa").alias(f"kappa_{n}")) for n, d in (("train", part), ("valid", valid))]
-        out.append(k[0].crossJoin(k[1]).withColumn("share", F.lit(s)))
-    return reduce(DataFrame.unionByName, out)
+        for f in range(k):
+            train = (F.col("fold") != f) & (F.col("_h") < 1000 * s)
+            model = learner(family).fit(data.where(train))
+            out += [(float(s), f, r["part"], r["n"], r["kappa"]) for r in _by_part(model, data, F.when(F.col("fold") == f, "valid").when(train, "train"))]
+    data.unpersist()
+    long = rows.sparkSession.createDataFrame(out, "share double, fold int, part string, n long, kappa double")
+    of = lambda part, c: F.when(F.col("part") == part, F.col(c))
+    cells = [f(of(part, c)).alias(f"{name}_{part}") for part in ("train", "valid") for name, f, c in (("n", F.sum, "n"), ("mean", F.avg, "kappa"), ("std", F.stddev, "kappa"))]
+    return long.groupBy("share").agg(F.count_if(F.col("part") == "valid").alias("n_folds"), *cells)
 
 
 def degradation(model, rows: DataFrame, lost: Sequence[str]) -> DataFrame:

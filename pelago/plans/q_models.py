@@ -37,7 +37,7 @@ def _(t):
 
 
 query("M19_search_parameters")(lambda t: M.search(rows(t), folds(t), 3))
-query("M22_learning_curve")(lambda t: M.learning_curve(rows(t), "tree"))
+query("M22_learning_curve")(lambda t: M.learning_curve(rows(t), folds(t), "tree"))
 query("M26_degradation_test")(lambda t: M.degradation(fitted(t), rows(t), ["age", "age_x_type"]))
 query("E01_compute_attributions")(lambda t: M.linear_attributions(fitted(t), rows(t)).select("row_id", "cls", "feature", F.round("value", 6).alias("value"), F.round("contribution", 8).alias("contribution")))
 query("E13_counterfactual_ev")(lambda t: M.counterfactuals(fitted(t), t.listings_v).select("listing_id", "feature", "candidate", F.round("ev_gain", 6).alias("ev_gain"), "class_gain"))

@@ -425,3 +425,7 @@ def test_models_over_folds(spark, sf_dir):
     assert stacked.count() == rows.count() and stacked.where("p0 is null").isEmpty()
     found = M.search(rows, folds, 2, k=2).collect()
     assert len(found) == 2 and found[0].score >= found[1].score
+    curve = {r.share: r for r in M.learning_curve(rows, folds, "tree", (0.5, 1.0), 2).collect()}
+    assert curve[1.0].n_train == curve[1.0].n_valid == rows.count() > curve[0.5].n_train > 0 and curve[0.5].n_folds == 2
+    valid = [r.kappa for r in metrics.where("part = 'valid'").collect()]
+    assert abs(curve[1.0].mean_valid - sum(valid) / 2) < 1e-9 and abs(curve[1.0].std_valid - abs(valid[0] - valid[1]) / 2**0.5) < 1e-9
