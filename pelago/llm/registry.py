@@ -12,6 +12,7 @@ from . import op7_exact_dedup as op7
 from . import op8_quality_classifier as op8
 from . import op9_line_dedup as op9
 from . import op10_license_scan as op10
+from . import op12_ranked_search as op12
 
 
 def queries() -> dict:
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_quality_classifier": op8.op8_quality_classifier,
         "op9_line_dedup": op9.op9_line_dedup,
         "op10_license_scan": op10.op10_license_scan,
+        "op12_ranked_search": op12.op12_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": op7.ORACLE}
+    return {"op7_exact_dedup": op7.ORACLE, "op12_ranked_search": op12.ORACLE}
