@@ -12,7 +12,9 @@ from . import op7_exact_dedup as op7
 from . import op8_quality_classifier as op8
 from . import op9_line_dedup as op9
 from . import op10_license_scan as op10
+from . import op11_periodic_runs as op11
 from . import op12_ranked_search as op12
+from . import op13_language_id as op13
 
 
 def queries() -> dict:
@@ -27,7 +29,9 @@ def queries() -> dict:
         "op8_quality_classifier": op8.op8_quality_classifier,
         "op9_line_dedup": op9.op9_line_dedup,
         "op10_license_scan": op10.op10_license_scan,
+        "op11_periodic_runs": op11.op11_periodic_runs,
         "op12_ranked_search": op12.op12_ranked_search,
+        "op13_language_id": op13.op13_language_id,
     }
 
 
