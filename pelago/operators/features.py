@@ -74,14 +74,6 @@ def encode_request(df: DataFrame) -> DataFrame:
     )
 
 
-def request_features(train: DataFrame, requests: DataFrame) -> DataFrame:
-    """Serving features: shares fitted on train; an unseen value gets the mean share of the train rows."""
-    shares = train.where("breed1 < 5").groupBy("breed1").count().crossJoin(train.agg(F.count(F.lit(1)).alias("_n"))).select("breed1", (F.col("count") / F.col("_n")).alias("_share"))
-    mean = train.join(shares, "breed1").agg(F.avg("_share").alias("_mean"))
-    out = requests.join(shares, "breed1", "left").crossJoin(F.broadcast(mean))
-    return out.select("listing_id", equals("type", 1).alias("is_dog"), F.round(F.log1p("age"), 6).alias("log_age"), F.round(F.coalesce("_share", "_mean"), 6).alias("breed1_frequency"))
-
-
 def assemble(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """An ordered vector by the feature list; missing features are 0 and counted."""
     cells = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0) for c in order]

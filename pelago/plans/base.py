@@ -22,6 +22,20 @@ VIEWS = {
        CASE WHEN o.o_orderkey % 11 = 0 THEN NULL WHEN o.o_orderkey % 11 = 1 THEN 'No Name'
             WHEN o.o_orderkey % 11 = 2 THEN '123' WHEN o.o_orderkey % 11 = 3 THEN ' -- '
             WHEN o.o_orderkey % 11 = 4 THEN '  ' ELSE c.c_name END AS name
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""",
+    "forms_v": """SELECT o.o_orderkey AS request_id, o.o_orderdate AS submitted, o.o_custkey AS owner_id,
+       CASE WHEN o.o_orderkey % 97 = 13 THEN 'Bird' WHEN o.o_orderstatus = 'F' THEN 'Dog' ELSE 'Cat' END AS pet_type,
+       CASE WHEN o.o_orderkey % 11 = 0 THEN '' WHEN o.o_orderkey % 11 = 4 THEN '  ' WHEN o.o_orderkey % 11 = 5 THEN concat(c.c_name, ' and ', c.c_mktsegment) ELSE c.c_name END AS name,
+       CASE WHEN o.o_orderkey % 211 = 1 THEN NULL WHEN o.o_orderkey % 53 = 7 THEN 300 ELSE CAST(o.o_orderkey % 120 AS INT) END AS age_months,
+       CASE o.o_orderkey % 4 WHEN 0 THEN 'Male' WHEN 1 THEN 'Female' WHEN 2 THEN 'Mixed' ELSE 'Male' END AS gender,
+       CAST(o.o_custkey AS INT) AS breed1, CAST(o.o_orderkey % 5 AS INT) AS breed2, CAST(o.o_orderkey % 8 AS INT) AS color1, CAST(o.o_orderkey % 3 AS INT) AS color2, CAST(o.o_orderkey % 2 AS INT) AS color3,
+       CASE WHEN o.o_orderkey % 83 = 2 THEN 9 ELSE CAST(o.o_orderkey % 4 + 1 AS INT) END AS maturity_size, CAST(o.o_orderkey % 3 + 1 AS INT) AS fur_length,
+       CASE o.o_orderkey % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' ELSE 'Not Sure' END AS vaccinated, CASE o.o_custkey % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' ELSE 'Not Sure' END AS dewormed,
+       CASE o.o_orderkey % 7 WHEN 0 THEN 'Yes' WHEN 1 THEN 'Not Sure' ELSE 'No' END AS sterilized,
+       CASE WHEN o.o_orderkey % 101 = 9 THEN 'Unknown' WHEN o.o_orderkey % 9 = 0 THEN 'Serious Injury' WHEN o.o_orderkey % 9 = 1 THEN 'Minor Injury' ELSE 'Healthy' END AS health,
+       CASE WHEN o.o_orderkey % 89 = 5 THEN CAST(-1 AS DOUBLE) WHEN o.o_orderkey % 89 = 6 THEN NULL WHEN o.o_orderkey % 10 < 8 THEN CAST(0 AS DOUBLE) ELSE o.o_totalprice END AS fee,
+       CASE WHEN o.o_orderkey % 71 = 4 THEN NULL ELSE CAST(o.o_orderkey % 6 AS INT) + CASE WHEN o.o_orderkey % 71 = 3 THEN 0 ELSE 1 END END AS quantity,
+       CAST(41000 + o.o_custkey % 997 AS INT) AS state, CASE WHEN o.o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS video_amt, CAST(o.o_orderkey % 4 AS INT) AS photos
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""",
     "proba_v": """SELECT listing_id, speed AS y, w0/(w0+w1+w2+w3+w4) AS p0, w1/(w0+w1+w2+w3+w4) AS p1,
        w2/(w0+w1+w2+w3+w4) AS p2, w3/(w0+w1+w2+w3+w4) AS p3, w4/(w0+w1+w2+w3+w4) AS p4
@@ -44,7 +58,7 @@ FROM events""",
     "docs_v": """SELECT d.doc_id, d.text, d.lang, d.source, l.quality, l.toxic
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
 }
-_NEEDS = {"listings_v": ("orders", "customer"), "proba_v": ("listings_v",), "attrib_v": ("lineitem",), "trace_v": ("events",), "docs_v": ("documents", "labels")}
+_NEEDS = {"listings_v": ("orders", "customer"), "forms_v": ("orders", "customer"), "proba_v": ("listings_v",), "attrib_v": ("lineitem",), "trace_v": ("events",), "docs_v": ("documents", "labels")}
 
 
 class Tables:
@@ -53,20 +67,24 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def over(self, name: str, **instead: DataFrame) -> DataFrame:
+        """A view with other rows, a stream for instance, in place of some of its tables."""
+        sql, used = VIEWS[name].format(string="STRING"), {}
+        for need in _NEEDS[name]:
+            sql = re.sub(rf"\b{need}\b(?=\s+[a-z]\b|\s*\)|\s*$)", "{" + need + "}", sql)
+            used[need] = instead.get(need) or getattr(self, need)
+        return self.spark.sql(sql, **used)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
-            sql, used = VIEWS[name].format(string="STRING"), {}
-            for need in _NEEDS[name]:
-                sql = re.sub(rf"\b{need}\b(?=\s+[a-z]\b|\s*\)|\s*$)", "{" + need + "}", sql)
-                used[need] = getattr(self, need)
-            return self.spark.sql(sql, **used)
+            return self.over(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
 def with_views(sql: str) -> str:
     """DuckDB text with the views that it names as common table expressions."""
     wanted, text = [], sql
-    for name in ("docs_v", "trace_v", "attrib_v", "proba_v", "listings_v"):
+    for name in ("docs_v", "trace_v", "attrib_v", "proba_v", "forms_v", "listings_v"):
         if re.search(rf"\b{name}\b", text):
             text += VIEWS[name]
             wanted.insert(0, name)

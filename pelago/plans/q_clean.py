@@ -127,18 +127,6 @@ query(
     lambda t: t.listings_v.withColumn("x", F.expr("cast(CASE WHEN listing_id % 3 = 0 THEN cast(age as double) / 1024 WHEN listing_id % 3 = 1 THEN age ELSE age * 0.25 END as double)").cast("string")).select("listing_id", C.format_value("x").alias("shown"), C.format_value("name").alias("name"))
 )
 query("P21_modality_defaults", "SELECT d.doc_id, coalesce(l.quality, 0) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")(lambda t: t.docs_v.select("doc_id", "quality", "toxic").na.fill({"quality": 0, "toxic": -1}))
-query(
-    "P22_request_features",
-    """WITH f AS (SELECT breed1, count(*) * 1.0 / (SELECT count(*) FROM listings_v WHERE type = 1) AS share FROM listings_v WHERE type = 1 AND breed1 < 5 GROUP BY breed1)
- SELECT listing_id, CAST(type = 1 AS INT) AS is_dog, round(ln(1 + age), 6) AS log_age, round(coalesce(f.share, (SELECT avg(g.share) FROM listings_v l JOIN f g ON l.breed1 = g.breed1 WHERE l.type = 1)), 6) AS breed1_frequency
- FROM listings_v v LEFT JOIN f ON v.breed1 = f.breed1""",
-)(lambda t: X.request_features(t.listings_v.where("type = 1"), t.listings_v))  # fitted on one pet type, applied to every listing
-query(
-    "P22_request_features_all",
-    """WITH f AS (SELECT breed1, count(*) * 1.0 / (SELECT count(*) FROM listings_v) AS share FROM listings_v WHERE breed1 < 5 GROUP BY breed1)
- SELECT listing_id, CAST(type = 1 AS INT) AS is_dog, round(ln(1 + age), 6) AS log_age, round(coalesce(f.share, (SELECT avg(g.share) FROM listings_v l JOIN f g ON l.breed1 = g.breed1)), 6) AS breed1_frequency
- FROM listings_v v LEFT JOIN f ON v.breed1 = f.breed1""",
-)(lambda t: X.request_features(t.listings_v, t.listings_v))
 query("P23_assemble_by_schema", "SELECT listing_id, [CAST(age AS DOUBLE), 0.0, fee] AS vector, 1 AS n_missing FROM listings_v")(lambda t: X.assemble(t.listings_v, ["age", "video", "fee"]).select("listing_id", "vector", "n_missing"))
 query("P24_degrade_modalities", "SELECT listing_id, age, CAST(0 AS DOUBLE) AS fee, CAST(0 AS INT) AS photos FROM listings_v")(lambda t: X.degrade(t.listings_v.select("listing_id", "age", "fee", "photos"), {"fee": "tabular", "photos": "image", "age": "meta"}, ["tabular", "image"]).withColumn("fee", F.col("fee").cast("double")))
 query("P25_segment_label", "SELECT listing_id, CASE WHEN fee = 0 THEN 'Free' ELSE 'Paid' END AS fee_segment, CASE WHEN breed2 = 0 THEN 'Purebred' ELSE 'Mixed' END AS breed_segment FROM listings_v")(

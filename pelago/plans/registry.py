@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, q_attribution, q_clean, q_evaluation, q_models, q_runs, q_sources, q_stats, q_text  # noqa: F401
+from . import base, q_attribution, q_clean, q_evaluation, q_models, q_runs, q_serving, q_sources, q_stats, q_text  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
