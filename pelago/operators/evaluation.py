@@ -134,7 +134,18 @@ def error_pairs(df: DataFrame, y: str, yhat: str) -> DataFrame:
 def worst_errors(df: DataFrame, key: str, y: str, yhat: str, confidence: str, n: int) -> DataFrame:
     """The n rows with the largest gap, then confidence, then key."""
     gap = F.abs(F.col(yhat) - F.col(y))
-    return df.where(gap > 0).select(key, y, yhat, gap.alias("gap"), confidence).orderBy(F.desc("gap"), F.desc(confidence), F.desc(key)).limit(n)
+    return df.select(key, y, yhat, gap.alias("gap"), confidence).orderBy(F.desc("gap"), F.desc(confidence), F.desc(key)).limit(n).where("gap > 0")
+
+
+def worst_with_contributions(worst: DataFrame, key: str, yhat: str, long: DataFrame, k: int = 5) -> DataFrame:
+    """Each worst row with the k largest contributions to its predicted class, by size, then name.
+
+    worst has a stated number of rows; it is broadcast into the long table (row_id, cls, feature,
+    value, contribution) before anything is ranked, so only its rows are sorted."""
+    few = F.broadcast(worst)
+    hit = long.join(few, (F.col("row_id") == F.col(key)) & (F.col("cls") == F.col(yhat)))
+    place = F.row_number().over(W.partitionBy("row_id").orderBy(F.desc(F.abs("contribution")), "feature"))
+    return hit.withColumn("place", place).where(F.col("place") <= k).select(*worst.columns, "place", "feature", "value", "contribution")
 
 
 def soft_vote(models: Sequence[tuple[DataFrame, float]], key: str, p: Sequence[str]) -> DataFrame:
@@ -144,39 +155,59 @@ def soft_vote(models: Sequence[tuple[DataFrame, float]], key: str, p: Sequence[s
     return rows.groupBy(key).agg(*[F.sum(c).alias(c) for c in p])
 
 
-def optimize_thresholds(df: DataFrame, y: str, ev: str, classes: int = 5, bins: int = 200, turns: int = 4) -> tuple[list[float], float]:
-    """Cuts that maximise quadratic kappa, by coordinate search over a histogram.
-
-    One Spark pass gives counts of (bin of the expected value, class), a table of bins * classes
-    cells; the search works on its cumulative sums. Starts at 0.5, 1.5, ...
-    """
-    import numpy as np
-
-    top = classes - 1
-    b = F.least(F.floor(F.col(ev) * (bins / top)), F.lit(bins - 1)).cast("int")
-    counts = np.zeros((bins + 1, classes))
-    for r in df.groupBy(b.alias("b"), F.col(y).cast("int").alias("c")).count().collect():
-        counts[r["b"] + 1, r["c"]] = r["count"]
-    cum, target = counts.cumsum(0), np.arange(classes)
-
-    def kappa(cuts):
-        o = np.diff(cum[[0, *cuts, bins]], axis=0)  # predicted x true
-        w = (target[:, None] - target[None, :]) ** 2
-        e = np.outer(o.sum(1), o.sum(0)) / max(o.sum(), 1)
-        return 1 - (w * o).sum() / max((w * e).sum(), 1e-12)
-
-    cuts = [round((i + 0.5) * bins / top) for i in range(top)]
-    best = kappa(cuts)
-    for _ in range(turns):
-        before = best
-        for i in range(top):
-            for c in range((cuts[i - 1] if i else 0), (cuts[i + 1] if i + 1 < top else bins) + 1):
-                trial = [*cuts[:i], c, *cuts[i + 1 :]]
-                if (k := kappa(trial)) > best + 1e-12:
-                    best, cuts = k, trial
-        if best == before:
-            break
-    return [c * top / bins for c in cuts], float(best)
+def threshold_search(df: DataFrame, y: str, ev: str, classes: int = 5, coarse: int = 40, finer: int = 5) -> DataFrame:
+    """One row (cuts, kappa): the cuts that maximise quadratic kappa.
+
+    One pass counts the rows by bin of the expected value, coarse * finer bins. All that kappa needs of
+    a cut is how many rows, and which sum of true classes, lie above it, and both are cumulative counts;
+    so every rising choice of cuts on the coarse grid is a row, crossed with those counts, and so is
+    every choice on the fine grid within one coarse step of the best. The number of choices depends on
+    the grids alone. Among equal kappas the smallest cuts win."""
+    top, fine = classes - 1, coarse * finer
+    b = F.least(F.greatest(F.floor(F.col(ev) * (fine / top)), F.lit(0)), F.lit(fine - 1)).cast("int")
+    t = F.col(y).cast("long")
+    counts = df.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(t).alias("y"), F.sum(t * t).alias("yy"))
+    above = lambda name: F.transform(F.sequence(F.lit(0), F.lit(fine)), lambda c: F.aggregate("bins", F.lit(0).cast("long"), lambda s, x: s + F.when(x["b"] >= c, x[name]).otherwise(0)))
+    one = counts.agg(F.collect_list(F.struct("b", "n", "y", "yy")).alias("bins")).select(above("n").alias("n"), above("y").alias("y"), above("yy")[0].alias("syy"))  # one row of arrays with fine + 1 numbers
+    cuts = range(1, top + 1)
+
+    def best(rows: DataFrame, places) -> DataFrame:
+        """The best choice c1 <= c2 <= ... of cuts from the lists that places(i) gives."""
+        out = rows.withColumns({"p": F.lit(0).cast("long"), "q": F.lit(0).cast("long"), "r": F.lit(0).cast("long")})
+        for i in cuts:
+            out = out.withColumn(f"c{i}", F.explode(places(i)))
+            n = F.get("n", F.col(f"c{i}"))
+            out = out.withColumns({"p": F.col("p") + n, "q": F.col("q") + F.get("y", F.col(f"c{i}")), "r": F.col("r") + (2 * i - 1) * n})
+        e = F.col("syy") + F.col("r") - 2.0 * F.get("y", F.lit(0)) * F.col("p") / F.nullif(F.get("n", F.lit(0)), F.lit(0))
+        kappa = F.when(e > 0, 1 - (F.col("syy") - 2 * F.col("q") + F.col("r")) / e).otherwise(0.0)
+        choice = F.struct(kappa.alias("kappa"), *[(-F.col(f"c{i}")).alias(f"c{i}") for i in cuts])
+        return out.agg(F.max(choice).alias("best"))
+
+    before = lambda i: F.col(f"c{i - 1}") if i > 1 else F.lit(0)
+    first = best(one, lambda i: F.sequence(before(i), F.lit(fine), F.lit(finer)))
+    near = lambda i: F.sequence(F.greatest(F.lit(0), -F.col(f"best.c{i}") - finer), F.least(F.lit(fine), -F.col(f"best.c{i}") + finer))
+    second = best(one.crossJoin(F.broadcast(first)), lambda i: F.filter(near(i), lambda c: c >= before(i)))  # one row each
+    return second.select(F.array(*[-F.col(f"best.c{i}") * top / F.lit(fine) for i in cuts]).alias("cuts"), "best.kappa")
+
+
+def optimize_thresholds(df: DataFrame, y: str, ev: str, classes: int = 5) -> tuple[list[float], float]:
+    """The cuts of threshold_search() and their kappa, as numbers."""
+    r = threshold_search(df, y, ev, classes).collect()[0]
+    return [float(c) for c in r["cuts"]], float(r["kappa"])
+
+
+def class_share_draw(train: DataFrame, y: str, df: DataFrame, key: str) -> DataFrame:
+    """(key, drawn): a class for every row of df, drawn by the shares that the classes have in train.
+
+    The draw is a number of 52 bits from the key's md5, laid on the cumulative counts: it is the same
+    on every run and machine. One row with an entry for each class is broadcast."""
+    counts = train.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("_n"))
+    edges = counts.agg(F.array_sort(F.collect_list(F.struct(F.col(y).alias("c"), F.col("_n").alias("n")))).alias("_e"), F.sum("_n").alias("_all"))
+    u = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    rows = df.select(key).crossJoin(F.broadcast(edges)).withColumn("_u", u * F.col("_all"))
+    step = lambda s, e: F.struct((s["sum"] + e["n"]).alias("sum"), F.coalesce(s["c"], F.when(F.col("_u") < s["sum"] + e["n"], e["c"])).alias("c"))
+    kind = train.schema[y].dataType
+    return rows.select(key, F.aggregate("_e", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast(kind).alias("c")), step)["c"].alias("drawn"))
 
 
 def gap_status(train: Column, valid: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +22,79 @@ CUTS = (1.8, 1.95, 2.05, 2.2)
 GRID = {"photos": [1, 3, 5, 7, 10], "vaccinated": [1], "dewormed": [1], "fee": [0, 10, 25, 50], "quantity": [1]}
 
 
+class BoostedOneVsRest:
+    """Boosted trees for several classes: one binary booster for each class against the rest, its margin
+    calibrated by a logistic curve on one in five training rows that no tree has seen (by a hash of the
+    key), and the calibrated probabilities normalised. A class with one kind of training row only keeps
+    its share as its probability."""
+
+    def __init__(self, seed: int = 42, classes: int = len(P), key: str = "listing_id"):
+        self.settings = {"maxIter": 6, "maxDepth": 3, "stepSize": 0.3, "seed": seed}
+        self.classes, self.key, self.seed = classes, key, seed
+        self.features, self.label = "features", "label"
+
+    def setFeaturesCol(self, name: str) -> BoostedOneVsRest:
+        self.features = name
+        return self
+
+    def setLabelCol(self, name: str) -> BoostedOneVsRest:
+        self.label = name
+        return self
+
+    def setParams(self, **settings) -> BoostedOneVsRest:
+        self.settings |= settings
+        return self
+
+    def fit(self, rows: DataFrame) -> BoostedModel:
+        aside = F.pmod(F.xxhash64(F.lit(self.seed), F.col(self.key)), F.lit(5)) == 0
+        data = rows.select(self.features, F.col(self.label).cast("int").alias("_y"), aside.alias("_aside")).persist()
+        counts = {(r["_y"], r["_aside"]): r["count"] for r in data.groupBy("_y", "_aside").count().collect()}  # two rows for each class
+        n = {side: sum(v for (_, s), v in counts.items() if s == side) for side in (False, True)}
+        members: list[tuple] = []
+        for k in range(self.classes):
+            one = data.withColumn("_one", (F.col("_y") == k).cast("double"))
+            inside, outside = counts.get((k, False), 0), counts.get((k, True), 0)
+            if not 0 < inside < n[False]:
+                members.append((None, 0.0, float((inside + outside) / max(1, n[False] + n[True]))))
+                continue
+            booster = GBTClassifier(featuresCol=self.features, labelCol="_one", predictionCol="_g", **self.settings).setRawPredictionCol("_m").setProbabilityCol("_q").fit(one.where("not _aside"))
+            slope, offset = 2.0, 0.0  # the logistic loss of the booster itself
+            if 0 < outside < n[True]:
+                margins = booster.transform(one.where("_aside")).select("_one", F.array(vector_to_array("_m")[1]).alias("_x"))
+                curve = LogisticRegression(featuresCol="_v", labelCol="_one", maxIter=50).fit(margins.withColumn("_v", array_to_vector("_x")))
+                slope, offset = float(curve.coefficients[0]), float(curve.intercept)
+            members.append((booster, slope, offset))
+        data.unpersist()
+        return BoostedModel(members, self.features)
+
+
+@dataclass(frozen=True)
+class BoostedModel:
+    """(booster, slope, offset) for each class; without a booster the offset is the class's probability."""
+
+    members: Sequence[tuple]
+    features: str
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """rows with p0, p1, ..."""
+        out, names = rows, [f"_b{k}" for k in range(len(self.members))]
+        for name, (booster, slope, offset) in zip(names, self.members, strict=True):
+            if booster is None:
+                out = out.withColumn(name, F.lit(offset))
+            else:
+                margin = vector_to_array("_m")[1]
+                out = booster.transform(out).withColumn(name, 1 / (1 + F.exp(-(margin * slope + offset)))).drop("_m", "_q", "_g")
+        total = reduce(lambda a, b: a + b, [F.col(c) for c in names])
+        share = lambda c: F.when(total > 0, F.col(c) / total).otherwise(1.0 / len(names))
+        return out.withColumns({f"p{k}": share(c) for k, c in enumerate(names)}).drop(*names)
+
+
 def learner(family: str, seed: int = 42, **settings):
     made = {
         "linear": lambda: LogisticRegression(family="multinomial", maxIter=15, regParam=0.01),
         "tree": lambda: DecisionTreeClassifier(maxDepth=4, seed=seed),
         "forest": lambda: RandomForestClassifier(numTrees=8, maxDepth=4, seed=seed),
+        "boosted": lambda: BoostedOneVsRest(seed=seed),
     }
     if family not in made:
         raise ValueError(f"unknown family {family!r}")
@@ -67,7 +135,7 @@ class Linear:
 
 
 def probabilities(model, rows: DataFrame) -> DataFrame:
-    if isinstance(model, Linear):
+    if isinstance(model, Linear | BoostedModel):
         return model.transform(rows)
     out = model.transform(rows).withColumn("_p", vector_to_array("probability"))
     return out.withColumns({p: F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)) for i, p in enumerate(P)}).drop("_p", "rawPrediction", "probability", "prediction")
@@ -138,16 +206,29 @@ def stack(oofs: Sequence[DataFrame], truth: DataFrame):
     return probabilities(learner("linear").fit(rows), rows).select("listing_id", "y", *P)
 
 
-def search(rows: DataFrame, folds: DataFrame, trials: int, seed: int = 42, k: int = 5) -> DataFrame:
-    """Seeded random settings of a tree, scored by cross-validation, best first."""
+#: What search() draws from: for each family the values of each setting.
+SPACES = {
+    "linear": {"regParam": [0.0, 0.001, 0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]},
+    "tree": {"maxDepth": [2, 3, 4, 5, 6], "minInstancesPerNode": [1, 5, 20]},
+    "forest": {"numTrees": [4, 8, 16], "maxDepth": [2, 4, 6], "subsamplingRate": [0.6, 0.8, 1.0]},
+    "boosted": {"maxIter": [2, 4, 8], "maxDepth": [2, 3, 4], "stepSize": [0.1, 0.3]},
+}
+
+
+def search(rows: DataFrame, folds: DataFrame, trials: int, seed: int = 42, k: int = 5, families: Sequence[str] = ("tree",)) -> DataFrame:
+    """Seeded random settings of each family, scored by cross-validation, best first: `trials` different
+    ones for each, or all that its space has."""
+    import itertools
+    import json
     import random
 
-    rng = random.Random(seed)
     out = []
-    for i in range(trials):
-        s = {"maxDepth": rng.randint(2, 6), "minInstancesPerNode": rng.choice([1, 5, 20])}
-        score = cross_validate(rows, folds, "tree", FEATURES, k, keep=False, **s)[1].where("part = 'valid'").agg(F.round(F.avg("kappa"), 6).alias("score"))
-        out.append(score.select(F.lit(i).alias("trial"), F.lit(s["maxDepth"]).alias("max_depth"), F.lit(s["minInstancesPerNode"]).alias("min_rows"), "score"))
+    for family in families:
+        grid = list(itertools.product(*SPACES[family].values()))
+        for values in random.Random(f"{seed} {family}").sample(grid, min(trials, len(grid))):
+            s = dict(zip(SPACES[family], values, strict=True))
+            score = cross_validate(rows, folds, family, FEATURES, k, keep=False, **s)[1].where("part = 'valid'").agg(F.round(F.avg("kappa"), 6).alias("score"))
+            out.append(score.select(F.lit(len(out)).alias("trial"), F.lit(family).alias("family"), F.lit(json.dumps(s)).alias("settings"), "score"))
     return reduce(DataFrame.unionByName, out).orderBy(F.desc("score"), "trial")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import join_split
+
 
 def _with_total(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts with the total, overall (one broadcast row) or within the given keys."""
@@ -131,12 +133,13 @@ def neighbours(df: DataFrame, column: str, points: Sequence[float], by: Sequence
 
 
 def average_ranks(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Average ranks of each column by key, from running counts over its distinct values."""
+    """Average ranks of each column by key, from running counts over its distinct values; a value that
+    many rows share does not gather them in one task."""
     out = df.select(key, *columns)
     for c in columns:
         counts = running_counts(df.groupBy(c).agg(F.count(F.lit(1)).alias("_n")), c, "_n")
-        ranks = counts.select(F.col(c).alias("_v"), (F.col("_below") + (F.col("_n") + 1) / 2).alias(f"rank_{c}"))
-        out = out.join(ranks, out[c].eqNullSafe(ranks["_v"])).drop("_v")
+        ranks = counts.withColumn(f"rank_{c}", F.col("_below") + (F.col("_n") + 1) / 2)
+        out = join_split(out, ranks, c, c, "_n", f"rank_{c}", F.xxhash64(key))
     return out
 
 

@@ -37,6 +37,13 @@ query("M06_dummy_baseline", "WITH m AS (SELECT speed FROM listings_v GROUP BY sp
         t.listings_v.groupBy("speed").count().orderBy(F.desc("count"), "speed").limit(1).select(F.col("speed").alias("constant_class"))
     )
 )
+_U = "CAST(concat('0x', substr(md5(CAST(listing_id AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0"
+_DRAW = f"s AS (SELECT speed, sum(count(*)) OVER (ORDER BY speed) - count(*) AS lo, sum(count(*)) OVER (ORDER BY speed) AS hi, sum(count(*)) OVER () AS n FROM listings_v WHERE type = 1 GROUP BY speed), d AS (SELECT v.listing_id, v.speed AS y, s.speed AS drawn FROM listings_v v JOIN s ON {_U} * s.n >= s.lo AND {_U} * s.n < s.hi)"
+drawn = lambda t: E.class_share_draw(t.listings_v.where("type = 1"), "speed", t.listings_v, "listing_id")  # noqa: E731  shares of one pet type, drawn for every listing
+query("M06_class_share_draw", f"WITH {_DRAW} SELECT listing_id, drawn FROM d")(drawn)
+query("M06_class_share_baseline", f"WITH {_DRAW} SELECT round(avg(CAST(y = drawn AS INT)), 6) AS accuracy, round(1 - sum((y - drawn) * (y - drawn)) / (sum(y * y) + sum(drawn * drawn) - 2.0 * sum(y) * sum(drawn) / count(*)), 6) AS kappa FROM d")(
+    lambda t: (lambda d: d.agg(F.round(F.avg((F.col("speed") == F.col("drawn")).cast("int")), 6).alias("accuracy")).crossJoin(E.quadratic_kappa(d, "speed", "drawn").select("kappa")))(drawn(t).join(t.listings_v.select("listing_id", "speed"), "listing_id"))  # one row each
+)
 _CONF = f"WITH {_S}, cls AS (SELECT CAST(unnest(range(5)) AS INT) AS c), m AS (SELECT a.c AS y, b.c AS yhat, count(s.y) AS n FROM cls a CROSS JOIN cls b LEFT JOIN scored s ON s.y = a.c AND s.predicted = b.c GROUP BY 1, 2)"
 matrix = lambda t: E.confusion(scored(t), "y", "predicted")
 query("M07_confusion_matrix", f"{_CONF} SELECT * FROM m")(matrix)
@@ -49,13 +56,27 @@ query("M11_expected_value", f"SELECT listing_id, round({_EV}, 6) AS expected_val
 query("M12_apply_thresholds", f"WITH {_S} SELECT listing_id, predicted FROM scored")(lambda t: scored(t).select("listing_id", "predicted"))
 
 
-@query("M13_optimize_thresholds")
+def _search_sql(place: str) -> str:
+    """The best of all rising choices of four cuts, of which cut i may stand where place holds for {i}."""
+    n, y, r = (" + ".join(f"{f}t{i}.{c}" for i, f in zip(range(1, 5), m, strict=True)) for c, m in (("n", [""] * 4), ("y", [""] * 4), ("n", ["", "3 * ", "5 * ", "7 * "])))
+    tables = "st t1 JOIN st t2 ON t2.b >= t1.b JOIN st t3 ON t3.b >= t2.b JOIN st t4 ON t4.b >= t3.b CROSS JOIN wh"
+    where = " AND ".join(place.format(i=i) for i in range(1, 5))
+    kappa = f"CASE WHEN syy + ({r}) - 2.0 * sy * ({n}) / wh.n > 0 THEN 1 - (syy - 2 * ({y}) + ({r})) / (syy + ({r}) - 2.0 * sy * ({n}) / wh.n) ELSE 0 END"
+    return f"SELECT t1.b AS c1, t2.b AS c2, t3.b AS c3, t4.b AS c4, {kappa} AS kappa FROM {tables}{{more}} WHERE {where} ORDER BY kappa DESC, c1, c2, c3, c4 LIMIT 1"
+
+
+_STEPS = """h AS (SELECT CAST(least(greatest(floor(ev * 50.0), 0), 199) AS INT) AS b, count(*) AS n, sum(y) AS y, sum(y * y) AS yy FROM (SELECT y, p0*0 + p1*1 + p2*2 + p3*3 + p4*4 AS ev FROM proba_v) e GROUP BY 1),
+ st AS MATERIALIZED (SELECT CAST(g.b AS INT) AS b, CAST(sum(coalesce(h.n, 0)) OVER w AS DOUBLE) AS n, CAST(sum(coalesce(h.y, 0)) OVER w AS DOUBLE) AS y, CAST(sum(coalesce(h.yy, 0)) OVER w AS DOUBLE) AS yy FROM range(201) g(b) LEFT JOIN h ON h.b = g.b WINDOW w AS (ORDER BY g.b DESC)),
+ wh AS (SELECT n, y AS sy, yy AS syy FROM st WHERE b = 0)"""
+_GRID = f"{_STEPS}, best AS MATERIALIZED ({_search_sql('t{i}.b % 5 = 0').format(more='')}), fine AS ({_search_sql('abs(t{i}.b - best.c{i}) <= 5').format(more=', best')})"
+
+
+@query("M13_optimize_thresholds", f"WITH {_GRID}, d AS (SELECT y, CAST(ev >= 0.5 AS INT) + CAST(ev >= 1.5 AS INT) + CAST(ev >= 2.5 AS INT) + CAST(ev >= 3.5 AS INT) AS yh FROM (SELECT y, p0*0 + p1*1 + p2*2 + p3*3 + p4*4 AS ev FROM proba_v) e) SELECT [c1 * 4 / 200.0, c2 * 4 / 200.0, c3 * 4 / 200.0, c4 * 4 / 200.0] AS cuts, round(kappa, 6) AS kappa, (SELECT round(1 - sum((y - yh) * (y - yh)) / (sum(y * y) + sum(yh * yh) - 2.0 * sum(y) * sum(yh) / count(*)), 6) FROM d) AS kappa_default FROM fine")
 def _(t):
     rows = t.proba_v.withColumn("ev", E.expected_value(P))
-    cuts, kappa = E.optimize_thresholds(rows, "y", "ev")
     start = rows.withColumn("yhat", E.by_thresholds(F.col("ev"), (0.5, 1.5, 2.5, 3.5)))
-    base = E.quadratic_kappa(start, "y", "yhat").withColumnRenamed("kappa", "kappa_default").drop("n")
-    return base.select(F.array(*[F.lit(float(c)) for c in cuts]).alias("cuts"), F.lit(round(kappa, 6)).alias("kappa"), "kappa_default")
+    base = E.quadratic_kappa(start, "y", "yhat").select(F.col("kappa").alias("kappa_default"))
+    return E.threshold_search(rows, "y", "ev").crossJoin(base).select("cuts", F.round("kappa", 6).alias("kappa"), "kappa_default")  # one row each
 
 
 query("M14_overfitting_gap", "SELECT state, round(avg(CASE WHEN listing_id % 2 = 0 THEN speed END) - avg(CASE WHEN listing_id % 2 = 1 THEN speed END), 6) AS gap, CASE WHEN avg(CASE WHEN listing_id % 2 = 0 THEN speed END) - avg(CASE WHEN listing_id % 2 = 1 THEN speed END) > 0.1 THEN 'CRITICAL' WHEN avg(CASE WHEN listing_id % 2 = 0 THEN speed END) - avg(CASE WHEN listing_id % 2 = 1 THEN speed END) > 0.05 THEN 'WARNING' ELSE 'OK' END AS status FROM listings_v GROUP BY state")(

@@ -24,6 +24,13 @@ def _(t):
     return E.scored(M.probabilities(model, M.assembled(rows(t))), M.P, M.CUTS).groupBy("predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("M04_fit_boosted")
+def _(t):
+    model = M.learner("boosted", maxIter=3).fit(M.assembled(rows(t)))
+    return E.scored(M.probabilities(model, M.assembled(rows(t))), M.P, M.CUTS).groupBy("predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+query("M05_cross_validate_boosted")(lambda t: M.gaps(M.cross_validate(rows(t), folds(t), "boosted", keep=False, maxIter=2, maxDepth=2)[1]))
 query("M05_fold_metrics")(lambda t: M.fold_summary(M.fold_metrics(rows(t), folds(t), "tree")))
 query("M05_cross_validate")(lambda t: M.gaps(M.cross_validate(rows(t), folds(t), "tree")[1]))
 query("M16_modality_ablation")(lambda t: M.ablation(rows(t), folds(t), {"all": M.FEATURES, "no_age": [c for c in M.FEATURES if "age" not in c], "care": ["vaccinated", "dewormed"]}, "tree"))
@@ -36,7 +43,7 @@ def _(t):
     return E.quadratic_kappa(E.scored(M.stack(oofs, data.select("listing_id", "y")), M.P, M.CUTS), "y", "predicted")
 
 
-query("M19_search_parameters")(lambda t: M.search(rows(t), folds(t), 3))
+query("M19_search_parameters")(lambda t: M.search(rows(t), folds(t), 2, families=("tree", "linear", "forest")))
 query("M22_learning_curve")(lambda t: M.learning_curve(rows(t), folds(t), "tree"))
 query("M26_degradation_test")(lambda t: M.degradation(fitted(t), rows(t), ["age", "age_x_type"]))
 query("E01_compute_attributions")(lambda t: M.linear_attributions(fitted(t), rows(t)).select("row_id", "cls", "feature", F.round("value", 6).alias("value"), F.round("contribution", 8).alias("contribution")))
@@ -65,6 +72,17 @@ _VALUE = "CASE feature " + " ".join(f"WHEN '{c}' THEN {e}" for c, e in _X.items(
 query("E01_attributions_given", f"WITH v AS (SELECT listing_id AS row_id, cls, feature, w, {_VALUE} AS value FROM listings_v CROSS JOIN (VALUES {_CELLS}) c(cls, feature, w)) SELECT row_id, CAST(cls AS INT) AS cls, feature, round(value, 6) AS value, round(w * (value - avg(value) OVER (PARTITION BY feature)), 6) AS contribution FROM v")(
     lambda t: M.linear_attributions(given, rows(t)).select("row_id", "cls", "feature", F.round("value", 6).alias("value"), F.round("contribution", 6).alias("contribution"))
 )
+_WORST = f"""w AS (SELECT listing_id, speed AS y, predicted, abs(predicted - speed) AS gap, [e0, e1, e2, e3, e4][predicted + 1] / (e0 + e1 + e2 + e3 + e4) AS confidence FROM {_scored_sql('listings_v')} s WHERE predicted <> speed ORDER BY gap DESC, confidence DESC, listing_id DESC LIMIT 20)"""
+query(
+    "M29_worst_with_contributions",
+    f"""WITH {_WORST}, v AS (SELECT listing_id AS row_id, cls, feature, w, {_VALUE} AS value FROM listings_v CROSS JOIN (VALUES {_CELLS}) c(cls, feature, w)), k AS (SELECT *, w * (value - avg(value) OVER (PARTITION BY cls, feature)) AS contribution FROM v),
+ r AS (SELECT w.*, feature, value, contribution, row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, feature) AS place FROM k JOIN w ON w.listing_id = k.row_id AND w.predicted = k.cls)
+ SELECT listing_id, y, predicted, gap, round(confidence, 6) AS confidence, CAST(place AS INT) AS place, feature, round(value, 6) AS value, round(contribution, 6) AS contribution FROM r WHERE place <= 5""",
+)(
+    lambda t: E.worst_with_contributions(
+        E.worst_errors(E.scored(M.probabilities(given, rows(t)), M.P, M.CUTS), "listing_id", "y", "predicted", "confidence", 20), "listing_id", "predicted", M.linear_attributions(given, rows(t))
+    ).withColumns({c: F.round(c, 6) for c in ("confidence", "value", "contribution")})
+)
 query("M26_degradation_given", f"SELECT count(*) AS n, round(100.0 * count(*) FILTER (WHERE a.predicted <> b.predicted) / count(*), 4) AS changed_pct, round(avg(abs(a.predicted - b.predicted)), 6) AS mean_shift FROM {_scored_sql('listings_v')} a JOIN {_scored_sql('listings_v', ('age', 'age_x_type'))} b ON a.listing_id = b.listing_id")(
     lambda t: M.degradation(given, rows(t), ["age", "age_x_type"])
 )
