@@ -30,7 +30,7 @@ def _(t):
     return E.scored(M.probabilities(model, M.assembled(rows(t))), M.P, M.CUTS).groupBy("predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
-query("M05_cross_validate_boosted")(lambda t: M.gaps(M.cross_validate(rows(t), folds(t), "boosted", keep=False, maxIter=2, maxDepth=2)[1]))
+query("M05_cross_validate_boosted")(lambda t: M.gaps(M.cross_validate(rows(t), E.stratified_folds(t.listings_v, "listing_id", "speed", 3), "boosted", k=3, keep=False, maxIter=2, maxDepth=2)[1]))
 query("M05_fold_metrics")(lambda t: M.fold_summary(M.fold_metrics(rows(t), folds(t), "tree")))
 query("M05_cross_validate")(lambda t: M.gaps(M.cross_validate(rows(t), folds(t), "tree")[1]))
 query("M16_modality_ablation")(lambda t: M.ablation(rows(t), folds(t), {"all": M.FEATURES, "no_age": [c for c in M.FEATURES if "age" not in c], "care": ["vaccinated", "dewormed"]}, "tree"))
@@ -43,7 +43,7 @@ def _(t):
     return E.quadratic_kappa(E.scored(M.stack(oofs, data.select("listing_id", "y")), M.P, M.CUTS), "y", "predicted")
 
 
-query("M19_search_parameters")(lambda t: M.search(rows(t), folds(t), 2, families=("tree", "linear", "forest")))
+query("M19_search_parameters")(lambda t: M.search(rows(t), folds(t), 1, families=("tree", "linear", "forest")))
 query("M22_learning_curve")(lambda t: M.learning_curve(rows(t), folds(t), "tree"))
 query("M26_degradation_test")(lambda t: M.degradation(fitted(t), rows(t), ["age", "age_x_type"]))
 query("E01_compute_attributions")(lambda t: M.linear_attributions(fitted(t), rows(t)).select("row_id", "cls", "feature", F.round("value", 6).alias("value"), F.round("contribution", 8).alias("contribution")))
@@ -112,21 +112,41 @@ query("A23_pool_vectors_max", "SELECT c.label, coalesce(max(e), 0) AS first_max,
 )
 
 
-@F.pandas_udf(T.BinaryType())
-def _pixels(v: pd.Series) -> pd.Series:
-    """64 numbers as an 8 x 8 image with one channel."""
-    return v.map(lambda x: np.clip(np.round((np.array(x, float) + 1) * 127.5), 0, 255).astype(np.uint8).tobytes())
-
+#: Vectors with the same id // SPAN and label are the rows of one picture.
+SPAN = 320
 
-def pictures(t):
-    """One image struct per vector; the file name is label-number."""
-    origin = F.concat(F.lit("file:/x/"), F.col("label"), F.lit("-"), F.col("vec_id"), F.lit(".png"))
-    return t.embeddings.select(F.struct(origin.alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), _pixels("embedding").alias("data")).alias("image"))
 
-
-_PIX = "SELECT vec_id, label, list_transform(embedding, lambda x: least(greatest(round_even((CAST(x AS DOUBLE) + 1) * 127.5, 0), 0), 255)) AS px FROM embeddings"
-query("A25_image_stats", f"SELECT label || '-' || vec_id || '.png' AS file, 8 AS width, 8 AS height, CAST(1 AS DOUBLE) AS aspect_ratio, round(list_avg(px), 2) AS brightness FROM ({_PIX}) s")(lambda t: I.image_stats(pictures(t)).drop("blur"))
-query("A24_image_quality_by_key")(lambda t: I.quality_by_key(I.image_stats(pictures(t))))
+@F.pandas_udf(T.BinaryType())
+def _picture(vectors: pd.Series) -> pd.Series:
+    """A grey PNG, stored without compression, whose rows are the vectors."""
+    grey = lambda rows: np.clip(np.round((np.array([list(r["embedding"]) for r in rows], float) + 1) * 127.5), 0, 255)
+    return vectors.map(lambda rows: I.png(grey(rows), level=0))
+
+
+def picture_files(t) -> str:
+    """PNG files made of the embeddings, one for each label and stretch of ids, named label-number.png; of
+    some only the head was written. Gives their folder."""
+    block = F.expr(f"vec_id div {SPAN}")
+    name = F.concat(F.col("label"), F.lit("-"), F.col("block"), F.lit(".png"))
+    rows = t.embeddings.withColumn("block", block).groupBy("label", "block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("vectors"))  # at most SPAN vectors
+    data = _picture("vectors")
+    cut = F.when((F.col("label") + F.col("block")) % 7 == 3, F.expr("substring(data, 1, 30)")).otherwise(F.col("data"))
+    path = work_dir(t.spark) + "/pictures"
+    I.write_files(rows.select(name.alias("name"), data.alias("data"), "label", "block").select("name", cut.alias("data")), path)
+    return path
+
+
+_PIX = f"""px AS (SELECT label, b, y, unnest(range(64)) AS x, least(greatest(round_even((CAST(unnest(embedding) AS DOUBLE) + 1) * 127.5, 0), 0), 255) AS v FROM (SELECT label, vec_id // {SPAN} AS b, row_number() OVER (PARTITION BY label, vec_id // {SPAN} ORDER BY vec_id) AS y, embedding FROM embeddings) p),
+ lp AS (SELECT *, coalesce(lag(v) OVER c, v) + coalesce(lead(v) OVER c, v) + coalesce(lag(v) OVER r, v) + coalesce(lead(v) OVER r, v) - 4 * v AS lap FROM px WINDOW c AS (PARTITION BY label, b, x ORDER BY y), r AS (PARTITION BY label, b, y ORDER BY x)),
+ im AS (SELECT label, b, CAST(max(y) AS INT) AS height, avg(v) AS brightness, var_pop(lap) AS blur FROM lp GROUP BY label, b),
+ ok AS (SELECT label || '-' || b || '.png' AS file, label, 64 AS width, height, round(64.0 / height, 4) AS aspect_ratio, round((69 + 65 * height) / 1024.0, 2) AS kb, round(brightness, 2) AS brightness, round(blur, 2) AS blur FROM im WHERE (label + b) % 7 <> 3)"""
+query("A25_image_stats", f"WITH {_PIX} SELECT file, width, height, aspect_ratio, kb, brightness, blur FROM ok")(lambda t: I.file_stats(t.spark, picture_files(t)))
+query("A24_image_quality_by_key", f"WITH {_PIX} SELECT CAST(label AS VARCHAR) AS key, count(*) AS n, round(avg(brightness), 4) AS mean_brightness, round(avg(blur), 4) AS mean_blur, round(stddev_pop(64 * height), 4) AS area_std FROM ok GROUP BY label")(
+    lambda t: I.quality_by_key(I.file_stats(t.spark, picture_files(t)))
+)
+query("S06_scan_image_files", f"SELECT CAST(label AS VARCHAR) AS key, count(*) AS n, list(name ORDER BY name) AS files FROM (SELECT DISTINCT label, label || '-' || vec_id // {SPAN} || '.png' AS name FROM embeddings) s GROUP BY label")(
+    lambda t: I.files_by_key(t.spark, picture_files(t))
+)
 
 
 @query("A26_fit_apply_pca")
@@ -135,6 +155,30 @@ def _(t):
     return out.select("vec_id", F.round(F.abs(F.get("scores", F.lit(0))), 4).alias("first_score"), F.lit(round(sum(variance), 6)).alias("explained"))
 
 
+_STEPS = 25
+
+
+def _power_sql(c: str, out: str) -> str:
+    """The vector after so many multiplications with the matrix in table c, and its share of the variance."""
+    start = f"{out}_r AS MATERIALIZED (SELECT i, list(c ORDER BY j) AS r FROM {c} GROUP BY i), {out}_0 AS (SELECT list(0.125) AS v FROM range(64))"
+    step = "{out}_{t} AS MATERIALIZED (SELECT list(y / n ORDER BY i) AS v FROM (SELECT i, y, sqrt(sum(y * y) OVER ()) AS n FROM (SELECT i, list_dot_product(r, v) AS y FROM {out}_r, {out}_{b}) a) b)"
+    steps = ", ".join(step.format(out=out, t=t, b=t - 1) for t in range(1, _STEPS + 1))
+    return f"{start}, {steps}, {out} AS MATERIALIZED (SELECT v, (SELECT sum(v[i + 1] * list_dot_product(r, v)) FROM {out}_r) AS l FROM {out}_{_STEPS})"
+
+
+_PCA = f"""WITH u AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings), m AS MATERIALIZED (SELECT i, avg(e) AS m FROM u GROUP BY i),
+ d AS MATERIALIZED (SELECT vec_id, u.i, e - m AS e FROM u JOIN m ON m.i = u.i), c AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.e * b.e) / (count(*) - 1) AS c FROM d a JOIN d b ON b.vec_id = a.vec_id GROUP BY a.i, b.i),
+ {_power_sql('c', 'p')}, c2 AS MATERIALIZED (SELECT i, j, c - l * v[i + 1] * v[j + 1] AS c FROM c, p), {_power_sql('c2', 'q')}
+ SELECT vec_id, round(list_dot_product(e, p.v), 6) AS first_score, round(list_dot_product(e, q.v), 6) AS second_score, round(list_dot_product(e, e) - list_dot_product(e, p.v) ** 2 - list_dot_product(e, q.v) ** 2, 6) AS residual,
+ (SELECT round((p.l + q.l) / sum(c), 6) FROM c WHERE i = j) AS explained FROM (SELECT vec_id, list(e ORDER BY i) AS e FROM d GROUP BY vec_id) x, p, q"""
+
+
+@query("A26_pca_by_covariance", _PCA)
+def _(t):
+    out = I.covariance_pca(t.embeddings, t.embeddings, "embedding", 2, _STEPS)
+    return out.select("vec_id", F.round(F.get("scores", F.lit(0)), 6).alias("first_score"), F.round(F.get("scores", F.lit(1)), 6).alias("second_score"), F.round("residual", 6).alias("residual"), F.round("explained", 6).alias("explained"))
+
+
 _SC = "WITH m AS (SELECT avg(age) AS ma, stddev_pop(age) AS sa, avg(fee) AS mf, stddev_pop(fee) AS sf FROM listings_v WHERE type = 1)"
 query("A27_fit_apply_scaler", f"{_SC} SELECT listing_id, round((age - ma) / sa, 6) AS age, round((fee - mf) / sf, 6) AS fee FROM listings_v, m")(
     lambda t: I.scale(t.listings_v.where("type = 1"), t.listings_v.select("listing_id", F.col("age").cast("double").alias("age"), "fee"), ["age", "fee"]).select("listing_id", F.round("age", 6).alias("age"), F.round("fee", 6).alias("fee"))

@@ -29,6 +29,13 @@ query("R05_session_state", f"WITH {_STATE} SELECT session_id, status, payload, n
 query("R06_expire_sessions", f"WITH {_STATE} SELECT session_id FROM st WHERE epoch(date_trunc('second', TIMESTAMP '2024-01-01 00:30:00')) - epoch(date_trunc('second', created_at)) <= 600")(
     lambda t: R.live_sessions(state(t), F.lit("2024-01-01 00:30:00").cast("timestamp")).select("session_id")
 )
+# the same as stateful streams on event time: no session ends before ten years; and sessions end 600 s after
+# their creation while the stream's time runs to half past midnight
+session_stream = lambda t, seconds, until: R.last_states(R.expiring_sessions(R.session_updates(stream(t).where(F.col("ts") <= F.lit(until).cast("timestamp"))), seconds), work_dir(t.spark) + "/sessions")
+query("R05_session_state_stream", f"WITH {_STATE} SELECT session_id, status, payload, n_updates FROM st")(lambda t: session_stream(t, 315360000, "2100-01-01").select("session_id", "status", "payload", "n_updates"))
+query("R06_expire_sessions_stream", f"WITH {_STATE.replace('FROM trace_v GROUP', 'FROM ev GROUP').replace('st AS', 'ev AS (SELECT * FROM trace_v WHERE ts <= TIMESTAMP ' + chr(39) + '2024-01-01 00:30:00' + chr(39) + '), st AS', 1)} SELECT session_id, status, payload, n_updates, epoch_ms((SELECT max(ts) FROM ev)) > epoch_ms(created_at) + 600000 AS expired FROM st")(
+    lambda t: session_stream(t, R.TTL_SECONDS, "2024-01-01 00:30:00").select("session_id", "status", "payload", "n_updates", "expired")
+)
 query("R07_recent_sessions", f"WITH {_STATE} SELECT session_id, status FROM st ORDER BY created_at DESC, session_id LIMIT 20")(lambda t: R.recent_sessions(state(t), 20).select("session_id", "status"))
 query("R08_avg_response_time", "SELECT round(avg(duration_ms) FILTER (WHERE duration_ms > 0), 6) AS avg_ms, count(*) FILTER (WHERE duration_ms > 0) AS n FROM trace_v")(lambda t: R.average_time(events(t)))
 _WIN = "SELECT date_trunc('day', ts) AS window_start, node, count(*) AS executions, count(*) FILTER (WHERE status = 'error') AS errors, round(sum(duration_ms), 4) AS total_ms FROM trace_v GROUP BY 1, 2"

@@ -138,3 +138,58 @@ def stateful_sessions(updates: DataFrame, seconds: int = TTL_SECONDS) -> DataFra
         yield pd.DataFrame({"session_id": [key[0]], "status": [status], "payload": [payload]})
 
     return updates.groupBy("session_id").applyInPandasWithState(upsert, STATE_OUT, "status string, payload double, ends bigint", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+SESSION_OUT = "session_id bigint, status string, payload double, created_at timestamp, n_updates bigint, expired boolean"
+_SESSION_STATE = "status string, status_at bigint, status_id bigint, payload double, payload_at bigint, payload_id bigint, created_at bigint, n_updates bigint"
+
+
+def expiring_sessions(updates: DataFrame, seconds: int = TTL_SECONDS, late: str = "0 seconds") -> DataFrame:
+    """session_state() as a stateful operator on event time: one row whenever a session changes, and one
+    with `expired` when the watermark passes its creation by so many seconds; it then leaves the state.
+
+    The state of a session is eight values, whatever the number of its updates, and order among updates
+    is by (ts, event_id) also across micro-batches."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def latest(rows: pd.DataFrame, column: str, held: tuple) -> tuple:
+        """(value, micros, id) of the last update that has the column, or what is held if that is later."""
+        some = rows[rows[column].notna()]
+        if some.empty:
+            return held
+        at = some.sort_values(["_at", "event_id"]).iloc[-1]
+        new = (at[column], int(at["_at"]), int(at["event_id"]))
+        return new if held[1] is None or new[1:] > held[1:] else held
+
+    def upsert(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else (None,) * 6 + (None, 0)
+        status, payload, created, n = held[0:3], held[3:6], held[6], held[7]
+        if not state.hasTimedOut:
+            for rows in parts:
+                rows = rows.assign(_at=rows["ts"].astype("datetime64[us]").astype("int64"))
+                status, payload = latest(rows, "status", status), latest(rows, "payload", payload)
+                first = int(rows["_at"].min())
+                created, n = first if created is None else min(created, first), n + len(rows)
+        ends = created // 1000 + 1000 * seconds
+        over = state.hasTimedOut or ends <= state.getCurrentWatermarkMs()
+        if over:
+            state.remove()
+        else:
+            state.update((status[0], status[1], status[2], None if payload[0] is None else float(payload[0]), payload[1], payload[2], created, n))
+            state.setTimeoutTimestamp(ends)
+        yield pd.DataFrame({"session_id": [key[0]], "status": [status[0]], "payload": [payload[0]], "created_at": [pd.Timestamp(created, unit="us")], "n_updates": [n], "expired": [over]})
+
+    return updates.withWatermark("ts", late).groupBy("session_id").applyInPandasWithState(upsert, SESSION_OUT, _SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def last_states(stream: DataFrame, path: str) -> DataFrame:
+    """Run expiring_sessions() over what is there: the last row of each session."""
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    stream.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{SESSION_OUT}, epoch bigint").option("basePath", path).parquet(path)
+    columns = [c for c in rows.columns if c not in ("session_id", "epoch")]
+    return rows.groupBy("session_id").agg(F.max_by(F.struct(*columns), F.struct("epoch", "n_updates", "expired")).alias("s")).select("session_id", "s.*")
