@@ -28,16 +28,20 @@ STOP_WORDS = [
 _SPACE = r"\s\x1c-\x1f"
 
 
+#: Letters, digits and the underscore of every script (to stand inside brackets).
+_WORD = r"\p{L}\p{N}_"
+
+
 def preprocess(text: str) -> Column:
-    """Placeholder for missing texts; tags, links, addresses and runs of space removed; NFKD.
+    """Placeholder for missing texts; tags, links, e-mail addresses and runs of space removed; NFKD.
 
-    Every pattern is linear in the text: a tag is looked for only before the last `>`, and an
-    address, which is a whole run without space, only from the start of a run."""
+    Every pattern is linear in the text: a tag is looked for only before the last `>`, and an address
+    only where a run of its characters starts (or right behind a match), for it must reach an `@`."""
     c = F.col(text)
     after = F.substring_index(c, ">", -1)
     t = F.concat(F.regexp_replace(F.left(c, F.length(c) - F.length(after)), r"<[^>]++>", " "), after)
-    t = F.regexp_replace(t, rf"(?U)https?://[^{_SPACE}]++|www\.[^{_SPACE}]++", " ")
-    t = F.regexp_replace(t, rf"(?U)(?<![^{_SPACE}])[^{_SPACE}][^{_SPACE}@]*+@[^{_SPACE}][^{_SPACE}.]*+\.[^{_SPACE}]++", " ")
+    link, address = rf"https?://[^{_SPACE}]++|www\.[^{_SPACE}]++", rf"(?:(?<![{_WORD}.+-])|\G)[{_WORD}.+-]++@[{_WORD}-]++\.[{_WORD}.-]++"
+    t = F.regexp_replace(t, f"(?U){link}|{address}", " ")
     t = nfkd(F.trim(F.regexp_replace(t, rf"(?U)[{_SPACE}]+", " ")))  # the Python column is read twice, not made twice
     return F.when(F.coalesce(t, F.lit("")) == "", PLACEHOLDER).otherwise(t)
 
@@ -49,8 +53,11 @@ def words(c: Column) -> Column:
 def text_stats(df: DataFrame, text: str, mode: str = "training") -> DataFrame:
     """Length, words, sentences, mean word length and ratios; mode: training, serving or eda."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    t = F.regexp_replace(raw, rf"(?U)^[{_SPACE}]++|(?<![{_SPACE}])[{_SPACE}]++\z", "") if mode == "serving" else raw
-    n, w = F.length(t), words(t)
+    trimmed = F.regexp_replace(raw, rf"(?U)^[{_SPACE}]++|(?<![{_SPACE}])[{_SPACE}]++\z", "") if mode == "serving" else raw
+    # what several columns read is made once: text, and word count with the length of all words
+    sums = F.aggregate(words(F.col("_t")), F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars")), lambda s, w: F.struct((s["n"] + 1).alias("n"), (s["chars"] + F.length(w)).alias("chars")))
+    df = df.withColumn("_t", trimmed).withColumn("_w", sums)
+    t, n, n_words = F.col("_t"), F.length("_t"), F.col("_w.n")
     parts = F.split(t, r"[.!?]+")
     if mode == "serving":
         sentences, upper, punct = F.size(F.filter(parts, lambda p: p.rlike(rf"(?U)[^{_SPACE}]"))), r"\p{Lu}", rf"(?U)[^\p{{L}}\p{{N}}{_SPACE}]"
@@ -59,20 +66,19 @@ def text_stats(df: DataFrame, text: str, mode: str = "training") -> DataFrame:
     least = F.greatest(n, F.lit(1))
     count = lambda p: F.regexp_count(t, F.lit(p))
     if mode == "eda":
-        return df.withColumns({"char_length": n, "word_count": F.size(w), "sentence_count": F.greatest(F.size(parts) - 1, F.lit(0))})
+        return df.withColumns({"char_length": n, "word_count": n_words, "sentence_count": F.greatest(F.size(parts) - 1, F.lit(0))}).drop("_t", "_w")
     out = {
         "description_length": n,
-        "word_count": F.size(w),
+        "word_count": n_words,
         "sentence_count": F.greatest(sentences, F.lit(1)),
-        "avg_word_length": F.when(F.size(w) > 0, F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)) / F.size(w)).otherwise(0.0),
+        "avg_word_length": F.when(n_words > 0, F.col("_w.chars") / n_words).otherwise(0.0),
         "uppercase_ratio": count(upper) / least,
         "punctuation_ratio": count(punct) / least,
         "digit_ratio": count(r"\p{Nd}") / least,
     }
     if mode == "serving":
-        blank = ~raw.rlike(rf"(?U)[^{_SPACE}]")
-        out = {k: F.when(blank, F.lit(0)).otherwise(v) for k, v in out.items()}
-    return df.withColumns(out)
+        out = {k: F.when(n == 0, F.lit(0)).otherwise(v) for k, v in out.items()}
+    return df.withColumns(out).drop("_t", "_w")
 
 
 def tokens(text: str) -> Column:

@@ -127,6 +127,20 @@ def error_profile(df: DataFrame, y: str, yhat: str, confidence: str) -> DataFram
     ).crossJoin(quantiles(df.where(wrong), confidence, [0.5]).select(F.round("q0", 6).alias("median_wrong")))  # one row each
 
 
+def class_shares(df: DataFrame, yhat: str, train: DataFrame, y: str, classes: Sequence[int] = CLASSES) -> DataFrame:
+    """For each class of the list: predictions and training rows with it, as counts and percent; zeros where there are none."""
+    count = lambda d, c, name: d.agg(F.array(*[F.count_if(F.col(c) == k) for k in classes]).alias(name), F.count(F.lit(1)).alias(f"{name}_all"))
+    one = count(df, yhat, "n").crossJoin(count(train, y, "m"))  # one row each
+    pct = lambda c: F.round(F.when(F.col(f"{c}_all") > 0, 100.0 * F.col("x")[c] / F.col(f"{c}_all")).otherwise(0.0), 4)
+    cells = F.arrays_zip(F.array(*[F.lit(k) for k in classes]).alias("cls"), "n", "m")
+    return one.select(F.explode(cells).alias("x"), "n_all", "m_all").select("x.cls", F.col("x.n").alias("n_predicted"), pct("n").alias("pct_predicted"), F.col("x.m").alias("n_training"), pct("m").alias("pct_training"))
+
+
+def error_by_class(df: DataFrame, y: str, yhat: str) -> DataFrame:
+    wrong = F.count_if(F.col(y) != F.col(yhat))
+    return df.groupBy(y).agg(F.count(F.lit(1)).alias("n"), wrong.alias("n_wrong"), F.round(wrong / F.count(F.lit(1)), 6).alias("error_rate"))
+
+
 def error_pairs(df: DataFrame, y: str, yhat: str) -> DataFrame:
     return df.where(F.col(y) != F.col(yhat)).groupBy(y, yhat).agg(F.count(F.lit(1)).alias("n"))
 

@@ -125,10 +125,19 @@ class Linear:
     intercepts: Sequence[float]
     columns: Sequence[str] = tuple(FEATURES)
 
+    def powers(self) -> list[Column]:
+        """The exponentials of the margins by class."""
+        margin = lambda w, b: reduce(lambda x, y: x + y, [F.lit(float(v)) * F.col(c) for v, c in zip(w, self.columns, strict=True)], F.lit(float(b)))
+        return [F.exp(margin(w, b)) for w, b in zip(self.weights, self.intercepts, strict=True)]
+
+    def expected_value(self) -> Column:
+        """The mean class, in one expression that stays small where filters on it are moved about."""
+        e = self.powers()
+        return reduce(lambda x, y: x + y, [k * x for k, x in enumerate(e) if k]) / reduce(lambda x, y: x + y, e)
+
     def transform(self, rows: DataFrame) -> DataFrame:
         """rows with p0, p1, ...: the softmax of the margins."""
-        margin = lambda w, b: reduce(lambda x, y: x + y, [F.lit(float(v)) * F.col(c) for v, c in zip(w, self.columns, strict=True)], F.lit(float(b)))
-        e = rows.withColumns({f"_e{k}": F.exp(margin(w, b)) for k, (w, b) in enumerate(zip(self.weights, self.intercepts, strict=True))})
+        e = rows.withColumns({f"_e{k}": x for k, x in enumerate(self.powers())})
         names = [f"_e{k}" for k in range(len(self.weights))]
         total = reduce(lambda x, y: x + y, [F.col(c) for c in names])
         return e.withColumns({f"p{k}": F.col(c) / total for k, c in enumerate(names)}).drop(*names)

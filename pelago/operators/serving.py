@@ -12,6 +12,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import cleaning
@@ -29,6 +30,15 @@ UNFITTED = {"breed1_frequency": 0.001, "state_freq": 0.02, "rescuer_pet_count":
 #: Key column of each fitted share.
 SHARES = {"breed1_frequency": "breed1", "state_freq": "state"}
 
+#: What an owner can change and the candidate values, and the field of each.
+GRID = {"PhotoAmt": [1, 3, 5, 7, 10], "VideoAmt": [0, 1, 2], "Vaccinated": [1], "Dewormed": [1], "Sterilized": [1], "Fee": [0, 10, 25, 50], "Name": ["Buddy"], "Quantity": [1]}
+FIELDS = {"PhotoAmt": "photos", "VideoAmt": "video_amt", "Vaccinated": "vaccinated", "Dewormed": "dewormed", "Sterilized": "sterilized", "Fee": "fee", "Name": "name", "Quantity": "quantity"}
+#: The single changes by effect on the expected value: feature, shown name, new value, when it applies.
+CHANGES = [
+    ("VideoAmt", "Video Amount", 1, "video_amt = 0"), ("Fee", "Adoption Fee", 0, "fee > 0"), ("Vaccinated", "Vaccinated", 1, "vaccinated <> 1"),
+    ("Dewormed", "Dewormed", 1, "dewormed <> 1"), ("Sterilized", "Sterilized", 1, "sterilized <> 1"), ("Name", "Pet Name", "Buddy", "name is null"),
+]
+
 #: The serving features in order.
 FEATURES = [
     "is_dog", "Gender", "MaturitySize", "FurLength", "Health", "Vaccinated", "Dewormed", "Sterilized", "health_care_score", "Age", "log_age", "age_bin", "Fee", "log_fee", "is_free", "fee_per_pet",
@@ -116,6 +126,50 @@ def request_features(requests: DataFrame, state: DataFrame, keep: tuple[str, ...
     return rows.select(*keep, *[out[c].alias(c) for c in FEATURES])
 
 
+def _moved(encoded: DataFrame, changes: Column) -> DataFrame:
+    """Each row with each of its changes, an array of (feature, candidate): the field set, and in `current` what it was."""
+    rows = encoded.withColumn("_c", F.explode(changes)).select("*", "_c.*").drop("_c")
+    is_ = lambda f: F.col("feature") == f
+    current = F.coalesce(*[F.when(is_(f), F.col(c).cast("string")) for f, c in FIELDS.items()])
+    kinds = dict(encoded.dtypes)
+    return rows.withColumns({"current": current} | {c: F.when(is_(f), F.col("candidate").cast(kinds[c])).otherwise(F.col(c)) for f, c in FIELDS.items()})
+
+
+def _compared(encoded: DataFrame, changes: Column, state: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Scores before and after each change. Rows carry their first score along, so nothing is joined by request."""
+    fields = encoded.columns
+    base = score(request_features(encoded.withColumn("_row", F.struct(*fields)), state, ("_row",)))
+    rows = base.select("_row.*", F.struct(F.col("predicted").alias("class0"), F.col("expected_value").alias("ev0")).alias("_was"))
+    moved = _moved(rows, changes)
+    facts = F.struct("feature", "candidate", "current", "_was.class0", "_was.ev0")
+    after = score(request_features(moved.withColumn("_row", facts), state, ("request_id", "_row")))
+    # a filter on a score that Spark moved below this step would repeat the whole model in every term; it
+    # is not moved past a partition number, as long as that is read
+    return after.select("request_id", "_row.*", F.col("predicted").alias("class1"), F.col("expected_value").alias("ev1"), F.spark_partition_id().alias("_here"))
+
+
+def change_grid(encoded: DataFrame, state: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Every candidate of GRID that differs from the request's own value and lowers the class, with `improvement`
+    in classes and its place in the request's list (by improvement, then the grid's order)."""
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(str(v)).alias("candidate")) for f, values in GRID.items() for v in values])
+    out = _compared(encoded, cells, state, score).withColumn("improvement", F.col("class0") - F.col("class1")).where("improvement > 0 and _here >= 0")
+    order = F.array_position(F.array(*[F.lit(f"{f}={v}") for f, values in GRID.items() for v in values]), F.concat_ws("=", "feature", "candidate"))
+    place = F.row_number().over(W.partitionBy("request_id").orderBy(F.desc("improvement"), order))
+    return out.select("request_id", "feature", F.coalesce("current", F.lit("None")).alias("current"), "candidate", F.col("class1").alias("new_class"), "improvement", place.alias("place"))
+
+
+def single_changes(encoded: DataFrame, state: DataFrame, score: Callable[[DataFrame], DataFrame], least: float = 1e-9) -> DataFrame:
+    """The single changes that apply to a request and lower its class or its expected value, the largest gain
+    first, with a text on the effect."""
+    made = F.array_compact(F.array(*[F.when(F.expr(applies), F.struct(F.lit(f).alias("feature"), F.lit(str(v)).alias("candidate"))) for f, _, v, applies in CHANGES]))
+    out = _compared(encoded, made, state, score).withColumn("ev_gain", F.col("ev0") - F.col("ev1")).withColumn("class_improved", F.col("class1") < F.col("class0"))
+    out = out.where(((F.col("ev_gain") > least) | F.col("class_improved")) & (F.col("_here") >= 0))
+    shown = F.create_map(*[F.lit(x) for f, name, _, _ in CHANGES for x in (f, name)])[F.col("feature")]
+    text = F.when(F.col("class_improved"), F.format_string("Improves adoption speed prediction from class %d to %d", "class0", "class1")).otherwise(F.format_string("Improves expected adoption time score by %.2f", "ev_gain"))
+    place = F.row_number().over(W.partitionBy("request_id").orderBy(F.desc(F.round("ev_gain", 9)), "feature"))
+    return out.select("request_id", shown.alias("feature"), F.when(F.col("feature") == "Name", "Yes").otherwise(F.col("candidate")).alias("suggested"), "ev_gain", "class_improved", text.alias("expected_impact"), place.alias("place"))
+
+
 def serve_stream(forms: DataFrame, state: DataFrame, score: Callable[[DataFrame], DataFrame], path: str) -> tuple[DataFrame, DataFrame]:
     """Encode, build and score a stream of forms over what is there; gives (scored rows, rejected rows).
 

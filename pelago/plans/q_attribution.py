@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import attribution as A
+from ..operators.evaluation import LABELS
 from .base import query
+from .q_evaluation import _LAB, _S, scored
 
 features = lambda t: t.attrib_v.select("feature").distinct()
 reg = lambda t: A.registry(features(t))
@@ -67,11 +69,21 @@ query("E16_filter_recommendations", f"SELECT conv_id, turn, feature, CAST(row_nu
 )
 
 
-@query("E17_template_explanation", f"""WITH {_COL}, p AS (SELECT row_id, [x.n for x in list_sort(list({{o: -magnitude, n: name}}) FILTER (WHERE direction = 'positive'))][1:2] AS pos, [x.n for x in list_sort(list({{o: -magnitude, n: name}}) FILTER (WHERE direction = 'negative'))][1:2] AS neg, max(share) AS top FROM col GROUP BY row_id)
- SELECT row_id, 'The model predicts ' || CASE WHEN row_id % 5 <= 2 THEN 'a relatively fast adoption' ELSE 'a slower adoption timeline' END || ' (class ' || (row_id % 5) || '), ' || CASE WHEN row_id % 10 >= 5 THEN 'with moderate confidence' WHEN row_id % 10 >= 3 THEN 'though with some uncertainty' ELSE 'though the model shows notable uncertainty across classes' END || '. The prediction is driven entirely by listing attributes.'
- || CASE WHEN len(pos) > 0 THEN ' Factors supporting faster adoption include ' || array_to_string(pos, ' and ') || '.' ELSE '' END || CASE WHEN len(neg) > 0 THEN ' Working against faster adoption: ' || array_to_string(neg, ' and ') || '.' ELSE '' END AS explanation FROM p""")
-def _(t):
-    rows = A.split_factors(collapsed(t)).withColumns({"pos": F.filter(F.split("positive", ","), lambda x: x != ""), "neg": F.filter(F.split("negative", ","), lambda x: x != "")})
-    shares = F.array(F.struct(F.lit(1.0).alias("share"), F.lit("tabular").alias("modality")))
-    r = F.col("row_id")
-    return rows.select("row_id", A.template_explanation(r % 5, F.concat(F.lit("class "), (r % 5).cast("string")), (r % 10) / 10, shares, F.col("pos"), F.col("neg")).alias("explanation"))
+_SHOWN = "CASE name " + " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in A.DISPLAY_NAMES.items()) + " ELSE name END"
+_SPOKEN = "CASE modality WHEN 'tabular' THEN 'listing attributes' WHEN 'text' THEN 'description content' WHEN 'image' THEN 'photo characteristics' WHEN 'metadata' THEN 'image metadata' ELSE modality END"
+_TWO = "list(shown ORDER BY rk) FILTER (WHERE direction = '{0}')"
+_ONCE = "CASE WHEN len({0}) = 2 AND {0}[1] = {0}[2] THEN {0}[1:1] ELSE {0} END"
+query(
+    "E17_template_explanation",
+    f"""WITH {_COL}, {_S}, rk AS (SELECT * FROM (SELECT row_id, {_SHOWN} AS shown, direction, row_number() OVER (PARTITION BY row_id ORDER BY magnitude DESC, name) AS rk FROM col WHERE NOT is_baseline) a WHERE rk <= 5),
+ fa AS (SELECT row_id, ({_TWO.format('positive')})[1:2] AS pos, ({_TWO.format('negative')})[1:2] AS neg FROM rk GROUP BY row_id),
+ ms AS (SELECT row_id, modality, round(sum(round(share, 6)), 6) AS share FROM col GROUP BY 1, 2),
+ md AS (SELECT row_id, list({_SPOKEN} ORDER BY share DESC, modality) FILTER (WHERE share > 0.01) AS m, max(share) AS top FROM ms GROUP BY row_id)
+ SELECT md.row_id, 'The model predicts ' || CASE WHEN predicted <= 2 THEN 'a relatively fast adoption' ELSE 'a slower adoption timeline' END || ' (' || {_LAB} || '), '
+ || CASE WHEN confidence >= 0.5 THEN 'with moderate confidence' WHEN confidence >= 0.3 THEN 'though with some uncertainty' ELSE 'though the model shows notable uncertainty across classes' END || '. '
+ || CASE coalesce(len(m), 0) WHEN 0 THEN 'The prediction is based on multiple data signals.' WHEN 1 THEN 'The prediction is driven entirely by ' || m[1] || '.'
+    ELSE 'The prediction is primarily driven by ' || m[1] || ' (' || CAST(CAST(round_even(top * 100, 0) AS INT) AS VARCHAR) || '%), with additional influence from ' || array_to_string(m[2:], ' and ') || '.' END
+ || CASE WHEN len(pos) > 0 THEN ' Factors supporting faster adoption include ' || array_to_string({_ONCE.format('pos')}, ' and ') || '.' ELSE '' END
+ || CASE WHEN len(neg) > 0 THEN ' Working against faster adoption: ' || array_to_string({_ONCE.format('neg')}, ' and ') || '.' ELSE '' END AS explanation
+ FROM md JOIN scored ON listing_id = md.row_id LEFT JOIN fa ON fa.row_id = md.row_id""",
+)(lambda t: A.explain(A.interpreted(collapsed(t), 5), scored(t).select(F.col("listing_id").alias("row_id"), "predicted", "confidence"), LABELS))

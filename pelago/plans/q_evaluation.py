@@ -113,6 +113,10 @@ query("M27_calibration_error", f"WITH {_CAL} SELECT cls, round(sum(abs(observed
 query("M28_error_profile", f"WITH {_S} SELECT count(*) AS n, round(count(*) FILTER (WHERE y <> predicted) * 1.0 / count(*), 6) AS error_rate, count(*) FILTER (WHERE predicted > y) AS n_over, count(*) FILTER (WHERE predicted < y) AS n_under, round(avg(abs(predicted - y)), 6) AS mean_abs_error, round(avg(confidence) FILTER (WHERE y <> predicted), 6) AS confidence_wrong, round(avg(confidence) FILTER (WHERE y = predicted), 6) AS confidence_right, round(median(confidence) FILTER (WHERE y <> predicted), 6) AS median_wrong FROM scored")(
     lambda t: E.error_profile(scored(t), "y", "predicted", "confidence")
 )
+query("M28_error_by_class", f"WITH {_S} SELECT y, count(*) AS n, count(*) FILTER (WHERE y <> predicted) AS n_wrong, round(count(*) FILTER (WHERE y <> predicted) * 1.0 / count(*), 6) AS error_rate FROM scored GROUP BY y")(lambda t: E.error_by_class(scored(t), "y", "predicted"))
+query("M24_class_shares", f"WITH {_S}, a AS (SELECT predicted AS c, count(*) AS n, 100.0 * count(*) / (SELECT count(*) FROM scored) AS p FROM scored GROUP BY 1), b AS (SELECT speed AS c, count(*) AS n, 100.0 * count(*) / (SELECT count(*) FROM listings_v WHERE type = 1) AS p FROM listings_v WHERE type = 1 GROUP BY 1) SELECT CAST(r.c AS INT) AS cls, coalesce(a.n, 0) AS n_predicted, round(coalesce(a.p, 0), 4) AS pct_predicted, coalesce(b.n, 0) AS n_training, round(coalesce(b.p, 0), 4) AS pct_training FROM range(5) r(c) LEFT JOIN a ON a.c = r.c LEFT JOIN b ON b.c = r.c")(
+    lambda t: E.class_shares(scored(t), "predicted", t.listings_v.where("type = 1"), "speed")
+)
 query("M28_error_pairs", f"WITH {_S} SELECT y, predicted, count(*) AS n FROM scored WHERE y <> predicted GROUP BY 1, 2")(lambda t: E.error_pairs(scored(t), "y", "predicted"))
 query("M29_worst_errors", f"WITH {_S} SELECT listing_id, y, predicted, abs(predicted - y) AS gap, round(confidence, 6) AS confidence FROM scored WHERE y <> predicted ORDER BY gap DESC, scored.confidence DESC, listing_id DESC LIMIT 20")(
     lambda t: E.worst_errors(scored(t), "listing_id", "y", "predicted", "confidence", 20).withColumn("confidence", F.round("confidence", 6))

@@ -37,6 +37,9 @@ query("R06_expire_sessions_stream", f"WITH {_STATE.replace('FROM trace_v GROUP',
     lambda t: session_stream(t, R.TTL_SECONDS, "2024-01-01 00:30:00").select("session_id", "status", "payload", "n_updates", "expired")
 )
 query("R07_recent_sessions", f"WITH {_STATE} SELECT session_id, status FROM st ORDER BY created_at DESC, session_id LIMIT 20")(lambda t: R.recent_sessions(state(t), 20).select("session_id", "status"))
+query("R07_recent_sessions_today", f"WITH {_STATE} SELECT session_id, status, (SELECT count(*) FROM st WHERE created_at >= TIMESTAMP '2024-01-01' AND created_at <= TIMESTAMP '2024-01-01 13:00:00') AS n_today FROM st ORDER BY created_at DESC, session_id LIMIT 20")(
+    lambda t: R.recent_with_today(state(t), 20, F.lit("2024-01-01 13:00:00").cast("timestamp")).select("session_id", "status", "n_today")
+)
 query("R08_avg_response_time", "SELECT round(avg(duration_ms) FILTER (WHERE duration_ms > 0), 6) AS avg_ms, count(*) FILTER (WHERE duration_ms > 0) AS n FROM trace_v")(lambda t: R.average_time(events(t)))
 _WIN = "SELECT date_trunc('day', ts) AS window_start, node, count(*) AS executions, count(*) FILTER (WHERE status = 'error') AS errors, round(sum(duration_ms), 4) AS total_ms FROM trace_v GROUP BY 1, 2"
 _day = lambda d: d.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -52,9 +52,10 @@ _SQL = {
 _REAL = {c: 4 if c == "rescuer_mean_fee" else 6 for c, e in _SQL.items() if e.startswith("round(")}
 
 
-def _features_sql(until: str, columns=S.FEATURES) -> str:
+def _features_sql(until: str, columns=S.FEATURES, source="enc", more="", name="ft") -> str:
     cells = ", ".join(f'{_SQL[c]} AS "{c}"' for c in columns)
-    return f"{_ENC}, {_state_sql(until)}, ft AS (SELECT request_id, {cells} FROM enc e LEFT JOIN bs ON e.breed1 = bs.breed1 LEFT JOIN ss ON e.state = ss.state CROSS JOIN df WHERE rejects = '')"
+    head = f"{_ENC}, {_state_sql(until)}, " if name == "ft" else ""
+    return f"{head}{name} AS (SELECT request_id{more}, {cells} FROM {source} e LEFT JOIN bs ON e.breed1 = bs.breed1 LEFT JOIN ss ON e.state = ss.state CROSS JOIN df WHERE rejects = '')"
 
 
 def fitted_state(t, until: str):
@@ -73,16 +74,20 @@ query("P22_request_features", f"WITH {_features_sql(FITTED)} {_ALL}")(lambda t:
 query("P22_request_features_all", f"WITH {_features_sql('2100-01-01')} {_ALL}")(lambda t: request_rows(t, "2100-01-01"))  # fitted on every accepted form: no key is unseen
 
 # ---- R10: a model with given weights over fitted and plain serving features --------------------------
-_COLUMNS = ["is_dog", "log_age", "age_bin", "log_fee", "is_single_pet", "log_photo_amt", "has_name", "is_mixed_breed", "breed1_frequency", "state_freq", "health_care_score", "health_x_vaccinated", "color_count"]
-_SCALE = {"breed1_frequency": 40.0, "state_freq": 40.0}
+_COLUMNS = ["is_dog", "log_age", "age_bin", "log_fee", "is_single_pet", "log_photo_amt", "has_name", "is_mixed_breed", "breed1_frequency", "state_freq", "health_care_score", "health_x_vaccinated", "color_count", "has_video", "name_length"]
+_SCALE = {"breed1_frequency": 40.0, "state_freq": 40.0, "name_length": 0.05}
 MODEL = M.Linear([[((4 * k + 7 * j) % 13 - 6) / 20 * _SCALE.get(c, 1.0) for j, c in enumerate(_COLUMNS)] for k in range(5)], [0.2, 0.1, 0.3, 0.0, -0.1], tuple(_COLUMNS))
 
 
 def score(features):
     """Key, class and expected value, the fitted features rounded as the SQL has them."""
     rows = features.withColumns({c: F.round(c, _REAL[c]) if c in _REAL else F.col(c).cast("double") for c in _COLUMNS})
-    out = E.scored(M.probabilities(MODEL, rows), M.P, M.CUTS)
-    return out.select("request_id", "rejects", "predicted", F.round("expected_value", 6).alias("expected_value"))
+    out = rows.withColumn("expected_value", MODEL.expected_value()).withColumn("predicted", E.by_thresholds(F.col("expected_value"), M.CUTS))
+    return out.select(*[c for c in features.columns if c not in S.FEATURES], "predicted", "expected_value")
+
+
+def rounded(df):
+    return df.withColumn("expected_value", F.round("expected_value", 6))
 
 
 def served(t):
@@ -95,6 +100,37 @@ def served(t):
 _E = ", ".join(f"exp({b} + " + " + ".join(f'({w}) * "{c}"' for w, c in zip(ws, _COLUMNS, strict=True)) + f") AS e{k}" for k, (ws, b) in enumerate(zip(MODEL.weights, MODEL.intercepts, strict=True)))
 _CUTS = " + ".join(f"CAST(ev >= {c} AS INT)" for c in M.CUTS)
 query("R10_request_stream_scores", f"WITH {_features_sql(FITTED, _COLUMNS)} SELECT request_id, {_CUTS} AS predicted, round(ev, 6) AS expected_value FROM (SELECT request_id, (e1 + 2 * e2 + 3 * e3 + 4 * e4) / (e0 + e1 + e2 + e3 + e4) AS ev FROM (SELECT request_id, {_E} FROM ft) x) y")(
-    lambda t: served(t)[0]
+    lambda t: rounded(served(t)[0])
 )
 query("R10_request_stream_rejects", f"WITH {_ENC} SELECT request_id, rejects FROM enc WHERE rejects <> ''")(lambda t: served(t)[1])
+
+# ---- E13, E14: changed requests through P22 and the same model ---------------------------------------
+_VALUES = ", ".join(f"('{f}', '{v}', {i})" for i, (f, v) in enumerate((f, v) for f, values in S.GRID.items() for v in values))
+_KIND = {"fee": "DOUBLE", "name": "VARCHAR"}
+_SET = ", ".join(f"CASE WHEN feature = '{f}' THEN CAST(candidate AS {_KIND.get(c, 'INT')}) ELSE {c} END AS {c}" for f, c in S.FIELDS.items())
+_KEEP = "request_id, pet_type, age_months, gender, breed1, breed2, color1, color2, color3, maturity_size, fur_length, health, state, rejects"
+
+
+def _changed_sql(values: str, applies: str) -> str:
+    """o: each request's class and expected value; n: those of each change."""
+    score = lambda source, keep: f"(SELECT *, {_CUTS} AS cls FROM (SELECT {keep}, (e1 + 2 * e2 + 3 * e3 + 4 * e4) / (e0 + e1 + e2 + e3 + e4) AS ev FROM (SELECT {keep}, {_E} FROM {source}) x) y)"
+    moved = f"mv AS (SELECT {_KEEP}, feature, candidate, g, {_SET} FROM (SELECT * FROM enc CROSS JOIN (VALUES {values}) v(feature, candidate, g) WHERE rejects = '' AND {applies}) c)"
+    changed = _features_sql(FITTED, _COLUMNS, "mv", ", feature, candidate, g", "fm")
+    return f"{_features_sql(FITTED, _COLUMNS)}, {moved}, {changed}, o AS {score('ft', 'request_id')}, n AS {score('fm', 'request_id, feature, candidate, g')}"
+
+
+_CURRENT = "CASE feature " + " ".join(f"WHEN '{f}' THEN CAST({c} AS VARCHAR)" for f, c in S.FIELDS.items()) + " END"
+query(
+    "E14_change_grid",
+    f"""WITH {_changed_sql(_VALUES, 'TRUE')}, b AS (SELECT n.*, o.cls - n.cls AS improvement FROM n JOIN o ON o.request_id = n.request_id WHERE n.cls < o.cls)
+ SELECT b.request_id, feature, coalesce({_CURRENT}, 'None') AS current, candidate, b.cls AS new_class, improvement, CAST(row_number() OVER (PARTITION BY b.request_id ORDER BY improvement DESC, g) AS INT) AS place FROM b JOIN enc ON enc.request_id = b.request_id""",
+)(lambda t: S.change_grid(S.encode_forms(t.forms_v).where("rejects = ''").drop("submitted"), fitted_state(t, FITTED), score))
+_SINGLE = ", ".join(f"('{f}', '{v}', {i})" for i, (f, _, v, _) in enumerate(S.CHANGES))
+_APPLIES = "CASE feature " + " ".join(f"WHEN '{f}' THEN {applies}" for f, _, _, applies in S.CHANGES) + " END"
+_NAMED = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{name}'" for f, name, _, _ in S.CHANGES) + " END"
+query(
+    "E13_single_changes",
+    f"""WITH {_changed_sql(_SINGLE, _APPLIES)}, b AS (SELECT n.request_id, feature, candidate, o.ev - n.ev AS gain, o.cls AS c0, n.cls AS c1 FROM n JOIN o ON o.request_id = n.request_id WHERE o.ev - n.ev > 1e-9 OR n.cls < o.cls)
+ SELECT request_id, {_NAMED} AS feature, CASE WHEN feature = 'Name' THEN 'Yes' ELSE candidate END AS suggested, round(gain, 6) AS ev_gain, c1 < c0 AS class_improved,
+ CASE WHEN c1 < c0 THEN printf('Improves adoption speed prediction from class %d to %d', c0, c1) ELSE printf('Improves expected adoption time score by %.2f', gain) END AS expected_impact, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(gain, 9) DESC, feature) AS INT) AS place FROM b""",
+)(lambda t: S.single_changes(S.encode_forms(t.forms_v).where("rejects = ''").drop("submitted"), fitted_state(t, FITTED), score).withColumn("ev_gain", F.round("ev_gain", 6)))

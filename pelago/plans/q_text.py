@@ -20,7 +20,8 @@ query("X01_preprocess_stats", "SELECT count(*) AS n, count(*) FILTER (WHERE text
 _WS = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 _WORDS = f"list_filter(string_split_regex(x, '[{_WS}]+'), lambda v: v <> '')"
 _RAW = "(SELECT *, coalesce(text, '') AS x FROM documents)"
-_SPACED = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), 'https?://[^{_WS}]+|www\\.[^{_WS}]+', ' ', 'g'), '[^{_WS}]+@[^{_WS}]+\\.[^{_WS}]+', ' ', 'g'), '[{_WS}]+', ' ', 'g')"
+_LINKS = rf"https?://[^{_WS}]+|www\.[^{_WS}]+|[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_.-]+"
+_SPACED = f"regexp_replace(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '{_LINKS}', ' ', 'g'), '[{_WS}]+', ' ', 'g')"
 _STATS = rf"""SELECT doc_id, CAST(length(x) AS INT) AS description_length, CAST(len(w) AS INT) AS word_count, CAST(greatest(len(string_split_regex(x, '[.!?]+')), 1) AS INT) AS sentence_count,
  round(CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda v: length(v))) * 1.0 / len(w) ELSE 0 END, 6) AS avg_word_length, round(len(regexp_extract_all(x, '[A-Z]')) * 1.0 / greatest(length(x), 1), 6) AS uppercase_ratio,
  round(len(regexp_extract_all(x, '[^\p{{L}}\p{{N}}_{_WS}]')) * 1.0 / greatest(length(x), 1), 6) AS punctuation_ratio, round(len(regexp_extract_all(x, '\p{{Nd}}')) * 1.0 / greatest(length(x), 1), 6) AS digit_ratio

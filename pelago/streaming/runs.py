@@ -95,6 +95,12 @@ def recent_sessions(state: DataFrame, n: int) -> DataFrame:
     return state.orderBy(F.desc("created_at"), "session_id").limit(max(1, min(n, 100)))
 
 
+def recent_with_today(state: DataFrame, n: int, now: Column) -> DataFrame:
+    """The newest sessions, and beside them how many were created since the last midnight (UTC session time) up to now."""
+    today = state.agg(F.count_if((F.col("created_at") >= F.date_trunc("day", now)) & (F.col("created_at") <= now)).alias("n_today"))
+    return recent_sessions(state, n).crossJoin(F.broadcast(today))  # one row
+
+
 def average_time(events: DataFrame) -> DataFrame:
     return events.agg(F.round(F.avg(F.when(F.col("duration_ms") > 0, F.col("duration_ms"))), 6).alias("avg_ms"), F.count_if(F.col("duration_ms") > 0).alias("n"))
 
