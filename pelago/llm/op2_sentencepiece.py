@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 import zlib
 from bisect import bisect_left
 
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import slices, table
 
 MARK = "▁"
-CACHE, SLICE = 700_000, 6 << 20
+#: Bytes that the cache of words may hold, and bytes of text that are worked on at once.
+CACHE, SLICE = 192 << 20, 6 << 20
 #: Characters that are indexed at once, and from how many on a word is relaxed for itself.
 STRETCH, LONG = 1 << 20, 64
 NO_RANK = np.int32(2**31 - 1)
@@ -62,6 +64,7 @@ class Model:
         for r, p in enumerate(joined):
             self.letters[r, : len(p)] = [ord(c) for c in p]
         self.cache: dict[str, bytes] = {}
+        self.held = 0  # its bytes, about
 
     def suffixes(self, text: np.ndarray) -> np.ndarray:
         """Starts of all suffixes in the order of their first `longest` characters."""
@@ -229,10 +232,18 @@ class Model:
                 words = [MARK + w for w in words]
             split.append(words)
             new.update(words)
-        if len(self.cache) > CACHE:
+        if self.held > CACHE:
             self.cache.clear()
-        self.solve([w for w in new if w not in self.cache])
-        return [np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u4") for words in split]
+            self.held = 0
+        new = [w for w in new if w not in self.cache]
+        self.solve(new)
+        out = [np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u4") for words in split]
+        for w in new:
+            if len(w) > LONG:  # in text without spaces a word is a paragraph, which does not come again
+                del self.cache[w]
+            else:
+                self.held += sys.getsizeof(w) + len(self.cache[w]) + 150
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         out = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")

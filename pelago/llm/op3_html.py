@@ -40,11 +40,13 @@ SAMPLE_PAGES, VARIANTS = 240, 4
 #: Fixed values of the HTML standard and of common attribute names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp noembed noframes".split())
-SILENT = frozenset("noscript template iframe object svg math canvas head select option button audio video".split())
+SILENT = frozenset("noscript template iframe object svg canvas head select option button audio video".split())
 #: What may stand in a head, and the silent elements that a second start tag of their kind ends.
 IN_HEAD = frozenset("html head base link meta script style title noscript template".split())
 NOT_NESTED = frozenset("iframe head select option button".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img br wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img br wbr".split()) | frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mstyle mpadded menclose mtable mtr mtd semantics".split()
+)
 CLOSES = {
     "p": frozenset("p".split()), "li": frozenset("li".split()), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()),
     "tr": frozenset("tr td th".split()), "td": frozenset("td th".split()), "th": frozenset("td th".split()),
@@ -62,7 +64,14 @@ _TAG_OF |= {t: "table" for t in ("table", "tr", "td", "th", "tbody", "thead")} |
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 BAD_TAGS = frozenset(("nav", "header", "footer", "aside", "form"))
 _NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
-_MARK = re.compile(r"[>\"']")
+#: Attributes up to the tag's end or to a quote that opens a value: one stands only behind the `=` of a name.
+#: A quote anywhere else belongs to a name or to a value without quotes.
+_ATTRIBUTES = re.compile(
+    r"""(?: [\s/]++ | (?:=[^\s/>=]*+|[^\s/>=]++) (?: \s*+=\s*+ (?: [^\s>"'][^\s>]*+ | (?=>) ) | (?!\s*+=) ) )*+
+        (?: > | (?:=[^\s/>=]*+|[^\s/>=]++) \s*+=\s*+ ["'] )""",
+    re.X,
+)
+_COMMENT = re.compile(r"--!?>")
 _SILENT_TAG = re.compile(rf"<(/?)({'|'.join(sorted(SILENT))})\b", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _GOLD = "data-gold"
@@ -89,22 +98,20 @@ def attribute_tokens(attributes: str) -> list[str]:
 
 
 class Reader:
-    """Tags, comments and text of a page, in time linear in it: no stretch is searched again for the
-    end of a tag that has none."""
+    """Tags, comments and text of a page, by the rules that HTML has for them, in time linear in it: no
+    stretch is searched again for the end of a tag that has none."""
 
     def __init__(self, html: str):
-        self.html, self.last = html, {c: html.rfind(c) for c in ">\"'"}
-        self.dead: set[int] = set()  # quotes from which on no tag ends
-        self.low = self.high = -1  # from low on, the next mark is at high
+        self.html, self.last = html, {c: html.rfind(c) for c in (">", '"', "'", "]]>")}
+        self.dead: set[int] = set()  # opening quotes from which on no tag ends
         self.raw_ends: dict[str, re.Pattern] = {}
 
     def end(self, at: int) -> int:
-        """Behind the tag that is open at `at`, outside its quoted values; -1 if it never ends."""
-        tried, html = [], self.html
-        while at <= self.last[">"]:
-            if not self.low <= at <= self.high:
-                self.low, self.high = at, _MARK.search(html, at).start()
-            i = self.high
+        """Behind the tag that is open at `at`, outside its quoted values. If the page ends in a quoted
+        value, the tag ends at the next `>`; -1 if there is none."""
+        start, tried, html = at, [], self.html
+        while at <= self.last[">"] and (m := _ATTRIBUTES.match(html, at)):
+            i = m.end() - 1
             if html[i] == ">":
                 return i + 1
             if i in self.dead or i == self.last[html[i]]:
@@ -112,7 +119,7 @@ class Reader:
             tried.append(i)
             at = html.index(html[i], i + 1) + 1
         self.dead.update(tried)
-        return -1
+        return html.find(">", start) + 1 or -1
 
     def token(self, at: int) -> tuple[int, bool, str | None, str, str | None]:
         """(end, closing, name, attributes, text) of what starts at `at`; a comment has no name and no text."""
@@ -122,8 +129,13 @@ class Reader:
             end = len(html) if end < 0 else end
             return end, False, None, "", html[at:end]
         if html.startswith("<!--", at):
-            end = html.find("-->", at + 4)
-            return (len(html) if end < 0 else end + 3), False, None, "", None
+            for short in ("<!-->", "<!--->"):
+                if html.startswith(short, at):
+                    return at + len(short), False, None, "", None
+            m = _COMMENT.search(html, at + 4)
+            return (m.end() if m else len(html)), False, None, "", None
+        if html.startswith("<![CDATA[", at) and at < self.last["]]>"]:
+            return html.index("]]>", at) + 3, False, None, "", None
         if html.startswith(("<!", "<?"), at) and at < self.last[">"]:
             return html.index(">", at) + 1, False, None, "", None
         if m := _NAME.match(html, at):

@@ -1,7 +1,7 @@
 """Order-preserving packing of token streams into sequences of at most 1024 tokens.
 
 Each partition is one stream of documents in their stored order; nothing is shuffled. A dynamic
-programme over cut places (document ends, sentence ends, and a grid that can always be taken)
+programme over cut places (document ends, sentence ends, and a grid where none lies within a sequence)
 minimises padding plus truncation penalties plus a cost per sequence. A window of L tokens pads
 1024 - L unless L is a power of two, so f[j] = penalty[j] + 1024 - j + min(f[i] + i) over the last
 1024 positions, kept in a monotone queue, besides eleven direct transitions for powers of two.
@@ -16,6 +16,8 @@ partition's number times 2**40 plus the place in the partition, so a repeated ta
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
 from collections import deque
 
@@ -30,11 +32,16 @@ from .common import slices, table
 SEQUENCE, END_ID = 1024, 0
 #: Cost of a cut at a sentence end, of one elsewhere inside a document, and of a sequence.
 SENTENCE_CUT, INNER_CUT, EACH = 2, 24, 12
-BLOCK, CARRY, GRID, CACHE = 1 << 16, 4096, 256, 400_000
+BLOCK, CARRY, GRID = 1 << 16, 4096, 256
+#: Bytes that a cache of words may hold, and the longest word that goes into it (in text without spaces
+#: a word is a paragraph, which does not come again).
+CACHE, LONG = 96 << 20, 64
 #: Sentence ends are cut places if they lie at least so many tokens apart.
 SPACING = 8
 #: How the byte-level vocabulary writes a space, a line feed, and white space at all.
 SPACE, LINE_FEED, WHITE = "\u0120", "\u010a", "\u0120\u010a\u0109\u010d"
+#: White space but for the space and the line feed.
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -60,6 +67,7 @@ class Encoder:
         self.added = [t.content for t in self.bpe.get_added_tokens_decoder().values()]
         self.inner: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.held = [0, 0]  # bytes of the two, about
         self.line_feed = self.whole("\n")
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
@@ -77,28 +85,34 @@ class Encoder:
             raw, cuts = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
             for i, w in enumerate(listed):
                 self.inner[w] = raw[cuts[i] : cuts[i + 1]]
+            self.held[0] += len(raw) + sum(sys.getsizeof(w) + 150 for w in listed)
         listed = list(heads)
         for w, ids in zip(listed, self.batch(listed), strict=True):
             self.first[w] = ids.tobytes()
+            self.held[1] += sys.getsizeof(w) + ids.nbytes + 150
 
     def simple(self, text: str) -> bool:
-        """Words set apart by one space or line feed each, no other white space, no added token."""
+        """Words set apart by one space or line feed each, no other white space of any kind, no added token."""
         if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n", *self.added)):
             return False
-        return len(text.split()) == text.count(" ") + text.count("\n") + 1
+        return not _OTHER_SPACE.search(text)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian 32-bit words, the closing id included."""
         plain, missing, heads = [], set(), set()
-        for known in (self.inner, self.first):
-            if len(known) > CACHE:
+        for i, known in enumerate((self.inner, self.first)):
+            if self.held[i] > CACHE:
                 known.clear()
+                self.held[i] = 0
         for raw in texts:
             text = raw.decode("utf-8", "replace")
             if not self.simple(text):
                 plain.append(text)
                 continue
             lines = [line.split(" ") for line in text.split("\n")]
+            if max(len(w) for line in lines for w in line) > LONG:
+                plain.append(text)
+                continue
             plain.append(lines)
             for line in lines:
                 missing.update(line[1:])
@@ -123,15 +137,20 @@ def encoder(vocabulary: str) -> Encoder:
 
 
 def cut_places(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where a window may end, 0 included, and the penalty of each."""
+    """Positions where a window may end, 0 included, and the penalty of each: the ends of documents and of
+    sentences, and where two of those are more than a sequence apart a grid between them."""
     cost = np.full(len(ids) + 1, -1, np.int64)
-    cost[0 : len(ids) + 1 : GRID] = INNER_CUT
     at = np.flatnonzero(sentence_end[ids]) + 1
     if len(at):
         cost[at[np.diff(at // SPACING, prepend=-1) > 0]] = SENTENCE_CUT
     cost[doc_ends] = 0
     cost[0] = cost[len(ids)] = 0
     places = np.flatnonzero(cost >= 0)
+    wide = np.flatnonzero(np.diff(places) > SEQUENCE)
+    if len(wide):
+        for a, b in zip(places[wide].tolist(), places[wide + 1].tolist(), strict=True):
+            cost[a + GRID : b : GRID] = INNER_CUT
+        places = np.flatnonzero(cost >= 0)
     return places, cost[places]
 
 

@@ -155,7 +155,7 @@ def test_op3_open_silent_elements_cut_nothing_off(page, want):
     assert [x.text for x in op3.parse(page)[1]] == want
 
 
-@pytest.mark.parametrize("piece", ["<a ", "<a \"<b '", "</script ", "<!x ", "<blockquote>", "<a \"x\" ", "<svg ", "<object>", "<p><table>", "</section>", "<title>", "<li>"])
+@pytest.mark.parametrize("piece", ["<a ", "<a \"<b '", "</script ", "<!x ", "<blockquote>", "<a \"x\" ", "<a b='", "<a =\"<b ='", "<!--!", "<![CDATA[", "<a b=\">\" c='", "<svg ", "<object>", "<p><table>", "</section>", "<title>", "<li>"])
 def test_op3_reads_hostile_pages_in_linear_time(piece):
     began = time.perf_counter()
     nodes, _ = op3.parse("<script>x</script>" + piece * (1_000_000 // len(piece)) + "\">'>")
@@ -164,7 +164,64 @@ def test_op3_reads_hostile_pages_in_linear_time(piece):
 
 def test_op3_tags_that_never_end_are_text():
     assert [x.text for x in op3.parse("<p>One < two <b")[1]] == ["One < two <b"]
-    assert [x.text for x in op3.parse("<p title='a>b' id=\"x>\">One</p><a \"<p>Two</p>")[1]] == ["One", "<a \"", "Two"]
+    assert [x.text for x in op3.parse("<p title='a>b' id=\"x>\">One</p><a \"<p>Two</p>")[1]] == ["One", "Two"]  # the quote belongs to a name
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p data-x=it's>First para.</p><p>Second don't drop.</p><p>Third.</p>", ["First para.", "Second don't drop.", "Third."]),
+        ("<p class=a'b>One</p><p>Two don't</p>", ["One", "Two don't"]),
+        ('<p title=5">First</p><p>Second "x"</p>', ["First", 'Second "x"']),
+        ("<p>a</p><!--><p>b</p><p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><!---><p>b</p>", ["a", "b"]),
+        ("<p>a</p><!-- x --!><p>b</p><!-- y > z --><p>c</p>", ["a", "b", "c"]),
+        ("<p>One <![CDATA[ a > b ]]>two</p>", ["One two"]),
+        ("<p>One <![CDATA[ a > two</p>", ["One two"]),
+        ("<p>Energy <math><mi>E</mi> <mo>=</mo> <mi>mc</mi></math> is.</p>", ["Energy E = mc is."]),
+        ("<p a = 'x>y' b=\"1\"c='>'>One</p>", ["One"]),
+        ("<p =\"x>y\">One</p>", ['y">One']),
+        ("<p a=b='c>One</p><p d='e>f'>Two</p>", ["One", "Two"]),
+        ("<a href=x?y=\"1\">One</a><p/a=\">\">Two", ["One", "Two"]),
+        ("<p a=>One</p><p a= \">\" b>Two", ["One", "Two"]),
+        ("<p>One</p><p title='>Two</p><p>Three", ["One", "Two", "Three"]),
+    ],
+)
+def test_op3_tokenizes_tags_by_the_rules(page, want):
+    assert [x.text for x in op3.parse(page)[1]] == want
+
+
+def test_op3_attributes_as_a_state_machine_has_them():
+    """The tag's end against the attribute states of the HTML standard, one character at a time."""
+
+    def plain(html, at):
+        state, quote = "before name", ""
+        for i in range(at, len(html)):
+            c = html[i]
+            if state == "quoted":
+                if c == quote:
+                    state = "before name"
+            elif c == ">":
+                return i + 1
+            elif state == "before name":
+                state = state if c in " /" else "name"
+            elif state == "name":
+                state = "after name" if c == " " else "before name" if c == "/" else "before value" if c == "=" else state
+            elif state == "after name":
+                state = state if c == " " else "before name" if c == "/" else "before value" if c == "=" else "name"
+            elif state == "before value":
+                if c in "\"'":
+                    state, quote = "quoted", c
+                elif c != " ":
+                    state = "unquoted"
+            elif c == " ":
+                state = "before name"
+        return html.find(">", at) + 1 or -1
+
+    rng = random.Random(11)
+    for _ in range(20_000):
+        html = "".join(rng.choice("a=\"'> /") for _ in range(rng.randint(0, 14)))
+        assert op3.Reader(html).end(0) == plain(html, 0), html
 
 
 def test_op3_siblings_of_long_lists():
@@ -265,6 +322,54 @@ def test_op6_word_cache_only_for_single_spaces():
     assert np.frombuffer(e.encode([b"x <|endoftext|> y"])[0], "<u4").tolist() == [87, 220, 50256, 331, op6.END_ID]
 
 
+def test_op6_ids_over_all_white_space():
+    """Random texts over every kind of space, long words and added tokens against the named tokenizer."""
+    import public_tokenizers
+
+    e = op6.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()] + ["\u200b", "\u2060", "\ufeff"]
+    rng = random.Random(2)
+    texts = ["a\n\u00a0\u00a0b", "a \u00a0b", "\u2003a b\u2003"]
+    for _ in range(20_000):
+        kinds = [" ", "\n", *rng.sample(spaces, 2)]
+        texts.append("".join(rng.choice(["a", "it's", "Größe", "12", ".", "日本", " ", " ", "\n", rng.choice(kinds)]) for _ in range(rng.randint(1, 12))))
+    end = np.array([op6.END_ID], "<u4").tobytes()
+    assert e.encode([t.encode() for t in texts]) == [i.tobytes() + end for i in e.batch(texts)]
+
+
+def test_word_caches_are_bounded_by_bytes(monkeypatch):
+    """Paragraphs without spaces are not kept, and a full cache is given up; ids stay the library's."""
+    import public_tokenizers
+
+    rng = random.Random(3)
+    long = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300)) for _ in range(60)]
+    short = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(30)]
+    e, m = op6.encoder(public_tokenizers.path("byte_bpe_50k.json")), op2.model(None)
+    end = np.array([op6.END_ID], "<u4").tobytes()
+    monkeypatch.setattr(op6, "CACHE", 50_000)
+    monkeypatch.setattr(op2, "CACHE", 50_000)
+    for _ in range(2):
+        for part in (long, short[:15], short[15:]):
+            assert e.encode([t.encode() for t in part]) == [i.tobytes() + end for i in e.batch(part)]
+            first = [i.tolist() for i in m.encode(part)]
+            assert first == [i.tolist() for t in part for i in m.encode([t])]
+            assert all(len(w) <= op6.LONG for w in [*e.inner, *e.first]) and all(len(w) <= op2.LONG for w in m.cache)
+    assert e.held[0] < 50_000 + 260 * 3000 and sum(map(len, e.inner)) <= e.held[0]
+    assert m.held < 50_000 + 260 * 3000 and sum(map(len, m.cache)) <= m.held
+
+
+def test_op6_cuts_elsewhere_only_where_no_boundary_is_near():
+    ids = np.zeros(5000, np.int64)
+    sentence = np.zeros(2, bool)
+    sentence[1] = True
+    ids[[99, 899, 4399]] = 1
+    places, cost = op6.cut_places(ids, np.array([2000]), sentence)
+    natural = {0: 0, 100: op6.SENTENCE_CUT, 900: op6.SENTENCE_CUT, 2000: 0, 4400: op6.SENTENCE_CUT, 5000: 0}
+    grid = {*range(900 + op6.GRID, 2000, op6.GRID), *range(2000 + op6.GRID, 4400, op6.GRID)}
+    assert dict(zip(places.tolist(), cost.tolist(), strict=True)) == natural | dict.fromkeys(grid, op6.INNER_CUT)
+    assert np.diff(places).max() <= op6.SEQUENCE
+
+
 def test_op7_equals_sql(spark, sf_dir):
     got = op7.op7_exact_dedup(spark, sf_dir).toPandas().sort_values("doc_id").reset_index(drop=True)
     db = duckdb.connect()
