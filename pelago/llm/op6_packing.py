@@ -16,7 +16,6 @@ partition's number times 2**40 plus the place in the partition, so a repeated ta
 from __future__ import annotations
 
 import os
-import re
 import sys
 import zlib
 from collections import deque
@@ -40,8 +39,9 @@ CACHE, LONG = 96 << 20, 64
 SPACING = 8
 #: How the byte-level vocabulary writes a space, a line feed, and white space at all.
 SPACE, LINE_FEED, WHITE = "\u0120", "\u010a", "\u0120\u010a\u0109\u010d"
-#: White space but for the space and the line feed.
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: White space but for the space and the line feed: all of it, and what of it is ASCII.
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+ASCII_SPACE = [c for c in OTHER_SPACE if c.isascii()]
 _encoders: dict[str, Encoder] = {}
 
 
@@ -85,7 +85,7 @@ class Encoder:
             raw, cuts = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
             for i, w in enumerate(listed):
                 self.inner[w] = raw[cuts[i] : cuts[i + 1]]
-            self.held[0] += len(raw) + sum(sys.getsizeof(w) + 150 for w in listed)
+            self.held[0] += len(raw) + sum(map(sys.getsizeof, listed)) + 150 * len(listed)
         listed = list(heads)
         for w, ids in zip(listed, self.batch(listed), strict=True):
             self.first[w] = ids.tobytes()
@@ -95,7 +95,7 @@ class Encoder:
         """Words set apart by one space or line feed each, no other white space of any kind, no added token."""
         if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n", *self.added)):
             return False
-        return not _OTHER_SPACE.search(text)
+        return not any(c in text for c in (ASCII_SPACE if text.isascii() else OTHER_SPACE))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian 32-bit words, the closing id included."""
@@ -110,14 +110,12 @@ class Encoder:
                 plain.append(text)
                 continue
             lines = [line.split(" ") for line in text.split("\n")]
-            if max(len(w) for line in lines for w in line) > LONG:
-                plain.append(text)
-                continue
             plain.append(lines)
             for line in lines:
                 missing.update(line[1:])
                 heads.add(line[0])
-        self.learn({w for w in missing if w not in self.inner}, {w for w in heads if w not in self.first})
+        missing, heads = missing.difference(self.inner), heads.difference(self.first)
+        self.learn(missing, heads)
         end, out = np.array([END_ID], "<u4").tobytes(), []
         for lines in plain:
             if isinstance(lines, str):
@@ -127,6 +125,10 @@ class Encoder:
             for line in lines:
                 parts.append(b"".join((self.first[line[0]], *map(self.inner.__getitem__, line[1:]))))
             out.append(self.line_feed.join(parts) + end)
+        for i, (known, new) in enumerate(((self.inner, missing), (self.first, heads))):
+            for w in new:
+                if len(w) > LONG:
+                    self.held[i] -= sys.getsizeof(w) + len(known.pop(w)) + 150
         return out
 
 
