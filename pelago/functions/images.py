@@ -21,9 +21,10 @@ def luma_and_blur(data: bytes, height: int, width: int, channels: int) -> tuple[
     """Mean luma, and the variance of the Laplacian with mirrored borders. Pixels come as BGR bytes."""
     a = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.int64)
     g = a[:, :, 0] if channels < 3 else (299 * a[:, :, 2] + 587 * a[:, :, 1] + 114 * a[:, :, 0]) // 1000
-    p = np.pad(g, 1, mode="symmetric").astype(float)
+    p = np.pad(g, 1, mode="symmetric")
     lap = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]
-    return float(g.mean()), float(lap.var())
+    n, s, squares = lap.size, int(lap.sum()), int((lap * lap).sum())
+    return float(g.mean()), (n * squares - s * s) / (n * n)  # whole numbers up to the division, so the same in every order
 
 
 @F.pandas_udf(T.StructType([T.StructField("brightness", T.DoubleType()), T.StructField("blur", T.DoubleType())]))
@@ -78,7 +79,7 @@ def quality_by_key(stats: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("brightness"), 4).alias("mean_brightness"), F.round(F.avg("blur"), 4).alias("mean_blur"), F.round(F.coalesce(F.stddev_pop(area), F.lit(0.0)), 4).alias("area_std"))
 
 
-def png(pixels: np.ndarray, level: int = 6) -> bytes:
+def png(height: int, width: int, pixels: np.ndarray, level: int = 6) -> bytes:
     """A PNG of a grey array, or of an RGB one with three axes; level 0 stores without compression."""
     import struct
     import zlib
@@ -86,7 +87,6 @@ def png(pixels: np.ndarray, level: int = 6) -> bytes:
     def chunk(kind, data):
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
-    height, width = pixels.shape[:2]
     raw = b"".join(b"\0" + row.astype(np.uint8).tobytes() for row in pixels)
     head = struct.pack(">IIBBBBB", width, height, 8, 2 if pixels.ndim == 3 else 0, 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, level)) + chunk(b"IEND", b"")

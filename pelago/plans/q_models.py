@@ -120,7 +120,7 @@ SPAN = 320
 def _picture(vectors: pd.Series) -> pd.Series:
     """A grey PNG, stored without compression, whose rows are the vectors."""
     grey = lambda rows: np.clip(np.round((np.array([list(r["embedding"]) for r in rows], float) + 1) * 127.5), 0, 255)
-    return vectors.map(lambda rows: I.png(grey(rows), level=0))
+    return vectors.map(lambda rows: I.png(len(rows), len(rows[0]["embedding"]), grey(rows), level=0))
 
 
 def picture_files(t) -> str:
@@ -138,7 +138,7 @@ def picture_files(t) -> str:
 
 _PIX = f"""px AS (SELECT label, b, y, unnest(range(64)) AS x, least(greatest(round_even((CAST(unnest(embedding) AS DOUBLE) + 1) * 127.5, 0), 0), 255) AS v FROM (SELECT label, vec_id // {SPAN} AS b, row_number() OVER (PARTITION BY label, vec_id // {SPAN} ORDER BY vec_id) AS y, embedding FROM embeddings) p),
  lp AS (SELECT *, coalesce(lag(v) OVER c, v) + coalesce(lead(v) OVER c, v) + coalesce(lag(v) OVER r, v) + coalesce(lead(v) OVER r, v) - 4 * v AS lap FROM px WINDOW c AS (PARTITION BY label, b, x ORDER BY y), r AS (PARTITION BY label, b, y ORDER BY x)),
- im AS (SELECT label, b, CAST(max(y) AS INT) AS height, avg(v) AS brightness, var_pop(lap) AS blur FROM lp GROUP BY label, b),
+ im AS (SELECT label, b, CAST(max(y) AS INT) AS height, avg(v) AS brightness, (count(*) * sum(lap * lap) - sum(lap) * sum(lap)) / (count(*) * count(*)) AS blur FROM lp GROUP BY label, b),
  ok AS (SELECT label || '-' || b || '.png' AS file, label, 64 AS width, height, round(64.0 / height, 4) AS aspect_ratio, round((69 + 65 * height) / 1024.0, 2) AS kb, round(brightness, 2) AS brightness, round(blur, 2) AS blur FROM im WHERE (label + b) % 7 <> 3)"""
 query("A25_image_stats", f"WITH {_PIX} SELECT file, width, height, aspect_ratio, kb, brightness, blur FROM ok")(lambda t: I.file_stats(t.spark, picture_files(t)))
 query("A24_image_quality_by_key", f"WITH {_PIX} SELECT CAST(label AS VARCHAR) AS key, count(*) AS n, round(avg(brightness), 4) AS mean_brightness, round(avg(blur), 4) AS mean_blur, round(stddev_pop(64 * height), 4) AS area_std FROM ok GROUP BY label")(

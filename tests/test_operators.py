@@ -273,7 +273,7 @@ def test_linear_attributions_explain_the_margin(spark, sf_dir):
     sums = M.linear_attributions(model, rows).groupBy("row_id", "cls").agg(F.sum("contribution").alias("s")).where("cls = 0")
     assert abs(sums.agg(F.avg("s")).first()[0]) < 1e-6
     with pytest.raises(ValueError):
-        M.learner("boosted")
+        M.learner("unknown")
 
 
 def test_stream_equals_batch(spark, sf_dir, tmp_path):

@@ -237,7 +237,7 @@ def test_axes_by_covariance_against_numpy(spark):
 def test_image_files(spark, tmp_path):
     rng = np.random.default_rng(1)
     grey, color = rng.integers(0, 256, (5, 9)), rng.integers(0, 256, (4, 3, 3))
-    rows = [("a-1.png", I.png(grey, 0)), ("a-2.png", I.png(color)), ("b-x-3.png", I.png(grey)[:25]), ("b-x-4.png", b"")]
+    rows = [("a-1.png", I.png(5, 9, grey, 0)), ("a-2.png", I.png(4, 3, color)), ("b-x-3.png", I.png(5, 9, grey)[:25]), ("b-x-4.png", b"")]
     I.write_files(spark.createDataFrame([(n, bytearray(b)) for n, b in rows], "name string, data binary"), f"{tmp_path}/i")
     got = {r["file"]: r for r in I.file_stats(spark, f"{tmp_path}/i").collect()}
     assert set(got) == {"a-1.png", "a-2.png"} and (got["a-1.png"]["width"], got["a-1.png"]["height"]) == (9, 5)
