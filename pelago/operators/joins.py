@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 HOT = 1000
 
 
-def join_split(rows: DataFrame, table: DataFrame, column: str, key: str, size: str, value: str, spread: Column, hot: int = HOT) -> DataFrame:
+def join_split(rows: DataFrame, table: DataFrame, column: str, key: str, size: str, value: str, spread: Column, hot: int = HOT, total: int | None = None) -> DataFrame:
     """rows with `value` of their key from table (key, size, value): each key once, with how many rows have it.
 
     Hot keys, fewer than `hot`, and the null key are looked up in a broadcast table. The others are
     joined by key; rows that are settled by then take a null key and a place by `spread` (a hash of
     something that differs among rows), so no task gets more than one in `hot` of the rows for a key.
-    Rows whose key the table lacks keep a null."""
+    Rows whose key the table lacks keep a null. total: the sum of the sizes, if it is known."""
     k, v, slot = "_split_key", "_split_value", "_split_slot"
-    total = table.agg(F.sum(size).alias("_split_all"))  # one row
     sized = table.select(F.col(key).alias(k), F.col(size).alias("_split_n"), F.col(value).alias(v))
     often = (F.col("_split_n") > F.col("_split_all") / hot) | F.col(k).isNull()
-    marked = sized.crossJoin(F.broadcast(total)).withColumn("_split_hot", often)
+    whole = sized.withColumn("_split_all", F.lit(total)) if total is not None else sized.crossJoin(F.broadcast(table.agg(F.sum(size).alias("_split_all"))))  # one row
+    marked = whole.withColumn("_split_hot", often)
     few = F.broadcast(marked.where("_split_hot").select(F.col(k).alias("_hot_key"), F.struct(v).alias("_hot_value")))
     # one key of two parts: apart, a salt that is always 0 on this side would be no key for Spark
     place = lambda c, salt: F.struct(c.alias("key"), salt.cast("int").alias("salt"))

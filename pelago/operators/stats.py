@@ -135,11 +135,11 @@ def neighbours(df: DataFrame, column: str, points: Sequence[float], by: Sequence
 def average_ranks(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Average ranks of each column by key, from running counts over its distinct values; a value that
     many rows share does not gather them in one task."""
-    out = df.select(key, *columns)
+    out, total = df.select(key, *columns), df.count()
     for c in columns:
         counts = running_counts(df.groupBy(c).agg(F.count(F.lit(1)).alias("_n")), c, "_n")
         ranks = counts.withColumn(f"rank_{c}", F.col("_below") + (F.col("_n") + 1) / 2)
-        out = join_split(out, ranks, c, c, "_n", f"rank_{c}", F.xxhash64(key))
+        out = join_split(out, ranks, c, c, "_n", f"rank_{c}", F.xxhash64(key), total=total)
     return out
 
 
