@@ -137,6 +137,18 @@ query("S11_feature_schema_sidecar", "SELECT * FROM (VALUES ('tabular', 'v1', 0,
 )
 
 
+@query(
+    "S11_sidecar_against_table",
+    """SELECT 'listing_id' AS "column", 'present' AS status, 'bigint' AS dtype, count(*) AS n_rows, count(*) - count(listing_id) AS n_null FROM listings_v UNION ALL SELECT 'name', 'present', 'string', count(*), count(*) - count(name) FROM listings_v
+ UNION ALL SELECT 'fee', 'absent', 'double', NULL, NULL UNION ALL SELECT 'video', 'missing', NULL, NULL, NULL""",
+)
+def _(t):
+    path = S.work_dir(t.spark) + "/sidecar"
+    columns = S.sidecar(t.listings_v.select("listing_id", "name", "fee"), "tabular", "v1")
+    columns.write.json(path)
+    return S.sidecar_check(t.spark.read.schema(columns.schema).json(path), t.listings_v.select("listing_id", "name"), ["listing_id", "fee", "video"])
+
+
 @query("S12_sink_submission", f"WITH {_S} SELECT listing_id, predicted FROM scored")
 def _(t):
     path = S.work_dir(t.spark) + "/submission"

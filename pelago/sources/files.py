@@ -128,6 +128,17 @@ def scan_feature_set(spark: SparkSession, root: str, modality: str, version: str
     return rows.select(*[c for c in names if c in data]), spark.createDataFrame(gaps, "column string, problem string")
 
 
+def sidecar_check(stored: DataFrame, df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """(column, status, dtype, n_rows, n_null): the columns that a stored sidecar names with what df holds of them
+    ("present", or "absent" if df lacks one), and the required ones that the sidecar lacks ("missing")."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(c).isNull()).alias("n_null")) for c in df.columns])
+    held = df.agg(cells.alias("c")).select(F.explode("c").alias("c")).select("c.*")
+    named = stored.select("column", "dtype").join(held, "column", "left").select("column", F.when(F.col("n_rows").isNull(), "absent").otherwise("present").alias("status"), "dtype", "n_rows", "n_null")
+    wanted = df.sparkSession.createDataFrame([(c,) for c in required], "column string").join(stored.select("column"), "column", "left_anti")
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("dtype", "string"), ("n_rows", "bigint"), ("n_null", "bigint"))]
+    return named.unionByName(wanted.select("column", F.lit("missing").alias("status"), *none))
+
+
 def missing_keys(record: dict, required: Sequence[str]) -> list[str]:
     return [k for k in required if k not in record]
 
