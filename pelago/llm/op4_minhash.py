@@ -1,8 +1,9 @@
 """MinHash near-dedup as an inverted join on signature coordinates.
 
 Every text becomes a set of k-word shingles and a signature of `COORDINATES` minima. Texts with
-equal sets, by a 128-bit fingerprint of the whole set, form a class with a key of its own; only one
-text of it goes on. Each (coordinate, value) pair is a token, and a pair of sets is a candidate if
+equal sets form a class with a key of its own; only one text of it goes on. A class is found by a
+128-bit fingerprint of the set and holds one sequence of words (by SHA-256), or its other sequences
+are confirmed on the words of the full sets (refuted()). Each (coordinate, value) pair is a token, and a pair of sets is a candidate if
 at least `least` tokens collide, a number at which a pair of the wanted similarity is missed with a
 probability under `MISS`.
 
@@ -12,8 +13,8 @@ alone take the first places; a document in which they fill the prefix is done.
 Skip: a posting list is first merged as a star around its most typical member; pairs inside one
 component need no more counting and are skipped. In lists that still hold several components, the
 members whose shared shingles rule out any further link are skipped too, and the others meet by a
-second prefix filter, over the shingles (leftover_pairs). Candidates are confirmed on the words of
-their full sets. Hot tokens, shingles, classes and centres are broadcast or salted, see join_hot().
+second prefix filter, over the shingles (leftover_pairs), whose lists are split in blocks of
+`BLOCK` rows that meet two at a time. Candidates are confirmed on the words of their full sets. Hot tokens, shingles, classes and centres are broadcast or salted, see join_hot().
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
 nothing; fewer words than k count as one shingle; a row with a null doc_id keeps a null component
@@ -25,6 +26,7 @@ keeps exactly one row of each component, one with its smallest doc_id.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -91,7 +93,9 @@ def shingle_words(text: str, k: int) -> set[bytes]:
 
 
 ROW = ["doc_id", "t1", "t2"]
-SET = ["n", "s1", "s2"]
+SUMS = ["n", "s1", "s2"]
+#: A class: the sums of its set and, only if these stand for another set as well, the digest of its words.
+SET = [*SUMS, "variant"]
 
 
 def with_row_key(documents: DataFrame) -> DataFrame:
@@ -100,7 +104,7 @@ def with_row_key(documents: DataFrame) -> DataFrame:
 
 
 def _signatures(k: int):
-    schema = pa.schema([*((c, pa.int64()) for c in (*ROW, *SET)), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([*((c, pa.int64()) for c in (*ROW, *SUMS)), ("words", pa.binary()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch, texts in slices(batches, "text"):
@@ -120,7 +124,8 @@ def _signatures(k: int):
             step = np.zeros(len(sets) + 1, np.int32)
             step[1:] = np.cumsum(np.where(n > 0, COORDINATES, 0))
             own = [batch.column(batch.schema.get_field_index(c)) for c in ROW]
-            columns = [*own, pa.array(n), *(pa.array(x.view(np.int64)) for x in sums), pa.ListArray.from_arrays(pa.array(step), flat)]
+            words = pa.array([hashlib.sha256(b" ".join(t.lower().split())).digest() for t in texts], pa.binary())
+            columns = [*own, pa.array(n), *(pa.array(x.view(np.int64)) for x in sums), words, pa.ListArray.from_arrays(pa.array(step), flat)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
@@ -173,11 +178,39 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     )
 
 
+def refuted(members: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(n, s1, s2, words): the word sequences whose set is not that of the least one with the same sums.
+
+    Of each sequence one text is compared with that of the least, on the words of both full sets."""
+    texts = members.groupBy(*SUMS, "words").agg(F.min(F.struct(*ROW)).alias("rep"), F.first("tokens").alias("tokens"))
+    several = members.groupBy(*SUMS).agg(F.min("words").alias("least"), F.max("words").alias("most")).where("least <> most").drop("most")
+    several = written(texts.join(several, SUMS).withColumn("cls", F.monotonically_increasing_id()), "several")
+    centres = several.where("words = least").select(*SUMS, F.col("cls").alias("a"))
+    pairs = written(several.where("words <> least").select(*SUMS, "words", F.col("cls").alias("b")).join(centres, SUMS), "variants")
+    same = written(confirm(pairs.select("a", "b"), texts_of(rows, several), k, 100), "same")
+    return written(pairs.join(same.select("b"), "b", "left_anti").select(*SUMS, "words"), "refuted")
+
+
 def classes_and_postings(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """members: the keys of every row and its set; classes: one row per set, with a number `cls`, the
     count of its rows and one of them; postings: (token, cls, weight) of each prefix."""
-    members = written(rows.mapInArrow(_signatures(k), ", ".join(f"{c} long" for c in (*ROW, *SET)) + ", tokens array<long>"), "signatures")
-    sets = members.where("n > 0 and doc_id is not null").groupBy(*SET).agg(F.min(F.struct(*ROW)).alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("tokens").alias("tokens"))
+    kinds = ", ".join(f"{c} long" for c in (*ROW, *SUMS)) + ", words binary, tokens array<long>"
+    members = written(rows.mapInArrow(_signatures(k), kinds).withColumn("variant", F.lit("")), "signatures")
+
+    def grouped(members: DataFrame) -> DataFrame:
+        """One row per set."""
+        one = [F.min(F.struct(*ROW)).alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("tokens").alias("tokens")]
+        return members.where("n > 0 and doc_id is not null").groupBy(*SET).agg(*one, F.min("words").alias("least"), F.max("words").alias("most"))
+
+    sets = written(grouped(members), "sets")
+    if not sets.where("least <> most").isEmpty():
+        apart = refuted(members.where("n > 0 and doc_id is not null"), rows, k)
+        if not apart.isEmpty():
+            apart = apart.withColumn("variant", F.hex("words"))
+            kept = members.drop("variant").join(apart, [*SUMS, "words"], "left").withColumn("variant", F.coalesce("variant", F.lit("")))
+            members = written(kept, "signatures")
+            sets = grouped(members)
+    sets = sets.drop("least", "most")
     # numbered once, where the table is written: what is read later has the same numbers
     classes = written(sets.withColumn("cls", F.monotonically_increasing_id()), "classes")
     tokens = classes.select("cls", F.explode("tokens").alias("token"))
@@ -252,11 +285,27 @@ def leftover_pairs(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     prefix = shared.join(kept, "cls").withColumn("place", place).where(F.col("place") <= F.col("m") + 1 - need)
     after = (F.col("m") - F.col("place") + 1).alias("left")  # the overlap, if this shingle is the first common one
     prefix = written(prefix.select("shingle", "cls", "component", "n", "most", after), "prefixes")
-    one, other = (prefix.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "component", "n", "most", "left")]) for s in "ab")
+    lists = prefix.groupBy("shingle").agg(F.count(F.lit(1)).alias("g"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    lists = written(lists.where("lo <> hi").select("shingle", "g"), "lists")
+    dealt = in_blocks(join_hot(prefix, lists, ["shingle"], "g", drop=False))
+    one, other = (dealt.select("shingle", "lower", "upper", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "component", "n", "most", "left", "block")]) for s in "ab")
     sizes = f"n_b <= most_a and n_a <= most_b and 100 * n_a >= {percent} * n_b and 100 * n_b >= {percent} * n_a"
     overlap = f"{100 + percent} * left_a >= {percent} * (n_a + n_b) and {100 + percent} * left_b >= {percent} * (n_a + n_b)"
-    fits = f"cls_a < cls_b and component_a <> component_b and {sizes} and {overlap}"
-    return written(one.join(other, "shingle").where(fits).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct(), "leftover")
+    fits = f"cls_a < cls_b and component_a <> component_b and (lower = upper or block_a <> block_b) and {sizes} and {overlap}"
+    return written(one.join(other, ["shingle", "lower", "upper"]).where(fits).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct(), "leftover")
+
+
+#: Rows of a shingle's list that one block holds; two blocks are the most that one key of the join brings together.
+BLOCK = 4096
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """rows: (shingle, cls, g, ...), g the length of the shingle's list. Each row stands once for every
+    block of its list, under the pair (lower, upper) of that block and its own: any two rows of a list
+    meet under exactly one pair of their blocks, and lists of up to BLOCK rows stay as they are."""
+    blocks = F.floor((F.col("g") - 1) / BLOCK) + 1
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return rows.withColumns({"lower": F.least("block", "with"), "upper": F.greatest("block", "with")}).drop("g", "with")
 
 
 def texts_of(rows: DataFrame, classes: DataFrame) -> DataFrame:

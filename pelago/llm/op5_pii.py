@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import scratch, slices, table, written
 
 #: The order of kinds at equal starts; the last two are the classifiers' own.
 KINDS = ("email", "ip", "card", "phone", "secret", "account")
@@ -197,7 +197,11 @@ def classifier(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(documents: DataFrame) -> dict[str, np.ndarray] | None:
     """Weights of each kind's classifier; None without any."""
+    with scratch(documents.sparkSession):
+        return _fit(documents)
 
+
+def _fit(documents: DataFrame) -> dict[str, np.ndarray] | None:
     def listed(batches):
         for _, texts in slices(batches, "text"):
             rows: list[tuple] = []

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, slices, table, written
+from .common import held_out, labelled_sample, scratch, slices, table, written
 from .textvec import Texts, mix
 
 #: Labelled rows that may be used, the tasks that sum over them, the share that calibrates.
@@ -84,6 +84,11 @@ def isotonic(cells: list[tuple[float, float, float]]) -> tuple[np.ndarray, np.nd
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> dict | None:
+    with scratch(documents.sparkSession):
+        return _fit(documents, labels)
+
+
+def _fit(documents: DataFrame, labels: DataFrame) -> dict | None:
     def measured(batches):
         for batch, texts in slices(batches, "text"):
             x = statistics(Texts(texts))

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,58 @@ def test_join_hot_equals_join(spark):
     want = many.join(one.drop("n"), "k")
     got = join_hot(many, one, ["k"], "n")
     assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def collided(k):
+    """Signatures whose sums are all zero, so that only the sizes tell sets apart."""
+    run = SIGNATURES(k)
+
+    def blind(batches):
+        for b in run(batches):
+            zero = pa.array([0] * len(b), pa.int64())
+            yield pa.RecordBatch.from_arrays([zero if c in ("s1", "s2") else b.column(c) for c in b.schema.names], schema=b.schema)
+
+    return blind
+
+
+SIGNATURES = op4._signatures
+
+
+def test_sums_that_collide_join_no_texts(spark, rows, monkeypatch):
+    monkeypatch.setattr(op4, "_signatures", collided)
+    cyclic = [(200 + n, " ".join("abcd"[i % 4] for i in range(n))) for n in (20, 21, 30)]  # one set, three sequences
+    case = [*rows, *cyclic]
+    groups, sets = classes_of(case, 3, 85)
+    want = [(str(doc), len(s), str(doc if doc is None or not s else min(case[j][0] for j in g if case[j][0] is not None))) for (doc, _), g, s in zip(case, groups, sets, strict=True)]
+    got = op4.near_components(spark.createDataFrame(case, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted(want)
+    assert {r.component_id for r in got if r.doc_id in (200 + 20, 200 + 21, 200 + 30)} == {220}
+
+
+def test_blocks_bring_every_two_rows_of_a_list_together_once(spark, monkeypatch):
+    monkeypatch.setattr(op4, "BLOCK", 7)
+    rows = spark.range(60).select((F.col("id") % 50 < 45).cast("int").alias("shingle"), F.col("id").alias("cls"))
+    rows = rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("g")), "shingle")
+    dealt = op4.in_blocks(rows)
+    one, other = dealt.withColumnsRenamed({"cls": "a", "block": "x"}), dealt.withColumnsRenamed({"cls": "b", "block": "y"})
+    met = one.join(other, ["shingle", "lower", "upper"]).where("a < b and (lower = upper or x <> y)").select("a", "b")
+    got = sorted(map(tuple, met.collect()))
+    lists = {}
+    for r in rows.collect():
+        lists.setdefault(r.shingle, []).append(r.cls)
+    assert got == sorted(p for m in lists.values() for p in itertools.combinations(sorted(m), 2))
+
+
+def test_lists_of_one_hot_shingle_lose_no_link(spark, monkeypatch):
+    """Sets that share their rarest shingles, in several components: the second filter in small blocks."""
+    monkeypatch.setattr(op4, "BLOCK", 3)
+    rng = random.Random(9)
+    common, case = words(rng, 60), []
+    for i in range(90):
+        v = list(common)
+        for _ in range(rng.randrange(1, 4)):
+            v[rng.randrange(60)] = f"edit{rng.randrange(12)}"
+        case.append((i, " ".join(v)))
+    groups, _ = classes_of(case, 3, 85)
+    got = {r.doc_id: r.component_id for r in op4.near_components(spark.createDataFrame(case, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {i: min(g) for i, g in enumerate(groups)}
