@@ -151,13 +151,15 @@ def probabilities(model, rows: DataFrame) -> DataFrame:
 
 
 def _by_part(model, data: DataFrame, part: Column) -> list:
-    """(part, n, kappa) of the parts of one scored table."""
-    out = E.scored(probabilities(model, data.withColumn("part", part)), P, CUTS)
-    return E.quadratic_kappa(out.where("part is not null"), "y", "predicted", ["part"]).collect()
+    """(part, n, kappa) of the parts of one scored table, at the cuts that are best on its part "train"."""
+    out = probabilities(model, data.withColumn("part", part)).withColumn("ev", E.expected_value(P))
+    cuts, _ = E.optimize_thresholds(out.where("part = 'train'"), "y", "ev")
+    return E.quadratic_kappa(E.scored(out, P, cuts).where("part is not null"), "y", "predicted", ["part"]).collect()
 
 
 def cross_validate(rows: DataFrame, folds: DataFrame, family: str, columns: Sequence[str] = FEATURES, k: int = 5, keep: bool = True, **settings) -> tuple[DataFrame | None, DataFrame]:
-    """Out-of-fold probabilities, and kappa of training and validation rows by fold.
+    """Out-of-fold probabilities, and kappa of training and validation rows by fold, at cuts found on
+    the training rows of that fold.
 
     The former are written to a folder of the session's shared one, so that no model is fitted twice
     and no vector stays cached; without keep they are not made."""

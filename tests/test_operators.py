@@ -419,6 +419,8 @@ def test_models_over_folds(spark, sf_dir):
     assert oof.where("abs(p0 + p1 + p2 + p3 + p4 - 1) > 1e-9").isEmpty() and metrics.count() == 4
     each = M.fold_metrics(rows, folds, "tree", k=2).collect()
     assert sum(r.n for r in each) == rows.count() and all(len(r.cuts) == 4 and sorted(r.cuts) == r.cuts and -1 <= r.kappa <= 1 and 0 <= r.macro_f1 <= 1 for r in each)
+    by_fold = {r.fold: r.kappa for r in metrics.where("part = 'valid'").collect()}
+    assert all(abs(by_fold[r.fold] - r.kappa) < 1e-9 for r in each)  # both at cuts of the training rows
     totals = {r.metric: r for r in M.fold_summary(M.fold_metrics(rows, folds, "tree", k=2)).collect()}
     assert abs(totals["accuracy"]["mean"] - sum(r.accuracy for r in each) / 2) < 1e-6
     assert {r.subset for r in M.ablation(rows, folds, {"all": M.FEATURES, "care": ["vaccinated"]}, "tree", k=2).collect()} == {"all", "care"}
