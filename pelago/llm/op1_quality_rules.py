@@ -23,8 +23,9 @@ from .common import fresh, labelled_sample, slices, table
 from .textvec import Texts, mix
 
 U = np.uint64
-#: Labelled rows that may be used, how many tasks fit, and the share of slots that calibrates.
-SAMPLE_ROWS, SHARDS, CALIBRATION = 6144, 6, 0.3
+#: Labelled rows that may be used, the bytes of their texts at most (a trainer's memory is bounded by
+#: both; longer texts are scored, not learned from), how many tasks fit, and the share of slots that calibrates.
+SAMPLE_ROWS, SAMPLE_BYTES, SHARDS, CALIBRATION = 6144, 1 << 18, 6, 0.3
 BINS, STEPS, ROUNDS = 1 << 14, 64, 80
 #: Fixed thresholds: words, repeated words in percent, and the calibrated probability.
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_PROBABILITY = 20, 30, 0.3
@@ -129,7 +130,8 @@ def platt(cells: list[tuple[float, float, float]]) -> tuple[float, float]:
 
 def fit(documents: DataFrame, labels: DataFrame) -> dict | None:
     """Weights, bias and calibration; None if there are no labels of both classes."""
-    sample = labelled_sample(documents, labels, "quality", SAMPLE_ROWS)
+    short = documents.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    sample = labelled_sample(short, labels, "quality", SAMPLE_ROWS)
     cut = int((1 << 20) * (1 - CALIBRATION))
     schema = "shard int, n long, w array<double>, b double"
     shards = (

@@ -1,13 +1,14 @@
 """Personal data: fixed patterns, and span classifiers trained by weak supervision.
 
 Base spans (email, ip, card, phone) come from exact patterns. Further candidates are runs of
-letters, digits and a few signs that carry digits. For each learned kind ("secret": credentials;
+letters, digits and a few signs that carry digits, and bank numbers printed in groups of four. For each learned kind ("secret": credentials;
 "account": bank and identity numbers) three labelers vote on each candidate: a regex labeler on its
 shape, a gazetteer labeler on known prefixes, country codes and key words, and a context labeler on
-what stands before it. The counts of the vote patterns over all documents, a table of at most 27
-rows for each kind, feed an expectation-maximisation that estimates the labelers' reliabilities;
-its posteriors are the soft targets of a logistic span classifier, fitted on a bounded sample of
-distinct candidates. Candidates that a classifier accepts are added as spans of its kind, of the
+what stands before it. The counts of the vote patterns over all documents, a table of at most
+27 * 27 rows, feed one expectation-maximisation over the classes (none, and each kind), which
+estimates how every labeler votes on every class: what speaks for one kind so speaks against the
+other. Its posteriors are the soft targets of a logistic span classifier for each kind, fitted on a
+bounded sample of distinct candidates. Candidates that a classifier accepts are added as spans of its kind, of the
 likelier one if both do.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned alike; a kind that no
@@ -44,6 +45,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{8,}+")
+_PRINTED = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _DIGIT = re.compile(r"[0-9]")
 #: The gazetteer. Words that name a credential, and how issued tokens start.
 SECRET_WORDS = frozenset(
@@ -95,24 +97,43 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def _clear(spans: Iterator[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The spans that touch none of taken; both by start."""
+    i = 0
+    for s, e in spans:
+        while i < len(taken) and taken[i][1] <= s:
+            i += 1
+        if i == len(taken) or taken[i][0] >= e:  # by start: if this one lies behind, all others do
+            yield s, e
+
+
+def _printed(text: str) -> Iterator[tuple[int, int]]:
+    """Bank numbers in groups of four, as long as their country has them if the groups end there."""
+    m = _PRINTED.search(text)
+    while m:
+        n = IBAN_LENGTH.get(m[0][:2], 0)
+        s, e = m.span()
+        end = s + n + (n - 1) // 4  # a space stands before every fourth character but the first
+        if n and end < e and text[end] == " ":
+            e = end
+        yield s, e
+        m = _PRINTED.search(text, e)
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Runs with a digit that no base span touches."""
+    """Runs with a digit, and printed bank numbers, that no base span touches."""
     if not _DIGIT.search(text):
         return []
-    out, i = [], 0
-    for m in _CANDIDATE.finditer(text):
-        s, e = m.span()
-        e -= len(m[0]) - len(m[0].rstrip("=/+-_"))
-        while i < len(taken) and taken[i][2] <= s:
-            i += 1
-        if i == len(taken) or taken[i][1] >= e:  # by start: if this one lies behind, all others do
-            out.append((s, e))
-    return out
+    base = [(s, e) for _, s, e in taken]
+    printed = list(_clear(_printed(text), base))
+    runs = ((m.start(), m.end() - len(m[0]) + len(m[0].rstrip("=/+-_"))) for m in _CANDIDATE.finditer(text))
+    return sorted([*printed, *_clear(runs, sorted(base + printed))])
 
 
 def _value(text: str, s: int, e: int) -> tuple[str, str, str]:
-    """The candidate, its key if it has the form key=value, and the 24 characters before it."""
-    run, before = text[s:e], text[max(0, s - 24) : s]
+    """The candidate without the spaces of a printed number, its key if it has the form key=value, and
+    the 24 characters before it."""
+    run, before = text[s:e].replace(" ", ""), text[max(0, s - 24) : s]
     key, eq, value = run.partition("=")
     return (value, key.lower(), before) if eq and value else (run, "", before)
 
@@ -136,9 +157,10 @@ def votes(text: str, s: int, e: int) -> tuple[tuple[int, int, int], tuple[int, i
     context = 1 if named else (0 if re.search(r"[A-Za-z]\s$", before) and digits < 4 else 2)
     secret = (shape, gazetteer, context)
 
-    iban = bool(_IBAN.fullmatch(value))
-    shape = 1 if iban and mod97(value) or _SSN.fullmatch(value) or _IDENTITY.fullmatch(value) else (0 if digits < 5 or len(value) > 34 else 2)
-    gazetteer = 1 if iban and IBAN_LENGTH.get(value[:2]) == len(value) or key in ACCOUNT_WORDS or word in ACCOUNT_WORDS else (0 if key in SECRET_WORDS or word in SECRET_WORDS else 2)
+    plain = value.replace("-", "")
+    iban = bool(_IBAN.fullmatch(plain))
+    shape = 1 if iban and mod97(plain) or _SSN.fullmatch(value) or _IDENTITY.fullmatch(value) else (0 if digits < 5 or len(value) > 34 else 2)
+    gazetteer = 1 if iban and IBAN_LENGTH.get(plain[:2]) == len(plain) or key in ACCOUNT_WORDS or word in ACCOUNT_WORDS else (0 if key in SECRET_WORDS or word in SECRET_WORDS else 2)
     context = 1 if named or re.search(r"\b(?:no|nr|number|nummer|num)\b[.:]?\s*$", before, re.I) else (0 if digits < 5 else 2)
     return secret, (shape, gazetteer, context)
 
@@ -156,31 +178,43 @@ def features(text: str, s: int, e: int) -> list[int]:
     return [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=4).digest(), "little") % BINS for x in named]
 
 
-def em(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, np.ndarray]:
-    """Prior and the labelers' tables P(vote | class) from counts of vote patterns."""
-    n = len(patterns[0][0])
-    prior = 0.5
-    tables = np.empty((n, 2, 3))  # labeler, class, vote
-    tables[:, 1] = (0.15, 0.5, 0.35)
-    tables[:, 0] = (0.45, 0.1, 0.45)
+def shares(votes: np.ndarray, prior: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """The probability of each class for each row of votes."""
+    like = np.log(prior) + sum(np.log(t[:, votes[:, j]]).T for j, t in enumerate(tables))
+    q = np.exp(like - like.max(1, keepdims=True))
+    return q / q.sum(1, keepdims=True)
+
+
+def em_kinds(patterns: list[tuple[tuple[int, ...], int]], kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Priors of the classes and the labelers' tables P(vote | class) from counts of vote patterns.
+
+    Class 0 is no personal data, the others are the kinds, of which a candidate has one at most; a
+    pattern has the votes of equally many labelers for each kind, kind by kind."""
     v = np.array([p for p, _ in patterns])
     c = np.array([k for _, k in patterns], float)
+    n = v.shape[1]
+    prior = np.full(kinds + 1, 1 / (kinds + 1))
+    tables = np.empty((n, kinds + 1, 3))  # labeler, class, vote
+    tables[:] = (0.45, 0.1, 0.45)
+    tables[np.arange(n), np.arange(n) * kinds // n + 1] = (0.15, 0.5, 0.35)
     for _ in range(PRIOR_ROUNDS):
-        like = np.stack([np.log([1 - prior, prior][k]) + sum(np.log(tables[j, k, v[:, j]]) for j in range(n)) for k in (0, 1)])
-        q = 1 / (1 + np.exp(np.clip(like[0] - like[1], -50, 50)))
-        prior = float(np.clip((c * q).sum() / c.sum(), 0.01, 0.99))
+        q = shares(v, prior, tables) * c[:, None]
+        prior = np.clip(q.sum(0) / c.sum(), 0.01, 0.99)
+        prior /= prior.sum()
         for j in range(n):
-            for k, w in ((0, c * (1 - q)), (1, c * q)):
-                t = np.bincount(v[:, j], w, 3) + 0.5
-                tables[j, k] = t / t.sum()
+            t = np.stack([np.bincount(v[:, j], w, 3) for w in q.T]) + 0.5
+            tables[j] = t / t.sum(1, keepdims=True)
     return prior, tables
 
 
+def em(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, np.ndarray]:
+    """em_kinds() for one kind: its prior and the tables."""
+    prior, tables = em_kinds(patterns, 1)
+    return float(prior[1]), tables
+
+
 def posterior(vote: tuple[int, ...], prior: float, tables: np.ndarray) -> float:
-    a, b = math.log(1 - prior), math.log(prior)
-    for j, x in enumerate(vote):
-        a, b = a + math.log(tables[j, 0, x]), b + math.log(tables[j, 1, x])
-    return 1 / (1 + math.exp(max(-50.0, min(50.0, a - b))))
+    return float(shares(np.array([vote]), np.array([1 - prior, prior]), tables)[0, 1])
 
 
 def classifier(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -195,6 +229,11 @@ def classifier(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.append(w, b)
 
 
+def _digits(code: int) -> tuple[int, int, int]:
+    """The three votes that a number below 27 stands for."""
+    return code // 9, code // 3 % 3, code % 3
+
+
 def fit(documents: DataFrame) -> dict[str, np.ndarray] | None:
     """Weights of each kind's classifier; None without any."""
     with scratch(documents.sparkSession):
@@ -219,23 +258,21 @@ def _fit(documents: DataFrame) -> dict[str, np.ndarray] | None:
             )
 
     found = written(documents.select("text").mapInArrow(listed, ", ".join(f"{k} int" for k in LEARNED) + ", h long, bins array<int>"), "candidates")
-    patterns = found.groupBy(*LEARNED).count().collect()  # at most 27 * 27 rows
-    models = {}
-    for kind in LEARNED:
-        counts: dict[tuple, int] = {}
-        for r in patterns:
-            vote = (r[kind] // 9, r[kind] // 3 % 3, r[kind] % 3)
-            counts[vote] = counts.get(vote, 0) + r["count"]
-        if any(v.count(1) >= 2 for v in counts):
-            models[kind] = em(sorted(counts.items()))
-    if not models:
+    patterns = [(tuple(_digits(r[k]) for k in LEARNED), r["count"]) for r in found.groupBy(*LEARNED).count().collect()]  # at most 27 * 27 rows
+    kinds = [i for i in range(len(LEARNED)) if any(v[i].count(1) >= 2 for v, _ in patterns)]
+    if not kinds:
         return None
+    counts: dict[tuple, int] = {}
+    for votes_of, n in patterns:
+        vote = sum((votes_of[i] for i in kinds), ())
+        counts[vote] = counts.get(vote, 0) + n
+    prior, tables = em_kinds(sorted(counts.items()), len(kinds))
     distinct = found.select("h").distinct().count()  # copies must not thin the sample
     share = min(1.0, 8 * SAMPLE_ROWS / distinct)  # what each task sends stays small
     sample = found.where(F.col("h") <= int(share * (1 << 56))).dropDuplicates(["h"]).orderBy("h").limit(SAMPLE_ROWS).collect()
     x = np.array([r["bins"] for r in sample])
-    targets = {k: np.array([posterior((r[k] // 9, r[k] // 3 % 3, r[k] % 3), *m) for r in sample]) for k, m in models.items()}
-    return {k: classifier(x, y) for k, y in targets.items()}
+    y = shares(np.array([sum((_digits(r[LEARNED[i]]) for i in kinds), ()) for r in sample]), prior, tables)
+    return {LEARNED[i]: classifier(x, y[:, 1 + j]) for j, i in enumerate(kinds)}
 
 
 def all_spans(text: str, weights: dict[str, np.ndarray] | None) -> tuple[list, list]:
@@ -247,7 +284,7 @@ def all_spans(text: str, weights: dict[str, np.ndarray] | None) -> tuple[list, l
             bins = features(text, s, e)
             score, kind = max((w[bins].sum() + w[-1], k) for k, w in weights.items())
             if score > least:
-                more.append((kind, e - len(_value(text, s, e)[0]), e))
+                more.append((kind, s if " " in text[s:e] else e - len(_value(text, s, e)[0]), e))
     return base, sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
