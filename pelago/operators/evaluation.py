@@ -65,9 +65,10 @@ def scored(df: DataFrame, p: Sequence[str], cuts: Sequence[float]) -> DataFrame:
     return out.withColumn("confidence", F.get(F.array(*p), F.col("predicted")))
 
 
-def confusion(df: DataFrame, y: str, yhat: str, classes: Sequence[int] = CLASSES) -> DataFrame:
-    """(y, yhat, n) for all pairs, with the zeros."""
-    cells = F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("yhat"), F.count_if((F.col(y) == a) & (F.col(yhat) == b)).alias("n")) for a in classes for b in classes])
+def confusion(df: DataFrame, y: str, yhat: str, classes: Sequence[int] = CLASSES, weight: str | None = None) -> DataFrame:
+    """(y, yhat, n) for all pairs, with the zeros. weight: how many rows a row stands for."""
+    count = lambda hit: F.count_if(hit) if weight is None else F.coalesce(F.sum(F.when(hit, F.col(weight))), F.lit(0))
+    cells = F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("yhat"), count((F.col(y) == a) & (F.col(yhat) == b)).alias("n")) for a in classes for b in classes])
     return df.agg(cells.alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 
@@ -86,11 +87,12 @@ def summary(matrix: DataFrame) -> DataFrame:
     return f.agg(F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1")).crossJoin(acc).select(*[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")])
 
 
-def quadratic_kappa(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
-    """1 - sum(w O) / sum(w E) with w = (y - yhat)^2, from sums alone: no matrix is built."""
+def quadratic_kappa(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """1 - sum(w O) / sum(w E) with w = (y - yhat)^2, from sums alone: no matrix is built. weight: how many
+    rows a row stands for."""
     a, b = F.col(y).cast("double"), F.col(yhat).cast("double")
-    n = F.count(F.lit(1))
-    sums = df.groupBy(*by).agg(n.alias("n"), F.sum((a - b) * (a - b)).alias("o"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"))
+    n, total = (F.count(F.lit(1)), F.sum) if weight is None else (F.sum(weight), lambda c: F.sum(c * F.col(weight)))
+    sums = df.groupBy(*by).agg(n.alias("n"), total((a - b) * (a - b)).alias("o"), total(a).alias("sa"), total(b).alias("sb"), total(a * a).alias("saa"), total(b * b).alias("sbb"))
     e = F.col("saa") + F.col("sbb") - 2 * F.col("sa") * F.col("sb") / F.col("n")
     return sums.select(*by, "n", F.round(F.when(e > 0, 1 - F.col("o") / e), 6).alias("kappa"))
 
@@ -169,39 +171,63 @@ def soft_vote(models: Sequence[tuple[DataFrame, float]], key: str, p: Sequence[s
     return rows.groupBy(key).agg(*[F.sum(c).alias(c) for c in p])
 
 
-def threshold_search(df: DataFrame, y: str, ev: str, classes: int = 5, coarse: int = 40, finer: int = 5) -> DataFrame:
-    """One row (cuts, kappa): the cuts that maximise quadratic kappa.
+#: Cells of the coarse grid of cuts, and cells of the fine one in each of them.
+COARSE, FINER = 40, 5
+
+
+def ev_bin(ev: str, classes: int = 5, fine: int = COARSE * FINER) -> Column:
+    """The cell of the fine grid in which an expected value lies."""
+    return F.least(F.greatest(F.floor(F.col(ev) * (fine / (classes - 1))), F.lit(0)), F.lit(fine - 1)).cast("int")
+
+
+def cuts_reached(ev: str, classes: int = 5, fine: int = COARSE * FINER) -> Column:
+    """How many of the fine grid's cuts above 0 the value reaches, as by_thresholds() compares them (not a
+    number: all)."""
+    edge = lambda c: c * (classes - 1) / F.lit(float(fine))
+    near = F.least(F.greatest(F.floor(F.col(ev) * (fine / (classes - 1))), F.lit(0)), F.lit(fine))
+    exact = near - (F.col(ev) < edge(near)).cast("int") + (F.col(ev) >= edge(near + 1)).cast("int")
+    return F.when(F.isnan(ev), F.lit(fine)).otherwise(F.greatest(F.lit(0), F.least(exact, F.lit(fine)))).cast("int")
 
-    One pass counts the rows by bin of the expected value, coarse * finer bins. All that kappa needs of
-    a cut is how many rows, and which sum of true classes, lie above it, and both are cumulative counts;
-    so every rising choice of cuts on the coarse grid is a row, crossed with those counts, and so is
-    every choice on the fine grid within one coarse step of the best. The number of choices depends on
-    the grids alone. Among equal kappas the smallest cuts win."""
-    top, fine = classes - 1, coarse * finer
-    b = F.least(F.greatest(F.floor(F.col(ev) * (fine / top)), F.lit(0)), F.lit(fine - 1)).cast("int")
+
+def threshold_search(df: DataFrame, y: str, ev: str, classes: int = 5, coarse: int = COARSE, finer: int = FINER) -> DataFrame:
+    """One row (cuts, kappa): the cuts that maximise quadratic kappa, from one pass that counts the rows by
+    bin of the expected value, coarse * finer bins."""
     t = F.col(y).cast("long")
-    counts = df.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(t).alias("y"), F.sum(t * t).alias("yy"))
+    counts = df.groupBy(ev_bin(ev, classes, coarse * finer).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(t).alias("y"), F.sum(t * t).alias("yy"))
+    return search_cuts(counts, (), classes, coarse, finer).select("cuts", "kappa")
+
+
+def search_cuts(counts: DataFrame, by: Sequence[str] = (), classes: int = 5, coarse: int = COARSE, finer: int = FINER) -> DataFrame:
+    """(by, cuts, places, kappa) from (by, b, n, y, yy): rows, sum of true classes and of their squares in each
+    bin. places are the cuts as numbers of the fine grid.
+
+    All that kappa needs of a cut is how many rows, and which sum of true classes, lie above it, and both
+    are cumulative counts; so every rising choice of cuts on the coarse grid is a row, crossed with those
+    counts, and so is every choice on the fine grid within one coarse step of the best. The number of
+    choices depends on the grids alone, and the tasks share them. Among equal kappas the smallest cuts win."""
+    spark, top, fine, by = counts.sparkSession, classes - 1, coarse * finer, list(by)
     above = lambda name: F.transform(F.sequence(F.lit(0), F.lit(fine)), lambda c: F.aggregate("bins", F.lit(0).cast("long"), lambda s, x: s + F.when(x["b"] >= c, x[name]).otherwise(0)))
-    one = counts.agg(F.collect_list(F.struct("b", "n", "y", "yy")).alias("bins")).select(above("n").alias("n"), above("y").alias("y"), above("yy")[0].alias("syy"))  # one row of arrays with fine + 1 numbers
-    cuts = range(1, top + 1)
-
-    def best(rows: DataFrame, places) -> DataFrame:
-        """The best choice c1 <= c2 <= ... of cuts from the lists that places(i) gives."""
-        out = rows.withColumns({"p": F.lit(0).cast("long"), "q": F.lit(0).cast("long"), "r": F.lit(0).cast("long")})
-        for i in cuts:
-            out = out.withColumn(f"c{i}", F.explode(places(i)))
-            n = F.get("n", F.col(f"c{i}"))
-            out = out.withColumns({"p": F.col("p") + n, "q": F.col("q") + F.get("y", F.col(f"c{i}")), "r": F.col("r") + (2 * i - 1) * n})
-        e = F.col("syy") + F.col("r") - 2.0 * F.get("y", F.lit(0)) * F.col("p") / F.nullif(F.get("n", F.lit(0)), F.lit(0))
-        kappa = F.when(e > 0, 1 - (F.col("syy") - 2 * F.col("q") + F.col("r")) / e).otherwise(0.0)
-        choice = F.struct(kappa.alias("kappa"), *[(-F.col(f"c{i}")).alias(f"c{i}") for i in cuts])
-        return out.agg(F.max(choice).alias("best"))
-
-    before = lambda i: F.col(f"c{i - 1}") if i > 1 else F.lit(0)
-    first = best(one, lambda i: F.sequence(before(i), F.lit(fine), F.lit(finer)))
-    near = lambda i: F.sequence(F.greatest(F.lit(0), -F.col(f"best.c{i}") - finer), F.least(F.lit(fine), -F.col(f"best.c{i}") + finer))
-    second = best(one.crossJoin(F.broadcast(first)), lambda i: F.filter(near(i), lambda c: c >= before(i)))  # one row each
-    return second.select(F.array(*[-F.col(f"best.c{i}") * top / F.lit(fine) for i in cuts]).alias("cuts"), "best.kappa")
+    one = counts.groupBy(*by).agg(F.collect_list(F.struct("b", "n", "y", "yy")).alias("bins")).select(*by, above("n").alias("n"), above("y").alias("y"), above("yy")[0].alias("syy"))  # one row of arrays with fine + 1 numbers for each group
+    names = [f"c{i}" for i in range(1, top + 1)]
+    rising = lambda: reduce(lambda a, b: a & b, [F.col(a) <= F.col(b) for a, b in zip(names, names[1:])], F.lit(True))  # noqa: E731, B905
+
+    def choices(size: int) -> DataFrame:
+        """All (c1, c2, ...) of numbers below size."""
+        return spark.range(size**top).select(*[F.expr(f"cast(id div {size ** (top - 1 - i)} % {size} as int)").alias(c) for i, c in enumerate(names)])
+
+    def best(rows: DataFrame) -> DataFrame:
+        """The best of the choices of each group, a column for each cut."""
+        total = lambda part: reduce(lambda a, b: a + b, [part(i, F.col(c)) for i, c in enumerate(names)])
+        p, q, r = total(lambda i, c: F.get("n", c)), total(lambda i, c: F.get("y", c)), total(lambda i, c: (2 * i + 1) * F.get("n", c))
+        e = F.col("syy") + r - 2.0 * F.get("y", F.lit(0)) * p / F.nullif(F.get("n", F.lit(0)), F.lit(0))
+        kappa = F.when(e > 0, 1 - (F.col("syy") - 2 * q + r) / e).otherwise(0.0)
+        return rows.groupBy(*by).agg(F.max(F.struct(kappa.alias("kappa"), *[(-F.col(c)).alias(c) for c in names])).alias("best"))
+
+    first = best(choices(coarse + 1).where(rising()).select(*[(F.col(c) * finer).alias(c) for c in names]).crossJoin(F.broadcast(one)))
+    both = one.join(first, by) if by else one.crossJoin(F.broadcast(first))  # one row for each group
+    near = choices(2 * finer + 1).crossJoin(F.broadcast(both)).withColumns({c: F.col(c) - finer - F.col(f"best.{c}") for c in names})
+    second = best(near.drop("best").where((F.col(names[0]) >= 0) & (F.col(names[-1]) <= fine) & rising()))
+    return second.select(*by, F.array(*[-F.col(f"best.{c}") * top / F.lit(fine) for c in names]).alias("cuts"), F.array(*[-F.col(f"best.{c}") for c in names]).alias("places"), "best.kappa")
 
 
 def optimize_thresholds(df: DataFrame, y: str, ev: str, classes: int = 5) -> tuple[list[float], float]:

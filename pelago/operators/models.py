@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -50,20 +52,22 @@ class BoostedOneVsRest:
         data = rows.select(self.features, F.col(self.label).cast("int").alias("_y"), aside.alias("_aside")).persist()
         counts = {(r["_y"], r["_aside"]): r["count"] for r in data.groupBy("_y", "_aside").count().collect()}  # two rows for each class
         n = {side: sum(v for (_, s), v in counts.items() if s == side) for side in (False, True)}
-        members: list[tuple] = []
-        for k in range(self.classes):
+
+        def member(k: int) -> tuple:
             one = data.withColumn("_one", (F.col("_y") == k).cast("double"))
             inside, outside = counts.get((k, False), 0), counts.get((k, True), 0)
             if not 0 < inside < n[False]:
-                members.append((None, 0.0, float((inside + outside) / max(1, n[False] + n[True]))))
-                continue
+                return None, 0.0, float((inside + outside) / max(1, n[False] + n[True]))
             booster = GBTClassifier(featuresCol=self.features, labelCol="_one", predictionCol="_g", **self.settings).setRawPredictionCol("_m").setProbabilityCol("_q").fit(one.where("not _aside"))
             slope, offset = 2.0, 0.0  # the logistic loss of the booster itself
             if 0 < outside < n[True]:
-                margins = booster.transform(one.where("_aside")).select("_one", F.array(vector_to_array("_m")[1]).alias("_x"))
-                curve = LogisticRegression(featuresCol="_v", labelCol="_one", maxIter=50).fit(margins.withColumn("_v", array_to_vector("_x")))
+                # a few trees give few different margins: the curve is fitted on them and their numbers of rows
+                margins = booster.transform(one.where("_aside")).groupBy("_one", vector_to_array("_m")[1].alias("_x")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+                curve = LogisticRegression(featuresCol="_v", labelCol="_one", weightCol="_n", maxIter=50).fit(margins.withColumn("_v", array_to_vector(F.array("_x"))))
                 slope, offset = float(curve.coefficients[0]), float(curve.intercept)
-            members.append((booster, slope, offset))
+            return booster, slope, offset
+
+        members = _each(data, member, self.classes)
         data.unpersist()
         return BoostedModel(members, self.features)
 
@@ -150,47 +154,92 @@ def probabilities(model, rows: DataFrame) -> DataFrame:
     return out.withColumns({p: F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)) for i, p in enumerate(P)}).drop("_p", "rawPrediction", "probability", "prediction")
 
 
-def _by_part(model, data: DataFrame, part: Column) -> list:
-    """(part, n, kappa) of the parts of one scored table, at the cuts that are best on its part "train"."""
-    out = probabilities(model, data.withColumn("part", part)).withColumn("ev", E.expected_value(P))
-    cuts, _ = E.optimize_thresholds(out.where("part = 'train'"), "y", "ev")
-    return E.quadratic_kappa(E.scored(out, P, cuts).where("part is not null"), "y", "predicted", ["part"]).collect()
+#: Models fitted, and learners validated, at the same time over up to so many rows and over more: each fit
+#: holds its own rows in the executors.
+FITS, LEARNERS, FEW_ROWS = (5, 2), (3, 1), 2_000_000
+#: A partition that a fit reads has at least about so many rows: a fit is many small stages.
+PART_ROWS = 50_000
+
+
+def _each(data: DataFrame, make: Callable[[int], object], n: int, most: tuple[int, int] = FITS) -> list:
+    """make(0), make(1), ..., several at a time, so that the small stages of one leave no core idle. data: a kept table."""
+    together = most[data.count() > FEW_ROWS]
+    with ThreadPool(max(1, min(n, together))) as pool:
+        return pool.map(inheritable_thread_target(data.sparkSession)(make), range(n), 1)
+
+
+def _fit_rows(kept: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
+    """A kept table with its vectors, in no more partitions than its rows fill."""
+    return assembled(kept, columns).coalesce(max(1, -(-kept.count() // PART_ROWS)))
+
+
+def with_folds(rows: DataFrame, folds: DataFrame) -> DataFrame:
+    """rows with their fold, which they may carry already."""
+    return rows if "fold" in rows.columns else rows.join(folds.select("listing_id", "fold"), "listing_id")
+
+
+def _kappas(models: Sequence, data: DataFrame, parts: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """For each model and its parts of the data ("train" and others): (model, part, y, predicted, argmax, n), the
+    counts of its scored rows at the cuts that are best on its part "train", and (model, cuts).
+
+    One pass scores the rows by all models and counts them by cell of the grid of cuts; cuts and classes
+    come from these counts, whose number depends on the grid alone."""
+    rows = data
+    for i, (model, part) in enumerate(zip(models, parts, strict=True)):
+        own = probabilities(model, rows).withColumn(f"_s{i}", F.struct(F.lit(i).alias("model"), part.alias("part"), E.expected_value(P).alias("ev"), E.argmax(P).alias("argmax")))
+        rows = own.drop(*P)
+    long = rows.select("y", F.explode(F.array(*[f"_s{i}" for i in range(len(models))])).alias("s")).select("y", "s.*").where("part is not null")
+    counts = long.groupBy("model", "part", "y", "argmax", E.ev_bin("ev").alias("b"), E.cuts_reached("ev").alias("reached")).agg(F.count(F.lit(1)).alias("n"))
+    counts = data.sparkSession.createDataFrame(counts.toArrow(), counts.schema)  # for each model at most 2 parts, 5 x 5 classes and 201 cells
+    t, n = F.col("y").cast("long"), F.col("n")
+    bins = counts.where("part = 'train'").groupBy("model", "b").agg(F.sum(n).alias("n"), F.sum(t * n).alias("y"), F.sum(t * t * n).alias("yy"))
+    found = E.search_cuts(bins, ["model"]).select("model", "cuts", "places").collect()  # one row for each model
+    cuts = data.sparkSession.createDataFrame([tuple(r) for r in found], "model int, cuts array<double>, places array<int>")
+    predicted = F.size(F.filter("places", lambda c: c <= F.col("reached")))
+    return counts.join(F.broadcast(cuts), "model").select("model", "part", "y", predicted.alias("predicted"), "argmax", "n"), cuts.select("model", "cuts")
+
+
+def _part(fold: int, train: Column | None = None) -> Column:
+    return F.when(F.col("fold") == fold, "valid").when(F.col("fold") != fold if train is None else train, "train")
 
 
 def cross_validate(rows: DataFrame, folds: DataFrame, family: str, columns: Sequence[str] = FEATURES, k: int = 5, keep: bool = True, **settings) -> tuple[DataFrame | None, DataFrame]:
     """Out-of-fold probabilities, and kappa of training and validation rows by fold, at cuts found on
     the training rows of that fold.
 
-    The former are written to a folder of the session's shared one, so that no model is fitted twice
-    and no vector stays cached; without keep they are not made."""
-    spark = rows.sparkSession
-    data = assembled(rows, columns).join(folds.select("listing_id", "fold"), "listing_id").persist()
-    root, metrics, schema = work_dir(spark), [], None
-    for f in range(k):
-        model = learner(family, **settings).fit(data.where(F.col("fold") != f))
-        metrics += [(f, r["part"], r["n"], r["kappa"]) for r in _by_part(model, data, F.when(F.col("fold") == f, "valid").otherwise("train"))]
-        if keep:
-            valid = probabilities(model, data.where(F.col("fold") == f)).select("listing_id", "fold", "y", *P)
-            valid.write.parquet(f"{root}/{f}")
-            schema = valid.schema
-    data.unpersist()
-    oof = spark.read.schema(schema).parquet(*[f"{root}/{f}" for f in range(k)]) if keep else None
+    The former are written to a folder of the session's shared one, so that no model is fitted twice;
+    without keep they are not made. Rows that carry their fold already are read as they are, so a caller
+    that validates several learners keeps one table for all; others are kept while this runs."""
+    spark, own = rows.sparkSession, "fold" not in rows.columns
+    base = with_folds(rows, folds)
+    if own:
+        base = base.persist()
+    data, root = _fit_rows(base, columns), work_dir(spark)
+    models = _each(base, lambda f: learner(family, **settings).fit(data.where(F.col("fold") != f)), k)
+    scores = _kappas(models, data, [_part(f) for f in range(k)])[0]
+    metrics = [(r["model"], r["part"], r["n"], r["kappa"]) for r in E.quadratic_kappa(scores, "y", "predicted", ["model", "part"], "n").collect()]  # two rows for each fold
+    valid = [probabilities(model, data.where(F.col("fold") == f)).select("listing_id", "fold", "y", *P) for f, model in enumerate(models)] if keep else []
+    _each(base, lambda f: valid[f].write.parquet(f"{root}/{f}"), len(valid))
+    if own:
+        base.unpersist()
+    oof = spark.read.schema(valid[0].schema).parquet(*[f"{root}/{f}" for f in range(k)]) if keep else None
     return oof, spark.createDataFrame(metrics, "fold int, part string, n long, kappa double")
 
 
 def fold_metrics(rows: DataFrame, folds: DataFrame, family: str, columns: Sequence[str] = FEATURES, k: int = 5, **settings) -> DataFrame:
     """For each fold: cuts found on its training rows, and what they score on its validation rows."""
-    data = assembled(rows, columns).join(folds.select("listing_id", "fold"), "listing_id").persist()
+    spark, base = rows.sparkSession, with_folds(rows, folds).persist()
+    data = _fit_rows(base, columns)
+    models = _each(base, lambda f: learner(family, **settings).fit(data.where(F.col("fold") != f)), k)
+    scores, cuts = _kappas(models, data, [_part(f) for f in range(k)])
+    at = {r["model"]: r["cuts"] for r in cuts.collect()}  # one row for each fold
+    base.unpersist()
     out = []
     for f in range(k):
-        model = learner(family, **settings).fit(data.where(F.col("fold") != f))
-        train = probabilities(model, data.where(F.col("fold") != f)).withColumn("ev", E.expected_value(P))
-        cuts, _ = E.optimize_thresholds(train, "y", "ev")
-        valid = E.scored(probabilities(model, data.where(F.col("fold") == f)), P, cuts)
-        both = E.quadratic_kappa(valid, "y", "predicted").crossJoin(E.quadratic_kappa(valid, "y", "argmax").select(F.col("kappa").alias("kappa_argmax"))).crossJoin(E.summary(E.confusion(valid, "y", "predicted")))  # one row each
-        out.append(both.select(F.lit(f).alias("fold"), "n", F.array(*[F.lit(float(c)) for c in cuts]).alias("cuts"), "kappa", "kappa_argmax", "accuracy", "macro_f1", "weighted_f1").collect()[0])
-    data.unpersist()
-    return rows.sparkSession.createDataFrame(out, "fold int, n long, cuts array<double>, kappa double, kappa_argmax double, accuracy double, macro_f1 double, weighted_f1 double")
+        valid = scores.where((F.col("model") == f) & (F.col("part") == "valid"))
+        both = E.quadratic_kappa(valid, "y", "predicted", weight="n").crossJoin(E.quadratic_kappa(valid, "y", "argmax", weight="n").select(F.col("kappa").alias("kappa_argmax"))).crossJoin(E.summary(E.confusion(valid, "y", "predicted", weight="n")))  # one row each
+        out.append(both.select(F.lit(f).alias("fold"), "n", F.array(*[F.lit(float(c)) for c in at[f]]).alias("cuts"), "kappa", "kappa_argmax", "accuracy", "macro_f1", "weighted_f1").collect()[0])
+    return spark.createDataFrame(out, "fold int, n long, cuts array<double>, kappa double, kappa_argmax double, accuracy double, macro_f1 double, weighted_f1 double")
 
 
 def fold_summary(metrics: DataFrame, names: Sequence[str] = ("kappa", "kappa_argmax", "accuracy", "macro_f1", "weighted_f1")) -> DataFrame:
@@ -205,7 +254,14 @@ def gaps(metrics: DataFrame) -> DataFrame:
 
 
 def ablation(rows: DataFrame, folds: DataFrame, subsets: Mapping[str, Sequence[str]], family: str, k: int = 5) -> DataFrame:
-    out = [cross_validate(rows, folds, family, columns, k, keep=False)[1].where("part = 'valid'").agg(F.round(F.avg("kappa"), 6).alias("kappa")).select(F.lit(name).alias("subset"), "kappa") for name, columns in subsets.items()]
+    data, names = with_folds(rows, folds).persist(), list(subsets)  # one table for all subsets
+
+    def subset(i: int) -> DataFrame:
+        score = cross_validate(data, data, family, subsets[names[i]], k, keep=False)[1].where("part = 'valid'").agg(F.round(F.avg("kappa"), 6).alias("kappa"))
+        return score.select(F.lit(names[i]).alias("subset"), "kappa")
+
+    out = _each(data, subset, len(names), LEARNERS)
+    data.unpersist()
     return reduce(DataFrame.unionByName, out)
 
 
@@ -233,26 +289,31 @@ def search(rows: DataFrame, folds: DataFrame, trials: int, seed: int = 42, k: in
     import json
     import random
 
-    out = []
+    data, drawn = with_folds(rows, folds).persist(), []  # one table for all trials
     for family in families:
         grid = list(itertools.product(*SPACES[family].values()))
-        for values in random.Random(f"{seed} {family}").sample(grid, min(trials, len(grid))):
-            s = dict(zip(SPACES[family], values, strict=True))
-            score = cross_validate(rows, folds, family, FEATURES, k, keep=False, **s)[1].where("part = 'valid'").agg(F.round(F.avg("kappa"), 6).alias("score"))
-            out.append(score.select(F.lit(len(out)).alias("trial"), F.lit(family).alias("family"), F.lit(json.dumps(s)).alias("settings"), "score"))
+        drawn += [(family, dict(zip(SPACES[family], values, strict=True))) for values in random.Random(f"{seed} {family}").sample(grid, min(trials, len(grid)))]
+
+    def trial(i: int) -> DataFrame:
+        family, s = drawn[i]
+        score = cross_validate(data, data, family, FEATURES, k, keep=False, **s)[1].where("part = 'valid'").agg(F.round(F.avg("kappa"), 6).alias("score"))
+        return score.select(F.lit(i).alias("trial"), F.lit(family).alias("family"), F.lit(json.dumps(s)).alias("settings"), "score")
+
+    out = _each(data, trial, len(drawn), LEARNERS)
+    data.unpersist()
     return reduce(DataFrame.unionByName, out).orderBy(F.desc("score"), "trial")
 
 
 def learning_curve(rows: DataFrame, folds: DataFrame, family: str, shares: Sequence[float] = (0.2, 0.6, 1.0), k: int = 5) -> DataFrame:
     """For each share of the training rows, taken by hash: mean and deviation over the folds of kappa on them and on the validation rows."""
-    data = assembled(rows).join(folds.select("listing_id", "fold"), "listing_id").withColumn("_h", F.pmod(F.xxhash64("listing_id"), F.lit(1000))).persist()
-    out = []
+    spark, base = rows.sparkSession, with_folds(rows, folds).withColumn("_h", F.pmod(F.xxhash64("listing_id"), F.lit(1000))).persist()
+    data, out = _fit_rows(base), []
     for s in shares:
-        for f in range(k):
-            train = (F.col("fold") != f) & (F.col("_h") < 1000 * s)
-            model = learner(family).fit(data.where(train))
-            out += [(float(s), f, r["part"], r["n"], r["kappa"]) for r in _by_part(model, data, F.when(F.col("fold") == f, "valid").when(train, "train"))]
-    data.unpersist()
+        train = [(F.col("fold") != f) & (F.col("_h") < 1000 * s) for f in range(k)]
+        models = _each(base, lambda f, train=train: learner(family).fit(data.where(train[f])), k)
+        scores = _kappas(models, data, [_part(f, train[f]) for f in range(k)])[0]
+        out += [(float(s), r["model"], r["part"], r["n"], r["kappa"]) for r in E.quadratic_kappa(scores, "y", "predicted", ["model", "part"], "n").collect()]  # two rows for each fold
+    base.unpersist()
     long = rows.sparkSession.createDataFrame(out, "share double, fold int, part string, n long, kappa double")
     of = lambda part, c: F.when(F.col("part") == part, F.col(c))
     cells = [f(of(part, c)).alias(f"{name}_{part}") for part in ("train", "valid") for name, f, c in (("n", F.sum, "n"), ("mean", F.avg, "kappa"), ("std", F.stddev, "kappa"))]

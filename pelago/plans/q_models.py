@@ -38,8 +38,9 @@ query("M16_modality_ablation")(lambda t: M.ablation(rows(t), folds(t), {"all": M
 
 @query("M18_stack_oof")
 def _(t):
-    data, f = rows(t), folds(t)
-    oofs = [M.cross_validate(data, f, family, k=5)[0] for family in ("tree", "linear")]
+    data = M.with_folds(rows(t), folds(t)).persist()
+    oofs = [M.cross_validate(data, data, family, k=5)[0] for family in ("tree", "linear")]
+    data.unpersist()
     return E.quadratic_kappa(E.scored(M.stack(oofs, data.select("listing_id", "y")), M.P, M.CUTS), "y", "predicted")
 
 

@@ -432,3 +432,25 @@ def test_models_over_folds(spark, sf_dir):
     assert curve[1.0].n_train == curve[1.0].n_valid == rows.count() > curve[0.5].n_train > 0 and curve[0.5].n_folds == 2
     valid = [r.kappa for r in metrics.where("part = 'valid'").collect()]
     assert abs(curve[1.0].mean_valid - sum(valid) / 2) < 1e-9 and abs(curve[1.0].std_valid - abs(valid[0] - valid[1]) / 2**0.5) < 1e-9
+
+
+def test_one_pass_scores_all_models_as_single_passes_do(spark):
+    """The kappas of several models from one count of their scored rows, and the same from each on its own; a tie lies on a cut, one value is no number."""
+    rows = spark.range(400).select(
+        F.col("id").alias("listing_id"), (F.col("id") * 7 % 5).cast("int").alias("y"), (F.col("id") % 4).cast("int").alias("fold"),
+        *[(F.pmod(F.xxhash64(F.lit(c), "id"), F.lit(9)) / 4).alias(c) for c in M.FEATURES],
+    ).withColumn("age", F.when(F.col("listing_id") == 3, float("nan")).otherwise(F.col("age")))
+    data = M.assembled(rows).cache()
+    models = [M.learner("tree").fit(data.where("listing_id <> 3")), M.Linear([[0.3 * k] * 8 for k in range(5)], [0.1] * 5), M.Linear([[0.0] * 8] * 5, [0.0] * 5)]
+    parts = [F.when(F.col("fold") == f, "valid").when(F.col("fold") != 3, "train") for f in range(3)]
+    scores, cuts = M._kappas(models, data, parts)
+    got = {(r["model"], r["part"]): (r["n"], r["kappa"]) for r in E.quadratic_kappa(scores, "y", "predicted", ["model", "part"], "n").collect()}
+    at = {r["model"]: r["cuts"] for r in cuts.collect()}
+    for i, (model, part) in enumerate(zip(models, parts, strict=True)):
+        own = M.probabilities(model, data.withColumn("part", part)).withColumn("ev", E.expected_value(M.P))
+        best, _ = E.optimize_thresholds(own.where("part = 'train'"), "y", "ev")
+        want = E.quadratic_kappa(E.scored(own, M.P, best).where("part is not null"), "y", "predicted", ["part"]).collect()
+        assert at[i] == best and {p: v for (k, p), v in got.items() if k == i} == {r["part"]: (r["n"], r["kappa"]) for r in want}
+    edges = spark.createDataFrame([(c * 4 / 200,) for c in range(201)] + [(c * 4 / 200 - 1e-15,) for c in range(201)] + [(float("nan"),)], "ev double")
+    plain = E.by_thresholds(F.col("ev"), [c * 4 / 200 for c in range(1, 201)])
+    assert edges.where(E.cuts_reached("ev") != plain).isEmpty()
