@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,14 +41,27 @@ def clean_names(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("_n", clean_name(name)).withColumn("has_name", F.col("_n").isNotNull().cast("int")).withColumn(name, F.col("_n")).drop("_n")
 
 
-@F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFC")
+#: Texts of a batch that are Python strings at one time.
+AT_ONCE = 64
 
 
-@F.pandas_udf(T.StringType())
-def nfkd(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFKD")
+def _normal_form(form: str, texts: pa.Array) -> pa.Array:
+    """A batch stays an Arrow array, input and result; only AT_ONCE of its texts are Python strings at a time."""
+    made = (
+        pa.array([x if x is None or x.isascii() else unicodedata.normalize(form, x) for x in texts.slice(i, AT_ONCE).to_pylist()], pa.string())
+        for i in range(0, len(texts), AT_ONCE)
+    )
+    return pa.concat_arrays([pa.array([], pa.string()), *made])
+
+
+@F.arrow_udf(T.StringType())
+def nfc(s: pa.Array) -> pa.Array:
+    return _normal_form("NFC", s)
+
+
+@F.arrow_udf(T.StringType())
+def nfkd(s: pa.Array) -> pa.Array:
+    return _normal_form("NFKD", s)
 
 
 def normalize_text(df: DataFrame, *columns: str) -> DataFrame:

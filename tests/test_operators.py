@@ -454,3 +454,18 @@ def test_one_pass_scores_all_models_as_single_passes_do(spark):
     edges = spark.createDataFrame([(c * 4 / 200,) for c in range(201)] + [(c * 4 / 200 - 1e-15,) for c in range(201)] + [(float("nan"),)], "ev double")
     plain = E.by_thresholds(F.col("ev"), [c * 4 / 200 for c in range(1, 201)])
     assert edges.where(E.cuts_reached("ev") != plain).isEmpty()
+
+
+def test_normal_forms_hold_few_strings_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [None, "", "plain", "Größe ﬁne Ⅷ", "é"] + ["ä" * 2000] * 4000
+    column = pa.array(texts, pa.string())
+    tracemalloc.start()
+    got = C._normal_form("NFKD", column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [x and unicodedata.normalize("NFKD", x) for x in texts] and peak < 4 << 20
+    assert C._normal_form("NFC", pa.array([], pa.string())).to_pylist() == []
