@@ -469,3 +469,15 @@ def test_normal_forms_hold_few_strings_at_once():
     tracemalloc.stop()
     assert got.to_pylist() == [x and unicodedata.normalize("NFKD", x) for x in texts] and peak < 4 << 20
     assert C._normal_form("NFC", pa.array([], pa.string())).to_pylist() == []
+
+
+def test_contributions_are_gathered_in_parts_by_their_number(spark, monkeypatch):
+    rows = [(i % 40, i % 3, f"text_emb_{i % 4}" if i % 2 else "log_fee", 0.1 * i - 9) for i in range(200)]
+    long = spark.createDataFrame(rows, "row_id long, cls int, feature string, contribution double")
+    present = spark.createDataFrame([(i, "text", i % 3 > 0) for i in range(40)], "row_id long, modality string, is_present boolean")
+    reg = A.registry(long.select("feature").distinct())
+    want = sorted(map(tuple, A.collapse_latent(long, reg, present).collect()))
+    assert {r[0] for r in want if r[6]} == {i for i in range(1, 40, 2) if i % 3 == 0}
+    monkeypatch.setattr(A, "TASK_ROWS", 10)
+    out = A.collapse_latent(long, reg, present)
+    assert out.rdd.getNumPartitions() == 20 and sorted(map(tuple, out.collect())) == want
