@@ -29,6 +29,8 @@ ABSENT = {"name": "", "breed2": 0, "color1": 0, "color2": 0, "color3": 0, "fee":
 UNFITTED = {"breed1_frequency": 0.001, "state_freq": 0.02, "rescuer_pet_count": 1.0, "rescuer_mean_photo_amt": 3.0, "rescuer_mean_fee": 0.0}
 #: Key column of each fitted share.
 SHARES = {"breed1_frequency": "breed1", "state_freq": "state"}
+#: What a request takes from the state: the shares of its keys, and the defaults.
+FITTED = [*SHARES, *[f"_{f}" for f in UNFITTED]]
 
 #: What an owner can change and the candidate values, and the field of each.
 GRID = {"PhotoAmt": [1, 3, 5, 7, 10], "VideoAmt": [0, 1, 2], "Vaccinated": [1], "Dewormed": [1], "Sterilized": [1], "Fee": [0, 10, 25, 50], "Name": ["Buddy"], "Quantity": [1]}
@@ -94,14 +96,24 @@ def save_state(state: DataFrame, path: str) -> DataFrame:
 
 def request_features(requests: DataFrame, state: DataFrame, keep: tuple[str, ...] = ("request_id",)) -> DataFrame:
     """The columns in keep and FEATURES for encoded requests; keys that the state lacks, and requests'
-    owners, who are unknown when serving, get the defaults. Works on streams: the state is the static
-    side of left joins, whose size is left to the planner, and of one join with a single row."""
+    owners, who are unknown when serving, get the defaults. Works on streams."""
+    return _features(_with_state(requests, state), keep)
+
+
+def _with_state(requests: DataFrame, state: DataFrame) -> DataFrame:
+    """Encoded requests with the columns FITTED, from left joins with the state, whose size is left to
+    the planner, and one join with a single row."""
     defaults = state.where("key is null").agg(*[F.coalesce(F.max(F.when(F.col("feature") == f, F.col("value"))), F.lit(v)).alias(f"_{f}") for f, v in UNFITTED.items()])
     rows = requests
     for feature, key in SHARES.items():
         shares = state.where((F.col("feature") == feature) & F.col("key").isNotNull()).select(F.col("key").alias(f"_k_{key}"), F.col("value").alias(feature))
         rows = rows.join(shares, F.col(key) == F.col(f"_k_{key}"), "left")
     rows = rows.crossJoin(F.broadcast(defaults))  # one row
+    return rows.select(*requests.columns, *FITTED)
+
+
+def _features(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The columns in keep and FEATURES, row by row, for encoded requests with their columns FITTED."""
     whole = lambda c: F.col(c).cast("int")
     flag = lambda condition: F.coalesce(condition, F.lit(False)).cast("int")
     zero = lambda c: F.coalesce(whole(c), F.lit(0))
@@ -136,13 +148,14 @@ def _moved(encoded: DataFrame, changes: Column) -> DataFrame:
 
 
 def _compared(encoded: DataFrame, changes: Column, state: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Scores before and after each change. Rows carry their first score along, so nothing is joined by request."""
-    fields = encoded.columns
-    base = score(request_features(encoded.withColumn("_row", F.struct(*fields)), state, ("_row",)))
+    """Scores before and after each change. Rows carry their first score along, so nothing is joined by request,
+    and what they have from the state, whose keys no change touches, so that is joined once."""
+    rows = _with_state(encoded, state)
+    base = score(_features(rows.withColumn("_row", F.struct(*rows.columns)), ("_row",)))
     rows = base.select("_row.*", F.struct(F.col("predicted").alias("class0"), F.col("expected_value").alias("ev0")).alias("_was"))
     moved = _moved(rows, changes)
     facts = F.struct("feature", "candidate", "current", "_was.class0", "_was.ev0")
-    after = score(request_features(moved.withColumn("_row", facts), state, ("request_id", "_row")))
+    after = score(_features(moved.withColumn("_row", facts), ("request_id", "_row")))
     # a filter on a score that Spark moved below this step would repeat the whole model in every term; it
     # is not moved past a partition number, as long as that is read
     return after.select("request_id", "_row.*", F.col("predicted").alias("class1"), F.col("expected_value").alias("ev1"), F.spark_partition_id().alias("_here"))
@@ -164,10 +177,11 @@ def single_changes(encoded: DataFrame, state: DataFrame, score: Callable[[DataFr
     made = F.array_compact(F.array(*[F.when(F.expr(applies), F.struct(F.lit(f).alias("feature"), F.lit(str(v)).alias("candidate"))) for f, _, v, applies in CHANGES]))
     out = _compared(encoded, made, state, score).withColumn("ev_gain", F.col("ev0") - F.col("ev1")).withColumn("class_improved", F.col("class1") < F.col("class0"))
     out = out.where(((F.col("ev_gain") > least) | F.col("class_improved")) & (F.col("_here") >= 0))
+    place = F.row_number().over(W.partitionBy("request_id").orderBy(F.desc(F.round("ev_gain", 9)), "feature"))
+    out = out.select("request_id", "feature", "candidate", "class0", "class1", "ev_gain", "class_improved", place.alias("place"))  # the texts come after the shuffle
     shown = F.create_map(*[F.lit(x) for f, name, _, _ in CHANGES for x in (f, name)])[F.col("feature")]
     text = F.when(F.col("class_improved"), F.format_string("Improves adoption speed prediction from class %d to %d", "class0", "class1")).otherwise(F.format_string("Improves expected adoption time score by %.2f", "ev_gain"))
-    place = F.row_number().over(W.partitionBy("request_id").orderBy(F.desc(F.round("ev_gain", 9)), "feature"))
-    return out.select("request_id", shown.alias("feature"), F.when(F.col("feature") == "Name", "Yes").otherwise(F.col("candidate")).alias("suggested"), "ev_gain", "class_improved", text.alias("expected_impact"), place.alias("place"))
+    return out.select("request_id", shown.alias("feature"), F.when(F.col("feature") == "Name", "Yes").otherwise(F.col("candidate")).alias("suggested"), "ev_gain", "class_improved", text.alias("expected_impact"), "place")
 
 
 def serve_stream(forms: DataFrame, state: DataFrame, score: Callable[[DataFrame], DataFrame], path: str) -> tuple[DataFrame, DataFrame]:

@@ -58,14 +58,23 @@ def _features_sql(until: str, columns=S.FEATURES, source="enc", more="", name="f
     return f"{head}{name} AS (SELECT request_id{more}, {cells} FROM {source} e LEFT JOIN bs ON e.breed1 = bs.breed1 LEFT JOIN ss ON e.state = ss.state CROSS JOIN df WHERE rejects = '')"
 
 
-def fitted_state(t, until: str):
+def accepted_forms(t):
+    """The accepted forms, encoded once and stored, spread evenly however the orders' file is cut. The rejects are
+    filtered as they are read: a filter that Spark moved below the encoding would repeat all of it, in generated
+    methods too long for the JVM to compile."""
+    return S.save_state(S.encode_forms(t.forms_v).repartition("request_id"), work_dir(t.spark) + "/forms").where("rejects = ''")
+
+
+def fitted_state(t, until: str, forms=None):
     """The state of the accepted forms before a day, stored."""
-    train = S.encode_forms(t.forms_v.where(F.col("submitted") < F.lit(until).cast("timestamp"))).where("rejects = ''")
+    forms = accepted_forms(t) if forms is None else forms
+    train = forms.where(F.col("submitted") < F.lit(until).cast("timestamp"))
     return S.save_state(S.fit_state(train), work_dir(t.spark) + "/state")
 
 
 def request_rows(t, until: str):
-    rows = S.request_features(S.encode_forms(t.forms_v).where("rejects = ''"), fitted_state(t, until))
+    forms = accepted_forms(t)
+    rows = S.request_features(forms, fitted_state(t, until, forms))
     return rows.select("request_id", *[F.round(c, _REAL[c]).alias(c) if c in _REAL else c for c in S.FEATURES])
 
 
@@ -105,6 +114,11 @@ query("R10_request_stream_scores", f"WITH {_features_sql(FITTED, _COLUMNS)} SELE
 query("R10_request_stream_rejects", f"WITH {_ENC} SELECT request_id, rejects FROM enc WHERE rejects <> ''")(lambda t: served(t)[1])
 
 # ---- E13, E14: changed requests through P22 and the same model ---------------------------------------
+def changed(t, changes):
+    forms = accepted_forms(t)
+    return changes(forms.drop("submitted"), fitted_state(t, FITTED, forms), score)
+
+
 _VALUES = ", ".join(f"('{f}', '{v}', {i})" for i, (f, v) in enumerate((f, v) for f, values in S.GRID.items() for v in values))
 _KIND = {"fee": "DOUBLE", "name": "VARCHAR"}
 _SET = ", ".join(f"CASE WHEN feature = '{f}' THEN CAST(candidate AS {_KIND.get(c, 'INT')}) ELSE {c} END AS {c}" for f, c in S.FIELDS.items())
@@ -124,7 +138,7 @@ query(
     "E14_change_grid",
     f"""WITH {_changed_sql(_VALUES, 'TRUE')}, b AS (SELECT n.*, o.cls - n.cls AS improvement FROM n JOIN o ON o.request_id = n.request_id WHERE n.cls < o.cls)
  SELECT b.request_id, feature, coalesce({_CURRENT}, 'None') AS current, candidate, b.cls AS new_class, improvement, CAST(row_number() OVER (PARTITION BY b.request_id ORDER BY improvement DESC, g) AS INT) AS place FROM b JOIN enc ON enc.request_id = b.request_id""",
-)(lambda t: S.change_grid(S.encode_forms(t.forms_v).where("rejects = ''").drop("submitted"), fitted_state(t, FITTED), score))
+)(lambda t: changed(t, S.change_grid))
 _SINGLE = ", ".join(f"('{f}', '{v}', {i})" for i, (f, _, v, _) in enumerate(S.CHANGES))
 _APPLIES = "CASE feature " + " ".join(f"WHEN '{f}' THEN {applies}" for f, _, _, applies in S.CHANGES) + " END"
 _NAMED = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{name}'" for f, name, _, _ in S.CHANGES) + " END"
@@ -133,4 +147,4 @@ query(
     f"""WITH {_changed_sql(_SINGLE, _APPLIES)}, b AS (SELECT n.request_id, feature, candidate, o.ev - n.ev AS gain, o.cls AS c0, n.cls AS c1 FROM n JOIN o ON o.request_id = n.request_id WHERE o.ev - n.ev > 1e-9 OR n.cls < o.cls)
  SELECT request_id, {_NAMED} AS feature, CASE WHEN feature = 'Name' THEN 'Yes' ELSE candidate END AS suggested, round(gain, 6) AS ev_gain, c1 < c0 AS class_improved,
  CASE WHEN c1 < c0 THEN printf('Improves adoption speed prediction from class %d to %d', c0, c1) ELSE printf('Improves expected adoption time score by %.2f', gain) END AS expected_impact, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(gain, 9) DESC, feature) AS INT) AS place FROM b""",
-)(lambda t: S.single_changes(S.encode_forms(t.forms_v).where("rejects = ''").drop("submitted"), fitted_state(t, FITTED), score).withColumn("ev_gain", F.round("ev_gain", 6)))
+)(lambda t: changed(t, S.single_changes).withColumn("ev_gain", F.round("ev_gain", 6)))

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ from pelago.operators import models as M
 from pelago.operators import serving as S
 from pelago.operators import stats
 from pelago.plans import q_serving as Q
+from pelago.plans import registry
 from pelago.plans.base import Tables
 from pelago.streaming import runs as R
 
@@ -143,6 +145,21 @@ def test_changes_against_a_plain_loop(spark, sf_dir):
     coded.unpersist()
 
 
+@pytest.mark.parametrize("name", ["E13_single_changes", "E14_change_grid"])
+def test_changes_stay_small_for_the_compiler(spark, sf_dir, capsys, name):
+    # the state is joined once, by two keys, and no generated method is beyond the 8,000 bytes up to which the JVM compiles
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = registry.queries()[name](spark, sf_dir)
+        df.explain()
+        assert len(re.findall(r"Join .*LeftOuter", capsys.readouterr().out)) == 2
+        df.explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_boosted_trees_against_a_plain_loop(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 3))
